@@ -26,7 +26,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 MONEY = "decimal(18,2)"
-MONEY_SUM = "decimal(38,2)"
+MONEY_SUM = "decimal(38,6)"
 
 
 def col_or_lit(c) -> Column:

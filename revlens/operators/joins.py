@@ -59,8 +59,13 @@ def with_lead_dimension(deals: DataFrame, leads: DataFrame, dimension: str,
 
 
 def dedupe_lookup(lookup: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """One row per non-null key; the kept row is the smallest (columns...) tuple."""
+    """One row per non-null key; one looked-up column keeps its smallest non-null
+    value, several keep the smallest (columns...) tuple."""
     cols = [c for c in columns if c != key]
+    if len(cols) == 1:
+        # one column: the smallest non-null value
+        return (lookup.where(F.col(key).isNotNull()).groupBy(key)
+                .agg(F.min(F.col(cols[0])).alias(cols[0])))
     best = F.min(F.struct(*[F.col(c) for c in cols])).alias("__best")
     agg = lookup.where(F.col(key).isNotNull()).groupBy(key).agg(best)
     return agg.select(key, *[F.col(f"__best.{c}").alias(c) for c in cols])

@@ -24,11 +24,11 @@ def sql(name: str, body: str) -> None:
 
 def MSUM(x: str, where: str | None = None) -> str:
     v = f"CASE WHEN {where} THEN {x} END" if where else x
-    return f"CAST(COALESCE(SUM(CAST({v} AS DECIMAL(38,2))), 0) AS DOUBLE)"
+    return f"CAST(COALESCE(SUM(CAST({v} AS DECIMAL(38,6))), 0) AS DOUBLE)"
 
 
 def MMEAN(x: str) -> str:
-    return f"(CAST(SUM(CAST({x} AS DECIMAL(38,2))) AS DOUBLE) / NULLIF(CAST(COUNT({x}) AS DOUBLE), 0))"
+    return f"(CAST(SUM(CAST({x} AS DECIMAL(38,6))) AS DOUBLE) / NULLIF(CAST(COUNT({x}) AS DOUBLE), 0))"
 
 
 def RATIO(num: str, den: str) -> str:
@@ -178,3 +178,163 @@ sql("stage_by_region", f"""
 SELECT l.Region, d.Deal_Stage, COUNT(d.Deal_ID) AS Deal_Count, {MSUM('d.Amount')} AS Total_Amount
 FROM {DEALS_REGION_FROM_LEADS}
 WHERE l.Region IS NOT NULL AND d.Deal_Stage IS NOT NULL GROUP BY l.Region, d.Deal_Stage""")
+
+
+# ----------------------------------------------------------------- trends
+def _trend(where: str) -> str:
+    return f"""
+WITH mon AS (SELECT date_trunc('month', Closing_Date) AS m, {MSUM('Amount')} AS Total_Amount
+             FROM deals WHERE Closing_Date IS NOT NULL {where} GROUP BY 1),
+cal AS (SELECT unnest(generate_series((SELECT min(m) FROM mon), (SELECT max(m) FROM mon),
+                                      INTERVAL 1 MONTH)) AS m)
+SELECT strftime(cal.m, '%Y-%m-%d') AS Period_Start, strftime(cal.m, '%b %Y') AS Closing_Month,
+       COALESCE(mon.Total_Amount, 0.0) AS Total_Amount
+FROM cal LEFT JOIN mon ON cal.m = mon.m"""
+
+
+sql("monthly_trend", _trend(""))
+sql("monthly_pipeline_trend", _trend("AND Forecast_Category = 'Pipeline'"))
+sql("peak_month", "SELECT * FROM (" + _trend("AND Forecast_Category = 'Pipeline'").replace(
+    "WITH mon", "SELECT * FROM (WITH mon", 1) + ") ORDER BY Total_Amount DESC, Period_Start ASC LIMIT 1)")
+
+sql("chart_data_month", f"""
+SELECT strftime(Closing_Date, '%Y-%m') AS Month, {MSUM('Amount')} AS Value
+FROM deals WHERE Closing_Date IS NOT NULL GROUP BY 1""")
+
+sql("chart_data_category", f"""
+SELECT Deal_Stage, {MMEAN('Amount')} AS Value FROM deals WHERE Deal_Stage IS NOT NULL GROUP BY 1""")
+
+
+# ------------------------------------------------------ metric x dimension
+def _lookup(table: str, key: str, column: str) -> str:
+    return (f"LEFT JOIN (SELECT {key}, MIN({column}) AS {column} FROM {table} "
+            f"WHERE {key} IS NOT NULL GROUP BY {key}) x ON d.{key} = x.{key}")
+
+
+DIM_SOURCE = {
+    "Region": (_lookup("accounts", "Account_ID", "Region"), "x.Region"),
+    "Account_Name": (_lookup("accounts", "Account_ID", "Account_Name"), "x.Account_Name"),
+    "Customer_Type": (_lookup("leads", "Lead_ID", "Customer_Type"), "x.Customer_Type"),
+    "Product_Name": (_lookup("products", "Product_ID", "Product_Name"), "x.Product_Name"),
+    "Product_Category": (_lookup("products", "Product_ID", "Product_Category"), "x.Product_Category"),
+    "Sales_Rep": ("LEFT JOIN leads x ON d.Lead_ID = x.Lead_ID", "x.Sales_Rep"),
+    "Lead_Source": ("LEFT JOIN leads x ON d.Lead_ID = x.Lead_ID", "x.Lead_Source"),
+    "Deal_Stage": ("", "d.Deal_Stage"),
+    "Forecast_Category": ("", "d.Forecast_Category"),
+}
+
+
+def metric_sql(metric: str, dim: str, extra_where: str = "") -> str:
+    join, dexpr = DIM_SOURCE[dim]
+    where = f"{dexpr} IS NOT NULL {extra_where}"
+    if metric == "pipeline" and dim != "Forecast_Category":
+        where += " AND d.Forecast_Category = 'Pipeline'"
+    if metric == "win_rate":
+        return f"""
+SELECT {dim}, Closed_Won, Closed_Lost, {RATIO('Closed_Won', 'Closed_Won + Closed_Lost')} * 100.0 AS Win_Rate
+FROM (SELECT {dexpr} AS {dim},
+             COUNT(*) FILTER (WHERE d.Deal_Stage = 'Closed Won') AS Closed_Won,
+             COUNT(*) FILTER (WHERE d.Deal_Stage = 'Closed Lost') AS Closed_Lost
+      FROM deals d {join}
+      WHERE {where} AND d.Deal_Stage IN ('Closed Won','Closed Lost') GROUP BY 1)"""
+    value = {
+        "revenue": f"{MSUM('d.Amount')} AS Total_Amount",
+        "pipeline": f"{MSUM('d.Amount')} AS Total_Amount",
+        "deal_count": "COUNT(d.Deal_ID) AS Deal_Count",
+        "average_deal_size": f"{MMEAN('d.Amount')} AS Average_Deal_Size",
+        "margin": f"{MSUM('d.Margin')} AS Total_Margin",
+    }[metric]
+    return f"SELECT {dexpr} AS {dim}, {value} FROM deals d {join} WHERE {where} GROUP BY 1"
+
+
+def _register_matrix():
+    from revlens.plans.metrics import metric_keys
+    for key, metric, dim in metric_keys():
+        sql(key, metric_sql(metric, dim))
+
+
+_register_matrix()
+
+
+def _share(inner: str, value: str) -> str:
+    return f"""
+SELECT g.*, CASE WHEN t.total > 0 THEN CAST(g.{value} AS DOUBLE) / t.total * 100.0 END AS Share_Percentage
+FROM ({inner}) g,
+     (SELECT CAST(SUM(CAST({value} AS DECIMAL(38,6))) AS DOUBLE) AS total FROM ({inner})) t"""
+
+
+sql("share_by_region", _share(metric_sql("revenue", "Region"), "Total_Amount"))
+sql("composition_share", _share(metric_sql("deal_count", "Forecast_Category"), "Deal_Count"))
+sql("top_n_regions", f"SELECT * FROM ({metric_sql('revenue', 'Region')}) "
+                     "ORDER BY Total_Amount DESC, Region ASC LIMIT 3")
+sql("bottom_n_categories", f"SELECT * FROM ({metric_sql('revenue', 'Product_Category')}) "
+                           "ORDER BY Total_Amount ASC, Product_Category ASC LIMIT 3")
+sql("top_accounts_share", f"SELECT * FROM ({_share(metric_sql('revenue', 'Account_Name'), 'Total_Amount')}) "
+                          "ORDER BY Total_Amount DESC, Account_Name ASC LIMIT 10")
+sql("margin_by_category_filtered", metric_sql("margin", "Product_Category",
+                                              "AND lower(d.Deal_Stage) = 'closed won'"))
+
+sql("win_rate_by_lead_region", f"""
+SELECT Region, Closed_Won, Closed_Lost, {RATIO('Closed_Won', 'Closed_Won + Closed_Lost')} * 100.0 AS Win_Rate
+FROM (SELECT l.Region,
+             COUNT(*) FILTER (WHERE d.Deal_Stage = 'Closed Won') AS Closed_Won,
+             COUNT(*) FILTER (WHERE d.Deal_Stage = 'Closed Lost') AS Closed_Lost
+      FROM {DEALS_REGION_FROM_LEADS}
+      WHERE l.Region IS NOT NULL AND d.Deal_Stage IN ('Closed Won','Closed Lost') GROUP BY 1)""")
+
+
+# ----------------------------------------------------------------- ranking
+def _compound(dim: str) -> str:
+    join, dexpr = DIM_SOURCE[dim]
+    grouped = (f"SELECT {dexpr} AS {dim}, {MSUM('d.Amount')} AS Total_Revenue, "
+               f"{MMEAN('d.Amount')} AS Average_Deal_Size, COUNT(d.Deal_ID) AS Deal_Count "
+               f"FROM deals d {join} WHERE {dexpr} IS NOT NULL GROUP BY 1")
+    ranked = (f"SELECT *, DENSE_RANK() OVER (ORDER BY Total_Revenue DESC) AS Revenue_Rank, "
+              f"DENSE_RANK() OVER (ORDER BY Average_Deal_Size DESC) AS Average_Deal_Size_Rank, "
+              f"DENSE_RANK() OVER (ORDER BY Deal_Count DESC) AS Deal_Count_Rank FROM ({grouped})")
+    scored = f"SELECT *, Revenue_Rank + Average_Deal_Size_Rank + Deal_Count_Rank AS Priority_Score FROM ({ranked})"
+    return (f"SELECT {dim}, Total_Revenue, Average_Deal_Size, Deal_Count, Revenue_Rank, Average_Deal_Size_Rank, "
+            f"Deal_Count_Rank, Priority_Score, DENSE_RANK() OVER (ORDER BY Priority_Score ASC) AS Priority_Rank "
+            f"FROM ({scored})")
+
+
+sql("compound_customer_type", _compound("Customer_Type"))
+sql("compound_account", _compound("Account_Name"))
+sql("priority_segment", f"SELECT * FROM ({_compound('Customer_Type')}) "
+                        "ORDER BY Priority_Score ASC, Total_Revenue DESC, Customer_Type ASC LIMIT 1")
+
+sql("top_source", f"""
+SELECT Lead_Source, COUNT(Lead_ID) AS Lead_Count, {MSUM('Estimated_Value')} AS Total_Estimated_Value
+FROM leads WHERE Lead_Source IS NOT NULL GROUP BY Lead_Source
+ORDER BY Total_Estimated_Value DESC, Lead_Source ASC LIMIT 1""")
+
+sql("top_rep_pipeline", f"""
+SELECT l.Sales_Rep, {MSUM('d.Amount')} AS Pipeline_Amount
+FROM (SELECT * FROM deals WHERE {OPEN}) d LEFT JOIN leads l ON d.Lead_ID = l.Lead_ID
+WHERE l.Sales_Rep IS NOT NULL GROUP BY 1 ORDER BY Pipeline_Amount DESC, Sales_Rep ASC LIMIT 1""")
+
+sql("top_product", f"""
+SELECT p.Product_Category, COUNT(d.Deal_ID) AS Deal_Count, {MSUM('d.Amount')} AS Total_Amount
+FROM deals d LEFT JOIN {PRODUCTS_DEDUP} p ON d.Product_ID = p.Product_ID
+WHERE p.Product_Category IS NOT NULL GROUP BY 1 ORDER BY Total_Amount DESC, Product_Category ASC LIMIT 1""")
+
+sql("top_region", f"""
+SELECT Region, {MSUM('Estimated_Value')} AS Value FROM leads WHERE Region IS NOT NULL
+GROUP BY 1 ORDER BY Value DESC, Region ASC LIMIT 1""")
+
+sql("top_stage", f"""
+SELECT Deal_Stage, COUNT(Deal_ID) AS Deal_Count, {MSUM('Amount')} AS Total_Amount
+FROM deals WHERE Deal_Stage IS NOT NULL GROUP BY 1 ORDER BY Total_Amount DESC, Deal_Stage ASC LIMIT 1""")
+
+
+def _top_deals(cat: str) -> str:
+    return (f"SELECT Deal_ID, CAST(Amount AS DOUBLE) AS Amount FROM deals WHERE Forecast_Category = '{cat}' "
+            "ORDER BY Amount DESC NULLS LAST, Deal_ID ASC LIMIT 10")
+
+
+sql("top_at_risk_deals", _top_deals("At Risk"))
+sql("top_commit_deals", _top_deals("Commit"))
+sql("upcoming_closings", """
+SELECT Deal_ID, strftime(Closing_Date, '%Y-%m-%d') AS Closing_Date, CAST(Amount AS DOUBLE) AS Amount
+FROM deals WHERE Closing_Date IS NOT NULL
+ORDER BY deals.Closing_Date ASC, Amount DESC NULLS LAST, Deal_ID ASC LIMIT 10""")

@@ -95,4 +95,8 @@ ALL_VIEWS = ",".join([LEADS, DEALS, ACCOUNTS, PRODUCTS, VENDORS, PURCHASE_ORDERS
 
 
 def with_views(body: str) -> str:
-    return "WITH " + ALL_VIEWS.strip() + "\n" + body.strip()
+    body = body.strip()
+    if body[:5].upper() == "WITH ":
+        # merge the query's own CTEs after the views
+        return "WITH " + ALL_VIEWS.strip() + ",\n" + body[5:]
+    return "WITH " + ALL_VIEWS.strip() + "\n" + body
