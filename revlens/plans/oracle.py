@@ -338,3 +338,216 @@ sql("upcoming_closings", """
 SELECT Deal_ID, strftime(Closing_Date, '%Y-%m-%d') AS Closing_Date, CAST(Amount AS DOUBLE) AS Amount
 FROM deals WHERE Closing_Date IS NOT NULL
 ORDER BY deals.Closing_Date ASC, Amount DESC NULLS LAST, Deal_ID ASC LIMIT 10""")
+
+
+# ------------------------------------------------------------------ health
+from revlens.sources.registry import DATE_COLUMNS, MODULES, PREFERRED_RELATIONSHIPS  # noqa: E402
+
+# Columns of the stand-in views, in view order (fixed by oracle_views).
+VIEW_COLUMNS = {
+    "Leads": ("leads", ["Lead_ID", "Company_Name", "Lead_Source", "Industry", "Estimated_Value", "Sales_Rep",
+                        "Region", "Customer_Type"]),
+    "Deals": ("deals", ["Deal_ID", "Lead_ID", "Account_ID", "Product_ID", "Deal_Stage", "Amount", "Closing_Date",
+                        "Forecast_Category", "Margin"]),
+    "Accounts": ("accounts", ["Account_ID", "Account_Name", "Region", "Industry"]),
+    "Products": ("products", ["Product_ID", "Product_Name", "Product_Category"]),
+    "Vendors": ("vendors", ["Vendor_ID", "Vendor_Name", "Region"]),
+    "Purchase Orders": ("purchase_orders", ["Purchase_Order_ID", "Vendor_ID", "Amount", "Status"]),
+    "Activities": ("activities", ["Activity_ID", "Owner", "Status", "Due_Date"]),
+}
+
+
+def _registered(mod: str) -> list[str]:
+    d = MODULES[mod]
+    cols = VIEW_COLUMNS[mod][1]
+    return [c for c in (*d.required, *d.optional) if c in cols]
+
+
+def _profile_sql() -> str:
+    parts = []
+    for mod, (view, cols) in VIEW_COLUMNS.items():
+        d = MODULES[mod]
+        pcols = _registered(mod) + [c for c in DATE_COLUMNS if c in cols and c not in _registered(mod)]
+        for i, c in enumerate(pcols):
+            is_id = c == d.id_column
+            dup = f"COUNT({c}) - COUNT(DISTINCT {c})" if is_id else "CAST(NULL AS BIGINT)"
+            parts.append(
+                f"SELECT '{mod}' AS Module, '{c}' AS Column_Name, {i} AS Position, COUNT(*) AS Row_Count, "
+                f"COUNT(*) - COUNT({c}) AS Null_Count, "
+                f"CAST(COUNT(*) - COUNT({c}) AS DOUBLE) / NULLIF(CAST(COUNT(*) AS DOUBLE), 0) AS Null_Ratio, "
+                f"{'TRUE' if is_id else 'FALSE'} AS Is_Id, {dup} AS Duplicate_Count, "
+                f"{'TRUE' if c in DATE_COLUMNS else 'FALSE'} AS Is_Date FROM {view}")
+    return "\nUNION ALL\n".join(parts)
+
+
+sql("quality_profile", _profile_sql())
+
+
+def _module_warning_items(mod: str) -> list[str]:
+    """SQL expressions (NULL when absent) for the module's warnings, in order."""
+    view, cols = VIEW_COLUMNS[mod]
+    d = MODULES[mod]
+    items = []
+    if d.id_column in cols:
+        items.append(f"CASE WHEN COUNT({d.id_column}) - COUNT(DISTINCT {d.id_column}) > 0 THEN "
+                     f"'{mod} has ' || CAST(COUNT({d.id_column}) - COUNT(DISTINCT {d.id_column}) AS VARCHAR) "
+                     f"|| ' duplicate value(s) in {d.id_column}.' END")
+    for c in _registered(mod):
+        ratio = f"(CAST(COUNT(*) - COUNT({c}) AS DOUBLE) / NULLIF(CAST(COUNT(*) AS DOUBLE), 0))"
+        items.append(f"CASE WHEN {ratio} >= 0.6 THEN '{mod}.{c} is ' || printf('%.0f', {ratio} * 100) "
+                     f"|| '% empty.' END")
+    for c in DATE_COLUMNS:
+        if c in cols:
+            items.append(f"CASE WHEN COUNT(*) - COUNT({c}) > 0 THEN '{mod}.{c} has ' || "
+                         f"CAST(COUNT(*) - COUNT({c}) AS VARCHAR) || ' blank or unparseable date value(s).' END")
+    return items
+
+
+def _module_health_rows() -> str:
+    parts = []
+    for order, (mod, (view, cols)) in enumerate(VIEW_COLUMNS.items()):
+        d = MODULES[mod]
+        missing = sorted(set(d.required) - set(cols))
+        items = _module_warning_items(mod)
+        text = f"CASE WHEN COUNT(*) = 0 THEN '{mod} has no rows.' ELSE concat_ws(' | ', {', '.join(items)}) END"
+        count = ("CASE WHEN COUNT(*) = 0 THEN 1 ELSE " + " + ".join(f"CAST(({i}) IS NOT NULL AS INTEGER)"
+                                                                  for i in items) + " END") if items else "0"
+        req_status = "Complete" if not missing else "Missing: " + ", ".join(missing)
+        parts.append(
+            f"SELECT {order} AS Module_Order, '{mod}' AS Module, COUNT(*) AS Rows, "
+            f"'{', '.join(d.required)}' AS Required_Columns, '{req_status}' AS Required_Status, "
+            f"CAST({count} AS INTEGER) AS Warning_Count, {text} AS Warnings FROM {view}")
+    return "\nUNION ALL\n".join(parts)
+
+
+_MH = f"""(SELECT *, CASE WHEN Required_Status <> 'Complete' OR Rows = 0 THEN 'Warning'
+                     WHEN Warning_Count > 0 THEN 'Partial' ELSE 'Healthy' END AS Status
+          FROM ({_module_health_rows()}))"""
+
+sql("module_health", f"""
+SELECT Module, Rows, Required_Columns, Required_Status, Status, Warning_Count, Warnings FROM {_MH}""")
+
+
+def _join_rows() -> str:
+    parts = []
+    for order, (left, right, key) in enumerate(PREFERRED_RELATIONSHIPS):
+        rel = f"'{left} ↔ {right}'"
+        if left not in VIEW_COLUMNS or right not in VIEW_COLUMNS:
+            msg = "One or both modules are not loaded."
+            parts.append(f"SELECT {order} AS Relationship_Order, '{left}' AS Left_Module, '{right}' AS Right_Module, "
+                         f"{rel} AS Relationship, '{key}' AS Join_Key, FALSE AS Available, '{msg}' AS Reason, "
+                         f"CAST(NULL AS BIGINT) AS Rows_Checked, CAST(NULL AS BIGINT) AS Matched, "
+                         f"CAST(NULL AS BIGINT) AS Unmatched, 'Not available' AS Status, '{msg}' AS Details")
+            continue
+        lv, rv = VIEW_COLUMNS[left][0], VIEW_COLUMNS[right][0]
+        stats = (f"(SELECT (SELECT COUNT(*) FROM {lv}) AS lrows, (SELECT COUNT(*) FROM {rv}) AS rrows, "
+                 f"(SELECT COUNT({key}) FROM {lv}) AS checked, "
+                 f"(SELECT COUNT(*) FROM {lv} WHERE {key} IN (SELECT {key} FROM {rv} WHERE {key} IS NOT NULL)) AS matched, "
+                 f"EXISTS (SELECT 1 FROM {rv} WHERE {key} IS NOT NULL GROUP BY {key} HAVING COUNT(*) > 1) AS dup)")
+        avail = "(lrows > 0 AND rrows > 0 AND NOT dup)"
+        reason = (f"CASE WHEN lrows = 0 OR rrows = 0 THEN 'Join key `{key}` exists but one module is empty.' "
+                  f"WHEN dup THEN 'Join key `{key}` has duplicates on the lookup side.' "
+                  f"ELSE 'Join key `{key}` is available.' END")
+        status = ("CASE WHEN dup THEN 'Warning' WHEN checked = 0 THEN 'Warning' "
+                  "WHEN checked - matched > 0 THEN 'Partial' ELSE 'Healthy' END")
+        details = (f"CASE WHEN dup THEN 'Lookup-side {key} has duplicates.' "
+                   f"WHEN checked = 0 THEN 'No non-empty {key} values are available to check.' "
+                   f"WHEN checked - matched > 0 THEN CAST(checked - matched AS VARCHAR) || ' row(s) do not resolve to {right}.' "
+                   f"ELSE 'All checked {key} values resolve to {right}.' END")
+        parts.append(f"SELECT {order} AS Relationship_Order, '{left}' AS Left_Module, '{right}' AS Right_Module, "
+                     f"{rel} AS Relationship, '{key}' AS Join_Key, {avail} AS Available, {reason} AS Reason, "
+                     f"checked AS Rows_Checked, matched AS Matched, checked - matched AS Unmatched, "
+                     f"CASE WHEN ({status}) = 'Healthy' AND NOT {avail} THEN 'Warning' ELSE {status} END AS Status, "
+                     f"CASE WHEN ({status}) = 'Healthy' AND NOT {avail} THEN {reason} ELSE {details} END AS Details "
+                     f"FROM {stats}")
+    return "(" + "\nUNION ALL\n".join(parts) + ")"
+
+
+_JH = _join_rows()
+
+sql("join_coverage", f"""
+SELECT Relationship, Join_Key, Rows_Checked, Matched, Unmatched, Status, Details FROM {_JH}""")
+sql("relationships", f"SELECT Left_Module, Right_Module, Join_Key, Available, Reason FROM {_JH}")
+sql("join_key_validation", f"""
+SELECT Left_Module, Right_Module, Join_Key, Available, Reason FROM {_JH}
+WHERE Left_Module = 'Deals' AND Right_Module = 'Accounts'""")
+
+_AV = lambda l, r: (f"COALESCE((SELECT Available FROM {_JH} WHERE Left_Module = '{l}' "
+                    f"AND Right_Module = '{r}'), FALSE)")
+sql("capabilities", f"""
+SELECT * FROM (VALUES
+ ('Revenue', TRUE, 'Enabled', 'Available from Deals.'),
+ ('Pipeline', TRUE, 'Enabled', 'Forecast_Category is required in Deals.'),
+ ('Forecast', TRUE, 'Enabled', 'Forecast_Category missing from Deals.')) t(Capability, Available, Readiness, Details)
+UNION ALL SELECT 'Customer Analysis', a, CASE WHEN a THEN 'Enabled' ELSE 'Disabled' END,
+   'Needs Customer_Type in Leads or an Accounts join.'
+   FROM (SELECT ({_AV('Deals', 'Leads')} OR {_AV('Deals', 'Accounts')}) AS a)
+UNION ALL SELECT 'Product Analysis', a, CASE WHEN a THEN 'Enabled' ELSE 'Disabled' END,
+   'Needs Product_Category in Deals or a valid Products join.' FROM (SELECT {_AV('Deals', 'Products')} AS a)
+UNION ALL SELECT 'Regional Analysis', TRUE, 'Enabled', 'Needs Region in Deals, Leads, or Accounts.'
+UNION ALL SELECT 'Lead Conversion', a, CASE WHEN a THEN 'Enabled' ELSE 'Disabled' END,
+   'Lead_ID relationship between Deals and Leads is required.' FROM (SELECT {_AV('Deals', 'Leads')} AS a)""")
+
+
+def _warning_union() -> str:
+    parts = []
+    for order, (mod, (view, cols)) in enumerate(VIEW_COLUMNS.items()):
+        for p, item in enumerate(_module_warning_items(mod)):
+            parts.append(f"SELECT {order} * 100000 + {p} AS o, {item} AS Warning FROM {view}")
+    parts.append(f"SELECT (1000 + Relationship_Order) * 100000 AS o, "
+                 f"Left_Module || ' ↔ ' || Right_Module || ': ' || Details AS Warning FROM {_JH} "
+                 f"WHERE Status IN ('Partial', 'Warning')")
+    return "\nUNION ALL\n".join(parts)
+
+
+_WL = f"""(SELECT ROW_NUMBER() OVER (ORDER BY o) AS Position, Warning
+          FROM (SELECT Warning, MIN(o) AS o FROM ({_warning_union()}) WHERE Warning IS NOT NULL GROUP BY Warning))"""
+sql("warning_list", f"SELECT Position, Warning FROM {_WL}")
+
+sql("health_summary", f"""
+SELECT (SELECT COUNT(*) FROM {_MH}) AS Module_Count, (SELECT SUM(Rows) FROM {_MH}) AS Total_Rows,
+       (SELECT COUNT(*) FROM (VALUES (1),(1),(1),(1),(1),(1),(1)) v(x)) AS Enabled_Capabilities,
+       (SELECT COUNT(*) FROM {_WL}) AS Warning_Count""")
+
+
+def _validation_rows() -> str:
+    parts = []
+    for mod, (view, cols) in VIEW_COLUMNS.items():
+        d = MODULES[mod]
+        missing = sorted(set(d.required) - set(cols))
+        idc = d.id_column
+        dup = (f"(COUNT(*) - COUNT({idc}) > 1 OR COUNT({idc}) > COUNT(DISTINCT {idc}))" if idc in cols else "FALSE")
+        miss_txt = f"'{mod} is missing required columns: {', '.join(missing)}.'" if missing else "NULL"
+        parts.append(f"SELECT '{mod}' AS Module, COUNT(*) AS Rows, concat_ws(' | ', "
+                     f"CASE WHEN COUNT(*) = 0 THEN '{mod} is empty.' END, {miss_txt}, "
+                     f"CASE WHEN {dup} THEN '{mod} contains duplicate IDs in {idc}.' END) AS Warnings, "
+                     f"'{', '.join(missing)}' AS Missing_Required FROM {view}")
+    return "\nUNION ALL\n".join(parts)
+
+
+sql("module_validation", _validation_rows())
+
+# ------------------------------------------------------------------ ingest
+sql("ingest_deals_by_stage", f"""SELECT Deal_Stage, COUNT(Deal_ID) AS Deal_Count, {MSUM('Amount')} AS Total_Amount
+FROM deals WHERE Deal_Stage IS NOT NULL GROUP BY Deal_Stage""")
+sql("ingest_region_pipeline", f"""
+SELECT l.Region, COUNT(d.Deal_ID) AS Deal_Count, {MSUM('d.Amount')} AS Total_Amount
+FROM (SELECT * FROM deals WHERE {OPEN}) d LEFT JOIN leads l ON d.Lead_ID = l.Lead_ID
+WHERE l.Region IS NOT NULL GROUP BY l.Region""")
+sql("ingest_conversion", _CONVERSION)
+sql("export_csv", f"""
+SELECT Deal_Stage, COUNT(Deal_ID) AS Deal_Count, {MSUM('Amount')} AS Total_Amount
+FROM deals WHERE Deal_Stage IS NOT NULL GROUP BY Deal_Stage""")
+sql("module_diagnostics", """
+SELECT 'Deals' AS Module, 'deals.csv' AS File_Name, COUNT(*) AS Row_Count,
+       CAST(LEAST(COUNT(*), 3) AS INTEGER) AS Sample_Count,
+       'Deal_ID,Lead_ID,Account_ID,Product_ID,Deal_Stage,Amount,Closing_Date,Forecast_Category,Margin'
+         AS Normalized_Columns,
+       '' AS Missing_Required
+FROM deals""")
+sql("normalize_labels", r"""
+SELECT Lead_ID,
+       trim(regexp_replace(regexp_replace(lower(Industry), '[_\-]', ' ', 'g'), '\s+', ' ', 'g')) AS Industry_Label,
+       trim(regexp_replace(regexp_replace(lower(Customer_Type), '[_\-]', ' ', 'g'), '\s+', ' ', 'g'))
+         AS Customer_Type_Label
+FROM leads""")

@@ -68,7 +68,7 @@ class Modules:
 
 def _load_all():
     # importing the modules registers their queries
-    from revlens.plans import queries_core, queries_metrics  # noqa: F401
+    from revlens.plans import queries_core, queries_health, queries_ingest, queries_metrics  # noqa: F401
 
 
 def queries() -> dict[str, QueryFn]:
