@@ -551,3 +551,124 @@ SELECT Lead_ID,
        trim(regexp_replace(regexp_replace(lower(Customer_Type), '[_\-]', ' ', 'g'), '\s+', ' ', 'g'))
          AS Customer_Type_Label
 FROM leads""")
+
+
+# ------------------------------------------------------ insights and documents
+def COMPACT(x: str) -> str:
+    return (f"(CASE WHEN ({x}) IS NULL OR isnan({x}) THEN 'N/A' "
+            f"WHEN abs({x}) >= 1000000 THEN 'AED ' || format('{{:.2f}}', ({x}) / CAST(1000000 AS DOUBLE)) || 'M' "
+            f"WHEN abs({x}) >= 1000 THEN 'AED ' || format('{{:.2f}}', ({x}) / CAST(1000 AS DOUBLE)) || 'K' "
+            f"ELSE 'AED ' || format('{{:,.0f}}', {x}) END)")
+
+
+_DX = f"""dx AS (
+  SELECT d.*, a.Region, p.Product_Category FROM deals d
+  LEFT JOIN (SELECT Account_ID, MIN(Region) AS Region FROM accounts WHERE Account_ID IS NOT NULL
+             GROUP BY Account_ID) a ON d.Account_ID = a.Account_ID
+  LEFT JOIN {PRODUCTS_DEDUP} p ON d.Product_ID = p.Product_ID),
+k AS (
+  SELECT COUNT(*) AS n,
+         {MSUM('Amount', "Forecast_Category = 'Pipeline'")} AS pipe,
+         COUNT(*) FILTER (WHERE Forecast_Category = 'Pipeline') AS npipe,
+         {MSUM('Amount', "Forecast_Category = 'Commit'")} AS cmt,
+         {MSUM('Amount', "Forecast_Category = 'At Risk'")} AS risk,
+         {MSUM('Amount', "Deal_Stage = 'Closed Won'")} AS wonamt,
+         COUNT(*) FILTER (WHERE Deal_Stage = 'Closed Won') AS won,
+         COUNT(*) FILTER (WHERE Deal_Stage = 'Closed Lost') AS lost,
+         {MMEAN('Amount')} AS avgamt
+  FROM dx),
+kw AS (SELECT *, CAST(won AS DOUBLE) / NULLIF(CAST(won + lost AS DOUBLE), 0) * 100.0 AS wr FROM k),
+rep AS (
+  SELECT COALESCE(a.Sales_Rep, b.Sales_Rep) AS Sales_Rep, COALESCE(b.Deal_Count, 0) AS Deal_Count,
+         COALESCE(b.Total_Deal_Amount, 0.0) AS Total_Deal_Amount,
+         COALESCE(a.Total_Estimated_Value, 0.0) AS Total_Estimated_Value
+  FROM (SELECT Sales_Rep, {MSUM('Estimated_Value')} AS Total_Estimated_Value FROM leads
+        WHERE Sales_Rep IS NOT NULL GROUP BY 1) a
+  FULL OUTER JOIN (SELECT l.Sales_Rep, COUNT(d.Deal_ID) AS Deal_Count, {MSUM('d.Amount')} AS Total_Deal_Amount
+                   FROM dx d LEFT JOIN leads l ON d.Lead_ID = l.Lead_ID WHERE l.Sales_Rep IS NOT NULL GROUP BY 1) b
+  ON a.Sales_Rep = b.Sales_Rep
+  ORDER BY Total_Deal_Amount DESC, Total_Estimated_Value DESC, Sales_Rep ASC LIMIT 1),
+prod AS (SELECT Product_Category, {MSUM('Amount')} AS Total_Amount FROM dx WHERE Product_Category IS NOT NULL
+         GROUP BY 1 ORDER BY Total_Amount DESC, Product_Category ASC LIMIT 1),
+src AS (SELECT Lead_Source, COUNT(Lead_ID) AS Lead_Count, {MSUM('Estimated_Value')} AS Total_Estimated_Value
+        FROM leads WHERE Lead_Source IS NOT NULL GROUP BY 1
+        ORDER BY Total_Estimated_Value DESC, Lead_Source ASC LIMIT 1),
+reg AS (SELECT Region, {MSUM('Amount')} AS Total_Amount FROM dx WHERE Region IS NOT NULL GROUP BY 1
+        ORDER BY Total_Amount DESC, Region ASC LIMIT 1),
+stg AS (SELECT Deal_Stage, COUNT(Deal_ID) AS Deal_Count, {MSUM('Amount')} AS Total_Amount FROM dx
+        WHERE Deal_Stage IS NOT NULL GROUP BY 1 ORDER BY Total_Amount DESC, Deal_Stage ASC LIMIT 1),
+focus AS (SELECT * FROM (SELECT o, label, v, act FROM kw, (VALUES
+            (0, 'at-risk pipeline', 'Review at-risk deals with account owners.'),
+            (1, 'open pipeline', 'Prioritize follow-ups on open pipeline deals.'),
+            (2, 'committed forecast', 'Confirm fulfillment plans for committed deals.'),
+            (3, 'closed won revenue', 'Ensure invoicing and delivery for won deals.')) t(o, label, act),
+          LATERAL (SELECT CASE o WHEN 0 THEN risk WHEN 1 THEN pipe WHEN 2 THEN cmt ELSE wonamt END AS v))
+          WHERE v > 0 ORDER BY v DESC, o ASC LIMIT 1)"""
+
+_INSIGHTS = f"""
+WITH {_DX}
+SELECT 0 AS Insight_Order, 'Total Open Pipeline Value' AS title, {COMPACT('pipe')} AS metric,
+       CAST(npipe AS VARCHAR) || ' deal(s) are tagged as Pipeline with a combined amount of ' || {COMPACT('pipe')} || '.'
+         AS explanation,
+       CASE WHEN pipe > 0 THEN 'Review open pipeline deals and confirm next steps with sales reps.'
+            ELSE 'No pipeline-tagged deals are currently recorded.' END AS recommended_action FROM kw
+UNION ALL SELECT 1, 'Committed Forecast Value', {COMPACT('cmt')},
+       'Deals in the Commit forecast category total ' || {COMPACT('cmt')} || '.',
+       CASE WHEN cmt > 0 THEN 'Validate delivery capacity and stock for committed deals.'
+            ELSE 'No committed forecast deals are currently recorded.' END FROM kw
+UNION ALL SELECT 2, 'Closed Won Revenue', {COMPACT('wonamt')},
+       'Closed Won deals contribute ' || {COMPACT('wonamt')} || ' in recorded revenue.',
+       CASE WHEN wonamt > 0 THEN 'Track fulfillment and invoicing for won deals.'
+            ELSE 'No Closed Won revenue is recorded yet.' END FROM kw
+UNION ALL SELECT 3, 'At-Risk Pipeline Value', {COMPACT('risk')},
+       'Deals marked At Risk total ' || {COMPACT('risk')} || '.',
+       CASE WHEN risk > 0 THEN 'Prioritize follow-up on at-risk deals before forecast slips.'
+            ELSE 'No at-risk deals are currently flagged.' END FROM kw
+UNION ALL SELECT 4, 'Average Deal Size', {COMPACT('avgamt')},
+       'The average deal amount across ' || CAST(n AS VARCHAR) || ' deal(s) is ' || {COMPACT('avgamt')} || '.',
+       'Use average deal size to benchmark new quotations.' FROM kw
+UNION ALL SELECT 5, 'Win Rate', format('{{:.1f}}', wr) || '%',
+       CAST(won AS VARCHAR) || ' deal(s) were Closed Won and ' || CAST(lost AS VARCHAR) || ' deal(s) were Closed Lost.',
+       CASE WHEN wr < 50 THEN 'Review lost deals to identify recurring blockers.'
+            ELSE 'Maintain current sales practices that are converting deals.' END FROM kw
+UNION ALL SELECT 6, 'Top Sales Rep by Deal Amount', {COMPACT('Total_Deal_Amount')},
+       Sales_Rep || ' has the highest total deal amount at ' || {COMPACT('Total_Deal_Amount')} || ' across '
+         || CAST(Deal_Count AS VARCHAR) || ' deal(s).',
+       'Review ' || Sales_Rep || '''s pipeline to replicate successful deal patterns.' FROM rep
+UNION ALL SELECT 7, 'Top Product Category', {COMPACT('Total_Amount')},
+       Product_Category || ' leads product revenue with ' || {COMPACT('Total_Amount')} || ' in deal amount.',
+       'Ensure inventory and pricing support demand for ' || Product_Category || '.' FROM prod
+UNION ALL SELECT 8, 'Top Lead Source by Estimated Value', {COMPACT('Total_Estimated_Value')},
+       Lead_Source || ' generated ' || CAST(Lead_Count AS VARCHAR) || ' lead(s) with estimated value of '
+         || {COMPACT('Total_Estimated_Value')} || '.',
+       'Invest more in ' || Lead_Source || ' if lead quality remains strong.' FROM src
+UNION ALL SELECT 9, 'Top Region by Deal Amount', {COMPACT('Total_Amount')},
+       Region || ' has the highest deal amount at ' || {COMPACT('Total_Amount')} || '.',
+       'Align sales coverage and logistics for ' || Region || '.' FROM reg
+UNION ALL SELECT 10, 'Deals by Stage Summary', Deal_Stage || ' (' || CAST(Deal_Count AS VARCHAR) || ' deals)',
+       'The largest stage by amount is ' || Deal_Stage || ' with ' || {COMPACT('Total_Amount')} || ' across '
+         || CAST(Deal_Count AS VARCHAR) || ' deal(s).',
+       'Focus coaching on advancing deals out of ' || Deal_Stage || '.' FROM stg
+UNION ALL SELECT 11, 'Management Focus Recommendation', {COMPACT('v')},
+       'The largest current value area is ' || label || ' at ' || {COMPACT('v')} || '.', act FROM focus"""
+
+sql("auto_insights", _INSIGHTS)
+
+sql("management_focus", f"""
+WITH {_DX}
+SELECT {COMPACT('v')} AS metric, 'The largest current value area is ' || label || ' at ' || {COMPACT('v')} || '.'
+       AS explanation, act AS recommended_action FROM focus""")
+
+
+# ------------------------------------------------------------- retrieval
+sql("vector_top_k", """
+WITH q AS (SELECT label AS query_id, arg_min(embedding, vec_id) AS qv FROM embeddings GROUP BY label),
+dist AS (
+  SELECT q.query_id, e.vec_id, e.label,
+         list_reduce(list_transform(list_zip(e.embedding, q.qv),
+                     lambda p: (CAST(p[1] AS DOUBLE) - CAST(p[2] AS DOUBLE)) * (CAST(p[1] AS DOUBLE) - CAST(p[2] AS DOUBLE))),
+                     lambda a, b: a + b) AS distance
+  FROM embeddings e, q)
+SELECT query_id, rank, vec_id, label, distance FROM (
+  SELECT *, ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY distance ASC NULLS LAST, vec_id ASC) AS rank FROM dist)
+WHERE rank <= 5""")

@@ -68,7 +68,8 @@ class Modules:
 
 def _load_all():
     # importing the modules registers their queries
-    from revlens.plans import queries_core, queries_health, queries_ingest, queries_metrics  # noqa: F401
+    from revlens.plans import (queries_core, queries_docs, queries_health, queries_ingest,  # noqa: F401
+                               queries_metrics)
 
 
 def queries() -> dict[str, QueryFn]:
