@@ -61,24 +61,43 @@ def first_int(c: Column, patterns: Iterable[str]) -> Column:
     return F.coalesce(*tries).try_cast("bigint")
 
 
-def longest_phrase(c: Column, mapping: Mapping[str, str]) -> Column:
-    """Value of the longest phrase contained in ``c``; on equal length the
-    phrase listed first wins (H11). Null when none matches."""
-    items = list(mapping.items())
-    arr = F.array(*[F.struct(F.lit(len(p)).alias("n"), F.lit(-i).alias("o"), F.lit(p).alias("p"),
-                             F.lit(v).alias("v")) for i, (p, v) in enumerate(items)])
-    hit = F.filter(arr, lambda s: F.instr(c, s["p"]) > 0)
-    return F.array_max(hit)["v"]
+def _sql_str(v: str) -> str:
+    if "'" in v or "\\" in v:
+        raise ValueError(f"phrase needs quoting: {v!r}")
+    return "'" + v + "'"
 
 
-def ordered_hits(c: Column, groups: Mapping[str, Iterable[str]]) -> Column:
-    """Names of the groups (in order) with any phrase contained in ``c``."""
-    return F.filter(F.array(*[F.when(has_any(c, ps), F.lit(name)) for name, ps in groups.items()]),
-                    lambda x: x.isNotNull())
+def _name(c: Column | str) -> str:
+    if isinstance(c, str):
+        return f"`{c}`"
+    raise TypeError("pass the column name for SQL-built expressions")
+
+
+def longest_phrase(c: Column | str, mapping: Mapping[str, str]) -> Column:
+    """Value of the longest phrase contained in column ``c`` (a name); on equal
+    length the phrase listed first wins (H11). Null when none matches.
+
+    Built as one SQL expression: an array of (length, -position, phrase,
+    value) structs, filtered by containment, and its maximum.
+    """
+    col = _name(c)
+    items = ", ".join(f"named_struct('n', {len(p)}, 'o', {-i}, 'p', {_sql_str(p)}, 'v', {_sql_str(v)})"
+                      for i, (p, v) in enumerate(mapping.items()))
+    return F.expr(f"array_max(filter(array({items}), s -> instr({col}, s.p) > 0)).v")
+
+
+def ordered_hits(c: Column | str, groups: Mapping[str, Iterable[str]]) -> Column:
+    """Names of the groups (in order) with any phrase contained in column ``c``."""
+    col = _name(c)
+    parts = []
+    for name, ps in groups.items():
+        cond = " OR ".join(f"instr({col}, {_sql_str(p)}) > 0" for p in ps)
+        parts.append(f"CASE WHEN {cond} THEN {_sql_str(name)} END")
+    return F.expr(f"filter(array({', '.join(parts)}), x -> x IS NOT NULL)")
 
 
 def tokens(c: Column, stop: Iterable[str]) -> Column:
     """Distinct ``[a-z0-9]+`` tokens longer than one character, minus stop words."""
     toks = F.regexp_extract_all(F.lower(c.cast("string")), F.lit("[a-z0-9]+"), 0)
-    stop_arr = F.array(*[F.lit(s) for s in sorted(stop)])
-    return F.array_distinct(F.filter(toks, lambda t: (F.length(t) > 1) & ~F.array_contains(stop_arr, t)))
+    stop_arr = F.expr("array(" + ", ".join(_sql_str(s) for s in sorted(stop)) + ")")
+    return F.array_distinct(F.array_except(F.filter(toks, lambda t: F.length(t) > 1), stop_arr))

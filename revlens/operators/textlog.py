@@ -53,10 +53,10 @@ def annotate_questions(df: DataFrame, text_col: str = "text") -> DataFrame:
                    .when(has_any(n, V.TIME_TREND_PHRASES)
                          | (has(n, "trend") & has_any(n, ("month", "closing date", "close date"))), F.lit("trend"))
                    .when(has_any(n, ("best salesman", "best salesperson", "best sales rep")), F.lit("best_rep"))),
-        "_phrase_metric": longest_phrase(n, metric_synonym_map()),
-        "_phrase_dim": longest_phrase(n, dimension_synonym_map()),
-        "_kw_metrics": ordered_hits(n, V.METRIC_KEYWORDS),
-        "_kw_dims": ordered_hits(n, V.DIMENSION_HINTS),
+        "_phrase_metric": longest_phrase("q_norm", metric_synonym_map()),
+        "_phrase_dim": longest_phrase("q_norm", dimension_synonym_map()),
+        "_kw_metrics": ordered_hits("q_norm", V.METRIC_KEYWORDS),
+        "_kw_dims": ordered_hits("q_norm", V.DIMENSION_HINTS),
     })
     metric = (F.when(has_any(n, ("average deal size", "avg deal size")), F.lit("average_deal_size"))
               .when(has(n, "win rate"), F.lit("win_rate"))

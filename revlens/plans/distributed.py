@@ -44,33 +44,56 @@ def share_of_total(df: DataFrame, value: str, out: str = "Share_Percentage") ->
     return j.withColumn(out, share).drop("__total")
 
 
-def dense_rank_global(df: DataFrame, value: str, out: str, ascending: bool = False,
-                      buckets: int | None = None) -> DataFrame:
-    """Add ``out`` = dense rank of ``value`` over the whole frame (1 = first).
+def _checkpointed(df: DataFrame) -> DataFrame:
+    """Materialise ``df`` once in the shared checkpoint folder (reliable
+    checkpoint, survives executor loss) so later jobs do not recompute it."""
+    from revlens.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def dense_ranks_global(df: DataFrame, specs: list[tuple[str, str, bool]], buckets: int | None = None,
+                       checkpoint: bool = True) -> DataFrame:
+    """Add one dense-rank column per ``(value, out, ascending)`` spec.
 
     ``ascending=False`` ranks the largest value first. Null values get a null
-    rank.
+    rank. The input is checkpointed once; one approximate-quantile job gives
+    the cut points of every spec column.
     """
     spark = df.sparkSession
     if buckets is None:
         buckets = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    sign = F.lit(1.0) if ascending else F.lit(-1.0)
-    vals = (df.select(value).where(F.col(value).isNotNull()).distinct()
-            .withColumn("__key", F.col(value).cast("double") * sign))
+    base = _checkpointed(df) if checkpoint else df
+    keys = [f"__key{i}" for i in range(len(specs))]
+    keyed = base.select(*[(F.col(v).cast("double") * F.lit(1.0 if asc else -1.0)).alias(k)
+                          for k, (v, _, asc) in zip(keys, specs)])
     probs = [i / buckets for i in range(1, buckets)]
-    cuts = sorted(set(vals.approxQuantile("__key", probs, 1.0 / (4 * buckets)))) if probs else []
-    if cuts:
-        arr = F.array(*[F.lit(float(c)) for c in cuts])
-        bucket = F.size(F.filter(arr, lambda c: c < F.col("__key")))
-    else:
-        bucket = F.lit(0)
-    vals = vals.withColumn("__b", bucket)
-    order = F.col(value).asc() if ascending else F.col(value).desc()
-    local = vals.withColumn("__local", F.dense_rank().over(Window.partitionBy("__b").orderBy(order)))
-    counts = vals.groupBy("__b").agg(F.count(F.lit(1)).alias("__n"))
-    offsets = counts.withColumn(
-        "__off", F.coalesce(F.sum("__n").over(Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)),
-                            F.lit(0)))
-    ranked = (local.join(F.broadcast(offsets.select("__b", "__off")), "__b")
-              .select(value, (F.col("__off") + F.col("__local")).cast("bigint").alias(out)))
-    return df.join(ranked, value, "left")
+    cuts_all = keyed.approxQuantile(keys, probs, 1.0 / (4 * buckets)) if probs else [[] for _ in specs]
+    out = base
+    for (value, name, asc), cuts in zip(specs, cuts_all):
+        sign = F.lit(1.0 if asc else -1.0)
+        vals = (base.select(value).where(F.col(value).isNotNull()).distinct()
+                .withColumn("__key", F.col(value).cast("double") * sign))
+        cuts = sorted(set(cuts))
+        if cuts:
+            arr = F.array(*[F.lit(float(c)) for c in cuts])
+            vals = vals.withColumn("__b", F.size(F.filter(arr, lambda c: c < F.col("__key"))))
+        else:
+            vals = vals.withColumn("__b", F.lit(0))
+        order = F.col(value).asc() if asc else F.col(value).desc()
+        local = vals.withColumn("__local", F.dense_rank().over(Window.partitionBy("__b").orderBy(order)))
+        counts = vals.groupBy("__b").agg(F.count(F.lit(1)).alias("__n"))
+        # one row per value range (at most ``buckets`` rows): prefix sums give offsets
+        offsets = counts.withColumn(
+            "__off", F.coalesce(F.sum("__n").over(Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)),
+                                F.lit(0)))
+        ranked = (local.join(F.broadcast(offsets.select("__b", "__off")), "__b")
+                  .select(value, (F.col("__off") + F.col("__local")).cast("bigint").alias(name)))
+        out = out.join(ranked, value, "left")
+    return out
+
+
+def dense_rank_global(df: DataFrame, value: str, out: str, ascending: bool = False,
+                      buckets: int | None = None) -> DataFrame:
+    """Add ``out`` = dense rank of ``value`` over the whole frame (1 = first)."""
+    return dense_ranks_global(df, [(value, out, ascending)], buckets)

@@ -256,9 +256,8 @@ def empty_frame(spark: SparkSession, kind: str) -> DataFrame:
 # ------------------------------------------------------------------ output
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder under the cluster's shared checkpoint directory."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        raise RuntimeError("spark.checkpoint.dir is not set")
+    from revlens.session import ensure_checkpoint_dir
+    base = ensure_checkpoint_dir(spark)
     return f"{base.rstrip('/')}/revlens-{name}-{uuid.uuid4().hex[:12]}"
 
 
