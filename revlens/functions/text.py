@@ -21,6 +21,11 @@ def normalize(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(c), _WS, " "))
 
 
+def strip_lower(c: Column) -> Column:
+    """``str.lower().strip()``: lower case, leading/trailing whitespace removed."""
+    return F.regexp_replace(F.lower(c), f"^{_WS}|{_WS}$", "")
+
+
 def has(c: Column, phrase: str) -> Column:
     """Substring test (H9)."""
     return F.instr(c, phrase) > 0

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from revlens.functions import vocab as V
 from revlens.functions.text import (first_int, has, has_any, longest_phrase, matches_any, normalize, ordered_hits,
-                                    starts_any, tokens)
+                                    starts_any, strip_lower, tokens)
 from revlens.plans.semantic import dimension_synonym_map, metric_synonym_map
 
 U = "(?U)"  # Unicode-aware \b, \s, \d, as Python's str patterns are
@@ -177,7 +177,7 @@ def annotate_questions(df: DataFrame, text_col: str = "text") -> DataFrame:
 
 def chart_intent(text: Column) -> Column:
     """K3: does the question ask for a visualization?"""
-    q = F.trim(F.lower(text))
+    q = strip_lower(text)
     by_rule = q.rlike(U + r"\b(show|compare|display)\b.+\b(by)\b") & has_any(q, V.CHART_VALUE_TOKENS)
     return F.when(q == "", F.lit(False)).otherwise(
         has_any(q, V.CHART_INTENT_KEYWORDS) | has_any(q, V.CHART_BY_PATTERNS) | by_rule)
@@ -185,7 +185,7 @@ def chart_intent(text: Column) -> Column:
 
 def qualitative_flag(text: Column) -> Column:
     """K5: qualitative question that should be answered from documents."""
-    q = F.trim(F.lower(text))
+    q = strip_lower(text)
     generic = has_any(q, V.QUALITATIVE_TOKENS) & ~has_any(q, V.QUALITATIVE_EXCLUDES)
     return (F.when(q == "", F.lit(False)).when(chart_intent(text), F.lit(False))
             .when(has_any(q, V.QUANTITATIVE_BLOCKERS), F.lit(False))
@@ -194,7 +194,7 @@ def qualitative_flag(text: Column) -> Column:
 
 def followup_intent(text: Column, context_title: Column | None = None) -> Column:
     """K6: follow-up intent label (ordered rules, first match wins)."""
-    q = F.trim(F.lower(text))
+    q = strip_lower(text)
     title = F.coalesce(F.lower(context_title), F.lit("")) if context_title is not None else F.lit("")
     action = matches_any(q, [U + p for p in V.QUALITATIVE_ACTION_PATTERNS]) | has_any(q, V.ACTION_MARKERS)
     return (F.when(q == "", F.lit("ambiguous"))
@@ -242,7 +242,7 @@ def relevance_score(question: Column, context: Column, has_result: Column) -> Co
 
     Null context -> 0; an unrelated phrase -> -3.
     """
-    q = F.trim(F.lower(question))
+    q = strip_lower(question)
     qt = tokens(q, V.TOKEN_STOP_WORDS)
     ct = tokens(F.coalesce(context, F.lit("")), V.TOKEN_STOP_WORDS)
     overlap = F.array_intersect(qt, ct)

@@ -672,3 +672,59 @@ dist AS (
 SELECT query_id, rank, vec_id, label, distance FROM (
   SELECT *, ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY distance ASC NULLS LAST, vec_id ASC) AS rank FROM dist)
 WHERE rank <= 5""")
+
+
+# ------------------------------------------------------------------ charts
+sql("chart_data_pipeline_by_rep", f"""
+SELECT l.Sales_Rep, {MSUM('d.Amount')} AS Value
+FROM deals d LEFT JOIN leads l ON d.Lead_ID = l.Lead_ID
+WHERE d.Forecast_Category = 'Pipeline' AND l.Sales_Rep IS NOT NULL GROUP BY 1""")
+
+sql("chart_data_monthly_pipeline", f"""
+SELECT strftime(date_trunc('month', Closing_Date), '%Y-%m') AS Closing_Date, {MSUM('Amount')} AS Value
+FROM deals WHERE Forecast_Category = 'Pipeline' AND Closing_Date IS NOT NULL GROUP BY 1""")
+
+sql("chart_data_leads_by_source", """
+SELECT Lead_Source, CAST(COUNT(Lead_ID) AS DOUBLE) AS Value FROM leads WHERE Lead_Source IS NOT NULL GROUP BY 1""")
+
+sql("chart_explanation", f"""
+SELECT 'Pipeline by Sales Rep' AS title,
+       Sales_Rep || ' is currently the leading segment at ' || {COMPACT('Value')} || '.' AS explanation,
+       'Review what is driving performance in ' || Sales_Rep || ' and decide whether to replicate it elsewhere.'
+         AS recommended_action
+FROM (SELECT l.Sales_Rep, {MSUM('d.Amount')} AS Value
+      FROM deals d LEFT JOIN leads l ON d.Lead_ID = l.Lead_ID
+      WHERE d.Forecast_Category = 'Pipeline' AND l.Sales_Rep IS NOT NULL GROUP BY 1
+      ORDER BY Value DESC, Sales_Rep ASC LIMIT 1)""")
+
+sql("chart_explanation_monthly", f"""
+SELECT 'Pipeline by Month of Closing Date' AS title,
+       'The monthly trend peaks in ' || m || ' at ' || {COMPACT('Value')} || '.' AS explanation,
+       'Review what is driving performance in ' || m || ' and decide whether to replicate it elsewhere.'
+         AS recommended_action
+FROM (SELECT strftime(date_trunc('month', Closing_Date), '%Y-%m') AS m, {MSUM('Amount')} AS Value
+      FROM deals WHERE Forecast_Category = 'Pipeline' AND Closing_Date IS NOT NULL GROUP BY 1
+      ORDER BY Value DESC, m ASC LIMIT 1)""")
+
+sql("safe_preview", """
+SELECT Deal_Stage, Amount, Closing_Date, Forecast_Category, Margin FROM deals""")
+
+sql("date_labels", """
+SELECT Deal_ID, strftime(Closing_Date, '%b %Y') AS Month_Label, strftime(Closing_Date, '%Y-%m') AS Month_Key,
+       strftime(Closing_Date, '%d %b %Y') AS Day_Label FROM deals""")
+
+sql("answer_rows", f"""
+WITH g AS ({metric_sql('revenue', 'Region')}),
+top AS (SELECT Region, Total_Amount, {COMPACT('Total_Amount')} AS t FROM g
+        ORDER BY Total_Amount DESC NULLS LAST, Region ASC LIMIT 5)
+SELECT 'Revenue by Region' AS Title, 'Region' AS X_Axis, 'Total_Amount' AS Y_Axis,
+       string_agg(Region || ': ' || t, '; ' ORDER BY Total_Amount DESC, Region ASC) AS Preview,
+       COUNT(*) AS Preview_Rows,
+       'Highest value is ' || arg_max(Region || ' at ' || t, Total_Amount) || '.' AS Observation
+FROM top""")
+
+
+# --------------------------------------------------------- question log (K)
+from revlens.plans import oracle_text  # noqa: E402
+
+oracle_text.register(sql)

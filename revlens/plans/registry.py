@@ -68,7 +68,7 @@ class Modules:
 
 def _load_all():
     # importing the modules registers their queries
-    from revlens.plans import (queries_core, queries_docs, queries_health, queries_ingest,  # noqa: F401
+    from revlens.plans import (queries_charts, queries_core, queries_docs, queries_health, queries_ingest,  # noqa: F401
                                queries_metrics, queries_text)
 
 
