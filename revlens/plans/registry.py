@@ -27,43 +27,59 @@ def register(name: str):
     return deco
 
 
+_VIEWS: dict[tuple[int, str, str], DataFrame] = {}
+
+
 class Modules:
-    """Lazy CRM module frames for one directory."""
+    """Lazy CRM module frames for one directory.
+
+    View handles are reused per (session, directory): building a view is
+    plan construction and analysis only, so a handle can serve many queries.
+    """
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.cat = Catalog(spark, sf_dir)
         self.spark = spark
+        self.sf_dir = sf_dir
+
+    def _view(self, name: str) -> DataFrame:
+        key = (id(self.spark), self.sf_dir, name)
+        df = _VIEWS.get(key)
+        if df is None or df.sparkSession is not self.spark:
+            df = crm_views.VIEW_BUILDERS[name](self.cat)
+            _VIEWS[key] = df
+        return df
 
     @property
     def leads(self) -> DataFrame:
-        return crm_views.leads(self.cat)
+        return self._view("Leads")
 
     @property
     def deals(self) -> DataFrame:
-        return crm_views.deals(self.cat)
+        return self._view("Deals")
 
     @property
     def accounts(self) -> DataFrame:
-        return crm_views.accounts(self.cat)
+        return self._view("Accounts")
 
     @property
     def products(self) -> DataFrame:
-        return crm_views.products(self.cat)
+        return self._view("Products")
 
     @property
     def vendors(self) -> DataFrame:
-        return crm_views.vendors(self.cat)
+        return self._view("Vendors")
 
     @property
     def purchase_orders(self) -> DataFrame:
-        return crm_views.purchase_orders(self.cat)
+        return self._view("Purchase Orders")
 
     @property
     def activities(self) -> DataFrame:
-        return crm_views.activities(self.cat)
+        return self._view("Activities")
 
     def all(self) -> dict[str, DataFrame]:
-        return crm_views.crm_modules(self.cat)
+        return {n: self._view(n) for n in crm_views.VIEW_BUILDERS}
 
 
 def _load_all():
