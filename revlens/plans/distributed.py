@@ -52,18 +52,32 @@ def _checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+SMALL_RANK_ROWS = 100_000
+
+
 def dense_ranks_global(df: DataFrame, specs: list[tuple[str, str, bool]], buckets: int | None = None,
-                       checkpoint: bool = True) -> DataFrame:
+                       checkpoint: bool = True, small_rows: int | None = SMALL_RANK_ROWS) -> DataFrame:
     """Add one dense-rank column per ``(value, out, ascending)`` spec.
 
     ``ascending=False`` ranks the largest value first. Null values get a null
-    rank. The input is checkpointed once; one approximate-quantile job gives
-    the cut points of every spec column.
+    rank. The input is checkpointed once. When it has at most ``small_rows``
+    rows (exact count of the materialised table) the ranks are plain windows;
+    otherwise one approximate-quantile job gives the cut points of every spec
+    column and each value range is ranked in its own partition.
     """
     spark = df.sparkSession
     if buckets is None:
         buckets = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
     base = _checkpointed(df) if checkpoint else df
+    if checkpoint and small_rows is not None and base.count() <= small_rows:
+        # size checked on the materialised input: a single window partition
+        # holds at most ``small_rows`` rows
+        out = base
+        for value, name, asc in specs:
+            order = F.col(value).asc_nulls_last() if asc else F.col(value).desc_nulls_last()
+            rank = F.dense_rank().over(Window.orderBy(order))
+            out = out.withColumn(name, F.when(F.col(value).isNotNull(), rank).cast("bigint"))
+        return out
     keys = [f"__key{i}" for i in range(len(specs))]
     keyed = base.select(*[(F.col(v).cast("double") * F.lit(1.0 if asc else -1.0)).alias(k)
                           for k, (v, _, asc) in zip(keys, specs)])

@@ -8,15 +8,16 @@ from revlens.operators import retrieval
 from revlens.plans.distributed import dense_ranks_global, share_of_total
 
 
-@pytest.mark.parametrize("buckets", [2, 7])
-def test_dense_rank_matches_pandas(spark, buckets):
+@pytest.mark.parametrize("buckets,small_rows", [(2, None), (7, None), (4, 100_000)])
+def test_dense_rank_matches_pandas(spark, buckets, small_rows):
     rng = np.random.default_rng(1)
     vals = rng.integers(0, 40, size=300).astype(float)
     vals[::17] = np.nan
     pdf = pd.DataFrame({"k": np.arange(300), "v": vals})
     df = spark.createDataFrame(pdf)
     df = df.replace(float("nan"), None)
-    out = dense_ranks_global(df, [("v", "r_desc", False), ("v", "r_asc", True)], buckets=buckets).toPandas()
+    out = dense_ranks_global(df, [("v", "r_desc", False), ("v", "r_asc", True)], buckets=buckets,
+                             small_rows=small_rows).toPandas()
     out = out.sort_values("k").reset_index(drop=True)
     exp_desc = pdf["v"].rank(method="dense", ascending=False)
     exp_asc = pdf["v"].rank(method="dense", ascending=True)
