@@ -100,6 +100,11 @@ def format_compact(c) -> Column:
     return F.when(x.isNull() | F.isnan(x), F.lit("N/A")).otherwise(text)
 
 
+def format_fixed(c, decimals: int) -> Column:
+    """Python ``f"{x:.Nf}"``: half-even on the exact binary value, no separators."""
+    return F.regexp_replace(_fmt(col_or_lit(c), decimals), ",", "")
+
+
 def format_full(c) -> Column:
     """Full currency text ``AED 1,234`` (no decimals); null -> ``N/A``."""
     x = col_or_lit(c).cast("double")

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from revlens.functions.columns import count_where, format_compact, money_mean, money_sum
+from revlens.functions.columns import count_where, format_compact, format_fixed, money_mean, money_sum
 from revlens.operators import aggregates as agg
 from revlens.operators import ranking
 
@@ -154,7 +154,7 @@ def auto_insights(leads: DataFrame, deals: DataFrame) -> DataFrame:
         .otherwise(F.lit("Use average deal size to benchmark new quotations.")))
     wr = F.col("Win_Rate")
     row(None, "Win Rate",
-        F.when(wr.isNull(), F.lit("N/A")).otherwise(F.concat(F.format_number(wr, 1), F.lit("%"))),
+        F.when(wr.isNull(), F.lit("N/A")).otherwise(F.concat(format_fixed(wr, 1), F.lit("%"))),
         F.when(wr.isNull(), F.lit("Win rate cannot be calculated because no Closed Won or Closed Lost deals exist."))
         .otherwise(F.concat(_s(F.col("Closed_Won")), F.lit(" deal(s) were Closed Won and "),
                             _s(F.col("Closed_Lost")), F.lit(" deal(s) were Closed Lost."))),

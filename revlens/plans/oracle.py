@@ -728,3 +728,131 @@ FROM top""")
 from revlens.plans import oracle_text  # noqa: E402
 
 oracle_text.register(sql)
+
+
+# ------------------------------------------------------------- documents
+def FIXED1(x: str) -> str:
+    return f"format('{{:.1f}}', {x})"
+
+
+def _doc_row(order: int, doc_id: str, text: str, source_type: str, module: str, topic: str, frm: str) -> str:
+    return (f"SELECT {doc_id} AS id, {text} AS text, '{source_type}' AS source_type, '{module}' AS module, "
+            f"{topic} AS topic, 'system' AS created_by, CAST({order} AS BIGINT) AS Doc_Order FROM {frm}")
+
+
+def _summary_docs_parts() -> tuple[str, list[str]]:
+    conv = f"(SELECT * FROM ({_CONVERSION}) ORDER BY Estimated_Value DESC, Conversion_Rate ASC, Lead_Source ASC LIMIT 1)"
+    weak = "Forecast_Category IN ('At Risk','Omitted','Pipeline')"
+    pipe_trend = _trend("AND Forecast_Category = 'Pipeline'").replace('FROM deals', 'FROM dx')
+    fq = (f"(SELECT Product_Category, w, {RATIO('w', 'tot')} AS r FROM "
+          f"(SELECT Product_Category, {MSUM('Amount', weak)} AS w, "
+          f"{MSUM('Amount')} AS tot FROM dx WHERE Product_Category IS NOT NULL GROUP BY 1) "
+          f"ORDER BY r DESC, w DESC, Product_Category ASC LIMIT 1)")
+    fc = (f"(SELECT string_agg(Forecast_Category || ' is ' || {COMPACT('Total_Amount')}, '; ' "
+          f"ORDER BY Total_Amount DESC, Forecast_Category ASC) AS t, COUNT(*) AS n FROM "
+          f"(SELECT Forecast_Category, {MSUM('Amount')} AS Total_Amount FROM dx WHERE Forecast_Category IS NOT NULL "
+          f"GROUP BY 1 ORDER BY Total_Amount DESC, Forecast_Category ASC LIMIT 6))")
+    prod = (f"(SELECT Product_Category, {MSUM('Amount')} AS Total_Amount FROM dx WHERE Product_Category IS NOT NULL "
+            f"GROUP BY 1 ORDER BY Total_Amount DESC, Product_Category ASC LIMIT 1)")
+    regp = (f"(SELECT Region, {MSUM('Amount')} AS Total_Amount FROM dx WHERE {OPEN} AND Region IS NOT NULL "
+            f"GROUP BY 1 ORDER BY Total_Amount DESC, Region ASC LIMIT 1)")
+    peak = (f"(SELECT * FROM ({pipe_trend}) "
+            f"ORDER BY Total_Amount DESC, Period_Start ASC LIMIT 1)")
+
+    def top_deals(cat: str) -> str:
+        return (f"(SELECT string_agg(CAST(Deal_ID AS VARCHAR) || ' at ' || {COMPACT('a')}, '; ' "
+                f"ORDER BY a DESC NULLS LAST, Deal_ID ASC) AS t, COUNT(*) AS n FROM "
+                f"(SELECT Deal_ID, CAST(Amount AS DOUBLE) AS a FROM dx WHERE Forecast_Category = '{cat}' "
+                f"ORDER BY a DESC NULLS LAST, Deal_ID ASC LIMIT 10))")
+    upcoming = (f"(SELECT string_agg(CAST(Deal_ID AS VARCHAR) || ' closing on ' || strftime(Closing_Date, '%d %b %Y') "
+                f"|| ' at ' || {COMPACT('a')}, '; ' ORDER BY Closing_Date ASC, a DESC NULLS LAST, Deal_ID ASC) AS t, "
+                f"COUNT(*) AS n FROM (SELECT Deal_ID, Closing_Date, CAST(Amount AS DOUBLE) AS a FROM dx "
+                f"WHERE Closing_Date IS NOT NULL ORDER BY Closing_Date ASC, a DESC NULLS LAST, Deal_ID ASC LIMIT 10))")
+    ins = _INSIGHTS.strip()[len("WITH "):].split("\nSELECT 0 AS Insight_Order", 1)
+    ins_body = "SELECT 0 AS Insight_Order" + ins[1]
+    rows = [
+        _doc_row(0, "'summary_top_lead_source'",
+                 f"'Current lead source summary: the top lead source by estimated value is ' || Lead_Source || ' at ' "
+                 f"|| {COMPACT('Total_Estimated_Value')} || '. These values were computed by Spark from the active leads data.'",
+                 "business_summary", "summaries", "'lead_source'", "src"),
+        _doc_row(1, "'summary_forecast'",
+                 "'Current forecast summary: ' || t || '. These values were computed by Spark from the active deals data.'",
+                 "business_summary", "summaries", "'forecast'", f"{fc} WHERE n > 0"),
+        _doc_row(2, "'summary_sales_rep'",
+                 f"'Current sales rep performance summary: ' || Sales_Rep || ' leads deal amount at ' || "
+                 f"{COMPACT('Total_Deal_Amount')} || '. This summary was computed by Spark from the active leads and deals data.'",
+                 "business_summary", "summaries", "'sales_rep'", "rep"),
+        _doc_row(3, "'summary_top_product'",
+                 f"'Current top product category by revenue: ' || Product_Category || ' at ' || {COMPACT('Total_Amount')} "
+                 f"|| '. This summary was computed by Spark from the active deals data.'",
+                 "business_summary", "summaries", "'product_category'", prod),
+        _doc_row(4, "'summary_region_pipeline'",
+                 f"'Current regional pipeline summary: the top region by pipeline value is ' || Region || ' at ' || "
+                 f"{COMPACT('Total_Amount')} || '. This summary was computed by Spark from the active data.'",
+                 "business_summary", "summaries", "'region_pipeline'", regp),
+        _doc_row(5, "'summary_lead_conversion'",
+                 f"'Current lead conversion summary: ' || Lead_Source || ' has ' || {COMPACT('Estimated_Value')} || "
+                 f"' estimated value with a conversion rate of ' || {FIXED1('Conversion_Rate * 100.0')} || "
+                 f"'%. These values were computed by Spark using Lead_ID to connect leads and deals.'",
+                 "business_summary", "summaries", "'lead_conversion'", conv),
+        _doc_row(6, "'summary_forecast_quality'",
+                 f"'Current forecast quality summary: ' || Product_Category || ' has the weakest forecast quality with ' "
+                 f"|| {COMPACT('w')} || ' weak forecast amount representing ' || {FIXED1('r * 100.0')} || "
+                 f"'% of its category total. These values were computed by Spark from the active deals data.'",
+                 "business_summary", "summaries", "'forecast_quality'", fq),
+        _doc_row(7, "'summary_monthly_pipeline_trend'",
+                 f"'Current monthly pipeline trend summary: the highest pipeline month is ' || Closing_Month || ' at ' "
+                 f"|| {COMPACT('Total_Amount')} || '. This trend was computed by Spark from the active deals data and "
+                 f"missing months were filled with zero.'",
+                 "business_summary", "summaries", "'monthly_pipeline_trend'", peak),
+        ("SELECT 'auto_insight_' || CAST(DENSE_RANK() OVER (ORDER BY Insight_Order) - 1 AS VARCHAR) AS id, "
+         "'Auto Insight: ' || title || '. Metric: ' || metric || '. Explanation: ' || explanation || "
+         "' Recommended action: ' || recommended_action AS text, 'auto_insight' AS source_type, "
+         "'auto_insights' AS module, title AS topic, 'system' AS created_by, "
+         "CAST(100 + Insight_Order AS BIGINT) AS Doc_Order FROM ins"),
+        _doc_row(200, "'summary_high_risk_deals'", "'Top high-value At Risk deals: ' || t", "deal_summary", "risk",
+                 "'at_risk_deals'", f"{top_deals('At Risk')} WHERE n > 0"),
+        _doc_row(201, "'summary_commit_deals'", "'Top Commit deals: ' || t", "deal_summary", "forecast",
+                 "'commit_deals'", f"{top_deals('Commit')} WHERE n > 0"),
+        _doc_row(202, "'summary_upcoming_closings'", "'Top upcoming closing deals: ' || t", "deal_summary",
+                 "closing_date", "'upcoming_closings'", f"{upcoming} WHERE n > 0"),
+    ]
+    return f"{ins[0]}, ins AS ({ins_body})", rows
+
+
+def _summary_docs_sql() -> str:
+    ctes, rows = _summary_docs_parts()
+    return f"WITH {ctes}\n" + "\nUNION ALL\n".join(rows)
+
+
+sql("summary_documents", _summary_docs_sql())
+
+
+def _static_docs_sql() -> str:
+    from revlens.operators import documents as D
+
+    def q(v: str) -> str:
+        return "'" + v.replace("'", "''") + "'"
+    rows = []
+    for doc_id, source_type, topic, text in D.SCHEMA_DOCUMENTS:
+        rows.append((doc_id, text, source_type, "schema", topic))
+    for cat, d in D.FORECAST_CATEGORY_DEFINITIONS.items():
+        rows.append((f"forecast_{cat.lower().replace(' ', '_')}", f"{cat}: {d}", "forecast_definition", "forecast", cat))
+    for st, d in D.DEAL_STAGE_DEFINITIONS.items():
+        rows.append((f"deal_stage_{st.lower().replace(' ', '_')}", f"{st}: {d}", "deal_stage_definition",
+                     "deal_stage", st))
+    for mt, d in D.METRIC_DEFINITIONS.items():
+        rows.append((f"metric_{mt.lower().replace(' ', '_')}", f"{mt}: {d}", "metric_definition", "metrics", mt))
+    vals = ", ".join(f"({q(a)}, {q(b)}, {q(c)}, {q(d_)}, {q(e)})" for a, b, c, d_, e in rows)
+    return (f"SELECT id, text, source_type, module, topic, 'system' AS created_by, CAST(-1 AS BIGINT) AS Doc_Order "
+            f"FROM (VALUES {vals}) t(id, text, source_type, module, topic)")
+
+
+def _rag_sql() -> str:
+    ctes, rows = _summary_docs_parts()
+    # rag_documents carries no insight documents
+    rows = [r for r in rows if "FROM ins" not in r]
+    return f"WITH {ctes}\n{_static_docs_sql()}\nUNION ALL\n" + "\nUNION ALL\n".join(rows)
+
+
+sql("rag_documents", _rag_sql())
