@@ -856,3 +856,12 @@ def _rag_sql() -> str:
 
 
 sql("rag_documents", _rag_sql())
+
+
+sql("scan_deals", """
+SELECT Deal_ID, Lead_ID, Deal_Stage, CAST(Amount AS DOUBLE) AS Amount,
+       strftime(Closing_Date, '%Y-%m-%d') AS Closing_Date, Forecast_Category, CAST(Margin AS DOUBLE) AS Margin
+FROM deals""")
+sql("scan_leads", """
+SELECT Lead_ID, Lead_Source, CAST(Estimated_Value AS DOUBLE) AS Estimated_Value, Sales_Rep, Region, Customer_Type
+FROM leads""")

@@ -86,3 +86,25 @@ def q_normalize_labels(spark, sf_dir):
     leads = Modules(spark, sf_dir).leads
     return leads.select("Lead_ID", norm_label("Industry").alias("Industry_Label"),
                         norm_label("Customer_Type").alias("Customer_Type_Label"))
+
+
+def _round_trip(spark, df, name, schema, required):
+    path = ingest.export_csv(df, ingest.shared_dir(spark, "scan") + f"/{name}.csv")
+    return ingest.scan_csv_strict(spark, path, schema, required, name)
+
+
+@register("scan_deals")
+def q_scan_deals(spark, sf_dir):
+    """A1: Deals exported as CSV, read back strictly with the canonical schema."""
+    d = _round_trip(spark, Modules(spark, sf_dir).deals, "deals", ingest.DEALS_SCHEMA, ("Deal_ID", "Lead_ID", "Amount"))
+    return d.select("Deal_ID", "Lead_ID", "Deal_Stage", F.col("Amount").cast("double").alias("Amount"),
+                    F.date_format("Closing_Date", "yyyy-MM-dd").alias("Closing_Date"), "Forecast_Category",
+                    F.col("Margin").cast("double").alias("Margin"))
+
+
+@register("scan_leads")
+def q_scan_leads(spark, sf_dir):
+    """A1: Leads exported as CSV, read back strictly with the canonical schema."""
+    d = _round_trip(spark, Modules(spark, sf_dir).leads, "leads", ingest.LEADS_SCHEMA, ("Lead_ID",))
+    return d.select("Lead_ID", "Lead_Source", F.col("Estimated_Value").cast("double").alias("Estimated_Value"),
+                    "Sales_Rep", "Region", "Customer_Type")

@@ -151,6 +151,24 @@ def read_csv_strings(spark: SparkSession, path: str) -> DataFrame:
             .option("mode", "PERMISSIVE").csv(path))
 
 
+DEALS_SCHEMA = ("Deal_ID bigint, Lead_ID bigint, Account_ID bigint, Product_ID bigint, Deal_Stage string, "
+                "Amount decimal(18,2), Closing_Date date, Forecast_Category string, Margin decimal(18,4)")
+LEADS_SCHEMA = ("Lead_ID bigint, Company_Name string, Lead_Source string, Industry string, "
+                "Estimated_Value decimal(18,2), Sales_Rep string, Region string, Customer_Type string")
+
+
+def scan_csv_strict(spark: SparkSession, path: str, schema: str, required, name: str) -> DataFrame:
+    """A1/A3/A4: read a CSV with a header and an explicit schema (no inference
+    pass); a malformed value fails the job (FAILFAST), as the strict loader
+    raises; missing required columns raise ``ValueError`` before any job."""
+    header = read_csv_strings(spark, path).columns
+    missing = [c for c in required if c not in header]
+    if missing:
+        raise ValueError(f"{name} is missing required columns: {', '.join(missing)}")
+    return (spark.read.schema(schema).option("header", True).option("mode", "FAILFAST")
+            .option("enforceSchema", False).csv(path))
+
+
 def load_module_file(spark: SparkSession, path: str, file_name: str | None = None) -> LoadResult:
     """A10 (one file): read -> canonicalise -> coerce -> detect -> validate."""
     raw = read_csv_strings(spark, path)
