@@ -6,9 +6,9 @@ ordered phrase lists in ``revlens.functions.vocab`` into built-in column
 expressions, staged over a few ``withColumns`` so codegen stays small.
 No Python UDF and no per-question loop.
 
-Follow-up context (K2, K7) uses windows partitioned by conversation and
-ordered by turn; each conversation is one window partition and its frame is
-streamed (running frame / one-row lag), never collected.
+Follow-up context (K2, K7) is "the last value before this turn in the same
+conversation", computed by ``last_non_null_before``: windows over blocks of
+turns plus a per-block carry, so a huge conversation is never one task.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from revlens.functions import vocab as V
 from revlens.functions.text import (first_int, has, has_any, longest_phrase, matches_any, normalize, ordered_hits,
                                     starts_any, strip_lower, tokens)
+from revlens.plans.distributed import last_non_null_before
 from revlens.plans.semantic import dimension_synonym_map, metric_synonym_map
 
 U = "(?U)"  # Unicode-aware \b, \s, \d, as Python's str patterns are
@@ -290,13 +291,10 @@ def annotate_followups(questions: DataFrame, conv_col: str = "conv_id", turn_col
     the dimension on context words; inherit the filter unless the question
     says "filter".
     """
-    w = Window.partitionBy(conv_col).orderBy(turn_col).rowsBetween(Window.unboundedPreceding, -1)
     n = F.col("q_norm")
-    d = questions.withColumns({
-        "ctx_metric": F.last("q_metric", ignorenulls=True).over(w),
-        "ctx_dimension": F.last("q_dimension", ignorenulls=True).over(w),
-        "ctx_filter_region": F.last("q_filter_region", ignorenulls=True).over(w),
-    })
+    d = last_non_null_before(questions, conv_col, turn_col, {
+        "ctx_metric": F.col("q_metric"), "ctx_dimension": F.col("q_dimension"),
+        "ctx_filter_region": F.col("q_filter_region")})
     inherit_metric = (F.col("q_metric").isNull() & F.col("ctx_metric").isNotNull()
                       & (F.col("q_dimension").isNotNull() | F.col("q_sort").isNotNull() | F.col("q_limit").isNotNull()
                          | has_any(n, V.CONTEXT_METRIC_TOKENS)))

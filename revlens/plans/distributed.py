@@ -111,3 +111,34 @@ def dense_rank_global(df: DataFrame, value: str, out: str, ascending: bool = Fal
                       buckets: int | None = None) -> DataFrame:
     """Add ``out`` = dense rank of ``value`` over the whole frame (1 = first)."""
     return dense_ranks_global(df, [(value, out, ascending)], buckets)
+
+
+DEFAULT_BLOCK = 10_000
+
+
+def last_non_null_before(df: DataFrame, key: str, order: str, values: dict[str, "Column"],
+                         block: int = DEFAULT_BLOCK) -> DataFrame:
+    """For each row, the last non-null value of each expression among the
+    earlier rows (smaller ``order``) with the same ``key``: ``{out: expr}``.
+
+    Two levels, so one key (say a conversation holding a third of all rows)
+    is never one window partition: rows are cut into blocks of ``block``
+    consecutive ``order`` values; a window per (key, block) gives the value
+    from earlier rows of the same block, and a window over the per-block
+    summaries (one row per block) carries the last value of earlier blocks.
+    """
+    from pyspark.sql import Column  # noqa: F401
+    b = F.floor(F.col(order) / F.lit(block))
+    base = df.withColumn("__blk", b).withColumns({f"__v_{o}": e for o, e in values.items()})
+    w_local = Window.partitionBy(key, "__blk").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    local = base.withColumns({f"__l_{o}": F.last(f"__v_{o}", ignorenulls=True).over(w_local) for o in values})
+    summary = base.groupBy(key, "__blk").agg(
+        *[F.max_by(F.col(f"__v_{o}"), F.when(F.col(f"__v_{o}").isNotNull(), F.col(order))).alias(f"__s_{o}")
+          for o in values])
+    w_blocks = Window.partitionBy(key).orderBy("__blk").rowsBetween(Window.unboundedPreceding, -1)
+    carry = summary.select(key, "__blk", *[F.last(f"__s_{o}", ignorenulls=True).over(w_blocks).alias(f"__c_{o}")
+                                           for o in values])
+    out = local.join(carry, [key, "__blk"], "left")
+    out = out.withColumns({o: F.coalesce(F.col(f"__l_{o}"), F.col(f"__c_{o}")) for o in values})
+    drop = ["__blk"] + [f"__{p}_{o}" for o in values for p in ("v", "l", "c")]
+    return out.drop(*drop)

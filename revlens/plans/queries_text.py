@@ -6,10 +6,10 @@ before a user turn is the prior result that a follow-up refers to.
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from revlens.operators import textlog
+from revlens.plans.distributed import last_non_null_before
 from revlens.plans.registry import register
 from revlens.sources.tables import Catalog
 
@@ -27,11 +27,9 @@ def _user_turns(spark, sf_dir):
 def _with_prior_result(spark, sf_dir):
     """User turns with the last assistant text and the last user question before them."""
     c = Catalog(spark, sf_dir).conversations.select("conv_id", "turn", "role", "text")
-    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
-    c = c.withColumns({
-        "prior_result": F.last(F.when(F.col("role") == "assistant", F.col("text")), ignorenulls=True).over(w),
-        "prior_question": F.last(F.when(F.col("role") == "user", F.col("text")), ignorenulls=True).over(w),
-    })
+    c = last_non_null_before(c, "conv_id", "turn", {
+        "prior_result": F.when(F.col("role") == "assistant", F.col("text")),
+        "prior_question": F.when(F.col("role") == "user", F.col("text"))})
     return c.where(F.col("role") == "user")
 
 

@@ -53,3 +53,25 @@ def test_corpus_upsert_newest_wins_and_skips_missing_embeddings(spark):
                                 "id string, embedding array<double>, version int")
     out = {r["id"]: list(r["embedding"]) for r in retrieval.corpus_upsert(old, new).collect()}
     assert out == {"a": [9.0], "b": [2.0], "c": [3.0]}
+
+
+@pytest.mark.parametrize("block", [3, 1000])
+def test_last_non_null_before_matches_brute_force(spark, block):
+    from pyspark.sql import functions as F
+    from revlens.plans.distributed import last_non_null_before
+    rng = np.random.default_rng(3)
+    rows = []
+    for key, n in ((0, 200), (1, 7), (2, 1)):  # key 0 is hot
+        for t in range(n):
+            v = None if rng.random() < 0.6 else f"v{key}_{t}"
+            rows.append((key, t * 2, v))
+    df = spark.createDataFrame(rows, "k int, t long, v string")
+    got = {(r["k"], r["t"]): r["prev"] for r in
+           last_non_null_before(df, "k", "t", {"prev": F.col("v")}, block=block).collect()}
+    exp = {}
+    last = {}
+    for k, t, v in rows:
+        exp[(k, t)] = last.get(k)
+        if v is not None:
+            last[k] = v
+    assert got == exp
