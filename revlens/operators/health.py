@@ -140,12 +140,7 @@ def _relationship_row(spark: SparkSession, left: str, right: str, key: str,
     if key not in ldf.columns or key not in rdf.columns:
         msg = f"Missing join key `{key}` in one or both modules."
         return spark.createDataFrame([(left, right, key, False, msg, None, None, None, "Warning", msg)], schema)
-    cov = joins.coverage(ldf, rdf, key)
-    sizes_l = ldf.agg(F.count(F.lit(1)).alias("left_rows"))
-    sizes_r = rdf.agg(F.count(F.lit(1)).alias("right_rows"))
-    j = cov
-    for s in (sizes_l, sizes_r):
-        j = j.withColumn("__k", F.lit(1)).join(F.broadcast(s.withColumn("__k", F.lit(1))), "__k").drop("__k")
+    j = joins.coverage(ldf, rdf, key)
     dupl = F.col("lookup_has_duplicates")
     empty_side = (F.col("left_rows") == 0) | (F.col("right_rows") == 0)
     available = ~empty_side & ~dupl

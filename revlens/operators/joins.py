@@ -102,22 +102,26 @@ def key_profile(df: DataFrame, key: str) -> DataFrame:
 
 
 def coverage(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
-    """C11 numbers: rows checked (non-null left keys), matched, unmatched,
-    and whether the lookup side repeats a non-null key.
+    """C11 numbers in one pass over each side: rows on each side, rows checked
+    (non-null left keys), matched, unmatched, and whether the lookup side
+    repeats a non-null key.
 
-    Matched rows come from an existence join against the distinct right keys
-    (partitioned on the key), so a hot key is one row on the right side.
+    The right side is reduced to one row per key (a partial+final aggregate,
+    so a hot key is one row); the left keys are matched against it by an
+    existence join partitioned on the key.
     """
-    rkeys = right.select(key).where(F.col(key).isNotNull()).groupBy(key) \
-        .agg(F.count(F.lit(1)).alias("__n"))
-    dup = rkeys.agg(F.coalesce(F.max(F.col("__n") > 1), F.lit(False)).alias("lookup_has_duplicates"))
-    lk = left.select(key).where(F.col(key).isNotNull())
-    matched = lk.join(rkeys.select(key, F.lit(True).alias("__m")), key, "left")
-    stats = matched.agg(F.count(F.lit(1)).alias("rows_checked"),
+    rkeys = right.groupBy(key).agg(F.count(F.lit(1)).alias("__n"))
+    rstats = rkeys.agg(F.coalesce(F.sum("__n"), F.lit(0)).alias("right_rows"),
+                       F.coalesce(F.max(F.when(F.col(key).isNotNull(), F.col("__n") > 1)), F.lit(False))
+                       .alias("lookup_has_duplicates"))
+    present = rkeys.where(F.col(key).isNotNull()).select(key, F.lit(True).alias("__m"))
+    matched = left.select(key).join(present, key, "left")
+    stats = matched.agg(F.count(F.lit(1)).alias("left_rows"), F.count(F.col(key)).alias("rows_checked"),
                         F.count_if(F.col("__m").isNotNull()).alias("matched_rows"))
     stats = stats.withColumn("unmatched_rows", F.col("rows_checked") - F.col("matched_rows"))
     # both sides are single-row aggregates: a one-row join on a constant key
-    return stats.withColumn("__k", F.lit(1)).join(F.broadcast(dup.withColumn("__k", F.lit(1))), "__k").drop("__k")
+    return (stats.withColumn("__k", F.lit(1))
+            .join(F.broadcast(rstats.withColumn("__k", F.lit(1))), "__k").drop("__k"))
 
 
 def join_condition(left: DataFrame, right: DataFrame, key: str) -> Column:
