@@ -34,6 +34,9 @@ def _prepend(arr: Column, item: Column) -> Column:
     return F.when(item.isNull() | F.array_contains(arr, item), arr).otherwise(F.concat(F.array(item), arr))
 
 
+_STAGES: dict[tuple[int, str], list[dict]] = {}
+
+
 def annotate_questions(df: DataFrame, text_col: str = "text") -> DataFrame:
     """K1: add the structured fields of each question (no prior context).
 
@@ -42,10 +45,28 @@ def annotate_questions(df: DataFrame, text_col: str = "text") -> DataFrame:
     q_time_grain, q_percentage, q_full_distribution, q_comparison,
     q_recommendation, q_filter_region, q_pipeline_only, q_dataset,
     q_requires_join, q_join_key, q_aggregation.
+
+    The compiled column expressions are built once per JVM and text column
+    and reused (they are plain expression trees, independent of the data).
     """
+    from pyspark import SparkContext
+    key = (id(SparkContext._active_spark_context), text_col)
+    stages = _STAGES.get(key)
+    if stages is None:
+        stages = _annotation_stages(text_col)
+        _STAGES[key] = stages
+    d = df
+    for stage in stages:
+        d = d.withColumns(stage)
+    return d.drop("_lim0", "_sort0", "_early", "_phrase_metric", "_phrase_dim", "_kw_metrics", "_kw_dims",
+                  "_metric", "_dim", "_metrics", "_dims", "_wants", "_full")
+
+
+def _annotation_stages(text_col: str) -> list[dict]:
+    """The staged column expressions of ``annotate_questions``."""
     n = F.col("q_norm")
-    d = df.withColumn("q_norm", normalize(F.col(text_col).cast("string")))
-    d = d.withColumns({
+    stages: list[dict] = [{"q_norm": normalize(F.col(text_col).cast("string"))}]
+    stages.append({
         "_lim0": first_int(n, [U + p for p in V.LIMIT_PATTERNS]),
         "_sort0": F.when(has_any(n, V.ASC_TOKENS), F.lit("asc")).when(has_any(n, V.DESC_TOKENS), F.lit("desc")),
         "_early": (F.when(has_any(n, V.LEAD_CONVERSION_PHRASES) & has(n, "source"), F.lit("conversion"))
@@ -76,14 +97,14 @@ def annotate_questions(df: DataFrame, text_col: str = "text") -> DataFrame:
            .when(has_any(n, ("sales rep", "sales reps", "owner")), F.lit("Sales_Rep"))
            .when(has_any(n, ("customer type", "customer segment", "segment")), F.lit("Customer_Type"))
            .otherwise(F.col("_phrase_dim")))
-    d = d.withColumns({"_metric": metric, "_dim": dim})
+    stages.append({"_metric": metric, "_dim": dim})
     grouped = F.col("_metric").isin(*V.GROUPED_METRICS)
     explicit_chart = has_any(n, V.CHART_KEYWORDS)
     wants = explicit_chart | (has(n, " by ") & F.coalesce(grouped, F.lit(False))
                               & starts_any(n, V.GROUPED_CHART_PREFIXES))
     wants = F.when((F.col("_metric") == "deal_count") & (F.col("_dim") == "Deal_Stage") & ~explicit_chart,
                    F.lit(False)).otherwise(wants)
-    d = d.withColumns({
+    stages.append({
         "_metrics": _prepend(F.col("_kw_metrics"), F.col("_metric")),
         "_dims": _prepend(F.col("_kw_dims"), F.col("_dim")),
         "_wants": F.coalesce(wants, F.lit(False)),
@@ -171,9 +192,8 @@ def annotate_questions(df: DataFrame, text_col: str = "text") -> DataFrame:
             if val is not None:
                 col = F.when(e == kind, val).otherwise(col)
         out[field] = col
-    d = d.withColumns(out)
-    return d.drop("_lim0", "_sort0", "_early", "_phrase_metric", "_phrase_dim", "_kw_metrics", "_kw_dims",
-                  "_metric", "_dim", "_metrics", "_dims", "_wants", "_full")
+    stages.append(out)
+    return stages
 
 
 def chart_intent(text: Column) -> Column:
