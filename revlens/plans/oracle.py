@@ -865,3 +865,18 @@ FROM deals""")
 sql("scan_leads", """
 SELECT Lead_ID, Lead_Source, CAST(Estimated_Value AS DOUBLE) AS Estimated_Value, Sales_Rep, Region, Customer_Type
 FROM leads""")
+
+
+sql("context_text", """
+WITH q AS (SELECT label AS query_id, arg_min(embedding, vec_id) AS qv FROM embeddings GROUP BY label),
+dist AS (
+  SELECT q.query_id, e.vec_id, e.label,
+         list_reduce(list_transform(list_zip(e.embedding, q.qv),
+                     lambda p: (CAST(p[1] AS DOUBLE) - CAST(p[2] AS DOUBLE)) * (CAST(p[1] AS DOUBLE) - CAST(p[2] AS DOUBLE))),
+                     lambda a, b: a + b) AS distance
+  FROM embeddings e, q),
+top AS (SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY distance ASC NULLS LAST, vec_id ASC)
+                       AS rank FROM dist) WHERE rank <= 5)
+SELECT query_id, string_agg('[Context ' || CAST(rank AS VARCHAR) || '] (embedding | label ' || CAST(label AS VARCHAR)
+                            || ') vector ' || CAST(vec_id AS VARCHAR), chr(10) ORDER BY rank) AS context
+FROM top GROUP BY query_id""")

@@ -53,3 +53,16 @@ def q_vector_top_k(spark, sf_dir):
     top = retrieval.vector_top_k(emb, q, k=5)
     return top.join(emb.select("vec_id", "label"), "vec_id").select(
         "query_id", "rank", "vec_id", "label", "distance")
+
+
+@register("context_text")
+def q_context_text(spark, sf_dir):
+    """J7 over the vector results: per query, numbered context lines naming each
+    retrieved vector (source type, label topic, id) in rank order."""
+    emb = Catalog(spark, sf_dir).embeddings
+    top = retrieval.vector_top_k(emb, retrieval.exemplar_queries(emb), k=5)
+    res = top.join(emb.select("vec_id", "label"), "vec_id").select(
+        "query_id", "rank", F.concat(F.lit("vector "), F.col("vec_id").cast("string")).alias("text"),
+        F.struct(F.lit("embedding").alias("source_type"),
+                 F.concat(F.lit("label "), F.col("label").cast("string")).alias("topic")).alias("metadata"))
+    return documents.context_text(res, "query_id")
