@@ -880,3 +880,11 @@ top AS (SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY query_id ORDER
 SELECT query_id, string_agg('[Context ' || CAST(rank AS VARCHAR) || '] (embedding | label ' || CAST(label AS VARCHAR)
                             || ') vector ' || CAST(vec_id AS VARCHAR), chr(10) ORDER BY rank) AS context
 FROM top GROUP BY query_id""")
+
+
+sql("number_formats", f"""
+WITH g AS (SELECT Deal_Stage, {MSUM('Amount')} AS v FROM deals WHERE Deal_Stage IS NOT NULL GROUP BY 1),
+t AS (SELECT CAST(SUM(CAST(v AS DECIMAL(38,6))) AS DOUBLE) AS tot FROM g)
+SELECT Deal_Stage, {COMPACT('v')} AS Compact, 'AED ' || format('{{:,.0f}}', v) AS Full,
+       format('{{:,.1f}}', v / tot * 100.0) || '%' AS Share_Text
+FROM g, t""")

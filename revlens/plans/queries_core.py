@@ -146,3 +146,14 @@ def q_orphan_deals(spark, sf_dir):
 def q_stage_by_region(spark, sf_dir):
     m = Modules(spark, sf_dir)
     return agg.stage_by_region(joins.with_lead_dimension(m.deals, m.leads, "Region"))
+
+
+@register("number_formats")
+def q_number_formats(spark, sf_dir):
+    """H1/H2/H5: compact, full and percent-of-total text of the stage totals."""
+    from revlens.functions.columns import format_compact, format_full, format_percent
+    from revlens.plans.distributed import share_of_total
+    t = share_of_total(agg.deals_by_stage(Modules(spark, sf_dir).deals), "Total_Amount")
+    return t.select("Deal_Stage", format_compact("Total_Amount").alias("Compact"),
+                    format_full("Total_Amount").alias("Full"),
+                    format_percent("Share_Percentage", 1).alias("Share_Text"))

@@ -55,3 +55,28 @@ def test_format_compact_matches_python_format_rules(spark):
 def test_format_full(spark):
     df = spark.createDataFrame([(1234567.0,), (None,)], "v double")
     assert [r[0] for r in df.select(format_full("v")).collect()] == ["AED 1,234,567", "N/A"]
+
+
+def test_format_compact_property(spark):
+    from hypothesis import given, settings
+    from hypothesis import strategies as st
+
+    values = []
+
+    @settings(max_examples=300, deadline=None)
+    @given(st.one_of(st.floats(min_value=-1e12, max_value=1e12, allow_nan=False),
+                     st.integers(min_value=-10**9, max_value=10**9).map(lambda i: i / 100)))
+    def collect(v):
+        values.append(v)
+    collect()
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    got = [r[0] for r in df.select(format_compact("v")).collect()]
+
+    def py(v):
+        a = abs(v)
+        if a >= 1_000_000:
+            return f"AED {v / 1_000_000:.2f}M"
+        if a >= 1_000:
+            return f"AED {v / 1_000:.2f}K"
+        return f"AED {v:,.0f}"
+    assert got == [py(v) for v in values]
