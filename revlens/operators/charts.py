@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from revlens.functions.columns import format_compact, money_mean, money_sum
 from revlens.functions.text import strip_lower
+from revlens.operators import aggregates
 from revlens.operators import guards, joins
 
 # Chart vocabularies, in their natural (first-match) order.
@@ -135,8 +136,7 @@ def chart_data(spec: dict, leads: DataFrame, deals: DataFrame) -> DataFrame:
     filters = {"Forecast_Category": "Pipeline"} if spec.get("pipeline_filter") else {}
     if guards.missing(df, [x, y, *filters]):
         return guards.empty(spark, f"`{x}` string, Value double")
-    for c, v in filters.items():
-        df = df.where(F.col(c) == F.lit(v))
+    df = aggregates.filter_exact(df, filters)
     value = {"sum": money_sum(y), "mean": money_mean(y), "count": F.count(F.col(y)).cast("double")}[agg]
     if spec.get("time_grain") == "month":
         key = F.date_format(F.trunc(F.col(x).cast("date"), "month"), "yyyy-MM")

@@ -888,3 +888,32 @@ t AS (SELECT CAST(SUM(CAST(v AS DECIMAL(38,6))) AS DOUBLE) AS tot FROM g)
 SELECT Deal_Stage, {COMPACT('v')} AS Compact, 'AED ' || format('{{:,.0f}}', v) AS Full,
        format('{{:,.1f}}', v / tot * 100.0) || '%' AS Share_Text
 FROM g, t""")
+
+
+sql("canonicalize_headers", """
+SELECT CAST(Deal_ID AS VARCHAR) AS Deal_ID, CAST(Lead_ID AS VARCHAR) AS Lead_ID, Deal_Stage,
+       CAST(Amount AS DOUBLE) AS Amount, strftime(Closing_Date, '%Y-%m-%d') AS Closing_Date, Forecast_Category
+FROM deals""")
+sql("coerce_types", """
+SELECT CAST(Lead_ID AS VARCHAR) AS Lead_ID, Sales_Rep, Customer_Type,
+       CAST(Estimated_Value AS DOUBLE) AS Estimated_Value FROM leads""")
+sql("filter_exact", """
+SELECT Deal_ID, Forecast_Category, Deal_Stage, CAST(Amount AS DOUBLE) AS Amount FROM deals
+WHERE Forecast_Category = 'Pipeline' AND Deal_Stage = 'Negotiation'""")
+
+
+def _token_overlap_sql() -> str:
+    from revlens.functions import vocab as V
+    stop = ", ".join("'" + w + "'" for w in sorted(V.TOKEN_STOP_WORDS))
+
+    def toks(x: str) -> str:
+        return (f"list_distinct(list_filter(regexp_extract_all(lower({x}), '[a-z0-9]+'), "
+                f"lambda t: length(t) > 1 AND NOT list_contains([{stop}], t)))")
+    prior = oracle_text.PRIOR
+    ctx = toks("COALESCE(prior_result, '')")
+    shared = f"list_sort(list_intersect({toks('text')}, {ctx}))"
+    return (f"SELECT conv_id, turn, CAST(len(s) AS INTEGER) AS shared_tokens, array_to_string(s, ' ') AS shared "
+            f"FROM (SELECT conv_id, turn, {shared} AS s FROM {prior})")
+
+
+sql("token_overlap", _token_overlap_sql())

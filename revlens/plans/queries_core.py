@@ -157,3 +157,10 @@ def q_number_formats(spark, sf_dir):
     return t.select("Deal_Stage", format_compact("Total_Amount").alias("Compact"),
                     format_full("Total_Amount").alias("Full"),
                     format_percent("Share_Percentage", 1).alias("Share_Text"))
+
+
+@register("filter_exact")
+def q_filter_exact(spark, sf_dir):
+    """Exact-equality filter map (Pipeline deals in Negotiation)."""
+    d = agg.filter_exact(Modules(spark, sf_dir).deals, {"Forecast_Category": "Pipeline", "Deal_Stage": "Negotiation"})
+    return d.select("Deal_ID", "Forecast_Category", "Deal_Stage", F.col("Amount").cast("double").alias("Amount"))

@@ -108,3 +108,22 @@ def q_scan_leads(spark, sf_dir):
     d = _round_trip(spark, Modules(spark, sf_dir).leads, "leads", ingest.LEADS_SCHEMA, ("Lead_ID",))
     return d.select("Lead_ID", "Lead_Source", F.col("Estimated_Value").cast("double").alias("Estimated_Value"),
                     "Sales_Rep", "Region", "Customer_Type")
+
+
+@register("canonicalize_headers")
+def q_canonicalize_headers(spark, sf_dir):
+    """Deals exported with raw CRM headers, loaded back with canonical
+    names and leniently coerced types (Amount double, Closing_Date date)."""
+    mods, _, _ = _ingested(spark, sf_dir)
+    d = mods["Deals"]
+    return d.select("Deal_ID", "Lead_ID", "Deal_Stage", F.col("Amount").cast("double").alias("Amount"),
+                    F.date_format("Closing_Date", "yyyy-MM-dd").alias("Closing_Date"), "Forecast_Category")
+
+
+@register("coerce_types")
+def q_coerce_types(spark, sf_dir):
+    """Leads exported as text, Estimated_Value coerced leniently to a number."""
+    mods, _, _ = _ingested(spark, sf_dir)
+    d = mods["Leads"]
+    return d.select("Lead_ID", "Sales_Rep", "Customer_Type",
+                    F.col("Estimated_Value").cast("double").alias("Estimated_Value"))

@@ -83,3 +83,15 @@ def q_followup_scores(spark, sf_dir):
 @register("question_volume")
 def q_question_volume(spark, sf_dir):
     return textlog.question_volume(textlog.annotate_questions(_user_turns(spark, sf_dir)))
+
+
+@register("token_overlap")
+def q_token_overlap(spark, sf_dir):
+    """Meaningful tokens a follow-up shares with the prior result text."""
+    from revlens.functions import vocab as V
+    from revlens.functions.text import tokens
+    u = _with_prior_result(spark, sf_dir)
+    shared = F.array_sort(F.array_intersect(tokens(F.col("text"), V.TOKEN_STOP_WORDS),
+                                            tokens(F.coalesce(F.col("prior_result"), F.lit("")), V.TOKEN_STOP_WORDS)))
+    return u.select("conv_id", "turn", F.size(shared).alias("shared_tokens"),
+                    F.array_join(shared, " ").alias("shared"))

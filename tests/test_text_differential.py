@@ -15,7 +15,7 @@ from revlens.operators.charts import AGGREGATION_KEYWORDS, CATEGORY_PHRASES, DAT
 from revlens.plans.semantic import DIMENSION_SYNONYMS, METRICS
 
 TEXT_QUERIES = ["annotate_questions", "annotate_followups", "question_volume", "chart_intent", "qualitative_flag",
-                "followup_intents", "followup_scores", "chart_specs"]
+                "followup_intents", "followup_scores", "chart_specs", "token_overlap"]
 
 
 def _fragments():
