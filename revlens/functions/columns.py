@@ -73,11 +73,6 @@ def norm_label(c) -> Column:
     return F.trim(F.regexp_replace(s, r"\s+", " "))
 
 
-def norm_question(c) -> Column:
-    """Question normaliser: lower case, trim, squeeze whitespace."""
-    return F.regexp_replace(F.trim(F.lower(col_or_lit(c))), r"\s+", " ")
-
-
 def _fmt(c: Column, decimals: int) -> Column:
     return F.format_number(c.cast("double"), decimals)
 
