@@ -707,7 +707,8 @@ FROM (SELECT strftime(date_trunc('month', Closing_Date), '%Y-%m') AS m, {MSUM('A
       ORDER BY Value DESC, m ASC LIMIT 1)""")
 
 sql("safe_preview", """
-SELECT Deal_Stage, Amount, Closing_Date, Forecast_Category, Margin FROM deals""")
+SELECT Deal_Stage, CAST(Amount AS DOUBLE) AS Amount, strftime(Closing_Date, '%Y-%m-%d') AS Closing_Date,
+       Forecast_Category, CAST(Margin AS DOUBLE) AS Margin FROM deals""")
 
 sql("date_labels", """
 SELECT Deal_ID, strftime(Closing_Date, '%b %Y') AS Month_Label, strftime(Closing_Date, '%Y-%m') AS Month_Key,

@@ -60,7 +60,11 @@ def q_chart_explanation_monthly(spark, sf_dir):
 
 @register("safe_preview")
 def q_safe_preview(spark, sf_dir):
-    return charts.safe_preview(Modules(spark, sf_dir).deals)
+    p = charts.safe_preview(Modules(spark, sf_dir).deals)
+    # plain output types: money as double, dates as ISO text
+    return p.select(*[F.col(c).cast("double").alias(c) if t.startswith("decimal")
+                      else F.date_format(c, "yyyy-MM-dd").alias(c) if t == "date" else F.col(c)
+                      for c, t in p.dtypes])
 
 
 @register("date_labels")
