@@ -239,7 +239,7 @@ def warning_list(module_rows: DataFrame, join_rows: DataFrame) -> DataFrame:
     first = allw.groupBy("Warning").agg(F.min("o").alias("o"))
     return first.select("Warning", "o").orderBy("o").select(
         # bounded input (a few warnings per module): a single-partition window is fine
-        F.row_number().over(Window.orderBy("o")).alias("Position"),
+        F.row_number().over(Window.orderBy("o")).cast("bigint").alias("Position"),
         "Warning")
 
 

@@ -41,7 +41,8 @@ def _top_k_batch(corpus: DataFrame, queries: DataFrame, k: int, id_col: str, vec
         q["qid"].alias(qid), squared_l2(F.col(vec_col), q["qv"]).alias("distance")))).alias("__d"))
     d = d.select(F.col(f"__d.{qid}").alias(qid), id_col, F.col("__d.distance").alias("distance"))
     w = Window.partitionBy(qid).orderBy(F.col("distance").asc_nulls_last(), F.col(id_col).asc())
-    return d.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    top = d.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return top.withColumn("rank", F.col("rank").cast("bigint"))
 
 
 def vector_top_k(corpus: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id",

@@ -505,7 +505,7 @@ _WL = f"""(SELECT ROW_NUMBER() OVER (ORDER BY o) AS Position, Warning
 sql("warning_list", f"SELECT Position, Warning FROM {_WL}")
 
 sql("health_summary", f"""
-SELECT (SELECT COUNT(*) FROM {_MH}) AS Module_Count, (SELECT SUM(Rows) FROM {_MH}) AS Total_Rows,
+SELECT (SELECT COUNT(*) FROM {_MH}) AS Module_Count, (SELECT CAST(SUM(Rows) AS BIGINT) FROM {_MH}) AS Total_Rows,
        (SELECT COUNT(*) FROM (VALUES (1),(1),(1),(1),(1),(1),(1)) v(x)) AS Enabled_Capabilities,
        (SELECT COUNT(*) FROM {_WL}) AS Warning_Count""")
 

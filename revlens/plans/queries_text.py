@@ -77,7 +77,7 @@ def q_followup_scores(spark, sf_dir):
         ((score >= 2) & has_result).alias("grounded"),
         F.array_join(textlog.suggestions(F.col("prior_result")), " | ").alias("suggestions"),
         F.length(textlog.rewrite_followup(F.col("text"), F.col("prior_result"), F.col("prior_question")))
-        .alias("rewritten_length"))
+        .cast("bigint").alias("rewritten_length"))
 
 
 @register("question_volume")
