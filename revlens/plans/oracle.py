@@ -918,3 +918,8 @@ def _token_overlap_sql() -> str:
 
 
 sql("token_overlap", _token_overlap_sql())
+
+
+sql("deals_by_stage_1998", f"""
+SELECT Deal_Stage, COUNT(Deal_ID) AS Deal_Count, {MSUM('Amount')} AS Total_Amount
+FROM deals WHERE Deal_Stage IS NOT NULL AND year(Closing_Date) = 1998 GROUP BY Deal_Stage""")

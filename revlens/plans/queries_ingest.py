@@ -127,3 +127,12 @@ def q_coerce_types(spark, sf_dir):
     d = mods["Leads"]
     return d.select("Lead_ID", "Sales_Rep", "Customer_Type",
                     F.col("Estimated_Value").cast("double").alias("Estimated_Value"))
+
+
+@register("deals_by_stage_1998")
+def q_deals_by_stage_1998(spark, sf_dir):
+    """Deals materialised as Parquet partitioned by closing year; stage totals
+    for deals closing in 1998 read only that year's partition."""
+    deals = Modules(spark, sf_dir).deals.withColumn("Closing_Year", F.year("Closing_Date"))
+    stored = ingest.materialize(deals, ingest.shared_dir(spark, "deals") + "/deals", ["Closing_Year"])
+    return agg.deals_by_stage(stored.where(F.col("Closing_Year") == 1998))

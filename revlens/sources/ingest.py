@@ -279,6 +279,17 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/revlens-{name}-{uuid.uuid4().hex[:12]}"
 
 
+def materialize(df: DataFrame, path: str, partition_by: list[str] | None = None) -> DataFrame:
+    """Write a module once as Parquet (optionally partitioned, e.g. Deals by
+    closing year) in the shared folder and return a reader of it; later
+    filters on the partition column prune whole directories."""
+    w = df.write.mode("overwrite")
+    if partition_by:
+        w = w.partitionBy(*partition_by)
+    w.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def export_csv(df: DataFrame, path: str) -> str:
     """Write any result as CSV with a header (one folder of part files)."""
     df.write.mode("overwrite").option("header", True).csv(path)

@@ -35,3 +35,9 @@ def test_pushdown_and_pruning(spark, sf_small):
 def test_top_k_is_partial_before_shuffle(spark, sf_small):
     plan = E.queries()["vector_top_k"](spark, sf_small)._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan
+
+
+def test_partition_pruning_on_materialized_deals(spark, sf_small):
+    df = E.queries()["deals_by_stage_1998"](spark, sf_small)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(Closing_Year" in plan and "= 1998)" in plan
