@@ -1,9 +1,12 @@
 """KPIs and group-by tables.
 
-Every aggregate is a ``groupBy().agg()`` of algebraic functions, so Spark
-plans a partial (map-side) aggregate before the shuffle: a dimension value
-that holds a third of all rows costs one partial row per map task, not a
-hot reducer. Conditional sums are ``sum(when(...))`` in the same pass.
+Every aggregate is a ``groupBy().agg()`` of algebraic functions (sum, count,
+min, max_by), so Spark plans a partial (map-side) aggregate before the
+shuffle: a dimension value that holds a third of all rows costs one partial
+row per map task, not a hot reducer. The one distinct count (leads per
+source in ``lead_conversion``) uses Spark's two-level rewrite, first
+grouping by (source, lead id). Conditional sums are ``sum(when(...))`` in the
+same pass.
 Grouped results carry a total order (value, then the dimension ascending) so
 any ``limit`` after them is deterministic.
 """
