@@ -124,6 +124,13 @@ def _alt(phrases) -> str:
     return "|".join(r"\\Q" + p + r"\\E" for p in phrases)
 
 
+def spec_for_question(spark, question: str) -> dict | None:
+    """K4 for one question: the spec as a dict (one small row to the driver),
+    or None when the question names no supported grouping or measure."""
+    row = with_chart_spec(spark.createDataFrame([(question,)], "text string")).select("chart_spec.*").first()
+    return row.asDict() if row is not None and row["supported"] else None
+
+
 def chart_data(spec: dict, leads: DataFrame, deals: DataFrame) -> DataFrame:
     """Aggregate one spec. Deals get Sales_Rep from Leads when
     they lack it (C12); filters are exact equality (B6). Month charts are

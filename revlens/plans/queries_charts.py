@@ -10,16 +10,17 @@ from revlens.plans.metrics import Sources, build_metric
 from revlens.plans.registry import Modules, register
 from revlens.plans.queries_text import _user_turns
 
-# Specs of the reference's supported dynamic-chart examples (what chart_spec
-# gives for "Show pipeline by sales rep" and "Show monthly pipeline by closing date").
-PIPELINE_BY_REP = {"dataset": "deals", "x_column": "Sales_Rep", "y_column": "Amount", "aggregation": "sum",
-                   "chart_type": "bar", "title": "Pipeline by Sales Rep", "time_grain": None, "pipeline_filter": True}
-MONTHLY_PIPELINE = {"dataset": "deals", "x_column": "Closing_Date", "y_column": "Amount", "aggregation": "sum",
-                    "chart_type": "line", "title": "Pipeline by Month of Closing Date", "time_grain": "month",
-                    "pipeline_filter": True}
-LEADS_BY_SOURCE = {"dataset": "leads", "x_column": "Lead_Source", "y_column": "Lead_ID", "aggregation": "count",
-                   "chart_type": "bar", "title": "Lead Count by Lead Source", "time_grain": None,
-                   "pipeline_filter": False}
+# Example questions from the reference's supported dynamic charts; their
+# specs come from ``charts.spec_for_question`` (K4) at run time.
+PIPELINE_BY_REP = "Show pipeline by sales rep"
+MONTHLY_PIPELINE = "Show monthly pipeline by closing date"
+LEADS_BY_SOURCE = "Plot leads by source"
+
+
+def _chart(spark, sf_dir, question):
+    m = Modules(spark, sf_dir)
+    spec = charts.spec_for_question(spark, question)
+    return spec, charts.chart_data(spec, m.leads, m.deals)
 
 
 @register("chart_specs")
@@ -30,32 +31,29 @@ def q_chart_specs(spark, sf_dir):
 
 @register("chart_data_pipeline_by_rep")
 def q_chart_data_pipeline_by_rep(spark, sf_dir):
-    m = Modules(spark, sf_dir)
-    return charts.chart_data(PIPELINE_BY_REP, m.leads, m.deals)
+    return _chart(spark, sf_dir, PIPELINE_BY_REP)[1]
 
 
 @register("chart_data_monthly_pipeline")
 def q_chart_data_monthly_pipeline(spark, sf_dir):
-    m = Modules(spark, sf_dir)
-    return charts.chart_data(MONTHLY_PIPELINE, m.leads, m.deals)
+    return _chart(spark, sf_dir, MONTHLY_PIPELINE)[1]
 
 
 @register("chart_data_leads_by_source")
 def q_chart_data_leads_by_source(spark, sf_dir):
-    m = Modules(spark, sf_dir)
-    return charts.chart_data(LEADS_BY_SOURCE, m.leads, m.deals)
+    return _chart(spark, sf_dir, LEADS_BY_SOURCE)[1]
 
 
 @register("chart_explanation")
 def q_chart_explanation(spark, sf_dir):
-    m = Modules(spark, sf_dir)
-    return charts.chart_explanation(PIPELINE_BY_REP, charts.chart_data(PIPELINE_BY_REP, m.leads, m.deals))
+    spec, data = _chart(spark, sf_dir, PIPELINE_BY_REP)
+    return charts.chart_explanation(spec, data)
 
 
 @register("chart_explanation_monthly")
 def q_chart_explanation_monthly(spark, sf_dir):
-    m = Modules(spark, sf_dir)
-    return charts.chart_explanation(MONTHLY_PIPELINE, charts.chart_data(MONTHLY_PIPELINE, m.leads, m.deals))
+    spec, data = _chart(spark, sf_dir, MONTHLY_PIPELINE)
+    return charts.chart_explanation(spec, data)
 
 
 @register("safe_preview")
