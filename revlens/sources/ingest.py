@@ -178,7 +178,7 @@ def load_module_file(spark: SparkSession, path: str, file_name: str | None = Non
     module = detect_module(frame.columns, file_name) or "Unknown"
     missing = sorted(set(MODULES[module].required) - set(frame.columns)) if module != "Unknown" else []
     warnings = [] if module != "Unknown" else [
-        f"Could not confidently detect a supported Zoho CRM module for {file_name}."]
+        f"Could not confidently detect a supported CRM module for {file_name}."]
     return LoadResult(module, frame, file_name, list(raw.columns), mapping, unknown, missing, warnings)
 
 
