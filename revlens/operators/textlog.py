@@ -307,9 +307,10 @@ def annotate_followups(questions: DataFrame, conv_col: str = "conv_id", turn_col
     The context of a question is the last metric / dimension / region filter
     stated by an earlier question of the same conversation (unsupported
     questions do not change it). Inherit the metric when the question has
-    none and names a dimension, an order, a limit or a context word; inherit
-    the dimension on context words; inherit the filter unless the question
-    says "filter".
+    none and names a dimension, an order, a limit or a context word, or has
+    no metric keyword at all; inherit the dimension on context words; inherit
+    the filter unless the question says "filter". A question with a metric of
+    its own or an inherited one is an analytics question.
     """
     n = F.col("q_norm")
     d = last_non_null_before(questions, conv_col, turn_col, {
@@ -317,7 +318,7 @@ def annotate_followups(questions: DataFrame, conv_col: str = "conv_id", turn_col
         "ctx_filter_region": F.col("q_filter_region")})
     inherit_metric = (F.col("q_metric").isNull() & F.col("ctx_metric").isNotNull()
                       & (F.col("q_dimension").isNotNull() | F.col("q_sort").isNotNull() | F.col("q_limit").isNotNull()
-                         | has_any(n, V.CONTEXT_METRIC_TOKENS)))
+                         | has_any(n, V.CONTEXT_METRIC_TOKENS) | (F.size("q_metrics") == 0)))
     inherit_dim = (F.col("q_dimension").isNull() & F.col("ctx_dimension").isNotNull()
                    & has_any(n, V.CONTEXT_DIMENSION_TOKENS))
     inherit_filter = (F.col("q_filter_region").isNull() & F.col("ctx_filter_region").isNotNull() & ~has(n, "filter"))
@@ -326,6 +327,8 @@ def annotate_followups(questions: DataFrame, conv_col: str = "conv_id", turn_col
         "r_dimension": F.when(inherit_dim, F.col("ctx_dimension")).otherwise(F.col("q_dimension")),
         "r_filter_region": F.when(inherit_filter, F.col("ctx_filter_region")).otherwise(F.col("q_filter_region")),
         "r_inherited": inherit_metric | inherit_dim,
+        "r_intent": F.when(inherit_metric | F.col("q_metric").isNotNull() | (F.size("q_metrics") > 0),
+                           F.lit("analytics")).otherwise(F.lit("unsupported")),
     })
 
 

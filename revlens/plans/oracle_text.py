@@ -311,13 +311,15 @@ def register(sql) -> None:
            f"last_value(q_dimension IGNORE NULLS) OVER {w} AS ctx_dimension, "
            f"last_value(q_filter_region IGNORE NULLS) OVER {w} AS ctx_filter_region FROM ({ann})")
     im = (f"(q_metric IS NULL AND ctx_metric IS NOT NULL AND (q_dimension IS NOT NULL OR q_sort IS NOT NULL "
-          f"OR q_limit IS NOT NULL OR {ANY('q_norm', V.CONTEXT_METRIC_TOKENS)}))")
+          f"OR q_limit IS NOT NULL OR {ANY('q_norm', V.CONTEXT_METRIC_TOKENS)} OR len(q_metrics) = 0))")
     idim = f"(q_dimension IS NULL AND ctx_dimension IS NOT NULL AND {ANY('q_norm', V.CONTEXT_DIMENSION_TOKENS)})"
     ifl = "(q_filter_region IS NULL AND ctx_filter_region IS NOT NULL AND NOT contains(q_norm, 'filter'))"
     sql("annotate_followups", f"""SELECT conv_id, turn, q_metric, q_dimension, ctx_metric, ctx_dimension,
         CASE WHEN {im} THEN ctx_metric ELSE q_metric END AS r_metric,
         CASE WHEN {idim} THEN ctx_dimension ELSE q_dimension END AS r_dimension,
         CASE WHEN {ifl} THEN ctx_filter_region ELSE q_filter_region END AS r_filter_region,
-        ({im} OR {idim}) AS r_inherited FROM ({ctx})""")
+        ({im} OR {idim}) AS r_inherited,
+        CASE WHEN {im} OR q_metric IS NOT NULL OR len(q_metrics) > 0 THEN 'analytics' ELSE 'unsupported' END AS r_intent
+        FROM ({ctx})""")
     sql("followup_scores", followup_score_sql())
     sql("chart_specs", chart_spec_sql())

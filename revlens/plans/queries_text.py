@@ -45,7 +45,7 @@ def q_annotate_questions(spark, sf_dir):
 def q_annotate_followups(spark, sf_dir):
     a = textlog.annotate_followups(textlog.annotate_questions(_user_turns(spark, sf_dir)))
     return a.select("conv_id", "turn", "q_metric", "q_dimension", "ctx_metric", "ctx_dimension",
-                    "r_metric", "r_dimension", "r_filter_region", "r_inherited")
+                    "r_metric", "r_dimension", "r_filter_region", "r_inherited", "r_intent")
 
 
 @register("chart_intent")

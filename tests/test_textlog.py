@@ -86,3 +86,11 @@ def test_relevance_of_indirect_action_followup(spark):
     df = spark.createDataFrame([("How should we address this?", ctx)], "q string, c string")
     s = df.select(textlog.relevance_score(F.col("q"), F.col("c"), F.lit(True)).alias("s")).first()["s"]
     assert s >= 2
+
+
+def test_question_without_metric_words_inherits_the_context_metric(spark):
+    df = spark.createDataFrame([(1, 0, "Show margin by product category"), (1, 1, "and for each region?"),
+                                (2, 0, "hello there")], "conv_id int, turn int, text string")
+    a = {(r["conv_id"], r["turn"]): r for r in textlog.annotate_followups(textlog.annotate_questions(df)).collect()}
+    assert a[(1, 1)]["r_metric"] == "margin" and a[(1, 1)]["r_intent"] == "analytics"
+    assert a[(2, 0)]["r_metric"] is None and a[(2, 0)]["r_intent"] == "unsupported"
