@@ -196,26 +196,33 @@ def _annotation_stages(text_col: str) -> list[dict]:
     return stages
 
 
-def chart_intent(text: Column) -> Column:
+def _q(text: Column, normalized: bool) -> Column:
+    """The lower-cased, stripped question. Pass ``normalized=True`` with a column
+    that already holds it: the rule ladders test it many times, and Spark does
+    not share a subexpression across CASE branches."""
+    return text if normalized else strip_lower(text)
+
+
+def chart_intent(text: Column, normalized: bool = False) -> Column:
     """K3: does the question ask for a visualization?"""
-    q = strip_lower(text)
+    q = _q(text, normalized)
     by_rule = q.rlike(U + r"\b(show|compare|display)\b.+\b(by)\b") & has_any(q, V.CHART_VALUE_TOKENS)
     return F.when(q == "", F.lit(False)).otherwise(
         has_any(q, V.CHART_INTENT_KEYWORDS) | has_any(q, V.CHART_BY_PATTERNS) | by_rule)
 
 
-def qualitative_flag(text: Column) -> Column:
+def qualitative_flag(text: Column, normalized: bool = False) -> Column:
     """K5: qualitative question that should be answered from documents."""
-    q = strip_lower(text)
+    q = _q(text, normalized)
     generic = has_any(q, V.QUALITATIVE_TOKENS) & ~has_any(q, V.QUALITATIVE_EXCLUDES)
-    return (F.when(q == "", F.lit(False)).when(chart_intent(text), F.lit(False))
+    return (F.when(q == "", F.lit(False)).when(chart_intent(q, True), F.lit(False))
             .when(has_any(q, V.QUANTITATIVE_BLOCKERS), F.lit(False))
             .otherwise(has_any(q, V.QUALITATIVE_PHRASES) | generic))
 
 
-def followup_intent(text: Column, context_title: Column | None = None) -> Column:
+def followup_intent(text: Column, context_title: Column | None = None, normalized: bool = False) -> Column:
     """K6: follow-up intent label (ordered rules, first match wins)."""
-    q = strip_lower(text)
+    q = _q(text, normalized)
     title = F.coalesce(F.lower(context_title), F.lit("")) if context_title is not None else F.lit("")
     action = matches_any(q, [U + p for p in V.QUALITATIVE_ACTION_PATTERNS]) | has_any(q, V.ACTION_MARKERS)
     return (F.when(q == "", F.lit("ambiguous"))
@@ -258,12 +265,12 @@ def deictic(text: Column) -> Column:
     return F.arrays_overlap(toks, F.array(*[F.lit(t) for t in V.DEICTIC_TOKENS])) | q.rlike(U + V.DEICTIC_PATTERN)
 
 
-def relevance_score(question: Column, context: Column, has_result: Column) -> Column:
+def relevance_score(question: Column, context: Column, has_result: Column, normalized: bool = False) -> Column:
     """K7: additive relevance of a follow-up to the prior result's text.
 
     Null context -> 0; an unrelated phrase -> -3.
     """
-    q = strip_lower(question)
+    q = _q(question, normalized)
     qt = tokens(q, V.TOKEN_STOP_WORDS)
     ct = tokens(F.coalesce(context, F.lit("")), V.TOKEN_STOP_WORDS)
     overlap = F.array_intersect(qt, ct)

@@ -132,6 +132,12 @@ def last_non_null_before(df: DataFrame, key: str, order: str, values: dict[str,
     base = df.withColumn("__blk", b).withColumns({f"__v_{o}": e for o, e in values.items()})
     w_local = Window.partitionBy(key, "__blk").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     local = base.withColumns({f"__l_{o}": F.last(f"__v_{o}", ignorenulls=True).over(w_local) for o in values})
+    lo, hi = df.agg(F.min(order), F.max(order)).first()
+    if lo is None or (lo >= 0 and hi < block):
+        # checked: every row is in block 0, so each (key, block) window already
+        # holds at most ``block`` orders and there is nothing to carry
+        out = local.withColumns({o: F.col(f"__l_{o}") for o in values})
+        return out.drop("__blk", *[f"__{p}_{o}" for o in values for p in ("v", "l")])
     summary = base.groupBy(key, "__blk").agg(
         *[F.max_by(F.col(f"__v_{o}"), F.when(F.col(f"__v_{o}").isNotNull(), F.col(order))).alias(f"__s_{o}")
           for o in values])

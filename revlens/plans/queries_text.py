@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from revlens.operators import textlog
+from revlens.functions.text import strip_lower
 from revlens.plans.distributed import last_non_null_before
 from revlens.plans.registry import register
 from revlens.sources.tables import Catalog
@@ -50,30 +51,32 @@ def q_annotate_followups(spark, sf_dir):
 
 @register("chart_intent")
 def q_chart_intent(spark, sf_dir):
-    u = _user_turns(spark, sf_dir)
-    return u.select("conv_id", "turn", textlog.chart_intent(F.col("text")).alias("chart_intent"))
+    u = _user_turns(spark, sf_dir).withColumn("__q", strip_lower(F.col("text")))
+    return u.select("conv_id", "turn", textlog.chart_intent(F.col("__q"), normalized=True).alias("chart_intent"))
 
 
 @register("qualitative_flag")
 def q_qualitative_flag(spark, sf_dir):
-    u = _user_turns(spark, sf_dir)
-    return u.select("conv_id", "turn", textlog.qualitative_flag(F.col("text")).alias("qualitative"))
+    u = _user_turns(spark, sf_dir).withColumn("__q", strip_lower(F.col("text")))
+    return u.select("conv_id", "turn", textlog.qualitative_flag(F.col("__q"), normalized=True).alias("qualitative"))
 
 
 @register("followup_intents")
 def q_followup_intents(spark, sf_dir):
-    u = _with_prior_result(spark, sf_dir)
-    intent = textlog.followup_intent(F.col("text"), F.col("prior_question"))
-    return u.select("conv_id", "turn", intent.alias("intent"), textlog.intent_bucket(intent).alias("bucket"))
+    u = _with_prior_result(spark, sf_dir).withColumn("__q", strip_lower(F.col("text")))
+    u = u.withColumn("intent", textlog.followup_intent(F.col("__q"), F.col("prior_question"), normalized=True))
+    return u.select("conv_id", "turn", "intent", textlog.intent_bucket(F.col("intent")).alias("bucket"))
 
 
 @register("followup_scores")
 def q_followup_scores(spark, sf_dir):
-    u = _with_prior_result(spark, sf_dir)
+    u = _with_prior_result(spark, sf_dir).withColumn("__q", strip_lower(F.col("text")))
     has_result = F.coalesce(F.length("prior_result") > 0, F.lit(False))
-    score = textlog.relevance_score(F.col("text"), F.col("prior_result"), has_result)
+    u = u.withColumn("relevance", textlog.relevance_score(F.col("__q"), F.col("prior_result"), has_result,
+                                                          normalized=True))
+    score = F.col("relevance")
     return u.select(
-        "conv_id", "turn", score.alias("relevance"),
+        "conv_id", "turn", "relevance",
         ((score >= 2) & has_result).alias("grounded"),
         F.array_join(textlog.suggestions(F.col("prior_result")), " | ").alias("suggestions"),
         F.length(textlog.rewrite_followup(F.col("text"), F.col("prior_result"), F.col("prior_question")))
