@@ -103,21 +103,20 @@ def deals_overview(deals: DataFrame) -> DataFrame:
     return one.select(*cols)
 
 
-def auto_insights(leads: DataFrame, deals: DataFrame) -> DataFrame:
-    """9 to 12 insight rows in fixed order.
+_ARRAYS: dict[tuple, Column] = {}
 
-    Optional rows: Top Product Category (Deals has Product_Category), Top Lead
-    Source (Leads not empty; ranked by estimated value), Top Region (Deals has
-    Region). The top lead source is taken by value, not by count. Deals is
-    scanned once for all its KPIs and top rows (``deals_overview``).
-    """
-    base = deals_overview(deals).withColumn("__k", F.lit(1))
-    rep = ranking.top_n(agg.sales_rep_performance(leads, deals), "Total_Deal_Amount", "Sales_Rep", 1)
-    base = _attach(base, rep, "rep_")
-    has_prod = "Product_Category" in deals.columns
-    has_region = "Region" in deals.columns
-    base = _attach(base, ranking.top_source(leads), "src_")
 
+def _insight_array(has_prod: bool, has_region: bool, has_stage: bool) -> Column:
+    """The array of insight-row structs over the one-row base frame. It only
+    names columns, so it is compiled once per JVM and column layout."""
+    from pyspark import SparkContext
+    key = (id(SparkContext._active_spark_context), has_prod, has_region, has_stage)
+    if key not in _ARRAYS:
+        _ARRAYS[key] = _build_insight_array(has_prod, has_region, has_stage)
+    return _ARRAYS[key]
+
+
+def _build_insight_array(has_prod: bool, has_region: bool, has_stage: bool) -> Column:
     n = F.col("Total_Deals")
     pipe, commit, risk, won = (F.col("Pipeline_Amount"), F.col("Commit_Amount"), F.col("At_Risk_Amount"),
                                F.col("Closed_Won_Amount"))
@@ -186,7 +185,7 @@ def auto_insights(leads: DataFrame, deals: DataFrame) -> DataFrame:
         row(g.isNotNull() & ~empty, "Top Region by Deal Amount", C(ga),
             F.concat(g, F.lit(" has the highest deal amount at "), C(ga), F.lit(".")),
             F.concat(F.lit("Align sales coverage and logistics for "), g, F.lit(".")))
-    if "Deal_Stage" in deals.columns:
+    if has_stage:
         st, sa, sn = F.col("stage_Deal_Stage"), F.col("stage_Total_Amount"), F.col("stage_Deal_Count")
         no_stage = empty | st.isNull()
         row(None, "Deals by Stage Summary",
@@ -208,7 +207,26 @@ def auto_insights(leads: DataFrame, deals: DataFrame) -> DataFrame:
         structs.append(F.struct(F.lit(i).alias("Insight_Order"), title.alias("title"), metric.alias("metric"),
                                 expl.alias("explanation"), action.alias("recommended_action"),
                                 keep.alias("__keep")))
-    out = base.select(F.explode(F.array(*structs)).alias("r")).select("r.*")
+    return F.array(*structs)
+
+
+def auto_insights(leads: DataFrame, deals: DataFrame) -> DataFrame:
+    """9 to 12 insight rows in fixed order.
+
+    Optional rows: Top Product Category (Deals has Product_Category), Top Lead
+    Source (Leads not empty; ranked by estimated value), Top Region (Deals has
+    Region). The top lead source is taken by value, not by count. Deals is
+    scanned once for all its KPIs and top rows (``deals_overview``).
+    """
+    base = deals_overview(deals).withColumn("__k", F.lit(1))
+    rep = ranking.top_n(agg.sales_rep_performance(leads, deals), "Total_Deal_Amount", "Sales_Rep", 1)
+    base = _attach(base, rep, "rep_")
+    has_prod = "Product_Category" in deals.columns
+    has_region = "Region" in deals.columns
+    base = _attach(base, ranking.top_source(leads), "src_")
+
+    has_stage = "Deal_Stage" in deals.columns
+    out = base.select(F.explode(_insight_array(has_prod, has_region, has_stage)).alias("r")).select("r.*")
     out = out.where("__keep").drop("__keep")
     # Export shape, missing text -> ""
     return out.na.fill("", ["title", "metric", "explanation", "recommended_action"])
