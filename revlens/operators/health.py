@@ -78,51 +78,67 @@ def quality_profile(modules: dict[str, DataFrame]) -> DataFrame:
     return _union(frames)
 
 
+_HEALTH_EXPRS: dict[tuple, tuple[list[Column], list[Column]]] = {}
+
+
+def _health_exprs(order: int, name: str, columns: tuple[str, ...]) -> tuple[list[Column], list[Column]]:
+    """(aggregates, output columns) of one module's health row. They depend only
+    on the module, its position and its columns, so they are compiled once per
+    JVM and layout."""
+    from pyspark import SparkContext
+    key = (id(SparkContext._active_spark_context), order, name, columns)
+    if key in _HEALTH_EXPRS:
+        return _HEALTH_EXPRS[key]
+    d = MODULES[name]
+    have = set(columns)
+    missing = sorted(set(d.required) - have)
+    reg = [c for c in (*d.required, *d.optional) if c in have]
+    dates = [c for c in DATE_COLUMNS if c in have]
+    aggs = [F.count(F.lit(1)).alias("rows")]
+    aggs += [F.count(F.col(c)).alias(f"nn_{c}") for c in dict.fromkeys(reg + dates)]
+    has_id = d.id_column in have
+    if has_id:
+        aggs.append(F.count_distinct(F.col(d.id_column)).alias("distinct_id"))
+    rows = F.col("rows")
+    items: list[Column] = []
+    if has_id:
+        dup = F.col(f"nn_{d.id_column}") - F.col("distinct_id")
+        items.append(F.when(dup > 0, F.concat(F.lit(f"{name} has "), dup.cast("string"),
+                                              F.lit(f" duplicate value(s) in {d.id_column}."))))
+    for c in reg:
+        ratio = F.try_divide((rows - F.col(f"nn_{c}")).cast("double"), rows.cast("double"))
+        items.append(F.when(ratio >= F.lit(NULL_WARNING_THRESHOLD),
+                            F.concat(F.lit(f"{name}.{c} is "), _pct0(ratio), F.lit(" empty."))))
+    for c in dates:
+        blanks = rows - F.col(f"nn_{c}")
+        items.append(F.when(blanks > 0, F.concat(F.lit(f"{name}.{c} has "), blanks.cast("string"),
+                                                 F.lit(" blank or unparseable date value(s)."))))
+    quality = F.filter(F.array(*items), lambda x: x.isNotNull()) if items else F.array().cast("array<string>")
+    warnings = F.when(rows == 0, F.array(F.lit(f"{name} has no rows."))).otherwise(quality)
+    status = (F.when(F.lit(bool(missing)) | (rows == 0), F.lit("Warning"))
+              .when(F.size(warnings) > 0, F.lit("Partial")).otherwise(F.lit("Healthy")))
+    select = [F.lit(order).alias("Module_Order"), F.lit(name).alias("Module"), rows.alias("Rows"),
+              F.lit(", ".join(d.required)).alias("Required_Columns"),
+              F.lit("Complete" if not missing else f"Missing: {', '.join(missing)}").alias("Required_Status"),
+              status.alias("Status"), warnings.alias("Warnings")]
+    _HEALTH_EXPRS[key] = (aggs, select)
+    return aggs, select
+
+
 def module_health(modules: dict[str, DataFrame]) -> DataFrame:
     """Per module: rows, required / missing columns, status and warnings.
 
     Warnings, in order: no rows; duplicate ids; each registered column at
     least 60% empty; each date column with blanks. Status: Warning if a
     required column is missing or the module is empty, else Partial if any
-    warning, else Healthy.
+    warning, else Healthy. One aggregate per module.
     """
     out = []
     for order, (name, df) in enumerate(modules.items()):
         if name not in MODULES:
             continue
-        d = MODULES[name]
-        missing = sorted(set(d.required) - set(df.columns))
-        reg = profile_columns(name, df)
-        dates = [c for c in DATE_COLUMNS if c in df.columns]
-        aggs = [F.count(F.lit(1)).alias("rows")]
-        aggs += [F.count(F.col(c)).alias(f"nn_{c}") for c in dict.fromkeys(reg + dates)]
-        has_id = d.id_column in df.columns
-        if has_id:
-            aggs.append(F.count_distinct(F.col(d.id_column)).alias("distinct_id"))
-        w = df.agg(*aggs)
-        rows = F.col("rows")
-        items: list[Column] = []
-        if has_id:
-            dup = F.col(f"nn_{d.id_column}") - F.col("distinct_id")
-            items.append(F.when(dup > 0, F.concat(F.lit(f"{name} has "), dup.cast("string"),
-                                                  F.lit(f" duplicate value(s) in {d.id_column}."))))
-        for c in reg:
-            ratio = F.try_divide((rows - F.col(f"nn_{c}")).cast("double"), rows.cast("double"))
-            items.append(F.when(ratio >= F.lit(NULL_WARNING_THRESHOLD),
-                                F.concat(F.lit(f"{name}.{c} is "), _pct0(ratio), F.lit(" empty."))))
-        for c in dates:
-            blanks = rows - F.col(f"nn_{c}")
-            items.append(F.when(blanks > 0, F.concat(F.lit(f"{name}.{c} has "), blanks.cast("string"),
-                                                     F.lit(" blank or unparseable date value(s)."))))
-        quality = F.filter(F.array(*items), lambda x: x.isNotNull()) if items else F.array().cast("array<string>")
-        warnings = F.when(rows == 0, F.array(F.lit(f"{name} has no rows."))).otherwise(quality)
-        status = (F.when(F.lit(bool(missing)) | (rows == 0), F.lit("Warning"))
-                  .when(F.size(warnings) > 0, F.lit("Partial")).otherwise(F.lit("Healthy")))
-        out.append(w.select(
-            F.lit(order).alias("Module_Order"), F.lit(name).alias("Module"), rows.alias("Rows"),
-            F.lit(", ".join(d.required)).alias("Required_Columns"),
-            F.lit("Complete" if not missing else f"Missing: {', '.join(missing)}").alias("Required_Status"),
-            status.alias("Status"), warnings.alias("Warnings")))
+        aggs, select = _health_exprs(order, name, tuple(df.columns))
+        out.append(df.agg(*aggs).select(*select))
     return _union(out)
 
 
