@@ -142,21 +142,25 @@ def module_health(modules: dict[str, DataFrame]) -> DataFrame:
     return _union(out)
 
 
-def _relationship_row(spark: SparkSession, left: str, right: str, key: str,
-                      modules: dict[str, DataFrame]) -> DataFrame:
-    """C9 + C11 for one preferred relationship (one row)."""
-    schema = ("Left_Module string, Right_Module string, Join_Key string, Available boolean, "
-              "Relationship_Reason string, Rows_Checked bigint, Matched bigint, Unmatched bigint, "
-              "Status string, Details string")
-    ldf, rdf = modules.get(left), modules.get(right)
-    if ldf is None or rdf is None:
-        msg = "One or both modules are not loaded."
-        return spark.createDataFrame([(left, right, key, False, msg, None, None, None, "Not available", msg)],
-                                     schema)
-    if key not in ldf.columns or key not in rdf.columns:
-        msg = f"Missing join key `{key}` in one or both modules."
-        return spark.createDataFrame([(left, right, key, False, msg, None, None, None, "Warning", msg)], schema)
-    j = joins.coverage(ldf, rdf, key)
+_REL_SCHEMA = (("Left_Module", "string"), ("Right_Module", "string"), ("Join_Key", "string"),
+               ("Available", "boolean"), ("Relationship_Reason", "string"), ("Rows_Checked", "bigint"),
+               ("Matched", "bigint"), ("Unmatched", "bigint"), ("Status", "string"), ("Details", "string"))
+_REL_EXPRS: dict[tuple, list[Column]] = {}
+
+
+def _constant_row(spark: SparkSession, values: tuple) -> DataFrame:
+    """One row of literals with the relationship schema (a projection, no
+    Python-side data transfer)."""
+    return spark.range(1).select(*[F.lit(v).cast(t).alias(n) for v, (n, t) in zip(values, _REL_SCHEMA)])
+
+
+def _relationship_exprs(left: str, right: str, key: str) -> list[Column]:
+    """Output columns of one relationship row over the coverage numbers; they
+    only name columns, so they are compiled once per JVM and relationship."""
+    from pyspark import SparkContext
+    ck = (id(SparkContext._active_spark_context), left, right, key)
+    if ck in _REL_EXPRS:
+        return _REL_EXPRS[ck]
     dupl = F.col("lookup_has_duplicates")
     empty_side = (F.col("left_rows") == 0) | (F.col("right_rows") == 0)
     available = ~empty_side & ~dupl
@@ -171,13 +175,27 @@ def _relationship_row(spark: SparkSession, left: str, right: str, key: str,
                .when(unmatched > 0, F.concat(unmatched.cast("string"), F.lit(f" row(s) do not resolve to {right}.")))
                .otherwise(F.lit(f"All checked {key} values resolve to {right}.")))
     downgrade = (status == "Healthy") & ~available
-    return j.select(
-        F.lit(left).alias("Left_Module"), F.lit(right).alias("Right_Module"), F.lit(key).alias("Join_Key"),
-        available.alias("Available"), rel_reason.alias("Relationship_Reason"),
-        F.col("rows_checked").alias("Rows_Checked"), F.col("matched_rows").alias("Matched"),
-        unmatched.alias("Unmatched"),
-        F.when(downgrade, F.lit("Warning")).otherwise(status).alias("Status"),
-        F.when(downgrade, rel_reason).otherwise(details).alias("Details"))
+    exprs = [F.lit(left).alias("Left_Module"), F.lit(right).alias("Right_Module"), F.lit(key).alias("Join_Key"),
+             available.alias("Available"), rel_reason.alias("Relationship_Reason"),
+             F.col("rows_checked").alias("Rows_Checked"), F.col("matched_rows").alias("Matched"),
+             unmatched.alias("Unmatched"),
+             F.when(downgrade, F.lit("Warning")).otherwise(status).alias("Status"),
+             F.when(downgrade, rel_reason).otherwise(details).alias("Details")]
+    _REL_EXPRS[ck] = exprs
+    return exprs
+
+
+def _relationship_row(spark: SparkSession, left: str, right: str, key: str,
+                      modules: dict[str, DataFrame]) -> DataFrame:
+    """C9 + C11 for one preferred relationship (one row)."""
+    ldf, rdf = modules.get(left), modules.get(right)
+    if ldf is None or rdf is None:
+        msg = "One or both modules are not loaded."
+        return _constant_row(spark, (left, right, key, False, msg, None, None, None, "Not available", msg))
+    if key not in ldf.columns or key not in rdf.columns:
+        msg = f"Missing join key `{key}` in one or both modules."
+        return _constant_row(spark, (left, right, key, False, msg, None, None, None, "Warning", msg))
+    return joins.coverage(ldf, rdf, key).select(*_relationship_exprs(left, right, key))
 
 
 def join_health(spark: SparkSession, modules: dict[str, DataFrame]) -> DataFrame:
