@@ -29,18 +29,22 @@ def _export_raw(df, headers: dict, path: str) -> str:
     return ingest.export_csv(raw, path)
 
 
-def _ingested(spark, sf_dir):
+def _ingested(spark, sf_dir, which=("Deals", "Leads")):
+    """Export the named CRM views as raw CSV and load them back (only those)."""
     m = Modules(spark, sf_dir)
     base = ingest.shared_dir(spark, "ingest")
-    deals_path = _export_raw(m.deals, DEALS_RAW_HEADERS, f"{base}/deals_export.csv")
-    leads_path = _export_raw(m.leads, LEADS_RAW_HEADERS, f"{base}/leads.csv")
-    modules, warnings, unknown = ingest.load_modules(spark, [deals_path, leads_path])
+    paths = []
+    if "Deals" in which:
+        paths.append(_export_raw(m.deals, DEALS_RAW_HEADERS, f"{base}/deals_export.csv"))
+    if "Leads" in which:
+        paths.append(_export_raw(m.leads, LEADS_RAW_HEADERS, f"{base}/leads.csv"))
+    modules, warnings, unknown = ingest.load_modules(spark, paths)
     return {k: ingest.to_money(v) for k, v in modules.items()}, warnings, unknown
 
 
 @register("ingest_deals_by_stage")
 def q_ingest_deals_by_stage(spark, sf_dir):
-    mods, _, _ = _ingested(spark, sf_dir)
+    mods, _, _ = _ingested(spark, sf_dir, ("Deals",))
     return agg.deals_by_stage(mods.get("Deals"))
 
 
@@ -114,7 +118,7 @@ def q_scan_leads(spark, sf_dir):
 def q_canonicalize_headers(spark, sf_dir):
     """Deals exported with raw CRM headers, loaded back with canonical
     names and leniently coerced types (Amount double, Closing_Date date)."""
-    mods, _, _ = _ingested(spark, sf_dir)
+    mods, _, _ = _ingested(spark, sf_dir, ("Deals",))
     d = mods["Deals"]
     return d.select("Deal_ID", "Lead_ID", "Deal_Stage", F.col("Amount").cast("double").alias("Amount"),
                     F.date_format("Closing_Date", "yyyy-MM-dd").alias("Closing_Date"), "Forecast_Category")
@@ -123,7 +127,7 @@ def q_canonicalize_headers(spark, sf_dir):
 @register("coerce_types")
 def q_coerce_types(spark, sf_dir):
     """Leads exported as text, Estimated_Value coerced leniently to a number."""
-    mods, _, _ = _ingested(spark, sf_dir)
+    mods, _, _ = _ingested(spark, sf_dir, ("Leads",))
     d = mods["Leads"]
     return d.select("Lead_ID", "Sales_Rep", "Customer_Type",
                     F.col("Estimated_Value").cast("double").alias("Estimated_Value"))
