@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from revlens.llm import decontaminate
+from revlens.llm import decontaminate, toxicity
 from revlens.llm.frames import read
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -24,3 +24,8 @@ def register(fn: QueryFn) -> QueryFn:
 @register
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+@register
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
