@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from revlens.llm import decontaminate, toxicity
+from revlens.llm import bpe_exact, decontaminate, token_counts, toxicity
 from revlens.llm.frames import read
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -29,3 +29,19 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def piece_model() -> str:
+    """The public merge-type vocabulary file; its place is a parameter of the operators."""
+    import public_tokenizers
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+@register
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count(read(spark, sf_dir, "documents"), piece_model())
+
+
+@register
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_exact.report(read(spark, sf_dir, "documents"), piece_model())
