@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from revlens.llm import bpe_exact, decontaminate, token_counts, toxicity
+from revlens.llm import bpe_exact, decontaminate, secret_scan, token_counts, toxicity
 from revlens.llm.frames import read
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -45,3 +45,8 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_exact.report(read(spark, sf_dir, "documents"), piece_model())
+
+
+@register
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.report(read(spark, sf_dir, "documents"))
