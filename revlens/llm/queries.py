@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from revlens.llm import bpe_exact, decontaminate, minhash_tensor, secret_scan, token_counts, toxicity
+from revlens.llm import bpe_exact, decontaminate, fingerprints, minhash_tensor, secret_scan, token_counts, toxicity
 from revlens.llm.frames import read
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -55,3 +55,8 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_tensor.report(read(spark, sf_dir, "documents"))
+
+
+@register
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edited_report(read(spark, sf_dir, "documents"))
