@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from revlens.llm import bpe_exact, decontaminate, fingerprints, minhash_tensor, secret_scan, token_counts, toxicity
+from revlens.llm import (bpe_exact, decontaminate, fingerprints, minhash_tensor, secret_scan, surrogates, token_counts,
+                         toxicity)
 from revlens.llm.frames import read
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -60,3 +61,8 @@ def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_report(read(spark, sf_dir, "documents"))
+
+
+@register
+def op1_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return surrogates.report(read(spark, sf_dir, "documents"))
