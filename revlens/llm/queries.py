@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from revlens.llm import (bpe_exact, decontaminate, fingerprints, minhash_tensor, secret_scan, surrogates, token_counts,
+from revlens.llm import (bpe_exact, decontaminate, fingerprints, minhash_tensor, ppm, secret_scan, surrogates, token_counts,
                          toxicity)
 from revlens.llm.frames import read
 
@@ -66,3 +66,8 @@ def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def op1_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return surrogates.report(read(spark, sf_dir, "documents"))
+
+
+@register
+def op2_ppm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm.score(read(spark, sf_dir, "documents"))
