@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from revlens.llm import (bpe_exact, decontaminate, fingerprints, minhash_tensor, ppm, secret_scan, surrogates, token_counts,
-                         toxicity)
+from revlens.llm import (bpe_exact, bwt_dedup, decontaminate, fingerprints, minhash_tensor, ppm, secret_scan, surrogates,
+                         token_counts, toxicity)
 from revlens.llm.frames import read
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -71,3 +71,8 @@ def op1_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def op2_ppm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ppm.score(read(spark, sf_dir, "documents"))
+
+
+@register
+def op3_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bwt_dedup.report(read(spark, sf_dir, "documents"))
