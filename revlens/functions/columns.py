@@ -132,16 +132,22 @@ def iso_date(c) -> Column:
 
 
 # Fixed date patterns accepted by lenient parsing, tried in this order after ISO.
-DATE_PATTERNS = ("yyyy-MM-dd", "yyyy/MM/dd", "M/d/yyyy", "d-M-yyyy", "dd MMM yyyy", "MMM d, yyyy")
+# Month first where both readings fit; a first number above 12 is a day.
+DATE_PATTERNS = ("yyyy-M-d", "yyyy/M/d", "yyyy.M.d", "yyyyMMdd", "M/d/yyyy", "d/M/yyyy", "M-d-yyyy", "d-M-yyyy", "M.d.yyyy", "d.M.yyyy",
+                 "d MMM yyyy", "d-MMM-yyyy", "d MMMM yyyy", "MMM d, yyyy", "MMMM d, yyyy", "MMM d yyyy", "MMMM d yyyy",
+                 "M/d/yyyy H:mm", "M/d/yyyy H:mm:ss", "yyyy/M/d H:mm", "yyyy/M/d H:mm:ss")
+NUMBER_PATTERN = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$|^[+-]?(?i:inf|infinity)$"
 
 
 def parse_date_lenient(c) -> Column:
-    """Per-value date parsing; anything unparsable becomes null."""
+    """Per-value date parsing; anything unparsable becomes null. A bare time or
+    year is no date, so the result never depends on the day of the run."""
     s = F.trim(col_or_lit(c).cast("string"))
     tries = [F.try_to_timestamp(s)] + [F.try_to_timestamp(s, F.lit(p)) for p in DATE_PATTERNS]
-    return F.coalesce(*tries).cast("date")
+    return F.when(s.rlike(r"^\d{4}-\d{1,2}-\d{1,2}|^\d{8}$|[/.\s-].*[/.\s-]"), F.coalesce(*tries).cast("date"))
 
 
 def parse_number_lenient(c) -> Column:
-    """``" 12 "`` and ``"1e3"`` parse; ``"1,000"``, ``"AED 5"`` and ``""`` give null."""
-    return F.trim(col_or_lit(c).cast("string")).try_cast("double")
+    """``" 12 "`` and ``"1e3"`` parse; ``"1,000"``, ``"AED 5"``, ``"10d"``, ``"NaN"`` and ``""`` give null."""
+    s = F.trim(col_or_lit(c).cast("string"))
+    return F.when(s.rlike(NUMBER_PATTERN), s.try_cast("double"))

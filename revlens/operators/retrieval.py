@@ -28,8 +28,11 @@ MAX_BROADCAST_QUERIES = 4096
 
 
 def squared_l2(a: Column, b: Column) -> Column:
+    """Squared distance; vectors of different lengths raise."""
+    same = F.assert_true(F.size(a) == F.size(b), F.lit("vectors have different dimensions"))
     diffs = F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double")))
-    return F.aggregate(diffs, F.lit(0.0).cast("double"), lambda acc, x: acc + x)
+    total = F.aggregate(diffs, F.lit(0.0).cast("double"), lambda acc, x: acc + x)
+    return F.when(same.isNull(), total)
 
 
 def _top_k_batch(corpus: DataFrame, queries: DataFrame, k: int, id_col: str, vec_col: str,
@@ -48,7 +51,11 @@ def _top_k_batch(corpus: DataFrame, queries: DataFrame, k: int, id_col: str, vec
 def vector_top_k(corpus: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id",
                  vec_col: str = "embedding", qid: str = "query_id", qvec: str = "query_vec",
                  max_queries: int = MAX_BROADCAST_QUERIES) -> DataFrame:
-    """The k nearest corpus rows of every query: (query, rank, id, distance)."""
+    """The k nearest corpus rows of every query: (query, rank, id, distance).
+
+    Rows without a vector, on either side, take no part.
+    """
+    corpus, queries = corpus.where(F.col(vec_col).isNotNull()), queries.where(F.col(qvec).isNotNull())
     n = queries.count()
     if n <= max_queries:
         return _top_k_batch(corpus, queries, k, id_col, vec_col, qid, qvec)
@@ -68,10 +75,12 @@ def exemplar_queries(vectors: DataFrame, group_col: str = "label", id_col: str =
 def corpus_upsert(existing: DataFrame, updates: DataFrame, id_col: str = "id", vec_col: str = "embedding",
                   version_col: str = "version") -> DataFrame:
     """Insert or replace by id; the newest version wins; update rows without
-    an embedding are skipped. One aggregate per id (``max_by``), so a hot id
-    costs one partial row per task."""
+    an embedding are skipped. A missing version is the oldest; of equal versions
+    an update beats the stored row, then the larger vector wins. One aggregate
+    per id (``max_by``), so a hot id costs one partial row per task."""
     upd = updates.where(F.col(vec_col).isNotNull())
-    both = existing.unionByName(upd, allowMissingColumns=True)
-    cols = [c for c in both.columns if c != id_col]
-    best = both.groupBy(id_col).agg(F.max_by(F.struct(*[F.col(c) for c in cols]), F.col(version_col)).alias("__b"))
+    both = (existing.withColumn("__new", F.lit(0)).unionByName(upd.withColumn("__new", F.lit(1)), allowMissingColumns=True))
+    cols = [c for c in both.columns if c not in (id_col, "__new")]
+    order = F.struct(F.col(version_col).isNotNull().cast("int"), F.col(version_col), F.col("__new"), F.col(vec_col))
+    best = both.groupBy(id_col).agg(F.max_by(F.struct(*[F.col(c) for c in cols]), order).alias("__b"))
     return best.select(id_col, *[F.col(f"__b.{c}").alias(c) for c in cols])

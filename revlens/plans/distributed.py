@@ -16,7 +16,7 @@ helpers here give the same results with the work spread over the cluster:
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -52,48 +52,47 @@ def _checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-SMALL_RANK_ROWS = 100_000
+def range_cuts(df: DataFrame, columns: list[str], buckets: int) -> list[list[float]]:
+    """Cut points of each numeric column into about ``buckets`` ranges of equal
+    row counts: one approximate-quantile job, at most ``buckets`` - 1 numbers a column."""
+    if buckets < 2:
+        return [[] for _ in columns]
+    probs = [i / buckets for i in range(1, buckets)]
+    return [sorted(set(c)) for c in df.approxQuantile(columns, probs, 1.0 / (4 * buckets))]
+
+
+def range_number(value: Column, cuts: list[float]) -> Column:
+    """Number of cuts below ``value``, as a balanced tree of comparisons."""
+    def node(lo: int, hi: int) -> Column:
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(value > F.lit(float(cuts[mid])), node(mid + 1, hi)).otherwise(node(lo, mid))
+    return node(0, len(cuts))
+
+
+def _buckets(df: DataFrame, buckets: int | None) -> int:
+    return buckets or max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 def dense_ranks_global(df: DataFrame, specs: list[tuple[str, str, bool]], buckets: int | None = None,
-                       checkpoint: bool = True, small_rows: int | None = SMALL_RANK_ROWS) -> DataFrame:
+                       checkpoint: bool = True) -> DataFrame:
     """Add one dense-rank column per ``(value, out, ascending)`` spec.
 
     ``ascending=False`` ranks the largest value first. Null values get a null
-    rank. The input is checkpointed once. When it has at most ``small_rows``
-    rows (exact count of the materialised table) the ranks are plain windows;
-    otherwise one approximate-quantile job gives the cut points of every spec
-    column and each value range is ranked in its own partition.
+    rank. The input is checkpointed once; one approximate-quantile job gives
+    the cut points of every spec column, and each value range is ranked in its
+    own partition.
     """
-    spark = df.sparkSession
-    if buckets is None:
-        buckets = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    buckets = _buckets(df, buckets)
     base = _checkpointed(df) if checkpoint else df
-    if checkpoint and small_rows is not None and base.count() <= small_rows:
-        # size checked on the materialised input: a single window partition
-        # holds at most ``small_rows`` rows
-        out = base
-        for value, name, asc in specs:
-            order = F.col(value).asc_nulls_last() if asc else F.col(value).desc_nulls_last()
-            rank = F.dense_rank().over(Window.orderBy(order))
-            out = out.withColumn(name, F.when(F.col(value).isNotNull(), rank).cast("bigint"))
-        return out
     keys = [f"__key{i}" for i in range(len(specs))]
     keyed = base.select(*[(F.col(v).cast("double") * F.lit(1.0 if asc else -1.0)).alias(k)
                           for k, (v, _, asc) in zip(keys, specs)])
-    probs = [i / buckets for i in range(1, buckets)]
-    cuts_all = keyed.approxQuantile(keys, probs, 1.0 / (4 * buckets)) if probs else [[] for _ in specs]
     out = base
-    for (value, name, asc), cuts in zip(specs, cuts_all):
-        sign = F.lit(1.0 if asc else -1.0)
-        vals = (base.select(value).where(F.col(value).isNotNull()).distinct()
-                .withColumn("__key", F.col(value).cast("double") * sign))
-        cuts = sorted(set(cuts))
-        if cuts:
-            arr = F.array(*[F.lit(float(c)) for c in cuts])
-            vals = vals.withColumn("__b", F.size(F.filter(arr, lambda c: c < F.col("__key"))))
-        else:
-            vals = vals.withColumn("__b", F.lit(0))
+    for (value, name, asc), cuts in zip(specs, range_cuts(keyed, keys, buckets)):
+        key = F.col(value).cast("double") * F.lit(1.0 if asc else -1.0)
+        vals = base.select(value).where(F.col(value).isNotNull()).distinct().withColumn("__b", range_number(key, cuts))
         order = F.col(value).asc() if asc else F.col(value).desc()
         local = vals.withColumn("__local", F.dense_rank().over(Window.partitionBy("__b").orderBy(order)))
         counts = vals.groupBy("__b").agg(F.count(F.lit(1)).alias("__n"))
@@ -113,31 +112,29 @@ def dense_rank_global(df: DataFrame, value: str, out: str, ascending: bool = Fal
     return dense_ranks_global(df, [(value, out, ascending)], buckets)
 
 
-DEFAULT_BLOCK = 10_000
+def order_cuts(df: DataFrame, order: str, buckets: int | None = None) -> list[float]:
+    """Cut points of ``order`` into ranges of about equal row counts, for ``last_non_null_before``."""
+    keyed = df.select(F.col(order).cast("double").alias("__o"))
+    return range_cuts(keyed, ["__o"], _buckets(df, buckets))[0]
 
 
-def last_non_null_before(df: DataFrame, key: str, order: str, values: dict[str, "Column"],
-                         block: int = DEFAULT_BLOCK) -> DataFrame:
+def last_non_null_before(df: DataFrame, key: str, order: str, values: dict[str, Column],
+                         buckets: int | None = None, cuts: list[float] | None = None) -> DataFrame:
     """For each row, the last non-null value of each expression among the
     earlier rows (smaller ``order``) with the same ``key``: ``{out: expr}``.
 
     Two levels, so one key (say a conversation holding a third of all rows)
-    is never one window partition: rows are cut into blocks of ``block``
-    consecutive ``order`` values; a window per (key, block) gives the value
-    from earlier rows of the same block, and a window over the per-block
-    summaries (one row per block) carries the last value of earlier blocks.
+    is never one window partition: ``order`` is cut into ranges of about equal
+    row counts, whatever its scale and spread; a window per (key, range) gives
+    the value from earlier rows of the same range, and a window over the
+    per-range summaries (at most ``buckets`` rows a key) carries the last value
+    of earlier ranges. ``cuts`` from ``order_cuts`` may be passed to reuse them.
     """
-    from pyspark.sql import Column  # noqa: F401
-    b = F.floor(F.col(order) / F.lit(block))
-    base = df.withColumn("__blk", b).withColumns({f"__v_{o}": e for o, e in values.items()})
+    cuts = order_cuts(df, order, buckets) if cuts is None else cuts
+    base = df.withColumn("__blk", range_number(F.col(order).cast("double"), cuts)).withColumns(
+        {f"__v_{o}": e for o, e in values.items()})
     w_local = Window.partitionBy(key, "__blk").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     local = base.withColumns({f"__l_{o}": F.last(f"__v_{o}", ignorenulls=True).over(w_local) for o in values})
-    lo, hi = df.agg(F.min(order), F.max(order)).first()
-    if lo is None or (lo >= 0 and hi < block):
-        # checked: every row is in block 0, so each (key, block) window already
-        # holds at most ``block`` orders and there is nothing to carry
-        out = local.withColumns({o: F.col(f"__l_{o}") for o in values})
-        return out.drop("__blk", *[f"__{p}_{o}" for o in values for p in ("v", "l")])
     summary = base.groupBy(key, "__blk").agg(
         *[F.max_by(F.col(f"__v_{o}"), F.when(F.col(f"__v_{o}").isNotNull(), F.col(order))).alias(f"__s_{o}")
           for o in values])

@@ -27,28 +27,23 @@ def register(name: str):
     return deco
 
 
-_VIEWS: dict[tuple[int, str, str], DataFrame] = {}
-
-
 class Modules:
     """Lazy CRM module frames for one directory.
 
-    View handles are reused per (session, directory): building a view is
-    plan construction and analysis only, so a handle can serve many queries.
+    A view is built once per ``Modules`` object, so one query's uses of a
+    module share the same plan; nothing outlives the object.
     """
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.cat = Catalog(spark, sf_dir)
         self.spark = spark
         self.sf_dir = sf_dir
+        self._built: dict[str, DataFrame] = {}
 
     def _view(self, name: str) -> DataFrame:
-        key = (id(self.spark), self.sf_dir, name)
-        df = _VIEWS.get(key)
-        if df is None or df.sparkSession is not self.spark:
-            df = crm_views.VIEW_BUILDERS[name](self.cat)
-            _VIEWS[key] = df
-        return df
+        if name not in self._built:
+            self._built[name] = crm_views.VIEW_BUILDERS[name](self.cat)
+        return self._built[name]
 
     @property
     def leads(self) -> DataFrame:

@@ -61,13 +61,17 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8,
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder, naming a scratch one only when unset.
+    """Return the shared checkpoint folder, naming a scratch one only for a local master.
 
-    On a cluster ``spark.checkpoint.dir`` names a shared folder (HDFS/S3); it
-    is respected as is. Local runs without one get a fresh ``/tmp`` folder.
+    On a cluster ``spark.checkpoint.dir`` must name a folder that the driver and
+    all executors share; without one this raises, since a folder of one machine
+    would lose data. Local runs get a fresh ``/tmp`` folder.
     """
     current = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not current:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir is not set: name a folder that the driver and all executors share")
         current = tempfile.mkdtemp(prefix="revlens-ckpt-")
         spark.conf.set("spark.checkpoint.dir", current)
     if spark.sparkContext.getCheckpointDir() is None:

@@ -26,7 +26,8 @@ from revlens.functions.columns import MONEY, parse_date_lenient, parse_number_le
 from revlens.sources.registry import (DATE_COLUMNS, MODULES, NUMERIC_COLUMNS, REQUIRED_DEALS_COLUMNS,
                                       REQUIRED_LEADS_COLUMNS, alias_lookup, normalize_label)
 
-UNMAPPED_QUOTE_LIMIT = 8
+#: RFC 4180: a quote inside a quoted value is written twice
+CSV = {"header": True, "quote": '"', "escape": '"'}
 
 
 # ------------------------------------------------------------------ headers
@@ -146,9 +147,8 @@ class LoadResult:
 
 
 def read_csv_strings(spark: SparkSession, path: str) -> DataFrame:
-    """CSV with a header, every column read as a string."""
-    return (spark.read.option("header", True).option("inferSchema", False)
-            .option("mode", "PERMISSIVE").csv(path))
+    """CSV (RFC 4180) with a header, every column read as a string; quoted values may hold line breaks."""
+    return spark.read.options(**CSV, inferSchema=False, multiLine=True, mode="PERMISSIVE").csv(path)
 
 
 DEALS_SCHEMA = ("Deal_ID bigint, Lead_ID bigint, Account_ID bigint, Product_ID bigint, Deal_Stage string, "
@@ -159,14 +159,17 @@ LEADS_SCHEMA = ("Lead_ID bigint, Company_Name string, Lead_Source string, Indust
 
 def scan_csv_strict(spark: SparkSession, path: str, schema: str, required, name: str) -> DataFrame:
     """A1/A3/A4: read a CSV with a header and an explicit schema (no inference
-    pass); a malformed value fails the job (FAILFAST), as the strict loader
-    raises; missing required columns raise ``ValueError`` before any job."""
+    pass); a malformed value fails any job over the file (FAILFAST on every
+    column, read or not, since columns are not pruned before parsing); missing
+    required columns raise ``ValueError`` before any job."""
     header = read_csv_strings(spark, path).columns
     missing = [c for c in required if c not in header]
     if missing:
         raise ValueError(f"{name} is missing required columns: {', '.join(missing)}")
-    return (spark.read.schema(schema).option("header", True).option("mode", "FAILFAST")
-            .option("enforceSchema", False).csv(path))
+    raw = spark.read.schema(schema).options(**CSV, multiLine=True, mode="FAILFAST", enforceSchema=False).csv(path)
+    required_present = [F.col(c) for c in required if c in raw.columns]
+    # the filter reads the required columns, so a plain count parses them too
+    return raw.where(F.hash(*required_present).isNotNull()) if required_present else raw
 
 
 def load_module_file(spark: SparkSession, path: str, file_name: str | None = None) -> LoadResult:
@@ -183,40 +186,42 @@ def load_module_file(spark: SparkSession, path: str, file_name: str | None = Non
 
 
 def load_modules(spark: SparkSession, paths: list[str]) -> tuple[dict[str, DataFrame], dict[str, list[str]], list[str]]:
-    """A10: load many files; the latest file for a module wins; unknown files
-    are listed; at most eight unmapped headers are quoted per module."""
-    modules: dict[str, DataFrame] = {}
-    warnings: dict[str, list[str]] = {}
-    unknown_files: list[str] = []
-    for p in paths:
-        r = load_module_file(spark, p)
-        if r.module == "Unknown":
-            unknown_files.append(r.file_name)
-            warnings[r.file_name] = r.warnings
-            continue
-        existing = warnings.setdefault(r.module, [])
-        if r.module in modules:
-            existing.append(f"Multiple uploads matched {r.module}. Using the latest file: {r.file_name}.")
-        modules[r.module] = r.frame
-        mw = []
-        if r.missing_required:
-            mw.append(f"{r.module} is missing required columns: {', '.join(r.missing_required)}.")
-        if r.unknown_columns:
-            mw.append(f"Unmapped columns kept as-is: {', '.join(r.unknown_columns[:UNMAPPED_QUOTE_LIMIT])}.")
-        warnings[r.module] = existing + mw
-    return modules, warnings, unknown_files
+    """A10: load many files and group the results by module. The last file of a
+    module is used; earlier ones leave a warning, as do an unknown file,
+    missing required columns, unmapped headers (all of them), an empty module
+    and repeated ids."""
+    results = [load_module_file(spark, p) for p in paths]
+    unknown = [r for r in results if r.module == "Unknown"]
+    by_module: dict[str, list[LoadResult]] = {}
+    for r in results:
+        if r.module != "Unknown":
+            by_module.setdefault(r.module, []).append(r)
+    used = {m: rs[-1].frame for m, rs in by_module.items()}
+    warnings = {r.file_name: list(r.warnings) for r in unknown}
+    for m, rs in by_module.items():
+        notes = [f"Multiple uploads matched {m}. Using the latest file: {r.file_name}." for r in rs[1:]]
+        for r in rs:
+            if r.missing_required:
+                notes.append(f"{m} is missing required columns: {', '.join(r.missing_required)}.")
+            if r.unknown_columns:
+                notes.append(f"Unmapped columns kept as-is: {', '.join(r.unknown_columns)}.")
+        warnings[m] = notes
+    if used:
+        for row in module_validation(used).collect():  # one row a module
+            found = [w for w in row["Warnings"].split(" | ") if w]
+            warnings[row["Module"]] += [w for w in found if w not in warnings[row["Module"]]]
+    return used, warnings, [r.file_name for r in unknown]
 
 
 def module_diagnostics(r: LoadResult, sample_rows: int = 3) -> DataFrame:
     """Row count, changed mappings, normalised columns, missing required
     columns, and the first rows as text with nulls shown as ''."""
     f = r.frame
-    sample = f.limit(sample_rows).select(
-        F.to_json(F.struct(*[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).alias(c)
-                             for c in f.columns])).alias("row"))
+    text = F.to_json(F.struct(*[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).alias(c) for c in f.columns]))
+    sample = f.select(text.alias("row")).orderBy("row").limit(sample_rows)  # first by their text, whatever the file order
     rows = f.agg(F.count(F.lit(1)).alias("Row_Count"))
     changed = {k: v for k, v in r.mapping.items() if k != v}
-    samples = sample.agg(F.collect_list("row").alias("Sample_Rows"))  # at most sample_rows rows
+    samples = sample.agg(F.sort_array(F.collect_list("row")).alias("Sample_Rows"))  # at most sample_rows rows
     meta = f.sparkSession.createDataFrame(
         [(r.module, r.file_name, list(r.original_columns), changed, list(f.columns), r.missing_required)],
         "Module string, File_Name string, Original_Columns array<string>, Mapped_Columns map<string,string>, "
@@ -291,18 +296,21 @@ def materialize(df: DataFrame, path: str, partition_by: list[str] | None = None)
 
 
 def export_csv(df: DataFrame, path: str) -> str:
-    """Write any result as CSV with a header (one folder of part files)."""
-    df.write.mode("overwrite").option("header", True).csv(path)
+    """Write any result as CSV (RFC 4180) with a header (one folder of part files)."""
+    df.write.mode("overwrite").options(**CSV).csv(path)
     return path
 
 
 def table_signature(modules: dict[str, DataFrame]) -> DataFrame:
-    """Per module: column list, row count and an order-free content hash
-    (sum of 64-bit row hashes as a decimal), used to decide a refresh."""
+    """Per module: column list, row count and an order-free content hash,
+    used to decide a refresh: the sum of the first 15 hex digits of the MD5 of
+    each row's text (values by column, null as a backslash and N, joined by
+    0x1F), as a decimal."""
     from functools import reduce
     frames = []
     for name, df in modules.items():
-        h = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]).cast("decimal(38,0)")
+        text = F.concat_ws("\x1f", *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("\\N")) for c in df.columns])
+        h = F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("decimal(38,0)")
         frames.append(df.agg(F.count(F.lit(1)).alias("Rows"),
                              F.coalesce(F.sum(h), F.lit(0).cast("decimal(38,0)")).cast("string").alias("Signature"))
                       .select(F.lit(name).alias("Module"), F.lit(",".join(df.columns)).alias("Columns"),

@@ -12,26 +12,11 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 
-# DataFrame handles per (session, path): re-reading a Parquet path lists its
-# files and reads footers again; a handle is reused instead (no data is cached).
-_HANDLES: dict[tuple[int, str], DataFrame] = {}
-
-
 def read_table(spark: SparkSession, base: str, name: str) -> DataFrame:
+    """A fresh reader: files added or replaced since the last call are seen."""
     if name not in TABLES:
         raise KeyError(f"unknown table {name!r}")
-    path = f"{base.rstrip('/')}/{name}.parquet"
-    key = (id(spark), path)
-    df = _HANDLES.get(key)
-    if df is None or df.sparkSession is not spark:
-        df = spark.read.parquet(path)
-        _HANDLES[key] = df
-    return df
-
-
-def forget_tables() -> None:
-    """Drop the handles (after the files under a path were replaced)."""
-    _HANDLES.clear()
+    return spark.read.parquet(f"{base.rstrip('/')}/{name}.parquet")
 
 
 class Catalog:
