@@ -176,6 +176,6 @@ def chart_explanation(spec: dict, data: DataFrame) -> DataFrame:
 
 
 def safe_preview(df: DataFrame, n_columns: int = 5) -> DataFrame:
-    """Drop identifier and company columns, keep the first five others."""
-    keep = [c for c in df.columns if not (c.endswith("_ID") or c in ("Company_Name", "Account_Name", "Contact_Name"))]
+    """Drop columns whose name contains ``id`` or ``company``, keep the first five others."""
+    keep = [c for c in df.columns if "id" not in c.lower() and "company" not in c.lower()]
     return df.select(*keep[:n_columns])

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from revlens.functions import vocab as V
 from revlens.functions.text import (first_int, has, has_any, longest_phrase, matches_any, normalize, ordered_hits,
                                     starts_any, strip_lower, tokens)
-from revlens.plans.distributed import last_non_null_before
+from revlens.plans.distributed import last_non_null_before, materialized, order_cuts
 from revlens.plans.semantic import dimension_synonym_map, metric_synonym_map
 
 U = "(?U)"  # Unicode-aware \b, \s, \d, as Python's str patterns are
@@ -34,32 +34,58 @@ def _prepend(arr: Column, item: Column) -> Column:
     return F.when(item.isNull() | F.array_contains(arr, item), arr).otherwise(F.concat(F.array(item), arr))
 
 
-_STAGES: dict[tuple[int, str], list[dict]] = {}
+PARTS = ("_lim0", "_sort0", "_early", "_phrase_dim", "_metric", "_dim", "_metrics", "_dims", "_full")
 
 
-def annotate_questions(df: DataFrame, text_col: str = "text") -> DataFrame:
+def annotate_questions(df: DataFrame, text_col: str = "text", parts: bool = True) -> DataFrame:
     """K1: add the structured fields of each question (no prior context).
 
     Output columns: q_norm, q_limit, q_sort, q_metric, q_metrics, q_dimension,
     q_dimensions, q_intent_type, q_intent, q_wants_chart, q_chart_type,
     q_time_grain, q_percentage, q_full_distribution, q_comparison,
     q_recommendation, q_filter_region, q_pipeline_only, q_dataset,
-    q_requires_join, q_join_key, q_aggregation.
-
-    The compiled column expressions are built once per JVM and text column
-    and reused (they are plain expression trees, independent of the data).
+    q_requires_join, q_join_key, q_aggregation; and ``PARTS``, the fields
+    before the rules that depend on context, which ``annotate_followups`` needs.
     """
-    from pyspark import SparkContext
-    key = (id(SparkContext._active_spark_context), text_col)
-    stages = _STAGES.get(key)
-    if stages is None:
-        stages = _annotation_stages(text_col)
-        _STAGES[key] = stages
     d = df
-    for stage in stages:
+    for stage in _annotation_stages(text_col):
         d = d.withColumns(stage)
-    return d.drop("_lim0", "_sort0", "_early", "_phrase_metric", "_phrase_dim", "_kw_metrics", "_kw_dims",
-                  "_metric", "_dim", "_metrics", "_dims", "_wants", "_full")
+    return d.drop("_phrase_metric", "_kw_metrics", "_kw_dims", "_wants", *(() if parts else PARTS))
+
+
+def _wants_chart(n: Column, metric: Column, dim: Column) -> Column:
+    """Chart flag of a question for a metric and dimension (either may be null)."""
+    explicit = has_any(n, V.CHART_KEYWORDS)
+    grouped = F.coalesce(metric.isin(*V.GROUPED_METRICS), F.lit(False))
+    wants = explicit | (has(n, " by ") & grouped & starts_any(n, V.GROUPED_CHART_PREFIXES))
+    return F.coalesce(F.when((metric == "deal_count") & (dim == "Deal_Stage") & ~explicit, F.lit(False)).otherwise(wants), F.lit(False))
+
+
+def _shape(n: Column, metric: Column, dim: Column, wants: Column, full: Column, lim0: Column) -> dict[str, Column]:
+    """The fields that follow from a metric, a dimension and the chart flag."""
+    grouped_dim = F.coalesce(metric.isin(*V.GROUPED_METRICS), F.lit(False)) & dim.isNotNull()
+    itype = (F.when((metric == "deal_count") & (dim == "Deal_Stage") & ~wants, F.lit("table"))
+             .when(grouped_dim & wants, F.lit("grouped_chart"))
+             .when(grouped_dim, F.lit("grouped_metric"))
+             .when(wants & metric.isNotNull(), F.lit("chart"))
+             .otherwise(F.lit("metric")))
+    who = has_any(n, ("which ", "who "))
+    itype = F.when(who & grouped_dim, F.when(wants | full, F.lit("grouped_chart")).otherwise(F.lit("grouped_metric"))) \
+        .otherwise(itype)
+    lim = F.when(has_any(n, ("highest revenue", "most revenue", "strongest pipeline")) & dim.isNotNull(),
+                 F.coalesce(lim0, F.lit(1))).otherwise(lim0)
+    lim = F.when(who, F.coalesce(lim, F.lit(1))).otherwise(lim)
+    lim = F.when(has(n, "worst") & lim.isNull(), F.lit(3)).otherwise(lim)
+    return {
+        "limit": lim, "intent_type": itype,
+        "chart_type": F.when(has(n, "pie chart"), F.lit("pie")).when(has_any(n, ("trend", "month")), F.lit("line"))
+        .when(wants, F.lit("bar")),
+        "pipeline_only": F.coalesce((metric == "pipeline") & ~F.coalesce(dim == "Forecast_Category", F.lit(False)),
+                                    F.lit(False)),
+        "aggregation": (F.when(metric == "average_deal_size", F.lit("mean")).when(metric == "deal_count", F.lit("count"))
+                        .when(metric.isin("win_rate", "forecast_quality"), F.lit("ratio"))
+                        .when(metric == "lead_source_conversion", F.lit("comparison")).otherwise(F.lit("sum"))),
+    }
 
 
 def _annotation_stages(text_col: str) -> list[dict]:
@@ -98,47 +124,24 @@ def _annotation_stages(text_col: str) -> list[dict]:
            .when(has_any(n, ("customer type", "customer segment", "segment")), F.lit("Customer_Type"))
            .otherwise(F.col("_phrase_dim")))
     stages.append({"_metric": metric, "_dim": dim})
-    grouped = F.col("_metric").isin(*V.GROUPED_METRICS)
-    explicit_chart = has_any(n, V.CHART_KEYWORDS)
-    wants = explicit_chart | (has(n, " by ") & F.coalesce(grouped, F.lit(False))
-                              & starts_any(n, V.GROUPED_CHART_PREFIXES))
-    wants = F.when((F.col("_metric") == "deal_count") & (F.col("_dim") == "Deal_Stage") & ~explicit_chart,
-                   F.lit(False)).otherwise(wants)
+    wants = _wants_chart(n, F.col("_metric"), F.col("_dim"))
     stages.append({
         "_metrics": _prepend(F.col("_kw_metrics"), F.col("_metric")),
         "_dims": _prepend(F.col("_kw_dims"), F.col("_dim")),
-        "_wants": F.coalesce(wants, F.lit(False)),
+        "_wants": wants,
         "_full": has_any(n, ("distribution", "all regions", "across all", "of each")),
     })
     dim_c, metric_c, wants_c, full_c = F.col("_dim"), F.col("_metric"), F.col("_wants"), F.col("_full")
-    grouped_dim = F.coalesce(grouped, F.lit(False)) & dim_c.isNotNull()
-    itype = (F.when((metric_c == "deal_count") & (dim_c == "Deal_Stage") & ~wants_c, F.lit("table"))
-             .when(grouped_dim & wants_c, F.lit("grouped_chart"))
-             .when(grouped_dim, F.lit("grouped_metric"))
-             .when(wants_c & metric_c.isNotNull(), F.lit("chart"))
-             .otherwise(F.lit("metric")))
-    who = has_any(n, ("which ", "who "))
-    itype = F.when(who & grouped_dim, F.when(wants_c | full_c, F.lit("grouped_chart")).otherwise(F.lit("grouped_metric"))) \
-        .otherwise(itype)
-    lim = F.col("_lim0")
-    lim = F.when(has_any(n, ("highest revenue", "most revenue", "strongest pipeline")) & dim_c.isNotNull(),
-                 F.coalesce(lim, F.lit(1))).otherwise(lim)
-    lim = F.when(who, F.coalesce(lim, F.lit(1))).otherwise(lim)
-    lim = F.when(has(n, "worst") & lim.isNull(), F.lit(3)).otherwise(lim)
+    shape = _shape(n, metric_c, dim_c, wants_c, full_c, F.col("_lim0"))
     region_filter = F.when(has(n, "filter to dubai") | n.endswith("to dubai") | (has(n, "to dubai") & has(n, "filter")),
                            F.lit("Dubai"))
-    chart_type = F.when(has(n, "pie chart"), F.lit("pie")).when(has_any(n, ("trend", "month")), F.lit("line")) \
-        .when(wants_c, F.lit("bar"))
-    agg = (F.when(metric_c == "average_deal_size", F.lit("mean")).when(metric_c == "deal_count", F.lit("count"))
-           .when(metric_c.isin("win_rate", "forecast_quality"), F.lit("ratio"))
-           .when(metric_c == "lead_source_conversion", F.lit("comparison")).otherwise(F.lit("sum")))
     joined = F.array_contains(F.col("_dims"), "Customer_Type")
     general = {
-        "q_limit": lim, "q_sort": F.col("_sort0"), "q_metric": metric_c, "q_metrics": F.col("_metrics"),
-        "q_dimension": dim_c, "q_dimensions": F.col("_dims"), "q_intent_type": itype,
+        "q_limit": shape["limit"], "q_sort": F.col("_sort0"), "q_metric": metric_c, "q_metrics": F.col("_metrics"),
+        "q_dimension": dim_c, "q_dimensions": F.col("_dims"), "q_intent_type": shape["intent_type"],
         "q_intent": F.when(metric_c.isNotNull() | (F.size("_metrics") > 0), F.lit("analytics"))
         .otherwise(F.lit("unsupported")),
-        "q_wants_chart": wants_c, "q_chart_type": chart_type,
+        "q_wants_chart": wants_c, "q_chart_type": shape["chart_type"],
         "q_time_grain": F.when(has(n, "month"), F.lit("month")),
         "q_percentage": has_any(n, ("percentage", "percent", "share")),
         "q_full_distribution": full_c,
@@ -146,13 +149,12 @@ def _annotation_stages(text_col: str) -> list[dict]:
         "q_recommendation": has_any(n, ("management priority", "management focus", "recommend", "recommendation",
                                         "priority")),
         "q_filter_region": region_filter,
-        "q_pipeline_only": F.coalesce((metric_c == "pipeline") & ~F.coalesce(dim_c == "Forecast_Category", F.lit(False)),
-                                      F.lit(False)),
+        "q_pipeline_only": shape["pipeline_only"],
         "q_dataset": F.when(joined, F.lit("deals_joined_leads"))
         .when(metric_c == "lead_source_conversion", F.lit("leads")).otherwise(F.lit("deals")),
         "q_requires_join": joined,
         "q_join_key": F.when(joined, F.lit("Lead_ID")),
-        "q_aggregation": agg,
+        "q_aggregation": shape["aggregation"],
     }
     # the early-return shapes override the general fields
     e = F.col("_early")
@@ -308,35 +310,87 @@ def rewrite_followup(question: Column, context: Column, title: Column) -> Column
             .otherwise(question))
 
 
+RESOLVED = ("r_metric", "r_metrics", "r_dimension", "r_dimensions", "r_filter_region", "r_dataset", "r_inherited",
+            "r_intent", "r_intent_type", "r_limit", "r_sort", "r_wants_chart", "r_chart_type", "r_pipeline_only",
+            "r_aggregation", "r_requires_join", "r_join_key")
+
+
 def annotate_followups(questions: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn") -> DataFrame:
-    """K2: context inheritance over a conversation.
-
-    The context of a question is the last metric / dimension / region filter
-    stated by an earlier question of the same conversation (unsupported
-    questions do not change it). Inherit the metric when the question has
-    none and names a dimension, an order, a limit or a context word, or has
-    no metric keyword at all; inherit the dimension on context words; inherit
-    the filter unless the question says "filter". A question with a metric of
-    its own or an inherited one is an analytics question.
+    """K2: resolve each question of a conversation against its context.
+
+    ``questions`` comes from ``annotate_questions``. An answered question (one
+    with a metric, its own or inherited) replaces the whole context with its
+    resolved metric, metrics, dimension, dataset and region filter; a
+    question that cannot be answered leaves it. Per field a question therefore
+    sets a value, clears it or keeps it, and the context is the last set or
+    clear before the turn. Which of the three holds depends on the context
+    only through fields settled in an earlier pass, so four carries give the
+    sequential result:
+
+    1. whether an earlier question had a metric;
+    2. the kind of the last answered question and the last stated metrics list;
+    3. leading metric, dimension and region filter (a question without any
+       metric word takes the first of the inherited list, so the first such
+       question after a stated list also sets the leading metric);
+    4. the metrics list and the dataset, which use the fields of pass 3.
+
+    The early shapes (conversion, forecast quality, trend, best rep) inherit
+    nothing and clear the filter. All fields that follow from metric and
+    dimension are computed again after inheritance.
     """
-    n = F.col("q_norm")
-    d = last_non_null_before(questions, conv_col, turn_col, {
-        "ctx_metric": F.col("q_metric"), "ctx_dimension": F.col("q_dimension"),
-        "ctx_filter_region": F.col("q_filter_region")})
-    inherit_metric = (F.col("q_metric").isNull() & F.col("ctx_metric").isNotNull()
-                      & (F.col("q_dimension").isNotNull() | F.col("q_sort").isNotNull() | F.col("q_limit").isNotNull()
-                         | has_any(n, V.CONTEXT_METRIC_TOKENS) | (F.size("q_metrics") == 0)))
-    inherit_dim = (F.col("q_dimension").isNull() & F.col("ctx_dimension").isNotNull()
-                   & has_any(n, V.CONTEXT_DIMENSION_TOKENS))
-    inherit_filter = (F.col("q_filter_region").isNull() & F.col("ctx_filter_region").isNotNull() & ~has(n, "filter"))
-    return d.withColumns({
-        "r_metric": F.when(inherit_metric, F.col("ctx_metric")).otherwise(F.col("q_metric")),
-        "r_dimension": F.when(inherit_dim, F.col("ctx_dimension")).otherwise(F.col("q_dimension")),
-        "r_filter_region": F.when(inherit_filter, F.col("ctx_filter_region")).otherwise(F.col("q_filter_region")),
-        "r_inherited": inherit_metric | inherit_dim,
-        "r_intent": F.when(inherit_metric | F.col("q_metric").isNotNull() | (F.size("q_metrics") > 0),
-                           F.lit("analytics")).otherwise(F.lit("unsupported")),
-    })
+    n, general = F.col("q_norm"), F.col("_early").isNull()
+    cuts = order_cuts(questions, turn_col)
+    questions = materialized(questions)  # a carry uses its input twice: the parsed questions are written once
+
+    def carry(df: DataFrame, values: dict[str, Column]) -> DataFrame:
+        return last_non_null_before(df, conv_col, turn_col, values, cuts=cuts)
+
+    own = F.col("q_metric").isNotNull() | (F.size("q_metrics") > 0)
+    d = carry(questions, {"_any": F.when(own, F.lit(True))})
+    any_ = F.coalesce(F.col("_any"), F.lit(False))
+    d = d.withColumns({
+        "_a": general & F.col("_metric").isNull() & any_
+        & (F.col("_phrase_dim").isNotNull() | F.col("_sort0").isNotNull() | F.col("_lim0").isNotNull()
+           | has_any(n, V.CONTEXT_METRIC_TOKENS)),
+        "_keep_dim": general & has_any(n, V.CONTEXT_DIMENSION_TOKENS),
+        "_answered": own | any_, "_joined": F.lit(False)})
+    d = d.withColumn("_b", general & any_ & (F.size("_metrics") == 0) & ~F.col("_a"))
+    text = lambda c: F.struct(c.cast("string").alias("v"))
+    stated = F.col("_answered") & ~F.col("_a") & ~F.col("_b")
+    d = carry(d, {"_last": F.when(F.col("_answered"), F.when(stated, F.lit("stated")).otherwise(F.lit("inherited"))),
+                  "_list": F.when(stated, F.col("q_metrics"))})
+    d = carry(materialized(d), {
+        "ctx_metric": F.when(stated, F.coalesce("q_metric", F.get("q_metrics", F.lit(0))))
+        .when(F.col("_b") & (F.col("_last") == "stated"), F.get("_list", F.lit(0))),
+        "_ctx_dim": F.when(F.col("_answered") & ~(F.col("q_dimension").isNull() & F.col("_keep_dim")), text(F.col("q_dimension"))),
+        "_ctx_filter": F.when(F.col("_answered") & (~general | F.col("q_filter_region").isNotNull() | has(n, "filter")),
+                              text(F.col("q_filter_region")))})
+    d = d.withColumns({"ctx_dimension": F.col("_ctx_dim.v"), "ctx_filter_region": F.col("_ctx_filter.v")})
+    d = d.withColumns({
+        "_am": F.when(F.col("_a"), F.col("ctx_metric")).otherwise(F.col("q_metric")),
+        "r_dimension": F.when(F.col("_keep_dim"), F.coalesce("q_dimension", "ctx_dimension")).otherwise(F.col("q_dimension")),
+        "_dim_inherited": F.col("_keep_dim") & F.col("_phrase_dim").isNull() & F.col("ctx_dimension").isNotNull(),
+        "r_filter_region": F.when(general & F.col("q_filter_region").isNull() & ~has(n, "filter"), F.col("ctx_filter_region"))
+        .otherwise(F.col("q_filter_region"))})
+    d = d.withColumn("r_dimensions", F.when(general, _prepend(F.col("q_dimensions"), F.col("r_dimension"))).otherwise(F.col("q_dimensions")))
+    d = d.withColumn("_joined", general & F.array_contains("r_dimensions", "Customer_Type"))
+    own_metrics = F.when(F.col("_a"), _prepend(F.col("q_metrics"), F.col("ctx_metric"))).otherwise(F.col("q_metrics"))
+    own_dataset = (F.when(~general, F.col("q_dataset")).when(F.col("_joined"), F.lit("deals_joined_leads"))
+                   .when(~any_, F.when(F.col("q_metric") == "lead_source_conversion", F.lit("leads")).otherwise(F.lit("deals"))))
+    d = carry(d, {"ctx_metrics": F.when(F.col("_answered") & ~F.col("_b"), own_metrics), "ctx_dataset": F.when(F.col("_answered"), own_dataset)})
+    d = d.withColumns({
+        "r_metrics": F.when(F.col("_b"), F.col("ctx_metrics")).otherwise(own_metrics),
+        "r_dataset": F.coalesce(own_dataset, F.col("ctx_dataset"), F.lit("deals")),
+        "_rw": F.when(general, _wants_chart(n, F.col("_am"), F.col("r_dimension"))).otherwise(F.col("q_wants_chart"))})
+    shape = _shape(n, F.col("_am"), F.col("r_dimension"), F.col("_rw"), F.col("_full"), F.col("_lim0"))
+    resolved = {f"r_{k}": F.when(general, v).otherwise(F.col(f"q_{k}")) for k, v in shape.items()}
+    d = d.withColumns({
+        **resolved, "r_wants_chart": F.col("_rw"), "r_sort": F.col("q_sort"),
+        "r_metric": F.when(F.col("_b"), F.get("r_metrics", F.lit(0))).otherwise(F.col("_am")),
+        "r_inherited": general & (F.col("_a") | F.col("_b") | F.col("_dim_inherited")),
+        "r_intent": F.when(F.col("_answered"), F.lit("analytics")).otherwise(F.lit("unsupported")),
+        "r_requires_join": F.col("_joined"), "r_join_key": F.when(F.col("_joined"), F.lit("Lead_ID"))})
+    return d.drop("_any", "_last", "_list", "_a", "_b", "_keep_dim", "_answered", "_ctx_dim", "_ctx_filter", "_am", "_dim_inherited", "_joined", "_rw")
 
 
 def question_volume(annotated: DataFrame) -> DataFrame:

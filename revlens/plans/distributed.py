@@ -44,7 +44,7 @@ def share_of_total(df: DataFrame, value: str, out: str = "Share_Percentage") ->
     return j.withColumn(out, share).drop("__total")
 
 
-def _checkpointed(df: DataFrame) -> DataFrame:
+def materialized(df: DataFrame) -> DataFrame:
     """Materialise ``df`` once in the shared checkpoint folder (reliable
     checkpoint, survives executor loss) so later jobs do not recompute it."""
     from revlens.session import ensure_checkpoint_dir
@@ -85,7 +85,7 @@ def dense_ranks_global(df: DataFrame, specs: list[tuple[str, str, bool]], bucket
     own partition.
     """
     buckets = _buckets(df, buckets)
-    base = _checkpointed(df) if checkpoint else df
+    base = materialized(df) if checkpoint else df
     keys = [f"__key{i}" for i in range(len(specs))]
     keyed = base.select(*[(F.col(v).cast("double") * F.lit(1.0 if asc else -1.0)).alias(k)
                           for k, (v, _, asc) in zip(keys, specs)])

@@ -773,38 +773,37 @@ def _summary_docs_parts() -> tuple[str, list[str]]:
     ins_body = "SELECT 0 AS Insight_Order" + ins[1]
     rows = [
         _doc_row(0, "'summary_top_lead_source'",
-                 f"'Current lead source summary: the top lead source by estimated value is ' || Lead_Source || ' at ' "
-                 f"|| {COMPACT('Total_Estimated_Value')} || '. These values were computed by Spark from the active leads data.'",
+                 f"'Best lead source by estimated value: ' || Lead_Source || ' at ' "
+                 f"|| {COMPACT('Total_Estimated_Value')} || '.'",
                  "business_summary", "summaries", "'lead_source'", "src"),
         _doc_row(1, "'summary_forecast'",
-                 "'Current forecast summary: ' || t || '. These values were computed by Spark from the active deals data.'",
+                 "'Amount by forecast category: ' || t || '.'",
                  "business_summary", "summaries", "'forecast'", f"{fc} WHERE n > 0"),
         _doc_row(2, "'summary_sales_rep'",
-                 f"'Current sales rep performance summary: ' || Sales_Rep || ' leads deal amount at ' || "
-                 f"{COMPACT('Total_Deal_Amount')} || '. This summary was computed by Spark from the active leads and deals data.'",
+                 f"'Largest deal amount by sales rep: ' || Sales_Rep || ' with ' || "
+                 f"{COMPACT('Total_Deal_Amount')} || '.'",
                  "business_summary", "summaries", "'sales_rep'", "rep"),
         _doc_row(3, "'summary_top_product'",
-                 f"'Current top product category by revenue: ' || Product_Category || ' at ' || {COMPACT('Total_Amount')} "
-                 f"|| '. This summary was computed by Spark from the active deals data.'",
+                 f"'Largest product category by revenue: ' || Product_Category || ' at ' || {COMPACT('Total_Amount')} "
+                 f"|| '.'",
                  "business_summary", "summaries", "'product_category'", prod),
         _doc_row(4, "'summary_region_pipeline'",
-                 f"'Current regional pipeline summary: the top region by pipeline value is ' || Region || ' at ' || "
-                 f"{COMPACT('Total_Amount')} || '. This summary was computed by Spark from the active data.'",
+                 f"'Largest region by open pipeline: ' || Region || ' at ' || "
+                 f"{COMPACT('Total_Amount')} || '.'",
                  "business_summary", "summaries", "'region_pipeline'", regp),
         _doc_row(5, "'summary_lead_conversion'",
-                 f"'Current lead conversion summary: ' || Lead_Source || ' has ' || {COMPACT('Estimated_Value')} || "
-                 f"' estimated value with a conversion rate of ' || {FIXED1('Conversion_Rate * 100.0')} || "
-                 f"'%. These values were computed by Spark using Lead_ID to connect leads and deals.'",
+                 f"'First lead source by conversion: ' || Lead_Source || ' has ' || {COMPACT('Estimated_Value')} || "
+                 f"' of estimated value and converts ' || {FIXED1('Conversion_Rate * 100.0')} || "
+                 f"'% of its leads.'",
                  "business_summary", "summaries", "'lead_conversion'", conv),
         _doc_row(6, "'summary_forecast_quality'",
-                 f"'Current forecast quality summary: ' || Product_Category || ' has the weakest forecast quality with ' "
-                 f"|| {COMPACT('w')} || ' weak forecast amount representing ' || {FIXED1('r * 100.0')} || "
-                 f"'% of its category total. These values were computed by Spark from the active deals data.'",
+                 f"'Weakest forecast by product category: ' || Product_Category || ' with ' "
+                 f"|| {COMPACT('w')} || ' in weak categories, ' || {FIXED1('r * 100.0')} || "
+                 f"'% of its total.'",
                  "business_summary", "summaries", "'forecast_quality'", fq),
         _doc_row(7, "'summary_monthly_pipeline_trend'",
-                 f"'Current monthly pipeline trend summary: the highest pipeline month is ' || Closing_Month || ' at ' "
-                 f"|| {COMPACT('Total_Amount')} || '. This trend was computed by Spark from the active deals data and "
-                 f"missing months were filled with zero.'",
+                 f"'Month with the most pipeline: ' || Closing_Month || ' at ' "
+                 f"|| {COMPACT('Total_Amount')} || '. Months without deals count as zero.'",
                  "business_summary", "summaries", "'monthly_pipeline_trend'", peak),
         ("SELECT 'auto_insight_' || CAST(DENSE_RANK() OVER (ORDER BY Insight_Order) - 1 AS VARCHAR) AS id, "
          "'Auto Insight: ' || title || '. Metric: ' || metric || '. Explanation: ' || explanation || "
@@ -851,8 +850,6 @@ def _static_docs_sql() -> str:
 
 def _rag_sql() -> str:
     ctes, rows = _summary_docs_parts()
-    # rag_documents carries no insight documents
-    rows = [r for r in rows if "FROM ins" not in r]
     return f"WITH {ctes}\n{_static_docs_sql()}\nUNION ALL\n" + "\nUNION ALL\n".join(rows)
 
 
@@ -923,3 +920,41 @@ sql("token_overlap", _token_overlap_sql())
 sql("deals_by_stage_1998", f"""
 SELECT Deal_Stage, COUNT(Deal_ID) AS Deal_Count, {MSUM('Amount')} AS Total_Amount
 FROM deals WHERE Deal_Stage IS NOT NULL AND year(Closing_Date) = 1998 GROUP BY Deal_Stage""")
+
+
+def _signature_sql() -> str:
+    views = {
+        "Leads": ("leads", "Lead_ID Company_Name Lead_Source Industry Estimated_Value Sales_Rep Region Customer_Type"),
+        "Deals": ("deals", "Deal_ID Lead_ID Account_ID Product_ID Deal_Stage Amount Closing_Date Forecast_Category Margin"),
+        "Accounts": ("accounts", "Account_ID Account_Name Region Industry"),
+        "Products": ("products", "Product_ID Product_Name Product_Category"),
+        "Vendors": ("vendors", "Vendor_ID Vendor_Name Region"),
+        "Purchase Orders": ("purchase_orders", "Purchase_Order_ID Vendor_ID Amount Status"),
+        "Activities": ("activities", "Activity_ID Owner Status Due_Date"),
+    }
+
+    def text(c: str, kind: str) -> str:
+        if kind == "date":
+            c = f"strftime({c}, '%Y-%m-%d')"
+        return f"COALESCE(CAST({c} AS VARCHAR), '\\N')"
+    parts = []
+    for module, (view, names) in views.items():
+        columns = names.split()
+        row = " || chr(31) || ".join(text(c, "date" if c.endswith("_Date") else "") for c in columns)
+        digits = f"CAST(CAST('0x' || substr(md5({row}), 1, 15) AS BIGINT) AS DECIMAL(38,0))"
+        parts.append(f"SELECT '{module}' AS Module, '{','.join(columns)}' AS Columns, COUNT(*) AS Rows, "
+                     f"CAST(COALESCE(SUM({digits}), 0) AS VARCHAR) AS Signature FROM {view}")
+    return "\nUNION ALL\n".join(parts)
+
+
+sql("table_signature", _signature_sql())
+
+sql("corpus_upsert", """
+WITH old AS (SELECT vec_id AS id, embedding, CAST(NULL AS BIGINT) AS version, 0 AS newer FROM embeddings),
+upd AS (SELECT vec_id AS id, list_transform(embedding, lambda x: CAST(x * 2 AS FLOAT)) AS embedding,
+               CASE WHEN vec_id % 3 = 0 THEN NULL ELSE vec_id % 5 END AS version, 1 AS newer
+        FROM embeddings WHERE embedding IS NOT NULL AND vec_id % 2 = 0),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY version IS NOT NULL DESC, version DESC, newer DESC, embedding DESC) AS rk
+           FROM (SELECT * FROM old UNION ALL SELECT * FROM upd))
+SELECT id, CAST(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))) AS DOUBLE) AS total, len(embedding) AS dimensions, version
+FROM ranked WHERE rk = 1""")

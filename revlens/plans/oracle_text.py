@@ -103,7 +103,7 @@ def _hits(n: str, groups: dict) -> str:
     return f"list_filter([{parts}], lambda x: x IS NOT NULL)"
 
 
-def annotate_sql() -> str:
+def annotate_sql(parts: bool = False) -> str:
     n = "n"
     lim0 = "TRY_CAST(COALESCE(" + ", ".join(
         f"CASE WHEN {RX(n, p)} THEN regexp_extract({n}, {s(p)}, 1) END" for p in V.LIMIT_PATTERNS) + ") AS BIGINT)"
@@ -205,7 +205,76 @@ FROM (SELECT conv_id, turn, trim(regexp_replace(lower(text), {s(WS)}, ' ', 'g'))
         cols.append(f"CASE {whens} ELSE {expr} END AS {field}")
     stage4 = f"SELECT *, {l1} AS l1 FROM ({stage3})"
     stage5 = f"SELECT *, {l2} AS l2 FROM ({stage4})"
-    return f"SELECT conv_id, turn, {n} AS q_norm, {', '.join(cols)} FROM ({stage5})"
+    more = ", lim0, sort0, early, pd AS phrase_dim, metric AS own_metric, metrics AS own_metrics, dims AS own_dims, full_d" if parts else ""
+    return f"SELECT conv_id, turn, {n} AS q_norm, {', '.join(cols)}{more} FROM ({stage5})"
+
+
+def followups_sql() -> str:
+    """K2, turn by turn: a recursive step over the questions of each conversation.
+
+    c_* is the context before the question; an answered question replaces all of it.
+    """
+    n, grouped = "q_norm", "('revenue','pipeline','average_deal_size','deal_count','margin','win_rate')"
+    step1 = f"""SELECT b.*, c.n_has AS c_has, c.n_metric AS c_metric, c.n_metrics AS c_metrics, c.n_dim AS c_dim,
+          c.n_dataset AS c_dataset, c.n_filter AS c_filter, b.early IS NULL AS general,
+          b.early IS NULL AND b.own_metric IS NULL AND c.n_has AND (b.phrase_dim IS NOT NULL OR b.sort0 IS NOT NULL
+            OR b.lim0 IS NOT NULL OR {ANY('b.q_norm', V.CONTEXT_METRIC_TOKENS)}) AS by_words
+        FROM steps c JOIN b ON b.conv_id = c.conv_id AND b.rn = c.rn + 1"""
+    step2 = f"""SELECT *, CASE WHEN by_words THEN COALESCE(c_metric, c_metrics[1]) ELSE q_metric END AS m1,
+          CASE WHEN general AND q_dimension IS NULL AND {ANY(n, V.CONTEXT_DIMENSION_TOKENS)} THEN c_dim ELSE q_dimension END AS r_dimension,
+          general AND phrase_dim IS NULL AND c_dim IS NOT NULL AND {ANY(n, V.CONTEXT_DIMENSION_TOKENS)} AS dim_in,
+          CASE WHEN NOT general OR q_filter_region IS NOT NULL OR contains({n}, 'filter') THEN q_filter_region ELSE c_filter END AS r_filter_region
+        FROM ({step1})"""
+    step3 = f"""SELECT *, CASE WHEN m1 IS NULL OR list_contains(q_metrics, m1) THEN q_metrics ELSE list_prepend(m1, q_metrics) END AS ms1,
+          CASE WHEN r_dimension IS NULL OR list_contains(q_dimensions, r_dimension) THEN q_dimensions
+            ELSE list_prepend(r_dimension, q_dimensions) END AS dims1,
+          CASE WHEN NOT general THEN q_wants_chart WHEN m1 = 'deal_count' AND r_dimension = 'Deal_Stage' AND NOT {ANY(n, V.CHART_KEYWORDS)} THEN FALSE
+            ELSE COALESCE({ANY(n, V.CHART_KEYWORDS)} OR (contains({n}, ' by ') AND COALESCE(m1 IN {grouped}, FALSE)
+              AND {STARTS(n, V.GROUPED_CHART_PREFIXES)}), FALSE) END AS r_wants_chart
+        FROM ({step2})"""
+    gd = f"(COALESCE(m1 IN {grouped}, FALSE) AND r_dimension IS NOT NULL)"
+    who = ANY(n, ("which ", "who "))
+    step4 = f"""SELECT *, general AND len(ms1) = 0 AND c_has AS by_list,
+          general AND list_contains(dims1, 'Customer_Type') AS r_requires_join,
+          CASE WHEN NOT general THEN q_intent_type
+            WHEN {who} AND {gd} THEN (CASE WHEN r_wants_chart OR full_d THEN 'grouped_chart' ELSE 'grouped_metric' END)
+            WHEN m1 = 'deal_count' AND r_dimension = 'Deal_Stage' AND NOT r_wants_chart THEN 'table'
+            WHEN {gd} AND r_wants_chart THEN 'grouped_chart' WHEN {gd} THEN 'grouped_metric'
+            WHEN r_wants_chart AND m1 IS NOT NULL THEN 'chart' ELSE 'metric' END AS r_intent_type,
+          CASE WHEN {ANY(n, ('highest revenue', 'most revenue', 'strongest pipeline'))} AND r_dimension IS NOT NULL OR {who}
+            THEN COALESCE(lim0, 1) ELSE lim0 END AS l1,
+          CASE WHEN NOT general THEN q_chart_type WHEN contains({n}, 'pie chart') THEN 'pie'
+            WHEN {ANY(n, ('trend', 'month'))} THEN 'line' WHEN r_wants_chart THEN 'bar' END AS r_chart_type,
+          CASE WHEN NOT general THEN q_pipeline_only ELSE COALESCE(m1 = 'pipeline' AND r_dimension IS DISTINCT FROM 'Forecast_Category', FALSE) END AS r_pipeline_only,
+          CASE WHEN NOT general THEN q_aggregation WHEN m1 = 'average_deal_size' THEN 'mean' WHEN m1 = 'deal_count' THEN 'count'
+            WHEN m1 IN ('win_rate', 'forecast_quality') THEN 'ratio' WHEN m1 = 'lead_source_conversion' THEN 'comparison' ELSE 'sum' END AS r_aggregation
+        FROM ({step3})"""
+    step5 = f"""SELECT *, CASE WHEN by_list THEN c_metrics[1] ELSE m1 END AS r_metric, CASE WHEN by_list THEN c_metrics ELSE ms1 END AS r_metrics,
+          CASE WHEN NOT general THEN q_limit WHEN contains({n}, 'worst') AND l1 IS NULL THEN 3 ELSE l1 END AS r_limit,
+          CASE WHEN NOT general THEN q_dataset WHEN r_requires_join THEN 'deals_joined_leads' WHEN c_dataset IS NOT NULL THEN c_dataset
+            WHEN m1 = 'lead_source_conversion' THEN 'leads' ELSE 'deals' END AS r_dataset
+        FROM ({step4})"""
+    keep = ("conv_id", "rn", "turn", "q_metric", "q_dimension", "c_metric", "c_dim", "c_filter", "c_dataset", "r_metric", "r_metrics", "r_dimension", "dims1",
+            "r_filter_region", "r_dataset", "r_inherited", "r_intent", "r_intent_type", "r_limit", "q_sort", "r_wants_chart", "r_chart_type",
+            "r_pipeline_only", "r_aggregation", "r_requires_join")
+    step6 = f"""SELECT *, general AND (by_words OR by_list OR dim_in) AS r_inherited, r_metric IS NOT NULL OR len(r_metrics) > 0 AS answered,
+          CASE WHEN r_metric IS NOT NULL OR len(r_metrics) > 0 THEN 'analytics' ELSE 'unsupported' END AS r_intent FROM ({step5})"""
+    step = f"""SELECT {', '.join(keep)}, c_has OR answered AS n_has,
+          CASE WHEN answered THEN COALESCE(r_metric, r_metrics[1]) ELSE c_metric END AS n_metric,
+          CASE WHEN answered THEN r_metrics ELSE c_metrics END AS n_metrics, CASE WHEN answered THEN r_dimension ELSE c_dim END AS n_dim,
+          CASE WHEN answered THEN r_dataset ELSE c_dataset END AS n_dataset, CASE WHEN answered THEN r_filter_region ELSE c_filter END AS n_filter
+        FROM ({step6})"""
+    kind = {"rn": "BIGINT", "turn": "BIGINT", "r_metrics": "VARCHAR[]", "dims1": "VARCHAR[]", "r_inherited": "BOOLEAN", "r_limit": "BIGINT",
+            "r_wants_chart": "BOOLEAN", "r_pipeline_only": "BOOLEAN", "r_requires_join": "BOOLEAN"}
+    start = ", ".join("conv_id" if k == "conv_id" else f"CAST({0 if k == 'rn' else 'NULL'} AS {kind.get(k, 'VARCHAR')}) AS {k}" for k in keep)
+    return f"""WITH RECURSIVE b AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rn FROM ({annotate_sql(True)})),
+      steps AS (SELECT {start}, FALSE AS n_has, CAST(NULL AS VARCHAR) AS n_metric, CAST(NULL AS VARCHAR[]) AS n_metrics, CAST(NULL AS VARCHAR) AS n_dim,
+          CAST(NULL AS VARCHAR) AS n_dataset, CAST(NULL AS VARCHAR) AS n_filter FROM (SELECT DISTINCT conv_id FROM b)
+        UNION ALL {step})
+      SELECT conv_id, turn, q_metric, q_dimension, c_metric AS ctx_metric, c_dim AS ctx_dimension, c_filter AS ctx_filter_region,
+        c_dataset AS ctx_dataset, r_metric, array_to_string(r_metrics, ',') AS r_metrics, r_dimension, array_to_string(dims1, ',') AS r_dimensions,
+        r_filter_region, r_dataset, r_inherited, r_intent, r_intent_type, r_limit, q_sort AS r_sort, r_wants_chart, r_chart_type,
+        r_pipeline_only, r_aggregation, r_requires_join, CASE WHEN r_requires_join THEN 'Lead_ID' END AS r_join_key FROM steps WHERE rn > 0"""
 
 
 def followup_score_sql() -> str:
@@ -247,7 +316,7 @@ def followup_score_sql() -> str:
                f"WHEN {deictic_raw} THEN text || ' about ' || {title} ELSE text END")
     return (f"SELECT conv_id, turn, CAST({score} AS INTEGER) AS relevance, "
             f"(({score}) >= 2 AND has_result) AS grounded, {suggestions} AS suggestions, "
-            f"length({rewrite}) AS rewritten_length FROM ({base})")
+            f"{rewrite} AS rewritten FROM ({base})")
 
 
 def chart_spec_sql() -> str:
@@ -306,20 +375,6 @@ def register(sql) -> None:
         FROM ({ann})""")
     sql("question_volume", f"""SELECT COALESCE(q_metric, '(none)') AS Metric, COALESCE(q_dimension, '(none)') AS Dimension,
         q_intent_type AS Intent_Type, COUNT(*) AS Questions FROM ({ann}) GROUP BY ALL""")
-    w = "(PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
-    ctx = (f"SELECT *, last_value(q_metric IGNORE NULLS) OVER {w} AS ctx_metric, "
-           f"last_value(q_dimension IGNORE NULLS) OVER {w} AS ctx_dimension, "
-           f"last_value(q_filter_region IGNORE NULLS) OVER {w} AS ctx_filter_region FROM ({ann})")
-    im = (f"(q_metric IS NULL AND ctx_metric IS NOT NULL AND (q_dimension IS NOT NULL OR q_sort IS NOT NULL "
-          f"OR q_limit IS NOT NULL OR {ANY('q_norm', V.CONTEXT_METRIC_TOKENS)} OR len(q_metrics) = 0))")
-    idim = f"(q_dimension IS NULL AND ctx_dimension IS NOT NULL AND {ANY('q_norm', V.CONTEXT_DIMENSION_TOKENS)})"
-    ifl = "(q_filter_region IS NULL AND ctx_filter_region IS NOT NULL AND NOT contains(q_norm, 'filter'))"
-    sql("annotate_followups", f"""SELECT conv_id, turn, q_metric, q_dimension, ctx_metric, ctx_dimension,
-        CASE WHEN {im} THEN ctx_metric ELSE q_metric END AS r_metric,
-        CASE WHEN {idim} THEN ctx_dimension ELSE q_dimension END AS r_dimension,
-        CASE WHEN {ifl} THEN ctx_filter_region ELSE q_filter_region END AS r_filter_region,
-        ({im} OR {idim}) AS r_inherited,
-        CASE WHEN {im} OR q_metric IS NOT NULL OR len(q_metrics) > 0 THEN 'analytics' ELSE 'unsupported' END AS r_intent
-        FROM ({ctx})""")
+    sql("annotate_followups", followups_sql())
     sql("followup_scores", followup_score_sql())
     sql("chart_specs", chart_spec_sql())

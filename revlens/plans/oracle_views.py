@@ -98,5 +98,6 @@ def with_views(body: str) -> str:
     body = body.strip()
     if body[:5].upper() == "WITH ":
         # merge the query's own CTEs after the views
-        return "WITH " + ALL_VIEWS.strip() + ",\n" + body[5:]
+        first, rest = ("WITH RECURSIVE ", body[15:]) if body.startswith("WITH RECURSIVE ") else ("WITH ", body[5:])
+        return first + ALL_VIEWS.strip() + ",\n" + rest
     return "WITH " + ALL_VIEWS.strip() + "\n" + body

@@ -42,7 +42,8 @@ def q_summary_documents(spark, sf_dir):
 @register("rag_documents")
 def q_rag_documents(spark, sf_dir):
     m = Modules(spark, sf_dir)
-    return _flat(documents.rag_documents(spark, m.leads, enriched_deals(m)))
+    d = enriched_deals(m)
+    return _flat(documents.rag_documents(spark, m.leads, d, insights.auto_insights(m.leads, d)))
 
 
 @register("vector_top_k")
@@ -66,3 +67,16 @@ def q_context_text(spark, sf_dir):
         F.struct(F.lit("embedding").alias("source_type"),
                  F.concat(F.lit("label "), F.col("label").cast("string")).alias("topic")).alias("metadata"))
     return documents.context_text(res, "query_id")
+
+
+@register("corpus_upsert")
+def q_corpus_upsert(spark, sf_dir):
+    """Every second vector arrives again, doubled; a third of these without a version."""
+    emb = Catalog(spark, sf_dir).embeddings
+    old = emb.select(F.col("vec_id").alias("id"), "embedding", F.lit(None).cast("bigint").alias("version"))
+    new = emb.where(F.col("vec_id") % 2 == 0).select(
+        F.col("vec_id").alias("id"), F.transform("embedding", lambda x: (x * 2).cast("float")).alias("embedding"),
+        F.when(F.col("vec_id") % 3 != 0, F.col("vec_id") % 5).alias("version"))
+    best = retrieval.corpus_upsert(old, new)
+    return best.select("id", F.aggregate("embedding", F.lit(0.0).cast("double"), lambda a, x: a + x.cast("double")).alias("total"),
+                       F.size("embedding").cast("bigint").alias("dimensions"), "version")

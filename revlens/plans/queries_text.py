@@ -45,8 +45,9 @@ def q_annotate_questions(spark, sf_dir):
 @register("annotate_followups")
 def q_annotate_followups(spark, sf_dir):
     a = textlog.annotate_followups(textlog.annotate_questions(_user_turns(spark, sf_dir)))
-    return a.select("conv_id", "turn", "q_metric", "q_dimension", "ctx_metric", "ctx_dimension",
-                    "r_metric", "r_dimension", "r_filter_region", "r_inherited", "r_intent")
+    lists = ("r_metrics", "r_dimensions")
+    return a.select("conv_id", "turn", "q_metric", "q_dimension", "ctx_metric", "ctx_dimension", "ctx_filter_region", "ctx_dataset",
+                    *[F.array_join(c, ",").alias(c) if c in lists else F.col(c) for c in textlog.RESOLVED])
 
 
 @register("chart_intent")
@@ -79,8 +80,7 @@ def q_followup_scores(spark, sf_dir):
         "conv_id", "turn", "relevance",
         ((score >= 2) & has_result).alias("grounded"),
         F.array_join(textlog.suggestions(F.col("prior_result")), " | ").alias("suggestions"),
-        F.length(textlog.rewrite_followup(F.col("text"), F.col("prior_result"), F.col("prior_question")))
-        .cast("bigint").alias("rewritten_length"))
+        textlog.rewrite_followup(F.col("text"), F.col("prior_result"), F.col("prior_question")).alias("rewritten"))
 
 
 @register("question_volume")

@@ -38,67 +38,60 @@ class MetricSpec:
     aggregation: str
     valid_dimensions: tuple[str, ...]
     output: str
-    description: str
 
 
 # Metric vocabulary, in the reference's order.
 METRICS: dict[str, MetricSpec] = {
     "total_pipeline_value": MetricSpec(
         "total_pipeline_value", ("total pipeline value", "open pipeline", "pipeline total"),
-        ("deals",), ("Amount", "Forecast_Category"), "sum", (), "Total_Amount",
-        "Total deal amount currently tagged as Pipeline."),
+        ("deals",), ("Amount", "Forecast_Category"), "sum", (), "Total_Amount"),
     "revenue": MetricSpec(
         "revenue", ("revenue", "sales", "amount", "deal value", "value"),
         ("deals",), ("Amount",), "sum",
         ("Region", "Product_Category", "Product_Name", "Sales_Rep", "Deal_Stage",
          "Forecast_Category", "Lead_Source", "Account_Name", "Customer_Type"),
-        "Total_Amount", "Summed deal amount across the chosen grouping."),
+        "Total_Amount"),
     "pipeline": MetricSpec(
         "pipeline", ("pipeline", "pipeline value", "opportunity value"),
         ("deals",), ("Amount", "Forecast_Category"), "sum",
         ("Sales_Rep", "Region", "Forecast_Category", "Product_Category", "Product_Name",
          "Account_Name"),
-        "Total_Amount", "Pipeline-tagged deal amount across the chosen grouping."),
+        "Total_Amount"),
     "deal_count": MetricSpec(
         "deal_count", ("deal count", "deals", "number of deals"),
         ("deals",), ("Deal_ID",), "count",
         ("Deal_Stage", "Region", "Sales_Rep", "Forecast_Category", "Product_Category",
          "Product_Name", "Account_Name"),
-        "Deal_Count", "Count of deals across the chosen grouping."),
+        "Deal_Count"),
     "average_deal_size": MetricSpec(
         "average_deal_size", ("average deal size", "avg deal size", "average amount"),
         ("deals",), ("Amount", "Deal_ID"), "mean",
         ("Region", "Product_Category", "Product_Name", "Sales_Rep", "Deal_Stage",
          "Account_Name", "Customer_Type"),
-        "Average_Deal_Size", "Average deal amount within each selected group."),
+        "Average_Deal_Size"),
     "sales_rep_performance": MetricSpec(
         "sales_rep_performance",
         ("sales rep performance", "sales rep", "salesperson", "salesman", "owner"),
-        ("deals", "leads"), ("Amount",), "sum", ("Sales_Rep",), "Total_Amount",
-        "Deal performance grouped by sales rep."),
+        ("deals", "leads"), ("Amount",), "sum", ("Sales_Rep",), "Total_Amount"),
     "forecast_quality": MetricSpec(
         "forecast_quality", ("forecast quality", "weak forecast", "at-risk forecast", "weak pipeline"),
         ("deals",), ("Product_Category", "Forecast_Category", "Amount"), "ratio",
-        ("Product_Category",), "Weak_Forecast_Ratio", "Weak forecast ratio by product category."),
+        ("Product_Category",), "Weak_Forecast_Ratio"),
     "lead_source_conversion": MetricSpec(
         "lead_source_conversion", ("lead conversion", "source conversion", "low conversion"),
         ("leads", "deals"), ("Lead_ID", "Lead_Source", "Estimated_Value"), "comparison",
-        ("Lead_Source",), "Conversion_Rate",
-        "Lead source value compared against conversion into deals."),
+        ("Lead_Source",), "Conversion_Rate"),
     "monthly_pipeline_trend": MetricSpec(
         "monthly_pipeline_trend",
         ("monthly pipeline trend", "pipeline by month", "revenue trend by month",
          "revenue trend by closing date"),
-        ("deals",), ("Closing_Date", "Amount"), "sum", ("Closing_Date",), "Total_Amount",
-        "Monthly amount trend grouped by closing month."),
+        ("deals",), ("Closing_Date", "Amount"), "sum", ("Closing_Date",), "Total_Amount"),
     "win_rate": MetricSpec(
         "win_rate", ("win rate", "conversion to closed won"),
-        ("deals",), ("Deal_Stage",), "ratio", ("Lead_Source", "Sales_Rep", "Region"), "Win_Rate",
-        "Closed Won share out of Closed Won plus Closed Lost."),
+        ("deals",), ("Deal_Stage",), "ratio", ("Lead_Source", "Sales_Rep", "Region"), "Win_Rate"),
     "margin": MetricSpec(
         "margin", ("margin", "profit margin"),
-        ("deals",), ("Margin",), "sum", ("Product_Category", "Region", "Sales_Rep"), "Total_Margin",
-        "Margin summed across the chosen grouping."),
+        ("deals",), ("Margin",), "sum", ("Product_Category", "Region", "Sales_Rep"), "Total_Margin"),
 }
 
 # Dimension vocabulary, in the reference's order.

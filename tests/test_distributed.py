@@ -74,3 +74,36 @@ def test_last_non_null_before_matches_brute_force(spark, buckets, scale):
         if v is not None:
             last[k] = v
     assert got == exp
+
+
+def test_corpus_upsert_keeps_rows_without_a_version(spark):
+    old = spark.createDataFrame([("a", [1.0], None), ("c", [5.0], 3)], "id string, embedding array<double>, version int")
+    new = spark.createDataFrame([("b", [2.0], 1), ("c", [6.0], 3), ("c", [4.0], None)], "id string, embedding array<double>, version int")
+    out = {r["id"]: list(r["embedding"]) for r in retrieval.corpus_upsert(old, new).collect()}
+    assert out == {"a": [1.0], "b": [2.0], "c": [6.0]}
+
+
+def test_vector_top_k_ignores_missing_vectors_and_rejects_other_dimensions(spark):
+    q = spark.createDataFrame([(1, [0.0, 0.0]), (2, None)], "query_id long, query_vec array<float>")
+    c = spark.createDataFrame([(1, [1.0, 0.0]), (2, None)], "vec_id long, embedding array<float>")
+    assert [(r["query_id"], r["vec_id"]) for r in retrieval.vector_top_k(c, q, k=3).collect()] == [(1, 1)]
+    bad = spark.createDataFrame([(3, [1.0])], "vec_id long, embedding array<float>")
+    with pytest.raises(Exception, match="different dimensions"):
+        retrieval.vector_top_k(bad, q, k=3).collect()
+
+
+def test_new_files_are_seen(spark, tmp_path):
+    from revlens.sources.tables import read_table
+    spark.range(5).toDF("n_nationkey").write.parquet(f"{tmp_path}/nation.parquet")
+    assert read_table(spark, str(tmp_path), "nation").count() == 5
+    spark.range(5).toDF("n_nationkey").write.mode("append").parquet(f"{tmp_path}/nation.parquet")
+    assert read_table(spark, str(tmp_path), "nation").count() == 10
+
+
+def test_a_cluster_needs_a_shared_checkpoint_folder():
+    from types import SimpleNamespace
+    from revlens.session import ensure_checkpoint_dir
+    sc = SimpleNamespace(master="spark://host:7077", getCheckpointDir=lambda: None)
+    s = SimpleNamespace(conf=SimpleNamespace(get=lambda k, d=None: d), sparkContext=sc)
+    with pytest.raises(ValueError, match="checkpoint"):
+        ensure_checkpoint_dir(s)

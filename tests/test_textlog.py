@@ -94,3 +94,16 @@ def test_question_without_metric_words_inherits_the_context_metric(spark):
     a = {(r["conv_id"], r["turn"]): r for r in textlog.annotate_followups(textlog.annotate_questions(df)).collect()}
     assert a[(1, 1)]["r_metric"] == "margin" and a[(1, 1)]["r_intent"] == "analytics"
     assert a[(2, 0)]["r_metric"] is None and a[(2, 0)]["r_intent"] == "unsupported"
+
+
+def test_each_answered_question_replaces_the_whole_context(spark):
+    qs = ["show revenue by region filter to dubai", "monthly pipeline trend", "total pipeline value", "which lead source has low conversion",
+          "rank them", "show pipeline by sales rep", "and next week?", "total revenue", "rank it"]
+    df = spark.createDataFrame([(1, i, q) for i, q in enumerate(qs)], "conv_id int, turn int, text string")
+    a = {r["turn"]: r for r in textlog.annotate_followups(textlog.annotate_questions(df)).collect()}
+    assert [a[i]["r_filter_region"] for i in range(4)] == ["Dubai", None, None, None]
+    assert a[1]["r_dimension"] == "Closing_Date" and a[2]["r_dimension"] is None and a[3]["r_dataset"] == "leads"
+    assert a[4]["r_metric"] == "lead_source_conversion" and a[4]["r_dimension"] == "Lead_Source" and a[4]["r_aggregation"] == "comparison"
+    assert a[5]["r_intent_type"] == "grouped_chart" and a[5]["r_dataset"] == "leads"  # the dataset stays until a question fixes one
+    assert a[6]["r_inherited"] and a[6]["r_dimension"] is None and a[6]["r_intent"] == "analytics"
+    assert a[8]["r_dimension"] is None and a[8]["r_metric"] == "revenue"
