@@ -142,67 +142,59 @@ def module_health(modules: dict[str, DataFrame]) -> DataFrame:
     return _union(out)
 
 
-_REL_SCHEMA = (("Left_Module", "string"), ("Right_Module", "string"), ("Join_Key", "string"),
-               ("Available", "boolean"), ("Relationship_Reason", "string"), ("Rows_Checked", "bigint"),
-               ("Matched", "bigint"), ("Unmatched", "bigint"), ("Status", "string"), ("Details", "string"))
-_REL_EXPRS: dict[tuple, list[Column]] = {}
+_REL_SCHEMA = ("Relationship_Order int, Left_Module string, Right_Module string, Join_Key string, Problem string, Problem_Status string")
 
 
-def _constant_row(spark: SparkSession, values: tuple) -> DataFrame:
-    """One row of literals with the relationship schema (a projection, no
-    Python-side data transfer)."""
-    return spark.range(1).select(*[F.lit(v).cast(t).alias(n) for v, (n, t) in zip(values, _REL_SCHEMA)])
-
-
-def _relationship_exprs(left: str, right: str, key: str) -> list[Column]:
-    """Output columns of one relationship row over the coverage numbers; they
-    only name columns, so they are compiled once per JVM and relationship."""
-    from pyspark import SparkContext
-    ck = (id(SparkContext._active_spark_context), left, right, key)
-    if ck in _REL_EXPRS:
-        return _REL_EXPRS[ck]
-    dupl = F.col("lookup_has_duplicates")
-    empty_side = (F.col("left_rows") == 0) | (F.col("right_rows") == 0)
+def _relationship_columns() -> list[Column]:
+    """Output columns of a relationship row over its coverage numbers (null: it cannot be checked)."""
+    key, right, problem = F.col("Join_Key"), F.col("Right_Module"), F.col("Problem")
+    text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    n = {c: F.coalesce(F.col(c), F.lit(0)) for c in ("left_rows", "right_rows", "rows_checked", "matched_rows")}
+    dupl = F.coalesce(F.col("lookup_has_duplicates"), F.lit(False))
+    empty_side = (n["left_rows"] == 0) | (n["right_rows"] == 0)
     available = ~empty_side & ~dupl
-    rel_reason = (F.when(empty_side, F.lit(f"Join key `{key}` exists but one module is empty."))
-                  .when(dupl, F.lit(f"Join key `{key}` has duplicates on the lookup side."))
-                  .otherwise(F.lit(f"Join key `{key}` is available.")))
-    unmatched = F.col("unmatched_rows")
-    status = (F.when(dupl, F.lit("Warning")).when(F.col("rows_checked") == 0, F.lit("Warning"))
-              .when(unmatched > 0, F.lit("Partial")).otherwise(F.lit("Healthy")))
-    details = (F.when(dupl, F.lit(f"Lookup-side {key} has duplicates."))
-               .when(F.col("rows_checked") == 0, F.lit(f"No non-empty {key} values are available to check."))
-               .when(unmatched > 0, F.concat(unmatched.cast("string"), F.lit(f" row(s) do not resolve to {right}.")))
-               .otherwise(F.lit(f"All checked {key} values resolve to {right}.")))
+    reason = (F.when(empty_side, text("Join key `", key, "` exists but one module is empty."))
+              .when(dupl, text("Join key `", key, "` has duplicates on the lookup side."))
+              .otherwise(text("Join key `", key, "` is available.")))
+    unmatched = n["rows_checked"] - n["matched_rows"]
+    status = (F.when(dupl | (n["rows_checked"] == 0), F.lit("Warning")).when(unmatched > 0, F.lit("Partial")).otherwise(F.lit("Healthy")))
+    details = (F.when(dupl, text("Lookup-side ", key, " has duplicates."))
+               .when(n["rows_checked"] == 0, text("No non-empty ", key, " values are available to check."))
+               .when(unmatched > 0, text(unmatched.cast("string"), " row(s) do not resolve to ", right, "."))
+               .otherwise(text("All checked ", key, " values resolve to ", right, ".")))
     downgrade = (status == "Healthy") & ~available
-    exprs = [F.lit(left).alias("Left_Module"), F.lit(right).alias("Right_Module"), F.lit(key).alias("Join_Key"),
-             available.alias("Available"), rel_reason.alias("Relationship_Reason"),
-             F.col("rows_checked").alias("Rows_Checked"), F.col("matched_rows").alias("Matched"),
-             unmatched.alias("Unmatched"),
-             F.when(downgrade, F.lit("Warning")).otherwise(status).alias("Status"),
-             F.when(downgrade, rel_reason).otherwise(details).alias("Details")]
-    _REL_EXPRS[ck] = exprs
-    return exprs
-
-
-def _relationship_row(spark: SparkSession, left: str, right: str, key: str,
-                      modules: dict[str, DataFrame]) -> DataFrame:
-    """C9 + C11 for one preferred relationship (one row)."""
-    ldf, rdf = modules.get(left), modules.get(right)
-    if ldf is None or rdf is None:
-        msg = "One or both modules are not loaded."
-        return _constant_row(spark, (left, right, key, False, msg, None, None, None, "Not available", msg))
-    if key not in ldf.columns or key not in rdf.columns:
-        msg = f"Missing join key `{key}` in one or both modules."
-        return _constant_row(spark, (left, right, key, False, msg, None, None, None, "Warning", msg))
-    return joins.coverage(ldf, rdf, key).select(*_relationship_exprs(left, right, key))
+    ok = problem.isNull()
+    return [F.col("Left_Module"), right, key,
+            (ok & available).alias("Available"), F.when(ok, reason).otherwise(problem).alias("Relationship_Reason"),
+            F.when(ok, n["rows_checked"]).cast("bigint").alias("Rows_Checked"), F.when(ok, n["matched_rows"]).cast("bigint").alias("Matched"),
+            F.when(ok, unmatched).cast("bigint").alias("Unmatched"),
+            F.when(~ok, F.col("Problem_Status")).when(downgrade, F.lit("Warning")).otherwise(status).alias("Status"),
+            F.when(~ok, problem).when(downgrade, reason).otherwise(details).alias("Details"), F.col("Relationship_Order")]
 
 
 def join_health(spark: SparkSession, modules: dict[str, DataFrame]) -> DataFrame:
-    """C10 + C11 + I2: one row per preferred relationship, in fixed order."""
-    rows = [_relationship_row(spark, l, r, k, modules).withColumn("Relationship_Order", F.lit(i))
-            for i, (l, r, k) in enumerate(PREFERRED_RELATIONSHIPS)]
-    return _union(rows).withColumn("Relationship", F.concat_ws(" ↔ ", "Left_Module", "Right_Module"))
+    """C10 + C11 + I2: one row per preferred relationship, in fixed order. A
+    module that is the left side of several relationships is read once for them."""
+    table, by_left = [], {}
+    for i, (left, right, key) in enumerate(PREFERRED_RELATIONSHIPS):
+        ldf, rdf = modules.get(left), modules.get(right)
+        if ldf is None or rdf is None:
+            table.append((i, left, right, key, "One or both modules are not loaded.", "Not available"))
+        elif key not in ldf.columns or key not in rdf.columns:
+            table.append((i, left, right, key, f"Missing join key `{key}` in one or both modules.", "Warning"))
+        else:
+            table.append((i, left, right, key, None, None))
+            by_left.setdefault(left, []).append((i, rdf, key))
+    # at most one row a preferred relationship, made of literals
+    rows = spark.range(1).select(F.explode(F.array(*[F.struct(*[F.lit(v).cast(t).alias(n) for v, (n, t) in zip(
+        r, (x.split() for x in _REL_SCHEMA.split(", ")))]) for r in table])).alias("r")).select("r.*")
+    numbers = [joins.coverage(modules[left], lookups) for left, lookups in by_left.items()]
+    if numbers:
+        rows = rows.join(_union(numbers).withColumnRenamed("i", "Relationship_Order"), "Relationship_Order", "left")
+    else:
+        rows = rows.withColumns({c: F.lit(None).cast("bigint") for c in ("left_rows", "right_rows", "rows_checked", "matched_rows")}
+                                | {"lookup_has_duplicates": F.lit(None).cast("boolean")})
+    return rows.select(*_relationship_columns()).withColumn("Relationship", F.concat_ws(" ↔ ", "Left_Module", "Right_Module"))
 
 
 def relationships(spark: SparkSession, modules: dict[str, DataFrame]) -> DataFrame:

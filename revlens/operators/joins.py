@@ -20,6 +20,8 @@ Semantics kept from the reference:
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -94,24 +96,25 @@ def orphan_rows(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     return left.where(F.col(key).isNotNull()).join(right.select(key), key, "left_anti")
 
 
-def coverage(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
-    """C11 numbers in one pass over each side: rows on each side, rows checked
-    (non-null left keys), matched, unmatched, and whether the lookup side
-    repeats a non-null key.
+def coverage(left: DataFrame, lookups: list[tuple[int, DataFrame, str]]) -> DataFrame:
+    """C11 numbers of several lookups of one left frame, one row per number:
+    rows on each side, rows checked (non-null left keys), matched, unmatched,
+    and whether the lookup side repeats a non-null key.
 
-    The right side is reduced to one row per key (a partial+final aggregate,
-    so a hot key is one row); the left keys are matched against it by an
-    existence join partitioned on the key.
+    The left frame is read once: its keys become (lookup number, key) rows. Each
+    right side is reduced to one row per key (a partial+final aggregate, so a
+    hot key is one row) and one existence join matches both on (number, key).
     """
-    rkeys = right.groupBy(key).agg(F.count(F.lit(1)).alias("__n"))
-    rstats = rkeys.agg(F.coalesce(F.sum("__n"), F.lit(0)).alias("right_rows"),
-                       F.coalesce(F.max(F.when(F.col(key).isNotNull(), F.col("__n") > 1)), F.lit(False))
-                       .alias("lookup_has_duplicates"))
-    present = rkeys.where(F.col(key).isNotNull()).select(key, F.lit(True).alias("__m"))
-    matched = left.select(key).join(present, key, "left")
-    stats = matched.agg(F.count(F.lit(1)).alias("left_rows"), F.count(F.col(key)).alias("rows_checked"),
-                        F.count_if(F.col("__m").isNotNull()).alias("matched_rows"))
-    stats = stats.withColumn("unmatched_rows", F.col("rows_checked") - F.col("matched_rows"))
-    # both sides are single-row aggregates: a one-row join on a constant key
-    return (stats.withColumn("__k", F.lit(1))
-            .join(F.broadcast(rstats.withColumn("__k", F.lit(1))), "__k").drop("__k"))
+    wide = left.select(F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(k).cast("string").alias("k")) for i, _, k in lookups])).alias("e")).select("e.*")
+    parts = [r.groupBy(F.col(k).cast("string").alias("k")).agg(F.count(F.lit(1)).alias("n")).select(F.lit(i).alias("i"), "k", "n") for i, r, k in lookups]
+    rkeys = reduce(lambda x, y: x.unionByName(y), parts)
+    # the key rows and the per-lookup totals of the right sides meet in one aggregate
+    per_key = (wide.groupBy("i", "k").agg(F.count(F.lit(1)).alias("l"))
+               .join(rkeys, (wide["i"] == rkeys["i"]) & wide["k"].eqNullSafe(rkeys["k"]), "full_outer")
+               .select(F.coalesce(wide["i"], rkeys["i"]).alias("i"), F.coalesce(wide["k"], rkeys["k"]).alias("k"),
+                       F.coalesce("l", F.lit(0)).alias("l"), F.coalesce("n", F.lit(0)).alias("n")))
+    known = F.col("k").isNotNull()
+    return per_key.groupBy("i").agg(
+        F.sum("l").alias("left_rows"), F.sum("n").alias("right_rows"), F.sum(F.when(known, F.col("l")).otherwise(0)).alias("rows_checked"),
+        F.sum(F.when(known & (F.col("n") > 0), F.col("l")).otherwise(0)).alias("matched_rows"),
+        F.max(known & (F.col("n") > 1)).alias("lookup_has_duplicates"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from revlens.operators import documents, insights, joins, retrieval
+from revlens.plans.distributed import materialized
 from revlens.plans.registry import Modules, register
 from revlens.sources.tables import Catalog
 
@@ -16,6 +17,12 @@ def enriched_deals(m: Modules):
     return joins.with_lookup(d, m.products, "Product_ID", ["Product_Category"])
 
 
+def _once(m: Modules):
+    """Leads and enriched Deals, each read and joined once and written to the shared
+    checkpoint folder; the many small aggregates of a report then read that copy."""
+    return materialized(m.leads), materialized(enriched_deals(m))
+
+
 def _flat(docs):
     return docs.select("id", "text", "metadata.source_type", "metadata.module", "metadata.topic",
                        "metadata.created_by", "Doc_Order")
@@ -23,8 +30,7 @@ def _flat(docs):
 
 @register("auto_insights")
 def q_auto_insights(spark, sf_dir):
-    m = Modules(spark, sf_dir)
-    return insights.auto_insights(m.leads, enriched_deals(m))
+    return insights.auto_insights(*_once(Modules(spark, sf_dir)))
 
 
 @register("management_focus")
@@ -34,16 +40,14 @@ def q_management_focus(spark, sf_dir):
 
 @register("summary_documents")
 def q_summary_documents(spark, sf_dir):
-    m = Modules(spark, sf_dir)
-    d = enriched_deals(m)
-    return _flat(documents.summary_documents(m.leads, d, insights.auto_insights(m.leads, d)))
+    leads, d = _once(Modules(spark, sf_dir))
+    return _flat(documents.summary_documents(leads, d, insights.auto_insights(leads, d)))
 
 
 @register("rag_documents")
 def q_rag_documents(spark, sf_dir):
-    m = Modules(spark, sf_dir)
-    d = enriched_deals(m)
-    return _flat(documents.rag_documents(spark, m.leads, d, insights.auto_insights(m.leads, d)))
+    leads, d = _once(Modules(spark, sf_dir))
+    return _flat(documents.rag_documents(spark, leads, d, insights.auto_insights(leads, d)))
 
 
 @register("vector_top_k")

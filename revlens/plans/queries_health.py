@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from revlens.operators import health
 from revlens.sources import ingest
+from revlens.plans.distributed import materialized
 from revlens.plans.registry import Modules, register
 
 
@@ -60,9 +61,9 @@ def q_warning_list(spark, sf_dir):
 @register("health_summary")
 def q_health_summary(spark, sf_dir):
     m = _mods(spark, sf_dir)
-    mh = health.module_health(m)
-    jh = health.join_health(spark, m)
-    caps = health.capabilities(spark, m)
+    # a row per module and per relationship, written once: all parts of the report derive from them
+    mh, jh = materialized(health.module_health(m)), materialized(health.join_health(spark, m))
+    caps = health.capabilities(spark, m, rels=jh)
     return health.health_summary(mh, caps, health.warning_list(mh, jh))
 
 

@@ -133,10 +133,10 @@ def test_compound_ranking_columns_and_priority(leads, deals):
 def test_coverage_matched_and_unmatched(spark):
     left = spark.createDataFrame([("L1",), ("L2",), (None,)], "Lead_ID string")
     right = spark.createDataFrame([("L1",), ("L2",)], "Lead_ID string")
-    c = joins.coverage(left, right, "Lead_ID").first()
-    assert (c["rows_checked"], c["matched_rows"], c["unmatched_rows"]) == (2, 2, 0)
+    c = joins.coverage(left, [(0, right, "Lead_ID")]).first()
+    assert (c["rows_checked"], c["matched_rows"], c["rows_checked"] - c["matched_rows"]) == (2, 2, 0)
     orphan = spark.createDataFrame([("L1",), ("L9",)], "Lead_ID string")
-    c = joins.coverage(orphan, right, "Lead_ID").first()
-    assert (c["rows_checked"], c["matched_rows"], c["unmatched_rows"]) == (2, 1, 1)
+    c = joins.coverage(orphan, [(0, right, "Lead_ID")]).first()
+    assert (c["rows_checked"], c["matched_rows"], c["rows_checked"] - c["matched_rows"]) == (2, 1, 1)
     dup = spark.createDataFrame([("L1",), ("L1",)], "Lead_ID string")
-    assert joins.coverage(left, dup, "Lead_ID").first()["lookup_has_duplicates"] is True
+    assert joins.coverage(left, [(0, dup, "Lead_ID")]).first()["lookup_has_duplicates"] is True
