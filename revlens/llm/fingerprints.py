@@ -163,25 +163,30 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = 80) -> D
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            s = [(len(x), set_name(x) if len(x) else None) for x in sets(batch.column("text"))]
+            s = [(len(x), set_name(x) if len(x) else None, near_groups.short_set(x)) for x in sets(batch.column("text"))]
             mh = [m.tobytes() for m in signatures(batch.column("text"), words)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([n for n, _ in s], pa.int64()), pa.array([c for _, c in s], pa.binary()),
-                                              pa.array(mh, pa.binary())], names=["doc_id", "n", "cid", "mh"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([n for n, _, _ in s], pa.int64()), pa.array([c for _, c, _ in s], pa.binary()),
+                                              pa.array(mh, pa.binary()), pa.array([x for _, _, x in s], pa.binary())], names=["doc_id", "n", "cid", "mh", "short"])
 
-    signed = stored(d.mapInArrow(sign, f"doc_id {dict(d.dtypes)['doc_id']}, n long, cid binary, mh binary"))
-    classes = stored(signed.where("n > 0").groupBy("cid").agg(F.first("n").alias("n"), F.first("mh").alias("mh"), F.min("doc_id").alias("doc_id")))
+    signed = stored(d.mapInArrow(sign, f"doc_id {dict(d.dtypes)['doc_id']}, n long, cid binary, mh binary, short binary"))
+    classes = stored(signed.where("n > 0").groupBy(F.col("cid").alias("name")).agg(F.first("n").alias("n"), F.first("mh").alias("mh"), F.min("doc_id").alias("doc_id"))
+                     .withColumn("cid", F.monotonically_increasing_id()))
 
     def sets_of(ids: DataFrame) -> DataFrame:
-        near = d.join(classes.join(ids, "cid").select(F.col("doc_id").alias("_id"), "cid"), F.col("doc_id").eqNullSafe(F.col("_id"))).select("text", "cid")
+        near = d.join(classes.join(ids, "cid").select(F.col("doc_id").alias("_id"), "cid", "name"), F.col("doc_id").eqNullSafe(F.col("_id"))).select("text", "cid", "name")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                out = [(c, x.tobytes()) for c, x in zip(batch.column("cid").to_pylist(), sets(batch.column("text"))) if len(x) and set_name(x) == c]
-                yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in out], pa.binary()), pa.array([x for _, x in out], pa.binary())], names=["cid", "shingles"])
-        return near.mapInArrow(run, "cid binary, shingles binary").dropDuplicates(["cid"])
+                out = [(c, x.tobytes()) for c, name, x in zip(batch.column("cid").to_pylist(), batch.column("name").to_pylist(), sets(batch.column("text"))) if len(x) and set_name(x) == name]
+                yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in out], pa.int64()), pa.array([x for _, x in out], pa.binary())], names=["cid", "shingles"])
+        return near.mapInArrow(run, "cid long, shingles binary").dropDuplicates(["cid"])
 
-    roots = near_groups.group(classes.select("cid", "n", "mh"), sets_of, band_keys, PERMS, percent)
-    named = classes.select("cid", "doc_id").join(roots, "cid", "left").select("cid", F.coalesce("root", "cid").alias("root"), "doc_id")
-    by_class = named.join(named.groupBy("root").agg(F.min("doc_id").alias("least")), "root").select("cid", "least")
+    def short_of(ids: DataFrame) -> DataFrame:
+        names = classes.join(ids, "cid").select("name", F.col("cid").alias("_cid"))
+        return signed.select("cid", "short").join(names, F.col("cid") == F.col("name")).groupBy("_cid").agg(F.first("short").alias("short")).withColumnRenamed("_cid", "cid")
+
+    roots = near_groups.group(classes.select("cid", "n", "mh"), sets_of, short_of, band_keys, band_keys, PERMS, percent)
+    named = classes.select("cid", "name", "doc_id").join(roots, "cid", "left").select("name", F.coalesce("root", "cid").alias("root"), "doc_id")
+    by_class = named.join(named.groupBy("root").agg(F.min("doc_id").alias("least")), "root").select(F.col("name").alias("cid"), "least")
     return signed.select("doc_id", "n", "cid").join(by_class, "cid", "left").select(
         "doc_id", "n", F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))

@@ -10,6 +10,7 @@
 
 from __future__ import annotations
 
+import gc
 import math
 import os
 import tempfile
@@ -73,9 +74,17 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """``df`` written once to the shared checkpoint folder and read from there."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """``df`` written once to the shared checkpoint folder and read from there.
+
+    Shuffle files of what led to it are no longer needed; a collection of
+    unused objects lets Spark's cleaner drop those of earlier steps.
+    """
+    spark = df.sparkSession
+    checkpoint_dir(spark)
+    out = df.checkpoint(eager=True)
+    gc.collect()
+    spark._jvm.System.gc()
+    return out
 
 
 def text_bytes(df: DataFrame, col: str = "text") -> int:

@@ -49,13 +49,18 @@ def minhash(x: np.ndarray, a: np.ndarray = _A, b: np.ndarray = _B) -> np.ndarray
     return low.astype(np.uint32)
 
 
-def table_keys(mh: np.ndarray) -> np.ndarray:
-    """The SIDE x SIDE table keys of each row of MinHash values."""
+def half_keys(mh: np.ndarray) -> np.ndarray:
+    """The 2 x SIDE half keys of each row of MinHash values."""
     v = mh.astype(np.uint64).reshape(-1, 2 * SIDE, HALF)
     half = np.zeros(v.shape[:2], dtype=np.uint64)
     for k in range(HALF):
         half = half * bw.BASE + v[:, :, k] + np.uint64(1)
-    half = bw.mix(half + np.arange(2 * SIDE, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407))
+    return bw.mix(half + np.arange(2 * SIDE, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407))
+
+
+def table_keys(mh: np.ndarray) -> np.ndarray:
+    """The SIDE x SIDE table keys of each row of MinHash values."""
+    half = half_keys(mh)
     return bw.mix(half[:, :SIDE, None] * np.uint64(0x9FB21C651E98DF25) + half[:, None, SIDE:]).reshape(len(mh), -1)
 
 
@@ -76,42 +81,48 @@ def _sets(column, words: int) -> Iterator[np.ndarray]:
 
 
 def signatures(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, n, cid, mh) of every row; an empty set has null cid and mh."""
+    """(doc_id, n, cid, mh, short) of every row; an empty set has null cid, mh and short."""
     d = texts(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, cid, mh = [], [], []
+            n, cid, mh, short = [], [], [], []
             for x in _sets(batch.column("text"), words):
                 n.append(len(x))
                 cid.append(set_name(x) if len(x) else None)
                 mh.append(minhash(x).tobytes() if len(x) else None)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(cid, pa.binary()), pa.array(mh, pa.binary())],
-                                             names=["doc_id", "n", "cid", "mh"])
+                short.append(near_groups.short_set(x) if len(x) else None)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(cid, pa.binary()), pa.array(mh, pa.binary()),
+                                              pa.array(short, pa.binary())], names=["doc_id", "n", "cid", "mh", "short"])
     kind = dict(d.dtypes)["doc_id"]
-    return d.mapInArrow(run, f"doc_id {kind}, n long, cid binary, mh binary")
+    return d.mapInArrow(run, f"doc_id {kind}, n long, cid binary, mh binary, short binary")
 
 
 def components(docs: DataFrame, words: int = 4, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n, cid, root, component_id) of every row; an empty set has its own component."""
     d = texts(docs)
     signed = stored(signatures(docs, words))
-    classes = stored(signed.where("n > 0").groupBy("cid").agg(F.first("n").alias("n"), F.first("mh").alias("mh"), F.min("doc_id").alias("doc_id")))
+    classes = stored(signed.where("n > 0").groupBy(F.col("cid").alias("name")).agg(F.first("n").alias("n"), F.first("mh").alias("mh"), F.min("doc_id").alias("doc_id"))
+                     .withColumn("cid", F.monotonically_increasing_id()))
 
     def sets_of(ids: DataFrame) -> DataFrame:
-        wanted = classes.join(ids, "cid").select(F.col("doc_id").alias("_id"), "cid")
-        near = d.join(wanted, F.col("doc_id").eqNullSafe(F.col("_id"))).select("text", "cid")
+        wanted = classes.join(ids, "cid").select(F.col("doc_id").alias("_id"), "cid", "name")
+        near = d.join(wanted, F.col("doc_id").eqNullSafe(F.col("_id"))).select("text", "cid", "name")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                out = [(c, x.tobytes()) for c, x in zip(batch.column("cid").to_pylist(), _sets(batch.column("text"), words)) if len(x) and set_name(x) == c]
-                yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in out], pa.binary()), pa.array([x for _, x in out], pa.binary())], names=["cid", "shingles"])
-        return near.mapInArrow(run, "cid binary, shingles binary").dropDuplicates(["cid"])  # repeated ids
+                out = [(c, x.tobytes()) for c, name, x in zip(batch.column("cid").to_pylist(), batch.column("name").to_pylist(), _sets(batch.column("text"), words)) if len(x) and set_name(x) == name]
+                yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in out], pa.int64()), pa.array([x for _, x in out], pa.binary())], names=["cid", "shingles"])
+        return near.mapInArrow(run, "cid long, shingles binary").dropDuplicates(["cid"])  # repeated ids
+
+    def short_of(ids: DataFrame) -> DataFrame:
+        names = classes.join(ids, "cid").select("name", F.col("cid").alias("_cid"))
+        return signed.select("cid", "short").join(names, F.col("cid") == F.col("name")).groupBy("_cid").agg(F.first("short").alias("short")).withColumnRenamed("_cid", "cid")
 
-    roots = near_groups.group(classes.select("cid", "n", "mh"), sets_of, table_keys, WIDTH, percent)
-    named = classes.select("cid", "doc_id").join(roots, "cid", "left").select("cid", F.coalesce("root", "cid").alias("root"), "doc_id")
+    roots = near_groups.group(classes.select("cid", "n", "mh"), sets_of, short_of, table_keys, lambda mh: half_keys(mh)[:, :SIDE].copy(), WIDTH, percent)
+    named = classes.select("cid", "name", "doc_id").join(roots, "cid", "left").select("name", F.coalesce("root", "cid").alias("root"), "doc_id")
     least = named.groupBy("root").agg(F.min("doc_id").alias("least"))
-    by_class = named.join(least, "root").select("cid", "root", "least")
+    by_class = named.join(least, "root").select(F.col("name").alias("cid"), "root", "least")
     return (signed.select("doc_id", "n", "cid").join(by_class, "cid", "left")
             .select("doc_id", "n", "cid", "root", F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id")))
 
@@ -133,16 +144,22 @@ def one_of_each(docs: DataFrame, words: int = 5, percent: int = PERCENT) -> Data
             # a null id sorts first: where a known id exists, it is taken
             .select(F.col("c").alias("_id"), "root"))
     best = (found.where(F.col("n") > 0).join(kept, "root").where(F.col("doc_id").eqNullSafe(F.col("_id")))
-            .groupBy("root").agg(F.min("_id").alias("_id"), F.min("cid").alias("_cid")))
+            .groupBy("root").agg(F.min("_id").alias("_id"), F.min("cid").alias("_cid"), (F.count(F.lit(1)) > 1).alias("_many")))
     held = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), F.col("doc_id").alias("doc_id"),
                        F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    empty = ~F.col("text").rlike(r"[^\x20\x09-\x0D]")
+    near = held.where(~empty).join(best.select("_id", "_cid", "_many"), F.col("doc_id").eqNullSafe(F.col("_id"))).select("_row", "text", "_cid", "_many")
 
-    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows whose set is the wanted one."""
         for batch in batches:
-            cid = [set_name(x) if len(x) else None for x in _sets(batch.column("text"), words)]
-            yield pa.RecordBatch.from_arrays([batch.column("_row"), batch.column("doc_id"), pa.array(cid, pa.binary())], names=["_row", "doc_id", "_cid"])
-    rows = held.mapInArrow(named, held.select("_row", "doc_id", F.lit(None).cast("binary").alias("_cid")).schema)
-    empty = rows.where(F.col("_cid").isNull())
-    full = rows.where(F.col("_cid").isNotNull()).alias("r").join(best.alias("b"), (F.col("r._cid") == F.col("b._cid")) & F.col("r.doc_id").eqNullSafe(F.col("b._id")))
-    one = full.groupBy("b.root").agg(F.first("r._row").alias("_row")).select("_row")
-    return one.union(empty.select("_row")).select(*[F.col(f"_row.`{c}`").alias(c) for c in names])
+            keep = [len(x) > 0 and set_name(x) == c for c, x in zip(batch.column("_cid").to_pylist(), _sets(batch.column("text"), words))]
+            yield batch.select(["_row", "_cid"]).filter(pa.array(keep, pa.bool_()))
+
+    def checked(rows: DataFrame) -> DataFrame:
+        return rows.select("_row", "text", "_cid").mapInArrow(wanted, held.select("_row", F.lit(None).cast("binary").alias("_cid")).schema)
+
+    # rows are shuffled once; only ids that occur in several rows need the second step
+    one = checked(near.where(~F.col("_many"))).select("_row")
+    one = one.union(checked(near.where("_many")).groupBy("_cid").agg(F.first("_row").alias("_row")).select("_row"))
+    return one.union(held.where(empty).select("_row")).select(*[F.col(f"_row.`{c}`").alias(c) for c in names])

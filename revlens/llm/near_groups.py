@@ -1,14 +1,14 @@
 """From candidate table keys to verified links and components, shared by the MinHash operators.
 
 Documents with the same shingle set are one class, named by a 128-bit hash of
-the set. Classes that share a table key are candidates. A key's classes form
-a star around a centre: each map task does so for its own classes and sends
-one centre per key on, so a hot key reaches the shuffle as one row a task.
-Star edges are verified on the full sets and contracted to components. A key
-whose classes are not yet one component is finished exactly: its classes are
-compared across components, in blocks of ``BLOCK``, on their MinHash values
-inside a task, and the few pairs that may reach the threshold are verified.
-No pair list of a group is ever written, and nothing is capped.
+the set and numbered. Classes that share a table key are candidates. A key's
+classes form a star around a centre: each map task does so for its own classes
+and sends one centre per key on, so a hot key reaches the shuffle as one row a
+task. Star edges are verified on the full sets and contracted to components. A
+key whose classes are not yet one component is finished exactly: its classes
+are compared across components, in blocks of ``BLOCK``, inside tasks, and the
+few pairs that may reach the threshold are verified. No pair list of a group
+is ever written, and nothing is capped.
 """
 
 from __future__ import annotations
@@ -24,79 +24,93 @@ from pyspark.sql import functions as F
 from revlens.llm.frames import stored
 
 BLOCK = 1024
-PAIR = "a binary, b binary"
-_PAIR = pa.schema([("a", pa.binary()), ("b", pa.binary())])
-_ROW = pa.schema([("key", pa.int64()), ("a", pa.binary()), ("b", pa.binary())])
+PAIR = "a long, b long"
+_PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+_ROW = pa.schema([("key", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
 #: classes whose keys a map task groups at a time
 TASK_CLASSES = 16_000
 
 
-def _edge_batch(names: list, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-    """Distinct (names[a], names[b]) rows with a null key."""
-    code = np.unique(a * len(names) + b)
-    cut = lambda at: pa.array([names[i] for i in at.tolist()], pa.binary())
-    return pa.RecordBatch.from_arrays([pa.nulls(len(code), pa.int64()), cut(code // max(1, len(names))), cut(code % max(1, len(names)))], schema=_ROW)
+def _rows(key, a, b) -> Iterator[pa.RecordBatch]:
+    """Rows (key, a, b) in batches; None stands for a null column."""
+    n = len(a)
+    for lo in range(0, n, 200_000):
+        cut = lambda x: pa.nulls(min(n, lo + 200_000) - lo, pa.int64()) if x is None else pa.array(x[lo:lo + 200_000])
+        yield pa.RecordBatch.from_arrays([cut(key), cut(a), cut(b)], schema=_ROW)
 
 
-def _stars(keys: np.ndarray, who: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(member, its key's smallest member) of all rows, and one row index per key."""
+def _edges(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct pairs."""
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    keep = np.ones(len(a), dtype=bool)
+    keep[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    return a[keep], b[keep]
+
+
+def _stars(keys: np.ndarray, who: np.ndarray):
+    """Sorted by key: keys, members, their key's smallest member, first rows, and whether the key has two members."""
     order = np.lexsort((who, keys))
-    k = keys[order]
+    k, w = keys[order], who[order]
     first = np.ones(len(k), dtype=bool)
     first[1:] = k[1:] != k[:-1]
-    centre = order[np.maximum.accumulate(np.where(first, np.arange(len(k)), 0))]
-    return who[order], who[centre], order[first]
+    group = np.cumsum(first) - 1
+    centre = w[first][group] if len(k) else w
+    shared = np.bincount(group, minlength=1)[group] > 1 if len(k) else first
+    return k, w, centre, first, shared
 
 
-def star_edges(classes: DataFrame, keys_of: Callable[[np.ndarray], np.ndarray], width: int) -> DataFrame:
-    """Candidate edges (a, b) of ``classes`` (cid, mh): ``keys_of`` gives the table keys of MinHash rows."""
+def shared_keys(classes: DataFrame, keys_of: Callable[[np.ndarray], np.ndarray], width: int) -> DataFrame:
+    """Star edges (null, a, b) and memberships (key, a, null) of the keys that two classes or more of ``classes`` (cid, mh) have."""
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Edges to the task's own centre of each key (null key), and the centres (null b)."""
-        ids: list[bytes] = []
+        """Edges to the task's own centre of each key, its members, and the centre for the shuffle (key, a, a)."""
+        ids: list[np.ndarray] = []
         mh: list[bytes] = []
 
         def flush():
-            by_id = sorted(range(len(ids)), key=ids.__getitem__)
-            names = [ids[i] for i in by_id]
-            keys = keys_of(np.frombuffer(b"".join([mh[i] for i in by_id]), dtype=np.uint32).reshape(-1, width))
-            flat, who = keys.reshape(-1), np.repeat(np.arange(len(names)), keys.shape[1])
-            member, centre, firsts = _stars(flat, who)
-            away = member != centre
-            yield _edge_batch(names, member[away], centre[away])
-            for lo in range(0, len(firsts), 100_000):
-                f = firsts[lo:lo + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array(flat[f].view(np.int64)), pa.array([names[i] for i in who[f].tolist()], pa.binary()),
-                                                  pa.nulls(len(f), pa.binary())], schema=_ROW)
+            who = np.concatenate(ids)
+            keys = keys_of(np.frombuffer(b"".join(mh), dtype=np.uint32).reshape(-1, width))
+            k, w, centre, first, shared = _stars(keys.reshape(-1).view(np.int64), np.repeat(who, keys.shape[1]))
+            away = w != centre
+            yield from _rows(None, *_edges(w[away], centre[away]))
+            yield from _rows(k[shared & away], w[shared & away], None)
+            yield from _rows(k[first], w[first], w[first])
 
         for batch in batches:
-            ids += batch.column("cid").to_pylist()
-            mh += batch.column("mh").to_pylist()
-            if len(ids) >= TASK_CLASSES:
+            if batch.num_rows:
+                ids.append(batch.column("cid").to_numpy())
+                mh += batch.column("mh").to_pylist()
+            if len(mh) >= TASK_CLASSES:
                 yield from flush()
                 ids, mh = [], []
-        if ids:
+        if mh:
             yield from flush()
 
     def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, ids = [], []
+        keys, ids, alone = [], [], []
         for batch in batches:
-            edge = batch.column("key").is_null()
-            yield batch.filter(edge)
-            rest = batch.filter(pa.compute.invert(edge))
-            keys.append(rest.column("key").to_numpy())
-            ids += rest.column("a").to_pylist()
-        if ids:
-            names = sorted(set(ids))
-            at = {v: i for i, v in enumerate(names)}
-            member, centre, _ = _stars(np.concatenate(keys), np.fromiter(map(at.__getitem__, ids), np.int64, len(ids)))
-            away = member != centre
-            yield _edge_batch(names, member[away], centre[away])
+            key, a, b = (batch.column(i) for i in range(3))
+            centre = pa.compute.fill_null(pa.compute.equal(a, b), False)
+            centre = pa.compute.and_(centre, pa.compute.is_valid(key))
+            rest = batch.filter(pa.compute.invert(centre))
+            yield rest
+            member = rest.filter(pa.compute.is_valid(rest.column("key")))
+            alone.append(member.column("key").to_numpy())
+            got = batch.filter(centre)
+            keys.append(got.column("key").to_numpy())
+            ids.append(got.column("a").to_numpy())
+        if keys:
+            k, w, centre, _, shared = _stars(np.concatenate(keys), np.concatenate(ids))
+            away = w != centre
+            yield from _rows(None, *_edges(w[away], centre[away]))
+            # a centre is a member where another task has the key, or its own task had members
+            shared |= np.isin(k, np.unique(np.concatenate(alone)))
+            yield from _rows(k[shared], w[shared], None)
 
     row = f"key long, {PAIR}"
     both = classes.select("cid", "mh").mapInArrow(local, row)
-    # a centre goes to its key, a finished edge anywhere
-    dealt = both.repartition(F.coalesce("key", F.xxhash64("a", "b")))
-    return dealt.mapInArrow(across, row).select("a", "b").distinct()
+    # what has a key goes to its key, a finished edge anywhere
+    return both.repartition(F.coalesce("key", F.xxhash64("a", "b"))).mapInArrow(across, row)
 
 
 def may_link(pairs: DataFrame, classes: DataFrame, share: float, least: float) -> DataFrame:
@@ -150,68 +164,104 @@ def components(links: DataFrame) -> DataFrame:
             return edges.select(F.col("u").alias("cid"), F.col("v").alias("root"))
 
 
-def unfinished_pairs(classes: DataFrame, roots: DataFrame, keys_of: Callable[[np.ndarray], np.ndarray], width: int, share: float, least: float) -> DataFrame:
-    """Pairs of classes in different components that share a key and may reach the threshold.
+def short_set(x: np.ndarray) -> bytes:
+    """The upper 16 bits of each shingle: enough to bound an intersection from above."""
+    return (x >> np.uint64(48)).astype(np.uint16).tobytes()
+
 
-    Keys with one component are dropped by an aggregate; the classes of the
-    others go to block pairs, compared inside tasks.
+def unfinished_pairs(members: DataFrame, classes: DataFrame, roots: DataFrame, short_of: Callable[[DataFrame], DataFrame],
+                     groups_of: Callable[[np.ndarray], np.ndarray], width: int, percent: int, least: float) -> DataFrame:
+    """Pairs of classes in different components that may reach the threshold.
+
+    ``members``: (key, cid) of the shared keys. Keys with one component are
+    dropped by an aggregate. The classes of the others are dealt by the fewer
+    ``groups_of`` keys (a shared table key implies a shared group key) to block
+    pairs. A task compares a pair under its first shared group key only: sizes,
+    MinHash values, then an upper bound of the similarity from 16-bit shingles.
+    Pairs at the threshold are returned; of several that clearly join the same
+    two components in a task, one.
     """
-    c = classes.join(roots, "cid", "left").select("cid", "n", "mh", F.coalesce("root", "cid").alias("root"))
+    c = stored(classes.join(roots, "cid", "left").select("cid", "n", "mh", F.coalesce("root", "cid").alias("root")))
+    rows = members.join(c.select("cid", "root"), "cid").select("key", "cid", "root")
+    open_keys = rows.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("key")
+    some = rows.join(open_keys, "key").select("cid").distinct()
 
-    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                keys = keys_of(np.frombuffer(b"".join(batch.column("mh").to_pylist()), dtype=np.uint32).reshape(-1, width))
-                at = pa.array(np.repeat(np.arange(batch.num_rows), keys.shape[1]))
-                yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), batch.column("cid").take(at), batch.column("root").take(at)],
+                g = groups_of(np.frombuffer(b"".join(batch.column("mh").to_pylist()), dtype=np.uint32).reshape(-1, width))
+                at = pa.array(np.repeat(np.arange(batch.num_rows), g.shape[1]))
+                yield pa.RecordBatch.from_arrays([pa.array(g.reshape(-1).view(np.int64)), batch.column("cid").take(at), batch.column("root").take(at)],
                                                  names=["key", "cid", "root"])
 
-    rows = c.select("cid", "root", "mh").mapInArrow(keyed, "key long, cid binary, root binary")
-    open_keys = (rows.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("n"),
-                                         F.bit_xor(F.xxhash64("cid")).alias("x"), F.bit_xor(F.xxhash64("cid", F.lit(1))).alias("y")).where("lo != hi"))
-    # keys with the same classes are compared once
-    open_keys = open_keys.groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key", "n")
-    at = rows.join(open_keys, "key").select("key", "cid", "n")
+    light = stored(c.join(some, "cid").select("cid", "root", "mh").mapInArrow(dealt, "key long, cid long, root long"))
+    several = light.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo != hi").select("key", "n")
     side = F.ceil(F.col("n") / F.lit(BLOCK)).cast("int")
-    block = F.pmod(F.xxhash64("cid"), side).cast("int")
-    spread = at.withColumn("side", side).withColumn("block", block)
+    spread = light.join(several, "key").select("key", "cid", side.alias("side"), F.pmod(F.xxhash64("cid"), side).cast("int").alias("block"))
     # block pairs (i, j), i <= j: a class of block i is in the pairs with every other block
     spread = spread.select("key", "cid", "block", F.explode(F.sequence(F.lit(0), F.col("side") - 1)).alias("other"))
     spread = spread.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "cid")
-    full = spread.join(c, "cid").select("key", "i", "j", "cid", "n", "mh", "root")
+    full = spread.join(c.join(short_of(light.select("cid").distinct()), "cid"), "cid")
 
     def compare(table: pa.Table) -> pa.Table:
-        ids, root = table.column("cid").to_pylist(), np.array([hash(r) for r in table.column("root").to_pylist()])
-        n = table.column("n").to_numpy()
+        key = table.column("key")[0].as_py()
+        ids, root, n = (table.column(x).to_numpy() for x in ("cid", "root", "n"))
         mh = np.frombuffer(b"".join(table.column("mh").to_pylist()), dtype=np.uint32).reshape(-1, width)
+        group = groups_of(mh).view(np.int64)
+        here = (group == key).argmax(axis=1)
+        short = [np.frombuffer(x, dtype=np.uint16) for x in table.column("short").to_pylist()]
+        flat, at = np.concatenate(short), np.concatenate([[0], np.cumsum([len(x) for x in short])])
+        parent: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while parent.get(x, x) != x:
+                x = parent[x]
+            return x
         a, b = [], []
         for k in range(len(ids) - 1):
-            rest = np.flatnonzero((root[k + 1:] != root[k]) & (np.minimum(n[k + 1:], n[k]) >= share * np.maximum(n[k + 1:], n[k]))) + k + 1
-            if len(rest):
-                for m in rest[(mh[rest] == mh[k]).mean(axis=1) >= least]:
-                    a.append(ids[k])
-                    b.append(ids[m])
-        return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
-
-    return full.groupBy("key", "i", "j").applyInArrow(compare, PAIR).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-
-def group(classes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], keys_of: Callable[[np.ndarray], np.ndarray], width: int, percent: int) -> DataFrame:
+            r = slice(k + 1, None)
+            may = (root[r] != root[k]) & (100 * np.minimum(n[r], n[k]) >= percent * np.maximum(n[r], n[k]))
+            may &= (group[r] == group[k]).argmax(axis=1) == here[k]  # the pair's first shared group
+            if not may.any():
+                continue
+            may &= (mh[r] == mh[k]).mean(axis=1) >= least
+            if not may.any():
+                continue
+            mine = np.zeros(65536, dtype=np.uint8)
+            mine[short[k]] = 1
+            inter = np.minimum(np.add.reduceat(mine[flat[at[k + 1]:]], at[k + 1:-1] - at[k + 1], dtype=np.int64), n[k])
+            for m in np.flatnonzero(may & (100 * inter >= percent * (n[r] + n[k] - inter))) + k + 1:
+                one, two = find(int(root[k])), find(int(root[m]))
+                if one != two:
+                    a.append(min(ids[k], ids[m]))
+                    b.append(max(ids[k], ids[m]))
+                    sure = inter[m - k - 1] - (2 * n[k] * n[m] / 65536 + 4)  # less chance agreements of 16 bits
+                    if 100 * sure >= percent * (n[k] + n[m] - sure):
+                        parent[one] = two
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return full.select("key", "i", "j", "cid", "n", "mh", "root", "short").groupBy("key", "i", "j").applyInArrow(compare, PAIR).distinct()
+
+
+def group(classes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], short_of: Callable[[DataFrame], DataFrame],
+          keys_of: Callable[[np.ndarray], np.ndarray], groups_of: Callable[[np.ndarray], np.ndarray], width: int, percent: int) -> DataFrame:
     """(cid, root) of every class that has a link, exact for all pairs that share a table key.
 
-    ``classes``: (cid binary, n, mh binary), one row a class, stored;
-    ``sets_of(ids)``: (cid, shingles) of the classes in ``ids``.
+    ``classes``: (cid long, n, mh binary), one row a class, stored;
+    ``sets_of(ids)``, ``short_of(ids)``: (cid, shingles) and (cid, short) of the
+    classes in ``ids``; ``groups_of``: a few keys of a class such that classes
+    with a table key in common have one of them in common.
     """
     share = percent / 100
-    least = share - 0.35  # 40 values or more: a pair at the threshold falls below this once in millions
-    edges = stored(may_link(star_edges(classes, keys_of, width), classes, share, least))
-    # every class that shares a key with another one is in an edge or in an unfinished key
-    tried = edges
+    least = share - 0.35  # of 40 values or more: a pair at the threshold falls below this once in millions
+    found = stored(shared_keys(classes, keys_of, width))
+    edges = stored(may_link(found.where("key is null").select("a", "b").distinct(), classes, share, least))
     sets = stored(sets_of(edges.select(F.col("a").alias("cid")).union(edges.select("b")).distinct()))
     links = stored(verified(edges, sets, percent))
     roots = components(links)
-    more = stored(unfinished_pairs(classes, roots, keys_of, width, share, least).join(tried, ["a", "b"], "left_anti")
-                  .join(tried.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti"))
+    members = found.where("key is not null").select("key", F.col("a").alias("cid")).distinct()
+    tried = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    more = stored(unfinished_pairs(members, classes, roots, short_of, groups_of, width, percent, least).join(tried, ["a", "b"], "left_anti"))
     if more.isEmpty():
         return roots
     others = more.select(F.col("a").alias("cid")).union(more.select("b")).distinct().join(sets, "cid", "left_anti")
