@@ -41,7 +41,8 @@ class Encoder:
         self.v = pc.vocabulary(model)
         self.automaton = ahocorasick.Automaton()
         for piece, i in self.v.ids.items():
-            self.automaton.add_word(piece, (i, len(piece)))
+            if len(piece) > 1:  # single characters are looked up
+                self.automaton.add_word(piece, (i, len(piece) - 1))
         self.automaton.make_automaton()
         self.known = frozenset(p for p in self.v.ids if len(p) == 1)
         self.size = [len(p) for p in self.v.pieces]
@@ -122,9 +123,9 @@ class Encoder:
     def fragment(self, text: str) -> list[int]:
         """Ids of a text whose characters are all pieces, without runs of space marks."""
         n = len(text)
-        longest = [0] * n
+        longest = list(map(self.v.ids.__getitem__, text))
         for end, (i, k) in self.automaton.iter(text):
-            longest[end - k + 1] = i  # a later end is a longer piece
+            longest[end - k] = i  # a later end is a longer piece
         size, pairs, compatible = self.size, self.pairs, self.compatible
         open_ = bytearray(b"\1") * (n + 1)
         out: list[int] = []
@@ -150,9 +151,8 @@ class Encoder:
                     pos -= size[nxt]
                     break
 
-    def _pretoken(self, word: str) -> tuple[bytes, int]:
-        out = self.encode_marked(pc.marked(word))
-        return array("i", out).tobytes(), len(out)
+    def _pretoken(self, word: str) -> bytes:
+        return array("i", self.encode_marked(pc.marked(word))).tobytes()
 
     def encode_marked(self, text: str) -> list[int]:
         if text.startswith(pc.MARK * 2):
@@ -172,7 +172,7 @@ class Encoder:
 
     def encode(self, text: str) -> bytes:
         """Ids of a whole text, as int32 bytes."""
-        return b"".join([e[0] for e in self.words.all(pc.pretokens(text))])
+        return b"".join(self.words.all(pc.pretokens(text)))
 
     def decode(self, ids: list[int]) -> str:
         surface = self.v.surface

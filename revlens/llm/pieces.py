@@ -72,7 +72,7 @@ def marked(pretoken: str) -> str:
 class Cache:
     """A dictionary of bounded size: two generations, the older is dropped when the newer is full."""
 
-    def __init__(self, make, limit: int = 250_000):
+    def __init__(self, make, limit: int = 400_000):
         self.make, self.limit = make, limit
         self.new: dict = {}
         self.old: dict = {}
