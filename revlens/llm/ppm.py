@@ -41,7 +41,7 @@ from revlens.llm import bytewords as bw
 from revlens.llm.frames import crc_rest, slices, stored, text_bytes, texts
 
 ORDER = 5
-SLICE_BYTES = 16 << 20
+SLICE_BYTES = 12 << 20
 HELD_MOD, HELD_REST = 7, 2
 SPACE, END = 0x20, 0xFF
 U = np.uint64
@@ -55,19 +55,22 @@ class Slice:
     def __init__(self, column, train: np.ndarray):
         raw, starts, ends, h, per = bw.words(column, bw.NOT_SPACE)
         self.per = per
-        self.document = np.repeat(np.arange(len(per)), per)
-        self.key, first, self.inverse = np.unique(h, return_index=True, return_inverse=True)
-        self.train = np.bincount(self.inverse, weights=train[self.document], minlength=len(self.key)).astype(np.int64)
+        self.document = np.repeat(np.arange(len(per), dtype=np.int32), per)
+        self.key, first, inverse = np.unique(h, return_index=True, return_inverse=True)
+        self.inverse = inverse.astype(np.int32)
         s, e = starts[first], ends[first]
+        del h, inverse, starts, ends  # a slice's token arrays are the largest part of a worker's memory
+        self.train = np.bincount(self.inverse, weights=train[self.document], minlength=len(self.key)).astype(np.int64)
         self.key2 = _hash_any(raw, s, e)
         # " word " of all distinct words end to end: every byte but the first of each is a symbol
         size = e - s + 2
         at = np.concatenate([[0], np.cumsum(size)])
         text = np.full(at[-1], SPACE, dtype=np.uint8)
-        place = np.arange(at[-1]) - np.repeat(at[:-1], size)
+        place = (np.arange(at[-1]) - np.repeat(at[:-1], size)).astype(np.int32)
         inner = (place > 0) & (place < np.repeat(size, size) - 1)
         text[inner] = raw[(np.repeat(s, size) + place - 1)[inner]]
-        self.word = np.repeat(np.arange(len(s)), size)[place > 0]
+        del raw
+        self.word = np.repeat(np.arange(len(s), dtype=np.int32), size)[place > 0]
         gram = np.zeros(len(text), dtype=U)
         for back in range(ORDER, -1, -1):
             b = np.zeros(len(text), dtype=U)
@@ -76,8 +79,9 @@ class Slice:
         gram |= np.minimum(place, ORDER).astype(U) << U(56)
         gram = gram[place > 0]
         self.first_byte = (gram >> U(56)) == U(1)  # context: only the opening space
-        self.symbol = (gram & U(255)).astype(np.int64)
-        self.gram, self.gram_of = np.unique(gram, return_inverse=True)
+        self.symbol = (gram & U(255)).astype(np.uint8)
+        self.gram, gram_of = np.unique(gram, return_inverse=True)
+        self.gram_of = gram_of.astype(np.int32)
         self.gram_train = np.bincount(self.gram_of, weights=self.train[self.word], minlength=len(self.gram)).astype(np.int64)
         self.long = (self.gram >> U(56)) > U(1)
 
@@ -192,8 +196,11 @@ def _step(logp, done, came, here, c, n, q, above_n, above_q) -> None:
     came |= here
 
 
-ROW = pa.schema([("bucket", pa.int32()), ("slice", pa.int32()), ("kind", pa.int32()), ("k1", pa.int64()), ("k2", pa.int64()), ("n", pa.int64())])
-BACK = pa.schema([("slice", pa.int32()), ("kind", pa.int32()), ("k1", pa.int64()), ("k2", pa.int64()), ("v", pa.float64()), ("home", pa.int32())])
+#: asked: 2 * slice + (0 word, 1 gram); k1: the hash or the gram; kn: the second hash (32 bits) and the count in the slice
+ROW = pa.schema([("bucket", pa.int32()), ("asked", pa.int32()), ("k1", pa.int64()), ("kn", pa.int64())])
+#: kind: 0 word, 1 gram, 2 word that this slice counts as one of the distinct training words
+BACK = pa.schema([("slice", pa.int32()), ("kind", pa.int32()), ("k1", pa.int64()), ("v", pa.float64())])
+LOW32 = (1 << 32) - 1
 
 
 def _bucket(k: np.ndarray, buckets: int) -> np.ndarray:
@@ -224,6 +231,7 @@ def score(docs: DataFrame, slice_bytes: int = SLICE_BYTES, mod: int = HELD_MOD,
     held = crc_rest("doc_id", mod) == rest
     d = texts(docs).select("doc_id", "text", (~held).alias("train"))
     n = slices(text_bytes(d), slice_bytes)
+    buckets = max(2 * n, int(d.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     low = Low(first_orders(d))
     d = d.withColumn("slice", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int"))
     kind = dict(d.dtypes)["doc_id"]
@@ -235,13 +243,14 @@ def score(docs: DataFrame, slice_bytes: int = SLICE_BYTES, mod: int = HELD_MOD,
         s = part(table)
         k1 = np.concatenate([s.key, s.gram[s.long]])
         words, grams = len(s.key), int(s.long.sum())
-        return pa.table([_bucket(k1, n), np.full(len(k1), table.column("slice")[0].as_py(), np.int32), np.repeat(np.array([0, 1], np.int32), [words, grams]),
-                         k1.view(np.int64), np.concatenate([s.key2, np.zeros(grams, np.int64)]), np.concatenate([s.train, s.gram_train[s.long]])], schema=ROW)
+        kn = np.concatenate([s.key2 << 32, np.zeros(grams, np.int64)]) | np.concatenate([s.train, s.gram_train[s.long]])
+        asked = 2 * table.column("slice")[0].as_py() + np.repeat(np.array([0, 1], np.int32), [words, grams])
+        return pa.table([_bucket(k1, buckets), asked.astype(np.int32), k1.view(np.int64), kn], schema=ROW)
 
     def distinct(table: pa.Table) -> pa.Table:
-        grams = table.filter(pa.compute.equal(table.column("kind"), 1))
-        g, where = np.unique(grams.column("k1").to_numpy().view(U), return_inverse=True)
-        total = np.bincount(where, weights=grams.column("n").to_numpy(), minlength=len(g)).astype(np.int64)
+        gram = (table.column("asked").to_numpy() & 1) == 1
+        g, where = np.unique(table.column("k1").to_numpy()[gram].view(U), return_inverse=True)
+        total = np.bincount(where, weights=table.column("kn").to_numpy()[gram], minlength=len(g)).astype(np.int64)
         return pa.table({"route": pa.array(((g >> U(8)) & U(0xFFFF)).astype(np.int32)), "k1": pa.array(g.view(np.int64)), "n": pa.array(total)})
 
     def priced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -250,12 +259,14 @@ def score(docs: DataFrame, slice_bytes: int = SLICE_BYTES, mod: int = HELD_MOD,
             g = np.concatenate([k for k, _ in got]).view(U)
             v = price(g, np.concatenate([c for _, c in got]).astype(float), low)
             for k in range(0, len(g), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(_bucket(g[k:k + 100_000], n)), pa.array(g[k:k + 100_000].view(np.int64)), pa.array(v[k:k + 100_000])],
+                yield pa.RecordBatch.from_arrays([pa.array(_bucket(g[k:k + 100_000], buckets)), pa.array(g[k:k + 100_000].view(np.int64)), pa.array(v[k:k + 100_000])],
                                                  names=["bucket", "k1", "v"])
 
     def answer(asked: pa.Table, prices: pa.Table) -> pa.Table:
-        k1, k2, c, which = (asked.column(x).to_numpy() for x in ("k1", "k2", "n", "kind"))
-        v, home = np.zeros(len(k1)), np.zeros(len(k1), dtype=np.int32)
+        k1, kn, who = (asked.column(x).to_numpy() for x in ("k1", "kn", "asked"))
+        which = who & 1
+        k2, c = np.where(which == 0, (kn >> 32) & LOW32, 0), np.where(which == 0, kn & LOW32, 0)
+        v, kind_ = np.zeros(len(k1)), which.astype(np.int32)
         word = np.flatnonzero(which == 0)
         order = word[np.lexsort((k2[word], k1[word]))]
         if len(order):
@@ -264,18 +275,18 @@ def score(docs: DataFrame, slice_bytes: int = SLICE_BYTES, mod: int = HELD_MOD,
             of = np.cumsum(new) - 1
             total = np.bincount(of, weights=c[order])
             v[order] = total[of]
-            home[order[new]] = total > 0
+            kind_[order[new]] = np.where(total > 0, 2, 0)
         gram = np.flatnonzero(which == 1)
         if len(gram):
             at = np.argsort(prices.column("k1").to_numpy())
             own = prices.column("k1").to_numpy()[at]
             v[gram] = prices.column("v").to_numpy()[at][np.searchsorted(own, k1[gram])]
-        return pa.table([asked.column("slice"), asked.column("kind"), asked.column("k1"), asked.column("k2"), v, home], schema=BACK)
+        return pa.table([(who >> 1).astype(np.int32), kind_, asked.column("k1"), v], schema=BACK)
 
     def total(documents: pa.Table, back: pa.Table) -> pa.Table:
         s = part(documents)
-        which, k1, k2, v = (back.column(x).to_numpy() for x in ("kind", "k1", "k2", "v"))
-        w = which == 0
+        which, k1, v = (back.column(x).to_numpy() for x in ("kind", "k1", "v"))
+        w = which != 1
         at = np.argsort(k1[w].view(U))
         counts = v[w][at]  # one row for each distinct word, in the order of Slice.key
         g = ~w
@@ -290,7 +301,7 @@ def score(docs: DataFrame, slice_bytes: int = SLICE_BYTES, mod: int = HELD_MOD,
         ends = int(low.c1[SPACE, END])
         homes = np.zeros(docs_n, dtype=np.int64)
         if docs_n:
-            homes[0] = back.column("home").to_numpy().sum()
+            homes[0] = (which == 2).sum()
         return pa.table([documents.column("doc_id"), pa.array(~documents.column("train").to_numpy().astype(bool)), pa.array(s.per + 1),
                          pa.array(sums[2].astype(np.int64) + (ends > 0)), pa.array(sums[1] + np.log10(ends + 1)), pa.array(sums[0] + low.start[SPACE, END]), pa.array(homes)],
                         names=["doc_id", "held_out", "n_tokens", "n_known", "log_counts", "score", "homes"])
