@@ -70,7 +70,7 @@ def op1_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register
 def op2_ppm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ppm.score(read(spark, sf_dir, "documents"))
+    return ppm.score(read(spark, sf_dir, "documents"), across=True)
 
 
 @register
