@@ -7,11 +7,14 @@ match is at least ``window`` words long, the last ``window`` words are hit; an
 item of fewer words is hit as a whole. An item occurs in a document if one of
 its windows does.
 
-Scale: a document needs no other document, so matching is a chain of
-``mapInArrow`` steps without a shuffle, one step for each benchmark shard. A
-shard holds at most ``SHARD_WORDS`` item words (checked; long items are cut
-into pieces that overlap by ``window - 1`` words), which bounds what is
-broadcast and the automaton in a worker, however large the benchmark is.
+Scale: a document needs no other document, so matching is a ``mapInArrow``
+step without a shuffle. Repeated pieces of the benchmark are dropped, and the
+rest is cut by a running word count into shards of at most ``SHARD_WORDS`` item
+words (long items are cut into pieces that overlap by ``window - 1`` words). A
+benchmark of one shard is broadcast. Of a larger one the shards are written to
+the checkpoint folder and matched one after another: the driver and the
+workers hold one shard at a time, the hits of each are written there, too, and
+joined to the documents at the end. The documents are read once a shard.
 Inside a task the automaton restarts where a match cannot go on: numpy finds
 the runs of words whose neighbouring pairs all occur in the items, and only
 runs as long as the shortest window are streamed.
@@ -24,19 +27,23 @@ nothing. Other columns are not read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from revlens.llm import bytewords as bw
-from revlens.llm.frames import small_batches, texts
+from revlens.llm.frames import checkpoint_dir, small_batches, stored, texts
 
 WINDOW = 10
 SHARD_WORDS = 200_000
 PIECE_WORDS = 20_000
+#: shards that a task of the running word count cuts, and whose hits are kept apart
+SHARDS_AT_ONCE = 16
 #: the pipeline drops a document of which more than this share of words is hit
 MAX_COVERAGE = 0.5
 
@@ -174,8 +181,8 @@ class Automaton:
         yield from zip(starts[keep].tolist(), ends[keep].tolist())
 
 
-def benchmark_shards(items: DataFrame, window: int, limit: int) -> list[list[tuple]]:
-    """The items' words in shards of at most ``limit`` words (a shard of one piece may hold PIECE_WORDS)."""
+def benchmark_shards(items: DataFrame, window: int, limit: int) -> list[Callable[[], list[tuple]]]:
+    """Readers of the shards of the items' distinct pieces: at most ``limit`` words each, or one longer piece."""
     def pieces(batches):
         for batch in batches:
             raw, starts, ends, _, per = bw.words(batch.column("text"), bw.LETTER_DIGIT)
@@ -195,19 +202,23 @@ def benchmark_shards(items: DataFrame, window: int, limit: int) -> list[list[tup
     small_batches(items.sparkSession)
     cut = (items.select(F.col("item_id").cast("string").alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
            .mapInArrow(pieces, "id string, words binary, short boolean, n long")
-           .withColumn("h", F.xxhash64("id", "words")))
+           .dropDuplicates(["id", "words", "short"]))
     total, largest = cut.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
-    parts = max(1, -(-2 * total // limit)) if total > limit else 1
-    while parts > 1:
-        worst = cut.groupBy(F.pmod("h", F.lit(parts)).alias("p")).agg(F.sum("n").alias("n")).agg(F.max("n")).first()[0]
-        if worst <= max(limit, largest):
-            break
-        parts *= 2
-    out = []
-    for p in range(parts):
-        rows = cut.where(F.pmod("h", F.lit(parts)) == p).select("id", "words", "short").collect()  # at most ``limit`` words
-        out.append([(r.id, bytes(r.words), r.short) for r in rows])
-    return out
+
+    def reader(rows: Callable[[], DataFrame]) -> Callable[[], list[tuple]]:
+        return lambda: [(r.id, bytes(r.words), r.short) for r in rows().select("id", "words", "short").collect()]
+
+    if total <= limit:
+        return [reader(lambda: cut)]
+    parts, step = -(-total // (SHARDS_AT_ONCE * limit)), max(1, limit - largest + 1)
+    before = Window.partitionBy("p").orderBy("h").rowsBetween(Window.unboundedPreceding, -1)
+    folder = f"{checkpoint_dir(items.sparkSession).rstrip('/')}/benchmark-{uuid.uuid4().hex}"
+    (cut.withColumn("h", F.xxhash64("id", "words", "short")).withColumn("p", F.pmod("h", F.lit(parts)))
+     .withColumn("k", F.floor(F.coalesce(F.sum("n").over(before), F.lit(0)) / F.lit(step)).cast("long"))
+     .select("id", "words", "short", "p", "k").write.partitionBy("p", "k").parquet(folder))
+    spark = items.sparkSession
+    shards = sorted(tuple(r) for r in spark.read.parquet(folder).select("p", "k").distinct().collect())
+    return [reader(lambda p=p, k=k: spark.read.parquet(f"{folder}/p={p}/k={k}")) for p, k in shards]
 
 
 def match(docs: DataFrame, items: DataFrame, window: int = WINDOW, shard_words: int = SHARD_WORDS) -> DataFrame:
@@ -215,47 +226,88 @@ def match(docs: DataFrame, items: DataFrame, window: int = WINDOW, shard_words:
     bit a word, empty: none) and ``_items`` array<string> (ids of the items that occur)."""
     spark = docs.sparkSession
     small_batches(spark)
-    schema = docs.schema
-    out = docs.withColumns({"_n_words": F.lit(0).cast("long"), "_hit": F.lit(b""), "_items": F.array().cast("array<string>")})
-    for shard in benchmark_shards(items, window, shard_words):
-        sent = spark.sparkContext.broadcast(shard)
-        out = out.mapInArrow(_matcher(sent, window), out.schema)
-    assert out.columns[:len(schema)] == [f.name for f in schema]
-    return out
+    names = docs.columns
+    marked = docs.withColumns({"_n_words": F.lit(0).cast("long"), "_hit": F.lit(b""), "_items": F.array().cast("array<string>")}).schema
+    shards = benchmark_shards(items, window, shard_words)
+    if len(shards) == 1:
+        return docs.mapInArrow(_marker(spark.sparkContext.broadcast(shards[0]()), window), marked)
+    docs = stored(docs.withColumn("_at", F.monotonically_increasing_id()))
+    found: list[DataFrame] = []
+    for shard in shards:
+        sent = spark.sparkContext.broadcast(shard())
+        found.append(stored(docs.select("_at", "text").mapInArrow(_finder(sent, window), "_at long, _hit binary, _items array<string>")))
+        sent.destroy()
+        if len(found) == SHARDS_AT_ONCE:
+            found = [stored(_joined(found))]
+    out = docs.join(_joined(found), "_at", "left").select(*[F.col(f"`{c}`") for c in names], F.coalesce("_hit", F.lit(b"")).alias("_hit"),
+                                                          F.coalesce("_items", F.array().cast("array<string>")).alias("_items"))
+    return out.mapInArrow(_counted, out.withColumn("_n_words", F.lit(0).cast("long")).schema).select(*[f"`{c}`" for c in marked.names])
+
+
+def _found(automaton: Automaton, column) -> tuple[np.ndarray, dict[int, bytes], dict[int, list[str]]]:
+    """Words of each text; of the texts with hits: the bits and the items."""
+    raw, starts, ends, h, per = bw.words(column, bw.LETTER_DIGIT)
+    ids = automaton.lookup(h)
+    document = np.repeat(np.arange(len(per)), per)
+    first = np.concatenate([[0], np.cumsum(per)])
+    hits: dict[int, np.ndarray] = {}
+    met: dict[int, set] = {}
+    for a, b in automaton.runs(ids, document):
+        d = int(document[a])
+        own = ids[a:b].tolist()
+        # equal hashes are confirmed on the words themselves
+        own = [w if automaton.terms[w] == raw[starts[a + i]:ends[a + i]].tobytes() else -1 for i, w in enumerate(own)]
+        hit = hits.setdefault(d, np.zeros(per[d], dtype=bool))
+        met.setdefault(d, set()).update(automaton.stream(own, hit, a - int(first[d])))
+    some = [d for d, hit in hits.items() if hit.any()]
+    return per, {d: np.packbits(hits[d]).tobytes() for d in some}, {d: sorted(i for i in met[d] if i is not None) for d in some}
+
+
+def _marker(sent, window: int):
+    """All rows with their marks."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = Automaton(sent.value, window)
+        for batch in batches:
+            per, hits, met = _found(automaton, batch.column("text"))
+            rows = range(batch.num_rows)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(per, pa.int64()), pa.array([hits.get(d, b"") for d in rows], pa.binary()),
+                                              pa.array([met.get(d, []) for d in rows], pa.list_(pa.string()))],
+                                             names=[*batch.schema.names, "_n_words", "_hit", "_items"])
+    return run
 
 
-def _matcher(sent, window: int):
+def _finder(sent, window: int):
+    """The marks of the rows with hits."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = Automaton(sent.value, window)
         for batch in batches:
-            columns = dict(zip(batch.schema.names, batch.columns))
-            raw, starts, ends, h, per = bw.words(columns["text"], bw.LETTER_DIGIT)
-            ids = automaton.lookup(h)
-            document = np.repeat(np.arange(len(per)), per)
-            first = np.concatenate([[0], np.cumsum(per)])
-            hits: dict[int, np.ndarray] = {}
-            met: dict[int, set] = {}
-            for a, b in automaton.runs(ids, document):
-                d = int(document[a])
-                own = ids[a:b].tolist()
-                # equal hashes are confirmed on the words themselves
-                own = [w if automaton.terms[w] == raw[starts[a + i]:ends[a + i]].tobytes() else -1 for i, w in enumerate(own)]
-                hit = hits.setdefault(d, np.zeros(per[d], dtype=bool))
-                met.setdefault(d, set()).update(automaton.stream(own, hit, a - int(first[d])))
-            old_hit, old_items = columns["_hit"].to_pylist(), columns["_items"].to_pylist()
-            for d, hit in hits.items():
-                if hit.any():
-                    if old_hit[d]:
-                        hit = hit | np.unpackbits(np.frombuffer(old_hit[d], np.uint8), count=len(hit)).astype(bool)
-                    old_hit[d] = np.packbits(hit).tobytes()
-                    old_items[d] = sorted(set(old_items[d]) | {i for i in met[d] if i is not None})
-            columns["_n_words"] = pa.array(per, pa.int64())
-            columns["_hit"] = pa.array(old_hit, batch.schema.field("_hit").type)
-            columns["_items"] = pa.array(old_items, batch.schema.field("_items").type)
-            yield pa.RecordBatch.from_arrays([columns[n] for n in batch.schema.names], schema=batch.schema)
+            _, hits, met = _found(automaton, batch.column("text"))
+            at = sorted(hits)
+            yield pa.RecordBatch.from_arrays([batch.column("_at").take(pa.array(at, pa.int64())), pa.array([hits[d] for d in at], pa.binary()),
+                                              pa.array([met[d] for d in at], pa.list_(pa.string()))], names=["_at", "_hit", "_items"])
     return run
 
 
+def _joined(found: list[DataFrame]) -> DataFrame:
+    """One row for each document with hits: the bits of all shards and the items, sorted."""
+    rows = reduce(DataFrame.unionAll, found).groupBy("_at").agg(
+        F.collect_list("_hit").alias("_hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("_items")))).alias("_items"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hit = [np.bitwise_or.reduce([np.frombuffer(x, np.uint8) for x in bits]).tobytes() for bits in batch.column("_hits").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("_at"), pa.array(hit, pa.binary()), batch.column("_items")], names=["_at", "_hit", "_items"])
+    return rows.mapInArrow(run, "_at long, _hit binary, _items array<string>")
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows with the number of their words."""
+    for batch in batches:
+        raw, offsets = bw.buffer_of(batch.column("text"))
+        per = bw.spans(bw.LOWER[raw], offsets, bw.LETTER_DIGIT)[2]
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(per, pa.int64())], names=[*batch.schema.names, "_n_words"])
+
+
 def report(docs: DataFrame, items: DataFrame, window: int = WINDOW, shard_words: int = SHARD_WORDS) -> DataFrame:
     """Per document: n_words, n_hit, n_items, items_sha256, contaminated."""
     m = match(texts(docs), items, window, shard_words)
