@@ -5,8 +5,10 @@ Base patterns give the kinds ``assign``, ``access`` and ``hex``. The lexer adds
 and attributes) it reads a target name and a value expression of string
 literals, bare literals, names and ``+`` joins. The name-literal pairs of a
 document form an environment through which constants propagate: a name, a
-``$NAME``, ``${NAME}`` or a join is replaced by the literals it stands for,
-wherever in the document they are. A literal is scored by the sensitivity of
+``$NAME``, ``${NAME}`` or a join is replaced by the literals it stands for:
+those of its last binding before, else of its first one after. Names are bound
+as written, dotted and hyphenated ones too, without a leading ``$``; values are
+kept as references, so no length is cut. A literal is scored by the sensitivity of
 the target name it reaches and by its own look (length, entropy, character
 classes, placeholders); literals that reach ``THRESHOLD`` become spans.
 
@@ -14,16 +16,18 @@ Offsets are code points, ends exclusive. An ``assign`` span is the whole match
 from the name on. Spans are sorted by start, then kind in the order above.
 
 Scale: one ``mapInArrow``, no shuffle; byte-level tests skip the lexer for
-texts without a sensitive name. A document's work is linear in its length.
+texts without a sensitive name. Only sensitive names are resolved; the work is
+linear in a document's length and the literals that these reach.
 
-Defined cases: null and empty texts have no spans; a name bound to itself, or a
-cycle of names, stands for nothing; repeated documents: row by row.
+Defined cases: null and empty texts have no spans; a name in its own value is
+text; a cycle of names stands for nothing; repeated documents: row by row.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
@@ -55,9 +59,9 @@ _GATE = ("pass", "pwd", "secret", "token", "key", "cred", "auth", "bearer", "con
 
 _OPERATOR = re.compile(r":=|=>|(?<![=!<>:+*/%&|^-])=(?![=~])|:(?![:/=])")
 _NAME_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_.$-")
-_TERM = re.compile(r"""[ \t]*(?:(?:[rbuf]|f?r|rb|@)?"((?:[^"\\\n]|\\.)*)"|[rbuf]?'((?:[^'\\\n]|\\.)*)'|`([^`\n]*)`|\$\{?([A-Za-z_]\w*)\}?|([A-Za-z0-9_+/.~-]+={0,2}))""")
+_TERM = re.compile(r"""[ \t]*(?:(?:[rbuf]|f?r|rb|@)?"((?:[^"\\\n]|\\.)*)"|[rbuf]?'((?:[^'\\\n]|\\.)*)'|`([^`\n]*)`|\$\{?([A-Za-z_]\w*(?:[.-]\w+)+(?=\})|[A-Za-z_]\w*)\}?|([A-Za-z0-9_+/.~-]+={0,2}))""")
 _CALL_DEFAULT = re.compile(r"""[ \t]*(?:os\.)?(?:getenv|environ\.get|env|get_env|ENV\.fetch)\([^,()\n]*,[ \t]*(?="|')""")
-_REFERENCE = re.compile(r"\$\{?([A-Za-z_]\w*)\}?|%([A-Za-z_]\w*)%|\{([A-Za-z_]\w*)\}")
+_REFERENCE = re.compile(r"\$\{?([A-Za-z_]\w*(?:[.-]\w+)+(?=\})|[A-Za-z_]\w*)\}?|%([A-Za-z_]\w*)%|\{([A-Za-z_]\w*(?:[.-]\w+)*)\}")
 _SCHEME = re.compile(r"(?i)(?:bearer|basic|token)[ \t]+")
 _ELEMENT = re.compile(r"<([A-Za-z_][\w.-]*)>([^<>\n]{4,})</\1>")
 _PROPERTY = re.compile(r"""<[^<>\n]*?\b(?:key|name)="([\w.-]+)"[^<>\n]*?\bvalue="([^"\n]+)\"""")
@@ -166,26 +170,45 @@ def pairs(text: str) -> list[Pair]:
     return out
 
 
-def propagate(found: list[Pair]) -> list[tuple[str, list[tuple]]]:
-    """Each pair with names replaced by the literals they stand for (last binding before use wins)."""
-    bound: dict[str, list[tuple]] = {}
-    out = []
-    for p in found:
-        parts: list[tuple] = []
-        for part in p.parts:
+def propagate(found: list[Pair]) -> Iterator[tuple[str, list[tuple]]]:
+    """Each pair with a sensitive name, with names in its value replaced by the literals they stand for."""
+    bound: dict[str, list[int]] = {}
+    for i, p in enumerate(found):
+        bound.setdefault(p.name.lstrip("$"), []).append(i)
+
+    def own(i: int) -> list:
+        """A pair's value: literals, and numbers of the pairs that its names are bound by."""
+        out: list = []
+        name = found[i].name.lstrip("$")
+        for part in found[i].parts:
             ref = part[1] if part[0] in ("name", "bare") else None
-            if ref is not None and ref in bound and ref != p.name:
-                parts += bound[ref]
+            if ref is not None and ref in bound and ref != name:
+                at = bisect_left(bound[ref], i)
+                out.append(bound[ref][max(0, at - 1)])
                 continue
             literal, start, end = part[-3:]
-            if parts and parts[-1][2] == start:  # a string cut at something that is no bound name
-                literal, start = parts[-1][0] + literal, parts.pop()[1]
-            parts.append((literal, start, end))
-        parts = list(dict.fromkeys(parts))
-        out.append((p.name, parts))
-        if p.name.isidentifier() and sum(len(x[0]) for x in parts) <= 65536:
-            bound[p.name] = parts
-    return out
+            if out and isinstance(out[-1], tuple) and out[-1][2] == start:  # a string cut at something that is no bound name
+                literal, start = out[-1][0] + literal, out.pop()[1]
+            out.append((literal, start, end))
+        return out
+
+    known: dict[int, list[tuple]] = {}
+    for i, p in enumerate(found):
+        if not sensitivity(p.name):
+            continue
+        literals: dict[tuple, None] = {}
+        seen, left = {i}, own(i)[::-1]
+        while left:
+            x = left.pop()
+            if isinstance(x, tuple):
+                literals[x] = None
+            elif x in known:
+                literals.update(dict.fromkeys(known[x]))
+            elif x not in seen:
+                seen.add(x)
+                left += own(x)[::-1]
+        known[i] = list(literals)
+        yield p.name, known[i]
 
 
 def lexed(text: str, threshold: float = THRESHOLD) -> list[tuple[int, int, str, float]]:
@@ -195,7 +218,7 @@ def lexed(text: str, threshold: float = THRESHOLD) -> list[tuple[int, int, str,
         return []
     best: dict[tuple[int, int], tuple[float, str]] = {}
     for name, parts in propagate(pairs(text)):
-        if parts and sensitivity(name):
+        if parts:
             s = score(name, "".join(p[0] for p in parts))
             if s >= threshold:
                 for _, start, end in parts:
