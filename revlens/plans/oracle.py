@@ -673,6 +673,18 @@ SELECT query_id, rank, vec_id, label, distance FROM (
   SELECT *, ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY distance ASC NULLS LAST, vec_id ASC) AS rank FROM dist)
 WHERE rank <= 5""")
 
+sql("vector_neighbours", """
+WITH q AS (SELECT vec_id AS query_id, embedding AS qv FROM embeddings WHERE vec_id % 50 = 0),
+dist AS (
+  SELECT q.query_id, e.vec_id,
+         list_reduce(list_transform(list_zip(e.embedding, q.qv),
+                     lambda p: (CAST(p[1] AS DOUBLE) - CAST(p[2] AS DOUBLE)) * (CAST(p[1] AS DOUBLE) - CAST(p[2] AS DOUBLE))),
+                     lambda a, b: a + b) AS distance
+  FROM embeddings e, q)
+SELECT query_id, rank, vec_id, distance FROM (
+  SELECT *, ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY distance ASC NULLS LAST, vec_id ASC) AS rank FROM dist)
+WHERE rank <= 5""")
+
 
 # ------------------------------------------------------------------ charts
 sql("chart_data_pipeline_by_rep", f"""

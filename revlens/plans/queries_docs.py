@@ -60,6 +60,14 @@ def q_vector_top_k(spark, sf_dir):
         "query_id", "rank", "vec_id", "label", "distance")
 
 
+@register("vector_neighbours")
+def q_vector_neighbours(spark, sf_dir):
+    """J5 with queries that grow with the corpus: the 5 nearest vectors of every 50th id."""
+    emb = Catalog(spark, sf_dir).embeddings
+    q = emb.where(F.col("vec_id") % 50 == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"))
+    return retrieval.vector_top_k_blocks(emb, q, k=5).select("query_id", "rank", "vec_id", "distance")
+
+
 @register("context_text")
 def q_context_text(spark, sf_dir):
     """J7 over the vector results: per query, numbered context lines naming each
