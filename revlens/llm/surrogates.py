@@ -13,7 +13,9 @@ punctuation, country codes, top-level domains, card networks and Luhn validity
 stay, IPv4 numbers stay valid, given names keep gender and script. All
 distinct entities of the table are checked: a surrogate that another entity
 has, or that occurs in the data, is drawn again with the next attempt, so
-distinct entities stay distinct and no surrogate is a real entity.
+distinct entities stay distinct and no surrogate is a real entity. From attempt
+``LONGER`` on, addresses gain letters and numbers digits, one more an attempt,
+so a format with few values does not run out.
 
 Scale: documents without entities pass through unchanged and unshuffled. The
 others are written once to the shared checkpoint folder; the distinct
@@ -33,6 +35,8 @@ from pyspark.sql import functions as F
 from revlens.llm.frames import small_batches, stored
 
 KEY = "corpus-surrogates"
+#: the first attempt that lengthens e-mail addresses and numbers
+LONGER = 8
 
 #: titles (fixed values) by the gender they tell
 TITLES = {"m": ("Mr", "Sir", "Herr", "Monsieur", "Señor"), "f": ("Mrs", "Ms", "Miss", "Madam", "Frau", "Madame", "Mme", "Mlle", "Señora"), "n": ("Dr", "Prof", "Professor")}
@@ -124,13 +128,18 @@ def candidate(kind: Column, canon: Column, gender: Column, key: str, attempt: in
         return F.array_join(F.transform(chars(canon), lambda c, i: F.when((i >= low) & (i < high), draw_char(c, number(digest, i))).otherwise(c)), "")
 
     size = F.char_length(canon)
-    email = drawn(F.lit(0), size - F.char_length(F.substring_index(canon, ".", -1)))
+    more = F.sha2(F.concat(seed, F.lit("|longer")), 256)
+    extra = range(min(24, max(0, attempt - LONGER + 1)))
+    letters = F.concat(F.lit(""), *[letter("abcdefghijklmnopqrstuvwxyz", number(more, F.lit(i))) for i in extra])
+    digits = F.concat(F.lit(""), *[F.pmod(number(more, F.lit(i)), F.lit(10)).cast("string") for i in extra])
+    email = F.concat(letters, drawn(F.lit(0), size - F.char_length(F.substring_index(canon, ".", -1))))
     octet = lambda o, i: (F.when(F.lit(attempt >= 4), F.pmod(number(digest, i, 4), F.lit(223)) + 1)
                           .when(F.length(o) == 1, F.pmod(number(digest, i, 4), F.lit(9)) + 1).when(F.length(o) == 2, F.pmod(number(digest, i, 4), F.lit(90)) + 10)
                           .otherwise(F.pmod(number(digest, i, 4), F.lit(124)) + 100)).cast("string")
     ip = F.array_join(F.transform(F.split(canon, r"\."), octet), ".")
     plain = drawn(F.when(kind == "phone", F.greatest(size - 10, F.lit(0))).when(kind == "iban", 2).when(kind == "card", 1).otherwise(0), size)
-    body = F.substr(plain, F.lit(1), size - 1)
+    plain = F.concat(plain, digits)
+    body = F.substr(plain, F.lit(1), F.char_length(plain) - 1)
     check = F.pmod(F.lit(10) - luhn(F.concat(body, F.lit("0"))), F.lit(10)).cast("string")
     card = F.when(luhn(canon) == 0, F.concat(body, check)).otherwise(plain)
     script = script_of(canon)
@@ -182,7 +191,8 @@ def render(kind: Column, entity: Column, surrogate: Column) -> Column:
         token = c.rlike("[A-Za-z0-9]")
         return F.struct(F.concat(acc["out"], F.when(token, F.substr(surrogate, acc["k"] + 1, F.lit(1))).otherwise(c)).alias("out"),
                         (acc["k"] + token.cast("int")).alias("k"))
-    digits = F.aggregate(chars(entity), F.struct(F.lit("").alias("out"), F.lit(0).alias("k")), place)["out"]
+    placed = F.aggregate(chars(entity), F.struct(F.lit("").alias("out"), F.lit(0).alias("k")), place)
+    digits = F.concat(placed["out"], F.substr(surrogate, placed["k"] + 1, F.char_length(surrogate)))  # a longer one's rest
     cased = F.array_join(F.zip_with(chars(entity), chars(surrogate), lambda a, b: F.when(a.rlike(r"\p{Lu}"), F.upper(b)).otherwise(b)), "")
     return F.when(kind.isin(*DIGIT_KINDS), digits).when((kind == "email") & (F.char_length(entity) == F.char_length(surrogate)), cased).otherwise(surrogate)
 
