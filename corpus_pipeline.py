@@ -40,7 +40,7 @@ def with_surrogates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, ids and n_tokens of every document that is left."""
+    """doc_id, ids, n_tokens and decoded_sha256 (of the ids' text) of every document that is left."""
     return bpe_exact.token_rows(docs, piece_model())
 
 

@@ -21,6 +21,7 @@ null ids decode to null in ``decode``; repeated documents: row by row.
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 from array import array
 from collections.abc import Iterator
@@ -226,5 +227,15 @@ def report(docs: DataFrame, path: str) -> DataFrame:
 
 
 def token_rows(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, ids, n_tokens of every row of ``docs``."""
-    return encode(texts(docs), path).select("doc_id", F.col("_ids").alias("ids"), F.size("_ids").cast("long").alias("n_tokens"))
+    """doc_id, ids, n_tokens and the digest of the text that the ids decode to, of every row of ``docs``."""
+    d = texts(docs)
+    sent = d.sparkSession.sparkContext.broadcast(pc.load(path))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        e = encoder(sent.value)  # one worker holds one encoder for both directions
+        for batch in batches:
+            coded = [np.frombuffer(e.encode(t or ""), dtype=np.int32) for t in batch.column("text").to_pylist()]
+            digests = [hashlib.sha256(e.decode(ids.tolist()).encode("utf-8")).hexdigest() for ids in coded]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(coded, pa.list_(pa.int32())), pa.array([len(ids) for ids in coded], pa.int64()),
+                                              pa.array(digests, pa.string())], names=["doc_id", "ids", "n_tokens", "decoded_sha256"])
+    return d.mapInArrow(run, f"doc_id {dict(d.dtypes)['doc_id']}, ids array<int>, n_tokens long, decoded_sha256 string")
