@@ -6,15 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from revlens.llm import (bpe_exact, bwt_dedup, decontaminate, fingerprints, minhash_tensor, ppm, secret_scan, surrogates,
-                         token_counts, toxicity)
+from revlens.llm import (bpe_exact, bwt_dedup, byte_bpe, conversation_repair, decontaminate, fingerprints, minhash_tensor, part_codes, ppm,
+                         secret_scan, surrogates, token_counts, toxicity)
 from revlens.llm.frames import read
+from revlens.llm.oracle import CODES_SQL, REPAIR_SQL
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, QueryFn] = {}
 
 #: DuckDB SQL of the queries that SQL can express
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op11_conversation_repair": REPAIR_SQL, "op13_part_codes": CODES_SQL}
 
 
 def register(fn: QueryFn) -> QueryFn:
@@ -76,3 +77,19 @@ def op2_ppm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def op3_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bwt_dedup.report(read(spark, sf_dir, "documents"))
+
+
+@register
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.report(read(spark, sf_dir, "conversations"))
+
+
+@register
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+    return byte_bpe.report(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@register
+def op13_part_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return part_codes.report(read(spark, sf_dir, "embeddings"))
