@@ -48,7 +48,7 @@ from revlens.llm.frames import small_batches, texts
 #: the pattern that the vocabulary's words are cut by (fixed value)
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 SHORT = 96
-CACHE_BYTES = 48 << 20
+CACHE_BYTES = 128 << 20
 NONE = sys.maxsize  # no rank; its low bits are no length of a left part
 
 
@@ -91,17 +91,25 @@ def load(path: str) -> bytes:
 
 
 class WordCache(dict):
-    """Word to ids as bytes, made when first asked for; emptied when its entries reach ``limit`` bytes."""
+    """Word to ids as bytes, made when first asked for.
+
+    Holds two generations of ``limit`` / 2 bytes at most: when the newer is
+    full, it becomes the older, and words that are asked for again come back.
+    """
 
     def __init__(self, make, limit: int = CACHE_BYTES):
         super().__init__()
         self.make, self.limit, self.held = make, limit, 0
+        self.older: dict[str, bytes] = {}
 
     def __missing__(self, word: str) -> bytes:
-        ids = self.make(word)
+        ids = self.older.get(word)
+        if ids is None:
+            ids = self.make(word)
         if len(word) <= SHORT:
-            self.held += len(ids) + len(word) + 250  # two objects and their slot
-            if self.held > self.limit:
+            self.held += len(ids) + len(word) + 200  # two objects and their slot
+            if 2 * self.held > self.limit:
+                self.older = dict(self)
                 self.clear()
                 self.held = 0
             self[word] = ids
@@ -139,14 +147,9 @@ class Encoder:
 
     def short(self, raw: bytes) -> list[int]:
         """Boundaries of the parts of a short word: scan for the least rank, delete its boundary, refresh its neighbours."""
-        table = self.ranks.get
-        cut = list(range(len(raw) + 1))
-
-        def rank(k: int) -> int:
-            """Rank of the parts that meet at boundary ``k + 1``."""
-            found = table(raw[cut[k]:cut[k + 2]], NONE)
-            return found if found & 0xFFFF == cut[k + 1] - cut[k] else NONE
-        ranks = [rank(k) for k in range(len(raw) - 1)]
+        table, n = self.ranks.get, len(raw)
+        cut = list(range(n + 1))
+        ranks = [table(raw[k:k + 2], NONE) for k in range(n - 1)]  # of the parts that meet at boundary k + 1
         while ranks:
             least = min(ranks)
             if least == NONE:
@@ -154,9 +157,13 @@ class Encoder:
             k = ranks.index(least)
             del cut[k + 1], ranks[k]
             if k:
-                ranks[k - 1] = rank(k - 1)
+                start = cut[k - 1]
+                found = table(raw[start:cut[k + 1]], NONE)
+                ranks[k - 1] = found if found & 0xFFFF == cut[k] - start else NONE
             if k < len(ranks):
-                ranks[k] = rank(k)
+                start = cut[k]
+                found = table(raw[start:cut[k + 2]], NONE)
+                ranks[k] = found if found & 0xFFFF == cut[k + 1] - start else NONE
         return cut
 
     def long(self, raw: bytes) -> list[int]:
