@@ -5,17 +5,21 @@
 * ``stored`` - cuts lineage with a reliable checkpoint in the folder that
   ``spark.checkpoint.dir`` names (shared by all executors); a local session
   without one gets a scratch folder, any other master raises.
+* ``resident`` - the one vocabulary or automaton that a Python worker keeps
+  between tasks.
 * ``slices`` - number of hash slices so that one holds about ``target`` bytes.
 """
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import math
 import os
 import tempfile
 import zipfile
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,6 +31,26 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 _shipped: set[str] = set()
+_resident: dict = {}
+
+
+def resident(name: str, data: bytes, make):
+    """What a worker keeps between tasks: one thing, ``make(data)``, of the operator that it served last.
+
+    Workers are reused by whatever operator comes next; the tables and caches
+    of the one before are let go first, and their memory is given back.
+    """
+    key = (name, data)
+    if key not in _resident:
+        if _resident:
+            _resident.clear()
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim is not None:
+                trim(0)
+        _resident[key] = make(data)
+    return _resident[key]
 
 
 def ship(spark: SparkSession) -> None:

@@ -64,7 +64,9 @@ _CALL_DEFAULT = re.compile(r"""[ \t]*(?:os\.)?(?:getenv|environ\.get|env|get_env
 _REFERENCE = re.compile(r"\$\{?([A-Za-z_]\w*(?:[.-]\w+)+(?=\})|[A-Za-z_]\w*)\}?|%([A-Za-z_]\w*)%|\{([A-Za-z_]\w*(?:[.-]\w+)*)\}")
 _SCHEME = re.compile(r"(?i)(?:bearer|basic|token)[ \t]+")
 _ELEMENT = re.compile(r"<([A-Za-z_][\w.-]*)>([^<>\n]{4,})</\1>")
-_PROPERTY = re.compile(r"""<[^<>\n]*?\b(?:key|name)="([\w.-]+)"[^<>\n]*?\bvalue="([^"\n]+)\"""")
+_TAG = re.compile(r"<[^<>\n]*")
+_KEY = re.compile(r"""\b(?:key|name)="([\w.-]+)\"""")
+_OWN_VALUE = re.compile(r"""\bvalue="([^"\n]+)\"""")
 _PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 
 
@@ -154,6 +156,25 @@ def _value(text: str, at: int) -> list[tuple]:
         at = rest + 1
 
 
+def _properties(text: str) -> list[Pair]:
+    """Tags with a key or name attribute and a later value: one scan forward, each tag once."""
+    out, at = [], 0
+    while True:
+        tag = _TAG.search(text, at)
+        if not tag:
+            return out
+        at = tag.end()
+        key = _KEY.search(text, tag.start(), tag.end())
+        start = text.find('value="', key.end(), tag.end()) if key else -1
+        while start >= 0:
+            value = _OWN_VALUE.match(text, start)
+            if value and (start == 0 or not (text[start - 1].isalnum() or text[start - 1] == "_")):
+                out.append(Pair(key.group(1), [("text", value.group(1), *value.span(1))]))
+                at = value.end()
+                break
+            start = text.find('value="', start + 1, tag.end())
+
+
 def pairs(text: str) -> list[Pair]:
     """All name-literal pairs of a text."""
     out = []
@@ -166,7 +187,7 @@ def pairs(text: str) -> list[Pair]:
     if "</" in text:
         out += [Pair(m.group(1), [("text", m.group(2), *m.span(2))]) for m in _ELEMENT.finditer(text)]
     if "value=\"" in text:
-        out += [Pair(m.group(1), [("text", m.group(2), *m.span(2))]) for m in _PROPERTY.finditer(text)]
+        out += _properties(text)
     return out
 
 

@@ -53,11 +53,13 @@ SYLLABLES = {"latin": ("bar", "den", "fol", "gan", "hal", "jor", "kel", "lin", "
 HAN = "一丁七万三上下不与世中主久之乐九书事二五京人今代伊会伯伴位住作"
 CYRILLIC, GREEK = "абвгдежзиклмнопрстуфхцчшэюя", "αβγδεζηθικλμνξοπρστυφχψω"
 
-_WORD = r"\p{Lu}[\p{L}\p{M}'’-]+"
+# every repeat is bounded (an address by the limits of mail and host names, at most 30 labels): the
+# matcher recurses once a repeated group, and a text may hold a run of any length
+_WORD = r"\p{Lu}[\p{L}\p{M}'’-]{1,60}"
 _TITLE = "|".join(t for g in TITLES.values() for t in g)
 _KNOWN = "|".join(n for g in GIVEN.values() for n in g)
 PATTERNS = {
-    "email": r"(?<![\p{L}\p{M}\p{N}._%+-])[\p{L}\p{M}\p{N}._%+-]++@(?:[\p{L}\p{N}-]+\.)+\p{L}{2,}",
+    "email": r"(?<![\p{L}\p{M}\p{N}._%+-])[\p{L}\p{M}\p{N}._%+-]{1,64}+@(?:[\p{L}\p{N}-]{1,63}+\.){1,30}\p{L}{2,63}",
     "iban": r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
     "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?!\d|\.\d)",
     "ssn": r"(?<!\d)(?<!\d-)\d{3}-\d{2}-\d{4}(?!\d|-\d)",

@@ -12,7 +12,9 @@ Ties: the segmentation whose last piece is longest. A character that is no
 piece costs the least score less 10 and counts as its UTF-8 bytes.
 
 Scale: one ``mapInArrow``, no shuffle. A worker's trie is emptied when it
-reaches ``NODES`` nodes, which bounds memory and changes no result.
+reaches ``NODES`` nodes, which bounds memory and changes no result. A pre-token
+of more than ``LONG`` characters, which few others can share, gets no nodes:
+its forward scores are held for the length of the longest piece only.
 
 Defined cases: null and empty texts count 0 tokens and score 0; repeated
 documents: row by row. Other columns are not read.
@@ -21,16 +23,16 @@ documents: row by row. Other columns are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from revlens.llm import pieces as pc
-from revlens.llm.frames import texts
+from revlens.llm.frames import resident, texts
 
 NODES = 400_000
+LONG = 256
 UNKNOWN = 10.0
 
 
@@ -76,6 +78,7 @@ class Trie:
         self.states = PieceStates(v)
         self.unknown = min(v.scores[i] for i in v.ids.values()) - UNKNOWN
         self.single = {p for p in v.ids if len(p) == 1}
+        self.longest = max(map(len, v.ids))
         self.terminals: dict[str, tuple[int, float]] = {}
         self.clear()
 
@@ -105,6 +108,27 @@ class Trie:
         self.children[path[-1]][c] = node
         return node
 
+    def rolled(self, text: str) -> tuple[int, float]:
+        """(count, score) of a string without nodes; what is held reaches one longest piece back."""
+        step, out, width = self.states.step, self.states.out, self.longest + 1
+        scores, counts = [0.0] * width, [0] * width  # by depth, modulo width
+        s = 0
+        for depth, c in enumerate(text, 1):
+            s = step(s, c)
+            best, count = None, 0
+            for length, value in out[s]:
+                above = (depth - length) % width
+                total = scores[above] + value
+                if best is None or total > best:
+                    best, count = total, counts[above] + 1
+            if c not in self.single:
+                above = (depth - 1) % width
+                total = scores[above] + self.unknown
+                if best is None or total > best:
+                    best, count = total, counts[above] + len(c.encode("utf-8"))
+            scores[depth % width], counts[depth % width] = best, count
+        return counts[len(text) % width], scores[len(text) % width]
+
     def insert(self, text: str) -> int:
         """The terminal node of a string; only its new nodes are computed."""
         path = [0]
@@ -120,17 +144,19 @@ class Trie:
                 if f is None:
                     f = self.terminals.get(words[k])
                     if f is None:
-                        if len(self.score) >= NODES:
-                            self.clear()
-                        node = self.insert(pc.marked(words[k]))
-                        f = self.terminals[words[k]] = (self.count[node], self.score[node])
+                        if len(words[k]) > LONG:
+                            f = self.rolled(pc.marked(words[k]))
+                        else:
+                            if len(self.score) >= NODES:
+                                self.clear()
+                            node = self.insert(pc.marked(words[k]))
+                            f = self.terminals[words[k]] = (self.count[node], self.score[node])
                     found[k] = f
         return found
 
 
-@lru_cache(maxsize=2)
 def trie(model: bytes) -> Trie:
-    return Trie(model)
+    return resident("token_counts", model, Trie)
 
 
 def count(docs: DataFrame, path: str) -> DataFrame:
