@@ -25,7 +25,6 @@ import hashlib
 import heapq
 from array import array
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +32,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from revlens.llm import pieces as pc
-from revlens.llm.frames import texts
+from revlens.llm.frames import resident, texts
+
+#: compatibility answers that a worker keeps, about 100 bytes each
+PAIRS = 300_000
 
 
 class Encoder:
@@ -108,7 +110,7 @@ class Encoder:
         return out
 
     def compatible(self, a: int, b: int) -> bool:
-        if len(self.pairs) >= 1_000_000:  # bounded memory
+        if len(self.pairs) >= PAIRS:  # bounded memory
             self.pairs.clear()
         ok = self.pairs[a << 32 | b] = self.merge(self.v.pieces[a] + self.v.pieces[b]) == [a, b]
         return ok
@@ -185,9 +187,8 @@ class Encoder:
         return out[1:] if out[:1] == " " else out
 
 
-@lru_cache(maxsize=2)
 def encoder(model: bytes) -> Encoder:
-    return Encoder(model)
+    return resident("bpe_exact", model, Encoder)
 
 
 def encode(docs: DataFrame, path: str) -> DataFrame:
@@ -218,12 +219,24 @@ def decode(coded: DataFrame, path: str) -> DataFrame:
 
 
 def report(docs: DataFrame, path: str) -> DataFrame:
-    """Per document: n_tokens, ids_sha256, decoded_sha256."""
-    coded = encode(texts(docs), path).select("doc_id", "_ids")
-    both = decode(coded, path)
-    return both.select("doc_id", F.size("_ids").cast("long").alias("n_tokens"),
-                       F.sha2(F.array_join(F.col("_ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
-                       F.sha2(F.col("_decoded").cast("binary"), 256).alias("decoded_sha256"))
+    """Per document: n_tokens, ids_sha256, decoded_sha256; one worker encodes and decodes, so ids stay in it."""
+    d = texts(docs)
+    sent = d.sparkSession.sparkContext.broadcast(pc.load(path))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        e = encoder(sent.value)
+        decimal = [str(i) for i in range(len(e.v.pieces))]
+        sha = hashlib.sha256
+        for batch in batches:
+            counts, ids_sha, text_sha = [], [], []
+            for text in batch.column("text"):
+                ids = np.frombuffer(e.encode(text.as_py() or ""), dtype=np.int32).tolist()
+                counts.append(len(ids))
+                ids_sha.append(sha(",".join(map(decimal.__getitem__, ids)).encode()).hexdigest())
+                text_sha.append(sha(e.decode(ids).encode("utf-8")).hexdigest())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()),
+                                              pa.array(text_sha, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+    return d.mapInArrow(run, f"doc_id {dict(d.dtypes)['doc_id']}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def token_rows(docs: DataFrame, path: str) -> DataFrame:

@@ -43,7 +43,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from revlens.llm.frames import small_batches, texts
+from revlens.llm.frames import resident, small_batches, texts
 
 #: the pattern that the vocabulary's words are cut by (fixed value)
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -222,9 +222,8 @@ class Encoder:
         return b"".join(map(self.tokens.__getitem__, ids)).decode("utf-8", "replace")
 
 
-@lru_cache(maxsize=1)
 def encoder(data: bytes) -> Encoder:
-    return Encoder(data)
+    return resident("byte_bpe", data, Encoder)
 
 
 def encode(docs: DataFrame, path: str) -> DataFrame:

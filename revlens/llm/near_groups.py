@@ -28,7 +28,7 @@ PAIR = "a long, b long"
 _PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 _ROW = pa.schema([("key", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
 #: classes whose keys a map task groups at a time
-TASK_CLASSES = 16_000
+TASK_CLASSES = 8_000
 
 
 def _rows(key, a, b) -> Iterator[pa.RecordBatch]:

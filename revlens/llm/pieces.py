@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from sys import getsizeof
 
 MARK = "▁"
 PRETOKEN = re.compile(r" +[^ \n]*|\n[^ \n]*")
@@ -70,10 +71,10 @@ def marked(pretoken: str) -> str:
 
 
 class Cache:
-    """A dictionary of bounded size: two generations, the older is dropped when the newer is full."""
+    """A dictionary bounded by entries and bytes: two generations of half of ``held`` bytes, the older is dropped when the newer is full."""
 
-    def __init__(self, make, limit: int = 400_000):
-        self.make, self.limit = make, limit
+    def __init__(self, make, limit: int = 400_000, held: int = 128 << 20):
+        self.make, self.limit, self.half, self.held = make, limit, held // 2, 0
         self.new: dict = {}
         self.old: dict = {}
 
@@ -91,8 +92,9 @@ class Cache:
             v = self.old.get(key)
             if v is None:
                 v = self.make(key)
-            if len(self.new) >= self.limit:
-                self.old, self.new = self.new, {}
             if len(key) <= 64:  # long strings are not worth their memory
+                self.held += getsizeof(key) + getsizeof(v) + 100  # two objects and their slot
+                if len(self.new) >= self.limit or self.held > self.half:
+                    self.old, self.new, self.held = self.new, {}, 0
                 self.new[key] = v
         return v

@@ -43,6 +43,8 @@ MIN_DOCS = 4
 #: least weight (log odds) of a term, and least deviation (G statistic)
 MIN_WEIGHT, MIN_G = 2.0, 12.0
 PREFIXES = range(4, 9)
+#: terms that a task counts before it sends partial counts on, about 150 bytes each
+HELD_TERMS = 300_000
 LONGEST = 24
 
 #: look-alike letters of other scripts
@@ -143,7 +145,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             k = int(k > 0)
             rows[k] += 1
             seen[k].update(terms(fold(text)))
-        if len(seen[0]) + len(seen[1]) > 1_000_000:  # bounded memory: partial counts go on
+        if len(seen[0]) + len(seen[1]) > HELD_TERMS:  # bounded memory: partial counts go on
             yield flush()
             seen, rows = (Counter(), Counter()), [0, 0]
     yield flush()
