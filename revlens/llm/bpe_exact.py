@@ -32,10 +32,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from revlens.llm import pieces as pc
-from revlens.llm.frames import resident, texts
+from revlens.llm.frames import resident, texts, tidy
 
 #: compatibility answers that a worker keeps, about 100 bytes each
-PAIRS = 300_000
+PAIRS = 150_000
 
 
 class Encoder:
@@ -195,6 +195,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     """``docs`` (with a string column ``text``) plus ``_ids`` array<int>; no begin or end ids."""
     sent = docs.sparkSession.sparkContext.broadcast(pc.load(path))
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(sent.value)
         for batch in batches:
@@ -210,6 +211,7 @@ def decode(coded: DataFrame, path: str) -> DataFrame:
     """``coded`` (with ``_ids``) plus ``_decoded`` string."""
     sent = coded.sparkSession.sparkContext.broadcast(pc.load(path))
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(sent.value)
         for batch in batches:
@@ -223,6 +225,7 @@ def report(docs: DataFrame, path: str) -> DataFrame:
     d = texts(docs)
     sent = d.sparkSession.sparkContext.broadcast(pc.load(path))
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(sent.value)
         decimal = [str(i) for i in range(len(e.v.pieces))]
@@ -244,6 +247,7 @@ def token_rows(docs: DataFrame, path: str) -> DataFrame:
     d = texts(docs)
     sent = d.sparkSession.sparkContext.broadcast(pc.load(path))
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(sent.value)  # one worker holds one encoder for both directions
         for batch in batches:

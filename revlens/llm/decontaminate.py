@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from revlens.llm import bytewords as bw
-from revlens.llm.frames import checkpoint_dir, small_batches, stored, texts
+from revlens.llm.frames import checkpoint_dir, small_batches, stored, texts, tidy
 
 WINDOW = 10
 SHARD_WORDS = 200_000
@@ -265,6 +265,7 @@ def _found(automaton: Automaton, column) -> tuple[np.ndarray, dict[int, bytes],
 
 def _marker(sent, window: int):
     """All rows with their marks."""
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = Automaton(sent.value, window)
         for batch in batches:
@@ -278,6 +279,7 @@ def _marker(sent, window: int):
 
 def _finder(sent, window: int):
     """The marks of the rows with hits."""
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = Automaton(sent.value, window)
         for batch in batches:
@@ -293,6 +295,7 @@ def _joined(found: list[DataFrame]) -> DataFrame:
     rows = reduce(DataFrame.unionAll, found).groupBy("_at").agg(
         F.collect_list("_hit").alias("_hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("_items")))).alias("_items"))
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             hit = [np.bitwise_or.reduce([np.frombuffer(x, np.uint8) for x in bits]).tobytes() for bits in batch.column("_hits").to_pylist()]
@@ -329,6 +332,7 @@ def clean(docs: DataFrame, items: DataFrame, window: int = WINDOW, max_coverage:
                        F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     m = match(held, items, window)
 
+    @tidy
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, offsets = bw.buffer_of(batch.column("text"))

@@ -5,6 +5,7 @@
 * ``stored`` - cuts lineage with a reliable checkpoint in the folder that
   ``spark.checkpoint.dir`` names (shared by all executors); a local session
   without one gets a scratch folder, any other master raises.
+* ``tidy`` - trims a Python worker when its task ends.
 * ``resident`` - the one vocabulary or automaton that a Python worker keeps
   between tasks.
 * ``slices`` - number of hash slices so that one holds about ``target`` bytes.
@@ -34,6 +35,25 @@ _shipped: set[str] = set()
 _resident: dict = {}
 
 
+def trim() -> None:
+    """Give a worker's freed memory back to the system: idle workers stay and count against the executor."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    give_back = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if give_back is not None:
+        give_back(0)
+
+
+def tidy(run):
+    """A function over Arrow batches that trims its worker when its task ends."""
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            trim()
+    return wrapped
+
+
 def resident(name: str, data: bytes, make):
     """What a worker keeps between tasks: one thing, ``make(data)``, of the operator that it served last.
 
@@ -44,11 +64,7 @@ def resident(name: str, data: bytes, make):
     if key not in _resident:
         if _resident:
             _resident.clear()
-            gc.collect()
-            pa.default_memory_pool().release_unused()
-            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-            if trim is not None:
-                trim(0)
+            trim()
         _resident[key] = make(data)
     return _resident[key]
 

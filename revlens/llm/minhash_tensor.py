@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from revlens.llm import bytewords as bw
 from revlens.llm import near_groups
-from revlens.llm.frames import stored, texts
+from revlens.llm.frames import stored, texts, tidy
 
 SIDE, HALF = 10, 2
 WIDTH = 2 * SIDE * HALF
@@ -84,6 +84,7 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
     """(doc_id, n, cid, mh, short) of every row; an empty set has null cid, mh and short."""
     d = texts(docs)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, cid, mh, short = [], [], [], []
@@ -109,6 +110,7 @@ def components(docs: DataFrame, words: int = 4, percent: int = PERCENT) -> DataF
         wanted = classes.join(ids, "cid").select(F.col("doc_id").alias("_id"), "cid", "name")
         near = d.join(wanted, F.col("doc_id").eqNullSafe(F.col("_id"))).select("text", "cid", "name")
 
+        @tidy
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 out = [(c, x.tobytes()) for c, name, x in zip(batch.column("cid").to_pylist(), batch.column("name").to_pylist(), _sets(batch.column("text"), words)) if len(x) and set_name(x) == name]
@@ -150,6 +152,7 @@ def one_of_each(docs: DataFrame, words: int = 5, percent: int = PERCENT) -> Data
     empty = ~F.col("text").rlike(r"[^\x20\x09-\x0D]")
     near = held.where(~empty).join(best.select("_id", "_cid", "_many"), F.col("doc_id").eqNullSafe(F.col("_id"))).select("_row", "text", "_cid", "_many")
 
+    @tidy
     def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows whose set is the wanted one."""
         for batch in batches:

@@ -21,7 +21,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from revlens.llm.frames import stored
+from revlens.llm.frames import stored, tidy
 
 BLOCK = 1024
 PAIR = "a long, b long"
@@ -62,6 +62,7 @@ def _stars(keys: np.ndarray, who: np.ndarray):
 
 def shared_keys(classes: DataFrame, keys_of: Callable[[np.ndarray], np.ndarray], width: int) -> DataFrame:
     """Star edges (null, a, b) and memberships (key, a, null) of the keys that two classes or more of ``classes`` (cid, mh) have."""
+    @tidy
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Edges to the task's own centre of each key, its members, and the centre for the shuffle (key, a, a)."""
         ids: list[np.ndarray] = []
@@ -86,6 +87,7 @@ def shared_keys(classes: DataFrame, keys_of: Callable[[np.ndarray], np.ndarray],
         if mh:
             yield from flush()
 
+    @tidy
     def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, ids, alone = [], [], []
         for batch in batches:
@@ -119,6 +121,7 @@ def may_link(pairs: DataFrame, classes: DataFrame, share: float, least: float) -
     both = (pairs.join(c.toDF("a", "na", "ma"), "a").join(c.toDF("b", "nb", "mb"), "b")
             .where(F.least("na", "nb") >= F.greatest("na", "nb") * F.lit(share)))
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
@@ -132,6 +135,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs with 100 * intersection >= percent * union on their full sets (``sets``: cid, shingles)."""
     both = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
@@ -186,6 +190,7 @@ def unfinished_pairs(members: DataFrame, classes: DataFrame, roots: DataFrame, s
     open_keys = rows.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("key")
     some = rows.join(open_keys, "key").select("cid").distinct()
 
+    @tidy
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:

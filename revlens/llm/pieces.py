@@ -73,7 +73,7 @@ def marked(pretoken: str) -> str:
 class Cache:
     """A dictionary bounded by entries and bytes: two generations of half of ``held`` bytes, the older is dropped when the newer is full."""
 
-    def __init__(self, make, limit: int = 400_000, held: int = 128 << 20):
+    def __init__(self, make, limit: int = 400_000, held: int = 64 << 20):
         self.make, self.limit, self.half, self.held = make, limit, held // 2, 0
         self.new: dict = {}
         self.old: dict = {}

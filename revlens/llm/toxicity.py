@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from revlens.llm.frames import crc_rest, texts
+from revlens.llm.frames import crc_rest, texts, tidy
 
 #: bound on the labelled rows a fit reads
 TRAIN_ROWS = 20_000
@@ -44,7 +44,7 @@ MIN_DOCS = 4
 MIN_WEIGHT, MIN_G = 2.0, 12.0
 PREFIXES = range(4, 9)
 #: terms that a task counts before it sends partial counts on, about 150 bytes each
-HELD_TERMS = 300_000
+HELD_TERMS = 150_000
 LONGEST = 24
 
 #: look-alike letters of other scripts
@@ -131,6 +131,7 @@ def labelled(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, h
     return texts(docs).join(F.broadcast(usable), "doc_id").select("text", "toxic")  # train_rows ids at most, in expectation
 
 
+@tidy
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     seen = (Counter(), Counter())
     rows = [0, 0]
@@ -200,6 +201,7 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.5, rounds: int = 60)
 
 
 def _features(model: Model):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = model.automaton()
         for batch in batches:
@@ -211,6 +213,7 @@ def _features(model: Model):
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` (with a string column ``text``) plus ``_score`` double."""
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = model.automaton()
         for batch in batches:
