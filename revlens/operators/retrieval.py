@@ -3,12 +3,11 @@
 Distance is squared L2 in double precision, summed left to right over the
 vector (the default metric of the store the reference uses).
 
-Plan for ``vector_top_k`` (Q queries, N corpus vectors):
+``vector_top_k`` is for a handful of queries, such as one exemplar a group:
 
-* The query set is checked on the driver (``count``) and packed into ONE row
-  holding an array of at most ``max_queries`` vectors; that row is broadcast.
-  The corpus is never broadcast or collected. A larger query set goes to
-  ``vector_top_k_blocks``.
+* The query set is packed into ONE row holding an array of at most
+  ``max_queries`` vectors, a bound that the plan itself asserts; that row is
+  broadcast. The corpus is never broadcast or collected.
 * Every corpus row computes its Q distances with built-in higher-order
   functions (``zip_with`` + ``aggregate``), all JVM-side.
 * Per query, ``row_number() <= k`` over (distance, id): Spark inserts a
@@ -16,22 +15,19 @@ Plan for ``vector_top_k`` (Q queries, N corpus vectors):
   most k rows per query and the shuffle carries O(Q * k * tasks) rows, not
   O(Q * N).
 
-Plan for ``vector_top_k_blocks``: queries are dealt into blocks and the corpus
-into chunks by hash of the id, both as rows; every block meets every chunk in
-one group, which numpy works through and answers with k rows a query. Nothing
-is broadcast, and the corpus is read once.
+Query sets that grow with the data go through ``vector_index`` (cells, rings
+and exact bounds); ``vector_top_k_blocks`` builds an index and searches it.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from revlens.operators import vector_index
+
 MAX_BROADCAST_QUERIES = 4096
-BLOCK_ROWS = 4096
+BLOCK_ROWS = vector_index.BLOCK_ROWS
 
 
 def squared_l2(a: Column, b: Column) -> Column:
@@ -42,9 +38,19 @@ def squared_l2(a: Column, b: Column) -> Column:
     return F.when(same.isNull(), total)
 
 
-def _top_k_batch(corpus: DataFrame, queries: DataFrame, k: int, id_col: str, vec_col: str,
-                 qid: str, qvec: str) -> DataFrame:
-    packed = queries.agg(F.collect_list(F.struct(F.col(qid).alias("qid"), F.col(qvec).alias("qv"))).alias("__qs"))
+def vector_top_k(corpus: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id",
+                 vec_col: str = "embedding", qid: str = "query_id", qvec: str = "query_vec",
+                 max_queries: int = MAX_BROADCAST_QUERIES) -> DataFrame:
+    """The k nearest corpus rows of each of a few queries: (query, rank, id, distance).
+
+    Rows without a vector, on either side, take no part. More than
+    ``max_queries`` queries raise when the plan runs.
+    """
+    corpus, queries = corpus.where(F.col(vec_col).isNotNull()), queries.where(F.col(qvec).isNotNull())
+    few = queries.limit(max_queries + 1)  # so that the array is bounded even where the check fails
+    packed = few.agg(F.collect_list(F.struct(F.col(qid).alias("qid"), F.col(qvec).alias("qv"))).alias("__qs"))
+    told = F.assert_true(F.size("__qs") <= max_queries, F.lit(f"more than {max_queries} queries: search a vector index"))
+    packed = packed.withColumn("__qs", F.when(told.isNull(), F.col("__qs")))
     j = (corpus.select(id_col, vec_col).withColumn("__k", F.lit(1))
          .join(F.broadcast(packed.withColumn("__k", F.lit(1))), "__k").drop("__k"))
     d = j.select(id_col, F.explode(F.transform("__qs", lambda q: F.struct(
@@ -55,80 +61,12 @@ def _top_k_batch(corpus: DataFrame, queries: DataFrame, k: int, id_col: str, vec
     return top.withColumn("rank", F.col("rank").cast("bigint"))
 
 
-def vector_top_k(corpus: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id",
-                 vec_col: str = "embedding", qid: str = "query_id", qvec: str = "query_vec",
-                 max_queries: int = MAX_BROADCAST_QUERIES) -> DataFrame:
-    """The k nearest corpus rows of every query: (query, rank, id, distance).
-
-    Rows without a vector, on either side, take no part.
-    """
-    corpus, queries = corpus.where(F.col(vec_col).isNotNull()), queries.where(F.col(qvec).isNotNull())
-    n = queries.count()
-    if n <= max_queries:
-        return _top_k_batch(corpus, queries, k, id_col, vec_col, qid, qvec)
-    return vector_top_k_blocks(corpus, queries, k, id_col, vec_col, qid, qvec, block_rows=max_queries)
-
-
-def _nearest(k: int):
-    """For a chunk (id, v) and a block (qid, v): the k nearest rows of the chunk for each query. Workers get it by value."""
-    def matrix(column) -> np.ndarray:
-        column = column.combine_chunks()
-        flat, sizes = column.flatten(), np.diff(column.offsets.to_numpy())
-        if flat.null_count:
-            raise ValueError("a vector has a null element")
-        if len(set(sizes.tolist())) > 1:
-            raise ValueError("vectors have different dimensions")
-        return flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(sizes), -1)
-
-    def run(corpus: pa.Table, queries: pa.Table) -> pa.Table:
-        schema = pa.schema([("qid", queries.schema.field("qid").type), ("id", corpus.schema.field("id").type), ("distance", pa.float64())])
-        if not corpus.num_rows or not queries.num_rows:
-            return schema.empty_table()
-        corpus = corpus.take(pc.sort_indices(corpus.column("id"), null_placement="at_start"))  # of equal distances the smaller id comes first
-        c, q = matrix(corpus.column("v")), matrix(queries.column("v"))
-        if c.shape[1] != q.shape[1]:
-            raise ValueError("vectors have different dimensions")
-        n = min(k, len(c))
-        who, near, far = [], [], []
-        columns = np.ascontiguousarray(c.T)
-        for lo in range(0, len(q), 64):
-            part = q[lo:lo + 64]
-            d = np.zeros((len(part), len(c)))
-            for x, y in zip(columns, part.T):  # left to right over the vector
-                step = x[None, :] - y[:, None]
-                step *= step
-                d += step
-            last = np.partition(d, n - 1, axis=1)[:, n - 1]
-            for i, row in enumerate(d):
-                some = np.flatnonzero(~(row > last[i]))
-                some = some[np.argsort(row[some], kind="stable")][:n]
-                who.append(np.full(n, lo + i))
-                near.append(some)
-                far.append(row[some])
-        return pa.table([queries.column("qid").take(pa.array(np.concatenate(who))), corpus.column("id").take(pa.array(np.concatenate(near))),
-                         pa.array(np.concatenate(far))], schema=schema)
-    return run
-
-
 def vector_top_k_blocks(corpus: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id",
                         vec_col: str = "embedding", qid: str = "query_id", qvec: str = "query_vec",
                         block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """``vector_top_k`` for query sets of any size; a null in a vector raises, too."""
-    c = corpus.where(F.col(vec_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(vec_col).alias("v"))
-    q = queries.where(F.col(qvec).isNotNull()).select(F.col(qid).alias("qid"), F.col(qvec).alias("v"))
-    chunks, blocks = (max(1, -(-d.count() // block_rows)) for d in (c, q))
-
-    def dealt(d: DataFrame, key: str, own: str, parts: int, other: str, others: int) -> DataFrame:
-        return d.withColumn(own, F.pmod(F.xxhash64(key), F.lit(parts)).cast("int")) \
-            .withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(others - 1))))
-
-    kinds = dict(c.dtypes) | dict(q.select("qid").dtypes)
-    near = dealt(c, "id", "chunk", chunks, "block", blocks).groupBy("chunk", "block") \
-        .cogroup(dealt(q, "qid", "block", blocks, "chunk", chunks).groupBy("chunk", "block")) \
-        .applyInArrow(_nearest(k), f"qid {kinds['qid']}, id {kinds['id']}, distance double")
-    w = Window.partitionBy("qid").orderBy(F.col("distance").asc_nulls_last(), F.col("id").asc())
-    return near.withColumn("rank", F.row_number().over(w).cast("bigint")).where(F.col("rank") <= k).select(
-        F.col("qid").alias(qid), F.col("id").alias(id_col), "distance", "rank")
+    """``vector_top_k`` for query sets of any size, through an index of the corpus; a null in a vector raises, too."""
+    index = vector_index.build(corpus, id_col, vec_col)
+    return vector_index.search(index, queries, k, qid, qvec, id_col, block_rows)
 
 
 def exemplar_queries(vectors: DataFrame, group_col: str = "label", id_col: str = "vec_id",

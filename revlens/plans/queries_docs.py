@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from revlens.operators import documents, insights, joins, retrieval
+from revlens.operators import documents, insights, joins, retrieval, vector_index
 from revlens.plans.distributed import materialized
 from revlens.plans.registry import Modules, register
 from revlens.sources.tables import Catalog
@@ -62,10 +62,10 @@ def q_vector_top_k(spark, sf_dir):
 
 @register("vector_neighbours")
 def q_vector_neighbours(spark, sf_dir):
-    """J5 with queries that grow with the corpus: the 5 nearest vectors of every 50th id."""
+    """J5 with queries that grow with the corpus: the 5 nearest vectors of every 50th id, from a partitioned index."""
     emb = Catalog(spark, sf_dir).embeddings
     q = emb.where(F.col("vec_id") % 50 == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"))
-    return retrieval.vector_top_k_blocks(emb, q, k=5).select("query_id", "rank", "vec_id", "distance")
+    return vector_index.search(vector_index.build(emb), q, k=5).select("query_id", "rank", "vec_id", "distance")
 
 
 @register("context_text")
