@@ -1,11 +1,8 @@
 """Auto insights and management focus.
 
-Deals is scanned once: a GROUPING SETS aggregate gives the KPIs and the top
-product category, region and stage together (``deals_overview``). The sales
-rep and lead source tops are small group-bys reduced to one row by a top-1.
-The one-row frames are joined on a constant key (broadcast: one row each) and
-the insight rows come from exploding an array of structs, so no value passes
-through the driver.
+Deals and Leads are scanned once each, for the aggregates of ``report``. Its
+one-row ``facts`` become the insight rows by exploding an array of structs, so
+no value passes through the driver.
 """
 
 from __future__ import annotations
@@ -13,19 +10,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from revlens.functions.columns import count_where, format_compact, format_fixed, money_mean, money_sum
+from revlens.functions.columns import format_compact, format_fixed
 from revlens.operators import aggregates as agg
-from revlens.operators import ranking
+from revlens.operators.report import Report, build, facts
 
 INSIGHT_COLUMNS = ("Insight_Order", "title", "metric", "explanation", "recommended_action")
 
 
-def _attach(base: DataFrame, one: DataFrame, prefix: str) -> DataFrame:
-    """Left-join a 0/1-row frame to the 1-row base; columns get ``prefix``."""
-    renamed = one.select(*[F.col(c).alias(f"{prefix}{c}") for c in one.columns]).withColumn("__k", F.lit(1))
-    return base.join(F.broadcast(renamed), "__k", "left")
-
-
 def _s(c: Column) -> Column:
     return c.cast("string")
 
@@ -52,55 +43,15 @@ def management_focus_columns(at_risk: Column, pipeline: Column, commit: Column,
     return metric, expl, action
 
 
-def deals_overview(deals: DataFrame) -> DataFrame:
-    """One row with the Deals KPIs and the top (largest amount) Product_Category,
-    Region and Deal_Stage, from ONE scan of Deals.
-
-    A GROUPING SETS aggregate computes the grand total and the three group-bys
-    together (partial aggregation before one shuffle); a second aggregate over
-    that small result picks each set's top row with ``min_by`` (largest
-    amount, then smallest name). Null group values are skipped.
-    """
-    dims = [c for c in ("Product_Category", "Region", "Deal_Stage") if c in deals.columns]
-    fc = F.col("Forecast_Category") if "Forecast_Category" in deals.columns else F.lit(None).cast("string")
-    st = F.col("Deal_Stage") if "Deal_Stage" in deals.columns else F.lit(None).cast("string")
-    won = count_where(st == "Closed Won")
-    lost = count_where(st == "Closed Lost")
-    aggs = [F.count(F.lit(1)).alias("n"), F.count("Deal_ID").alias("deal_count"),
-            money_sum("Amount").alias("amount"),
-            money_sum("Amount", fc == "Pipeline").alias("Pipeline_Amount"),
-            count_where(fc == "Pipeline").alias("Pipeline_Deals"),
-            money_sum("Amount", fc == "Commit").alias("Commit_Amount"),
-            money_sum("Amount", fc == "At Risk").alias("At_Risk_Amount"),
-            money_sum("Amount", st == "Closed Won").alias("Closed_Won_Amount"),
-            won.alias("Closed_Won"), lost.alias("Closed_Lost"), money_mean("Amount").alias("Average_Deal_Size"),
-            F.grouping_id().alias("gid")]
-    sets = [[]] + [[d] for d in dims]
-    g = deals.groupingSets(sets, *dims).agg(*aggs) if dims else deals.agg(*aggs[:-1]).withColumn("gid", F.lit(0))
-    full = (1 << len(dims)) - 1
-    total = F.col("gid") == full
-    picks = [F.max(F.when(total, F.col(c))).alias(c) for c in
-             ("Pipeline_Amount", "Pipeline_Deals", "Commit_Amount", "At_Risk_Amount", "Closed_Won_Amount",
-              "Closed_Won", "Closed_Lost", "Average_Deal_Size")]
-    picks.append(F.coalesce(F.max(F.when(total, F.col("n"))), F.lit(0)).alias("Total_Deals"))
-    for i, d in enumerate(dims):
-        mine = (F.col("gid") == (full ^ (1 << (len(dims) - 1 - i)))) & F.col(d).isNotNull()
-        best = F.min_by(F.when(mine, F.struct(F.col(d).cast("string").alias("k"), F.col("amount").alias("a"),
-                                              F.col("deal_count").alias("c"))),
-                        F.when(mine, F.struct(-F.col("amount"), F.col(d).cast("string"))))
-        picks.append(best.alias(f"__top_{d}"))
-    one = g.agg(*picks)
-    prefix = {"Product_Category": "prod_", "Region": "reg_", "Deal_Stage": "stage_"}
-    cols = [F.col(c) for c in ("Total_Deals", "Pipeline_Amount", "Pipeline_Deals", "Commit_Amount",
-                               "At_Risk_Amount", "Closed_Won_Amount", "Closed_Won", "Closed_Lost",
-                               "Average_Deal_Size")]
-    wr = F.try_divide(F.col("Closed_Won").cast("double"), (F.col("Closed_Won") + F.col("Closed_Lost")).cast("double"))
-    cols.append((wr * F.lit(100.0)).alias("Win_Rate"))
-    for d in dims:
-        p = prefix[d]
-        cols += [F.col(f"__top_{d}.k").alias(f"{p}{d}"), F.col(f"__top_{d}.a").alias(f"{p}Total_Amount"),
-                 F.col(f"__top_{d}.c").alias(f"{p}Deal_Count")]
-    return one.select(*cols)
+def overview(facts: DataFrame) -> DataFrame:
+    """The report's facts under the names that the insight rows use."""
+    cols = [F.col(c) for c in ("Total_Deals", "Pipeline_Amount", "Pipeline_Deals", "Commit_Amount", "At_Risk_Amount", "Closed_Won_Amount",
+                               "Closed_Won", "Closed_Lost", "Average_Deal_Size", "Win_Rate")]
+    for p, d in (("prod_", "Product_Category"), ("reg_", "Region"), ("stage_", "Deal_Stage")):
+        cols += [F.col(f"top_{d}.k").alias(f"{p}{d}"), F.col(f"top_{d}.a").alias(f"{p}Total_Amount"), F.col(f"top_{d}.c").alias(f"{p}Deal_Count")]
+    cols += [F.col("top_rep.k").alias("rep_Sales_Rep"), F.col("top_rep.a").alias("rep_Total_Deal_Amount"), F.col("top_rep.c").alias("rep_Deal_Count"),
+             F.col("top_source.k").alias("src_Lead_Source"), F.col("top_source.v").alias("src_Total_Estimated_Value"), F.col("top_source.c").alias("src_Lead_Count")]
+    return facts.select(*cols)
 
 
 _ARRAYS: dict[tuple, Column] = {}
@@ -210,23 +161,21 @@ def _build_insight_array(has_prod: bool, has_region: bool, has_stage: bool) -> C
     return F.array(*structs)
 
 
-def auto_insights(leads: DataFrame, deals: DataFrame) -> DataFrame:
+def auto_insights(leads: DataFrame, deals: DataFrame, report: Report | None = None) -> DataFrame:
     """9 to 12 insight rows in fixed order.
 
     Optional rows: Top Product Category (Deals has Product_Category), Top Lead
     Source (Leads not empty; ranked by estimated value), Top Region (Deals has
-    Region). The top lead source is taken by value, not by count. Deals is
-    scanned once for all its KPIs and top rows (``deals_overview``).
+    Region). The top lead source is taken by value, not by count. All numbers
+    come from the report's one-pass aggregates (built here unless given).
     """
-    base = deals_overview(deals).withColumn("__k", F.lit(1))
-    rep = ranking.top_n(agg.sales_rep_performance(leads, deals), "Total_Deal_Amount", "Sales_Rep", 1)
-    base = _attach(base, rep, "rep_")
-    has_prod = "Product_Category" in deals.columns
-    has_region = "Region" in deals.columns
-    base = _attach(base, ranking.top_source(leads), "src_")
-
-    has_stage = "Deal_Stage" in deals.columns
-    out = base.select(F.explode(_insight_array(has_prod, has_region, has_stage)).alias("r")).select("r.*")
+    report = report or build(leads, deals)
+    base = overview(facts(report))
+    if not report.rep_known:
+        base = base.withColumn("rep_Sales_Rep", F.lit(None).cast("string"))
+    if not report.have(leads=("Lead_Source", "Lead_ID", "Estimated_Value")):
+        base = base.withColumn("src_Lead_Source", F.lit(None).cast("string"))
+    out = base.select(F.explode(_insight_array(*(report.have(c) for c in ("Product_Category", "Region", "Deal_Stage")))).alias("r")).select("r.*")
     out = out.where("__keep").drop("__keep")
     # Export shape, missing text -> ""
     return out.na.fill("", ["title", "metric", "explanation", "recommended_action"])

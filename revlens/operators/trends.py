@@ -43,6 +43,11 @@ def monthly_trend(deals: DataFrame, date_col: str = "Closing_Date", value_col: s
         d = d.where(F.col("Forecast_Category") == F.lit(forecast_category))
     monthly = (d.withColumn("__m", F.trunc(F.col(date_col), "month"))
                .groupBy("__m").agg(money_sum(value_col).alias("Total_Amount")))
+    return filled_months(monthly)
+
+
+def filled_months(monthly: DataFrame) -> DataFrame:
+    """A row for every month from the first to the last of ``monthly`` (``__m``, Total_Amount), 0 for a missing one."""
     bounds = monthly.agg(F.min("__m").alias("lo"), F.max("__m").alias("hi"))
     # empty input: sequence(null, null) is null and explode gives no row
     calendar = bounds.select(F.explode(F.sequence("lo", "hi", F.expr("interval 1 month"))).alias("__m"))

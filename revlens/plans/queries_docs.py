@@ -4,23 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from revlens.operators import documents, insights, joins, retrieval, vector_index
-from revlens.plans.distributed import materialized
+from revlens.operators import documents, insights, joins, report, retrieval, vector_index
 from revlens.plans.registry import Modules, register
 from revlens.sources.tables import Catalog
 
 
-def enriched_deals(m: Modules):
-    """Deals with Region (from Accounts) and Product_Category (from Products),
-    both key-deduplicated lookups (C4)."""
-    d = joins.with_lookup(m.deals, m.accounts, "Account_ID", ["Region"])
-    return joins.with_lookup(d, m.products, "Product_ID", ["Product_Category"])
-
-
-def _once(m: Modules):
-    """Leads and enriched Deals, each read and joined once and written to the shared
-    checkpoint folder; the many small aggregates of a report then read that copy."""
-    return materialized(m.leads), materialized(enriched_deals(m))
+def _report(m: Modules, several: bool = True):
+    """Leads, enriched Deals and their one-pass aggregates."""
+    leads, deals = m.leads, m.deals
+    # Region (from Accounts) and Product_Category (from Products): key-deduplicated lookups (C4)
+    d = joins.with_lookup(deals, m.accounts, "Account_ID", ["Region"])
+    d = joins.with_lookup(d, m.products, "Product_ID", ["Product_Category"])
+    return leads, d, report.build(leads, d, base=deals, several=several)
 
 
 def _flat(docs):
@@ -30,7 +25,7 @@ def _flat(docs):
 
 @register("auto_insights")
 def q_auto_insights(spark, sf_dir):
-    return insights.auto_insights(*_once(Modules(spark, sf_dir)))
+    return insights.auto_insights(*_report(Modules(spark, sf_dir), several=False))
 
 
 @register("management_focus")
@@ -40,14 +35,14 @@ def q_management_focus(spark, sf_dir):
 
 @register("summary_documents")
 def q_summary_documents(spark, sf_dir):
-    leads, d = _once(Modules(spark, sf_dir))
-    return _flat(documents.summary_documents(leads, d, insights.auto_insights(leads, d)))
+    leads, d, r = _report(Modules(spark, sf_dir))
+    return _flat(documents.summary_documents(leads, d, insights.auto_insights(leads, d, r), r))
 
 
 @register("rag_documents")
 def q_rag_documents(spark, sf_dir):
-    leads, d = _once(Modules(spark, sf_dir))
-    return _flat(documents.rag_documents(spark, leads, d, insights.auto_insights(leads, d)))
+    leads, d, r = _report(Modules(spark, sf_dir))
+    return _flat(documents.rag_documents(spark, leads, d, insights.auto_insights(leads, d, r), r))
 
 
 @register("vector_top_k")

@@ -292,7 +292,7 @@ def materialize(df: DataFrame, path: str, partition_by: list[str] | None = None)
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)  # a frame without rows leaves no file to read a schema from
 
 
 def export_csv(df: DataFrame, path: str) -> str:
