@@ -14,12 +14,14 @@ from __future__ import annotations
 from revlens.plans.oracle_views import with_views
 
 SQL: dict[str, str] = {}
+BODIES: dict[str, str] = {}  # without the views, to be used in others
 
 
 def sql(name: str, body: str) -> None:
     if name in SQL:
         raise ValueError(f"duplicate oracle {name}")
     SQL[name] = with_views(body)
+    BODIES[name] = body
 
 
 def MSUM(x: str, where: str | None = None) -> str:
@@ -726,15 +728,61 @@ sql("date_labels", """
 SELECT Deal_ID, strftime(Closing_Date, '%b %Y') AS Month_Label, strftime(Closing_Date, '%Y-%m') AS Month_Key,
        strftime(Closing_Date, '%d %b %Y') AS Day_Label FROM deals""")
 
-sql("answer_rows", f"""
-WITH g AS ({metric_sql('revenue', 'Region')}),
-top AS (SELECT Region, Total_Amount, {COMPACT('Total_Amount')} AS t FROM g
-        ORDER BY Total_Amount DESC NULLS LAST, Region ASC LIMIT 5)
-SELECT 'Revenue by Region' AS Title, 'Region' AS X_Axis, 'Total_Amount' AS Y_Axis,
-       string_agg(Region || ': ' || t, '; ' ORDER BY Total_Amount DESC, Region ASC) AS Preview,
-       COUNT(*) AS Preview_Rows,
-       'Highest value is ' || arg_max(Region || ' at ' || t, Total_Amount) || '.' AS Observation
-FROM top""")
+def _answer(title: str, question: str, source: str, answer: str, action: str, kind: tuple[str, str, str], body: str | None, order: str,
+            cells: list[tuple[str, str]], notes: list[tuple[str, str]], main: str | None = None, period: str | None = None, chart: str | None = None,
+            x: str = "NULL", y: str = "NULL") -> str:
+    """Context rows of one answer; ``n`` is the number of preview rows, ``answer``, ``main``, ``x``, ``y`` and the notes are SQL."""
+    top = f"SELECT *, ROW_NUMBER() OVER (ORDER BY {order}) AS p FROM ({body}) ORDER BY p LIMIT 5" if body else "SELECT 1 AS p WHERE FALSE"
+    text = lambda v: "NULL" if v is None else "'" + v.replace("'", "''") + "'"
+    fields = [("original_user_question", text(question)), ("answer_source", text(source)), ("computed_answer", answer), ("recommended_action", text(action)),
+              ("currency", "'AED'"), ("metric_type", text(kind[0])), ("business_object", text(kind[1])), ("main_entity", text(kind[2])), ("main_value", main or answer),
+              ("time_period", text(period)), ("chart_type", text(chart)), ("chart_title", text(title)), ("x_axis", x), ("y_axis", y)]
+    rows = [f"SELECT 'context' AS Part, {i} AS Position, '{f}' AS Field, CAST({v} AS VARCHAR) AS Value FROM c" for i, (f, v) in enumerate(fields, 1)]
+    rows += [f"SELECT 'preview', CAST(p AS INTEGER), '{f}', {v} FROM top" for f, v in cells]
+    rows += [f"SELECT 'observation', {i}, NULL, {v} FROM c WHERE {cond}" for i, (cond, v) in enumerate(notes, 1)]
+    rows.append("SELECT 'limitation', 1, NULL, 'No supporting table preview is available for this result.' FROM c WHERE n = 0")
+    return (f"(WITH top AS ({top}), c AS (SELECT COUNT(*) AS n FROM top) SELECT {text(title)} AS Title, Part, Position, Field, Value FROM ("
+            + " UNION ALL ".join(rows) + "))")
+
+
+def _answers() -> str:
+    num = lambda c: (c, f"format('{{:.4f}}', {c})")
+    whole = lambda c: (c, f"CAST({c} AS VARCHAR)")
+    trend = BODIES["monthly_pipeline_trend"]
+    peak = f"(SELECT {{f}} FROM ({trend}) ORDER BY Total_Amount DESC, Period_Start LIMIT 1)"
+    parts = [
+        _answer("Monthly Pipeline Trend", "How does the pipeline develop?", "metric calculation", "'The pipeline by closing month.'", "Review months without deals.",
+                ("monthly_pipeline_trend", "pipeline trend", "closing month"), trend, "Period_Start", [whole("Closing_Month"), num("Total_Amount")],
+                [("TRUE", "'Monthly trend is grouped by Closing_Date month.'"), ("TRUE", "'Missing months are filled with AED 0.'"),
+                 ("n > 0", "'Highest month is ' || " + peak.format(f="Closing_Month") + " || '.'")],
+                "CASE WHEN n = 0 THEN 'The pipeline by closing month.' ELSE " + peak.format(f="Closing_Month || ' at AED ' || format('{:,.0f}', Total_Amount)") + " END",
+                "monthly", "line_chart", "'Closing Month'", "'Total Amount (AED)'"),
+        _answer("Weak Forecasts", "Which category has the weakest forecast?", "forecast quality analysis", "'Categories by weak share.'", "",
+                ("forecast_quality", "forecast quality", "product category"), BODIES["forecast_quality"], "Weak_Forecast_Ratio DESC, Weak_Forecast_Amount DESC, Product_Category",
+                [whole("Product_Category"), num("Weak_Forecast_Amount"), num("Strong_Forecast_Amount"), num("Weak_Forecast_Ratio")],
+                [("TRUE", "'Weak forecast = At Risk + Omitted + Pipeline.'"), ("TRUE", "'Strong forecast = Commit + Closed + Best Case.'")]),
+        _answer("Lead Source Conversion", "Which sources convert?", "metric calculation", "'Sources by value.'", "", ("lead_source_conversion", "lead conversion", "lead source"),
+                _CONVERSION, "Estimated_Value DESC, Conversion_Rate, Lead_Source",
+                [whole("Lead_Source"), whole("Total_Leads"), whole("Converted_Leads"), num("Conversion_Rate"), num("Estimated_Value")],
+                [("TRUE", "'Conversion uses Lead_ID match between leads and deals.'"),
+                 ("n > 0", "'Lead sources are sorted by Estimated Value descending, then Conversion Rate ascending.'")]),
+        _answer("Where Deals Are", "Where are the deals?", "metric calculation", "''", "", ("deal_stage_breakdown", "deal stage performance", "deal stage"),
+                BODIES["deals_by_stage"], "Total_Amount DESC, Deal_Stage", [whole("Deal_Stage"), whole("Deal_Count"), num("Total_Amount")],
+                [("TRUE", "'Deal stages are grouped from the Deal_Stage field.'")], chart="bar", y="'Value'"),
+        _answer("Sales Rep Performance", "Who sells most?", "metric calculation", "''", "", ("sales_rep_performance", "sales performance", "sales rep"),
+                BODIES["sales_rep_performance"], "Total_Deal_Amount DESC, Total_Estimated_Value DESC, Sales_Rep", [whole("Sales_Rep"), num("Total_Deal_Amount"), whole("Deal_Count")],
+                [("TRUE", "'Sales rep performance is grouped by Sales_Rep and summed by Amount.'")]),
+        _answer("Total Pipeline Value", "How large is the pipeline?", "metric calculation", f"(SELECT {COMPACT('Total_Pipeline_Amount')} FROM ({BODIES['total_pipeline']}))", "",
+                ("total_pipeline_value", "pipeline value", "pipeline"), None, "", [], [("TRUE", "'Pipeline totals come from the Amount column.'")], chart="no_chart"),
+        _answer("Revenue by Region", "What is revenue by region?", "metric calculation", "''", "", ("general_revenue_insight", "revenue operations", "Revenue by Region"),
+                metric_sql("revenue", "Region"), "Total_Amount DESC, Region", [whole("Region"), num("Total_Amount")], [], chart="bar", x="'Region'", y="'Total Amount'"),
+        _answer("Sources below Average", "Which sources are below average?", "metric calculation", "'None.'", "",
+                ("general_revenue_insight", "revenue operations", "Sources below Average"), None, "", [], [], chart="line", x="'Lead Source'", y="'Conversion Rate'"),
+    ]
+    return " UNION ALL ".join(f"SELECT * FROM {p}" for p in parts)
+
+
+sql("answer_rows", _answers())
 
 
 # --------------------------------------------------------- question log (K)

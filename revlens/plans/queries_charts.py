@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from revlens.functions.columns import day_label, month_key, month_label
-from revlens.operators import answers, charts
+from revlens.functions.columns import day_label, format_compact, month_key, month_label
+from revlens.operators import aggregates as agg
+from revlens.operators import answers, charts, joins, trends
 from revlens.plans.metrics import Sources, build_metric
 from revlens.plans.registry import Modules, register
 from revlens.plans.queries_text import _user_turns
@@ -74,7 +75,26 @@ def q_date_labels(spark, sf_dir):
 
 @register("answer_rows")
 def q_answer_rows(spark, sf_dir):
+    """The structured context of an answer of each kind, and of one without rows."""
     m = Modules(spark, sf_dir)
-    data = build_metric(Sources(deals=m.deals, leads=m.leads, accounts=m.accounts, products=m.products),
-                        "revenue", "Region")
-    return answers.answer_context(data, "Revenue by Region", "Region", "Total_Amount")
+    leads, deals = m.leads, m.deals
+    src = Sources(deals=deals, leads=leads, accounts=m.accounts, products=m.products)
+    with_category = joins.with_lookup(deals, src.products, "Product_ID", ["Product_Category"])
+    desc, asc = lambda c: F.col(c).desc_nulls_last(), lambda c: F.col(c).asc()
+    results = [
+        answers.Result("Monthly Pipeline Trend", "How does the pipeline develop?", trends.monthly_trend(deals, forecast_category="Pipeline"), (asc("Period_Start"),),
+                       answer="The pipeline by closing month.", action="Review months without deals.", answer_type="chart", chart_key="monthly_pipeline_trend"),
+        answers.Result("Weak Forecasts", "Which category has the weakest forecast?", agg.forecast_quality(with_category),
+                       (desc("Weak_Forecast_Ratio"), desc("Weak_Forecast_Amount"), asc("Product_Category")), "forecast quality analysis", "Categories by weak share."),
+        answers.Result("Lead Source Conversion", "Which sources convert?", agg.lead_conversion(leads, deals),
+                       (desc("Estimated_Value"), asc("Conversion_Rate"), asc("Lead_Source")), answer="Sources by value."),
+        answers.Result("Where Deals Are", "Where are the deals?", agg.deals_by_stage(deals), (desc("Total_Amount"), asc("Deal_Stage")), answer_type="chart", chart_type="bar"),
+        answers.Result("Sales Rep Performance", "Who sells most?", agg.sales_rep_performance(leads, deals),
+                       (desc("Total_Deal_Amount"), desc("Total_Estimated_Value"), asc("Sales_Rep"))),
+        answers.Result("Total Pipeline Value", "How large is the pipeline?", answer=agg.total_pipeline(deals).select(format_compact("Total_Pipeline_Amount")), answer_type="metric"),
+        answers.Result("Revenue by Region", "What is revenue by region?", build_metric(src, "revenue", "Region"), (desc("Total_Amount"), asc("Region")), answer_type="dynamic_chart",
+                       chart_type="bar", axes=("Region", "Total_Amount")),
+        answers.Result("Sources below Average", "Which sources are below average?", agg.lead_conversion(leads, deals).where(F.col("Conversion_Rate") < 0).drop("Lead_ID"),
+                       (asc("Lead_Source"),), answer="None.", answer_type="dynamic_chart", chart_type="line", axes=("Lead_Source", "Conversion_Rate")),
+    ]
+    return answers.answer_rows(spark, results)
