@@ -3,7 +3,7 @@
 Top-k is ``orderBy(...).limit(k)``, which Spark plans as
 TakeOrderedAndProject: every task keeps its own k best rows and only those
 reach the final merge. Every order ends in a unique column so the k rows are
-deterministic. Dense ranks over a whole table use ``dense_rank_global``
+deterministic. Dense ranks over a whole table use ``dense_ranks_by_key``
 (no single-partition window).
 """
 
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from revlens.functions.columns import money_sum
 from revlens.operators import aggregates as agg
 from revlens.operators import guards, joins
-from revlens.plans.distributed import dense_ranks_global
+from revlens.plans.distributed import dense_ranks_by_key
 
 
 def top_n(df: DataFrame, value: str, key: str, n: int = 5) -> DataFrame:
@@ -38,12 +38,11 @@ def compound_ranking(dataset: DataFrame, dim: str) -> DataFrame:
                                    "Deal_Count bigint, Revenue_Rank bigint, Average_Deal_Size_Rank bigint, "
                                    "Deal_Count_Rank bigint, Priority_Score bigint, Priority_Rank bigint")
     g = agg.compound_by(dataset, dim)
-    g = dense_ranks_global(g, [("Total_Revenue", "Revenue_Rank", False),
-                               ("Average_Deal_Size", "Average_Deal_Size_Rank", False),
-                               ("Deal_Count", "Deal_Count_Rank", False)])
+    g = dense_ranks_by_key(g, dim, [("Total_Revenue", "Revenue_Rank", False), ("Average_Deal_Size", "Average_Deal_Size_Rank", False),
+                                    ("Deal_Count", "Deal_Count_Rank", False)])
     g = g.withColumn("Priority_Score", F.col("Revenue_Rank") + F.col("Average_Deal_Size_Rank")
                      + F.col("Deal_Count_Rank"))
-    g = dense_ranks_global(g, [("Priority_Score", "Priority_Rank", True)])
+    g = dense_ranks_by_key(g, dim, [("Priority_Score", "Priority_Rank", True)])
     return g.select(dim, "Total_Revenue", "Average_Deal_Size", "Deal_Count", "Revenue_Rank",
                     "Average_Deal_Size_Rank", "Deal_Count_Rank", "Priority_Score", "Priority_Rank") \
         .orderBy(F.col("Total_Revenue").desc(), F.col(dim).asc())

@@ -5,8 +5,8 @@ vector (the default metric of the store the reference uses).
 
 ``vector_top_k`` is for a handful of queries, such as one exemplar a group:
 
-* The query set is packed into ONE row holding an array of at most
-  ``max_queries`` vectors, a bound that the plan itself asserts; that row is
+* The query set, at most ``MAX_BROADCAST_QUERIES``, a bound that the plan itself
+  asserts, is packed into arrays of ``max_queries`` vectors, which are
   broadcast. The corpus is never broadcast or collected.
 * Every corpus row computes its Q distances with built-in higher-order
   functions (``zip_with`` + ``aggregate``), all JVM-side.
@@ -43,14 +43,16 @@ def vector_top_k(corpus: DataFrame, queries: DataFrame, k: int = 5, id_col: str
                  max_queries: int = MAX_BROADCAST_QUERIES) -> DataFrame:
     """The k nearest corpus rows of each of a few queries: (query, rank, id, distance).
 
-    Rows without a vector, on either side, take no part. More than
-    ``max_queries`` queries raise when the plan runs.
+    Rows without a vector, on either side, take no part. The queries are worked
+    in packs of ``max_queries``; more than ``MAX_BROADCAST_QUERIES`` of them in
+    all raise when the plan runs.
     """
     corpus, queries = corpus.where(F.col(vec_col).isNotNull()), queries.where(F.col(qvec).isNotNull())
-    few = queries.limit(max_queries + 1)  # so that the array is bounded even where the check fails
+    few = queries.limit(MAX_BROADCAST_QUERIES + 1)  # so that the array is bounded even where the check fails
     packed = few.agg(F.collect_list(F.struct(F.col(qid).alias("qid"), F.col(qvec).alias("qv"))).alias("__qs"))
-    told = F.assert_true(F.size("__qs") <= max_queries, F.lit(f"more than {max_queries} queries: search a vector index"))
-    packed = packed.withColumn("__qs", F.when(told.isNull(), F.col("__qs")))
+    told = F.assert_true(F.size("__qs") <= MAX_BROADCAST_QUERIES, F.lit(f"more than {MAX_BROADCAST_QUERIES} queries: search a vector index"))
+    packs = F.transform(F.sequence(F.lit(0), F.size("__qs") - 1, F.lit(max_queries)), lambda at: F.slice("__qs", at + 1, max_queries))
+    packed = packed.where(told.isNull() & (F.size("__qs") > 0)).select(F.explode(packs).alias("__qs"))
     j = (corpus.select(id_col, vec_col).withColumn("__k", F.lit(1))
          .join(F.broadcast(packed.withColumn("__k", F.lit(1))), "__k").drop("__k"))
     d = j.select(id_col, F.explode(F.transform("__qs", lambda q: F.struct(

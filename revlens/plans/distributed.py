@@ -6,12 +6,12 @@ helpers here give the same results with the work spread over the cluster:
 * ``with_total`` / ``share_of_total`` - a column total is a one-row aggregate
   joined back on a constant key (the broadcast side is one row by
   construction).
-* ``dense_rank_global`` - dense rank over a whole column. The distinct values
-  are cut into value ranges by approximate quantiles (a bounded list of cut
-  points, computed by one job); each range is ranked in its own window
-  partition, and a table with one row per range (its distinct count) gives
-  the offset of each range. Equal values always fall into the same range, so
-  ties are exact. The per-range table has at most ``buckets`` rows.
+* ``dense_ranks_by_key``, ``dense_ranks_global`` - dense ranks over a whole
+  column. The distinct values fall into buckets of a monotone function of the
+  value (``value_bucket``); each bucket is ranked in its own window partition,
+  and a table with one row per bucket (its distinct count) gives the offset of
+  each bucket. Equal values always fall into the same bucket, so ties are
+  exact, and nothing has to be sampled, collected or written beforehand.
 """
 
 from __future__ import annotations
@@ -75,34 +75,60 @@ def _buckets(df: DataFrame, buckets: int | None) -> int:
     return buckets or max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
+def value_bucket(value: Column, per_octave: int = 180) -> Column:
+    """A whole number that never falls as ``value`` (double) grows: equal steps of its logarithm.
+
+    Some 130,000 buckets at most cover all doubles each way; a bucket spans about
+    0.4 % of its values' size, so no sample and no cut points are needed.
+    """
+    return (F.signum(value) * F.floor(F.log1p(F.abs(value)) * F.lit(float(per_octave)))).cast("int")
+
+
+def _ranks(values: DataFrame) -> DataFrame:
+    """(spec, value, rank): dense ranks of the distinct (spec, value), ascending.
+
+    Values are ranked within their bucket; the distinct counts of lower buckets,
+    one row a bucket that occurs, are the offset.
+    """
+    distinct = values.distinct().withColumn("b", value_bucket(F.col("value")))
+    local = distinct.withColumn("place", F.dense_rank().over(Window.partitionBy("spec", "b").orderBy("value")))
+    # bounded by the number of buckets, whatever the number of values
+    before = Window.partitionBy("spec").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = distinct.groupBy("spec", "b").agg(F.count(F.lit(1)).alias("n")).select("spec", "b", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("off"))
+    return local.join(offsets, ["spec", "b"]).select("spec", "value", (F.col("off") + F.col("place")).cast("bigint").alias("rank"))
+
+
+def dense_ranks_by_key(df: DataFrame, key: str, specs: list[tuple[str, str, bool]]) -> DataFrame:
+    """``df``, one row a non-null ``key``, plus one dense-rank column per ``(value, out, ascending)``; null values get null.
+
+    All specs go through one pass: (spec, value) rows are ranked together and
+    brought back by key, so the number of shuffles does not grow with the specs.
+    Nothing runs while the query is built.
+    """
+    columns = df.columns
+    signed = [F.struct(F.lit(i).alias("spec"), (F.col(v).cast("double") * F.lit(1.0 if asc else -1.0)).alias("value")) for i, (v, _, asc) in enumerate(specs)]
+    long = df.withColumn("__s", F.explode(F.array(*signed))).select(*columns, F.col("__s.spec").alias("spec"), (F.col("__s.value") + F.lit(0.0)).alias("value"))
+    ranks = _ranks(long.where(F.col("value").isNotNull()).select("spec", "value"))
+    both = long.join(ranks, ["spec", "value"], "left")
+    return both.groupBy(key).agg(*[F.any_value(c).alias(c) for c in columns if c != key],
+                                 *[F.max(F.when(F.col("spec") == i, F.col("rank"))).alias(out) for i, (_, out, _) in enumerate(specs)]) \
+        .select(*columns, *[out for _, out, _ in specs])
+
+
 def dense_ranks_global(df: DataFrame, specs: list[tuple[str, str, bool]], buckets: int | None = None,
-                       checkpoint: bool = True) -> DataFrame:
-    """Add one dense-rank column per ``(value, out, ascending)`` spec.
+                       checkpoint: bool = False) -> DataFrame:
+    """Add one dense-rank column per ``(value, out, ascending)`` spec to a frame of any rows.
 
     ``ascending=False`` ranks the largest value first. Null values get a null
-    rank. The input is checkpointed once; one approximate-quantile job gives
-    the cut points of every spec column, and each value range is ranked in its
-    own partition.
+    rank. ``checkpoint`` writes the input once, for inputs that are costly to
+    compute; ``buckets`` is kept for callers and has no effect.
     """
-    buckets = _buckets(df, buckets)
     base = materialized(df) if checkpoint else df
-    keys = [f"__key{i}" for i in range(len(specs))]
-    keyed = base.select(*[(F.col(v).cast("double") * F.lit(1.0 if asc else -1.0)).alias(k)
-                          for k, (v, _, asc) in zip(keys, specs)])
     out = base
-    for (value, name, asc), cuts in zip(specs, range_cuts(keyed, keys, buckets)):
-        key = F.col(value).cast("double") * F.lit(1.0 if asc else -1.0)
-        vals = base.select(value).where(F.col(value).isNotNull()).distinct().withColumn("__b", range_number(key, cuts))
-        order = F.col(value).asc() if asc else F.col(value).desc()
-        local = vals.withColumn("__local", F.dense_rank().over(Window.partitionBy("__b").orderBy(order)))
-        counts = vals.groupBy("__b").agg(F.count(F.lit(1)).alias("__n"))
-        # one row per value range (at most ``buckets`` rows): prefix sums give offsets
-        offsets = counts.withColumn(
-            "__off", F.coalesce(F.sum("__n").over(Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)),
-                                F.lit(0)))
-        ranked = (local.join(F.broadcast(offsets.select("__b", "__off")), "__b")
-                  .select(value, (F.col("__off") + F.col("__local")).cast("bigint").alias(name)))
-        out = out.join(ranked, value, "left")
+    for i, (value, name, asc) in enumerate(specs):
+        signed = F.col(value).cast("double") * F.lit(1.0 if asc else -1.0) + F.lit(0.0)
+        ranked = _ranks(base.where(F.col(value).isNotNull()).select(F.lit(i).alias("spec"), signed.alias("value")))
+        out = out.withColumn("__v", signed).join(ranked.select(F.col("value").alias("__v"), F.col("rank").alias(name)), "__v", "left").drop("__v")
     return out
 
 

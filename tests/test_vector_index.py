@@ -96,9 +96,12 @@ def test_shuffled_rows_stay_in_proportion(spark, sf_small):
     assert n + visits + nq <= 2 * (n + nq * k)
 
 
-def test_too_many_broadcast_queries_raise_in_the_plan(spark):
+def test_too_many_broadcast_queries_raise_in_the_plan(spark, monkeypatch):
     c = spark.createDataFrame([(i, [float(i)]) for i in range(5)], C)
     q = c.toDF("query_id", "query_vec")
-    assert retrieval.vector_top_k(c, q, k=1, max_queries=5).count() == 5
+    monkeypatch.setattr(retrieval, "MAX_BROADCAST_QUERIES", 5)
+    assert retrieval.vector_top_k(c, q, k=1).count() == 5 and retrieval.vector_top_k(c, q, k=1, max_queries=2).count() == 5
+    assert retrieval.vector_top_k(c, q.limit(0), k=1).count() == 0
+    monkeypatch.setattr(retrieval, "MAX_BROADCAST_QUERIES", 4)
     with pytest.raises(Exception, match="more than 4 queries"):
-        retrieval.vector_top_k(c, q, k=1, max_queries=4).collect()
+        retrieval.vector_top_k(c, q, k=1).collect()
