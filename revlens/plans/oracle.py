@@ -540,13 +540,41 @@ sql("ingest_conversion", _CONVERSION)
 sql("export_csv", f"""
 SELECT Deal_Stage, COUNT(Deal_ID) AS Deal_Count, {MSUM('Amount')} AS Total_Amount
 FROM deals WHERE Deal_Stage IS NOT NULL GROUP BY Deal_Stage""")
-sql("module_diagnostics", """
-SELECT 'Deals' AS Module, 'deals.csv' AS File_Name, COUNT(*) AS Row_Count,
-       CAST(LEAST(COUNT(*), 3) AS INTEGER) AS Sample_Count,
-       'Deal_ID,Lead_ID,Account_ID,Product_ID,Deal_Stage,Amount,Closing_Date,Forecast_Category,Margin'
-         AS Normalized_Columns,
-       '' AS Missing_Required
-FROM deals""")
+_DIAGNOSED = ("Deal_ID", "Lead_ID", "Account_ID", "Product_ID", "Deal_Stage", "Amount", "Closing_Date", "Forecast_Category", "Margin")
+
+
+def _diagnosed(c: str) -> str:
+    v = f"strftime({c}, '%Y-%m-%d')" if c == "Closing_Date" else f"CAST(CAST({c} AS DOUBLE) AS VARCHAR)" if c in ("Amount", "Margin") else f"CAST({c} AS VARCHAR)"
+    return f"'\"{c}\":\"' || COALESCE({v}, '') || '\"'"
+
+
+sql("module_diagnostics", f"""
+SELECT 'Deals' AS Module, 'deals.csv' AS File_Name, n.n AS Row_Count, CAST(LEAST(n.n, 3) AS INTEGER) AS Sample_Count,
+       '{','.join(_DIAGNOSED)}' AS Normalized_Columns, '' AS Missing_Required, CAST(s.p AS INTEGER) AS Sample_Position, s.t AS Sample_Row
+FROM (SELECT COUNT(*) AS n FROM deals) n LEFT JOIN (
+  SELECT t, ROW_NUMBER() OVER (ORDER BY t) - 1 AS p FROM (SELECT '{{' || {" || ',' || ".join(_diagnosed(c) for c in _DIAGNOSED)} || '}}' AS t FROM deals) ORDER BY t LIMIT 3) s ON TRUE""")
+
+
+def _load_rows() -> str:
+    def rows(module: str, file: str, table: str, columns: list[tuple[str, str, str | None]], unknown: tuple[str, ...] = ()) -> list[str]:
+        return [f"SELECT '{module}' AS Module, '{file}' AS File_Name, {i} AS Position, '{o}' AS Original_Column, '{c}' AS Canonical_Column, {str(o != c).upper()} AS Renamed, "
+                f"{str(o not in unknown).upper()} AS Known, COUNT(CASE WHEN {c if c != 'Line Of Work' else 'Industry'} IS NOT NULL{f' OR {bad}' if bad else ''} THEN 1 END) AS Filled, "
+                f"COUNT(CASE WHEN {bad or 'FALSE'} THEN 1 END) AS Rejected, COUNT(*) AS Rows FROM {table}" for i, (o, c, bad) in enumerate(columns, 1)]
+    deals = [("Deal Id", "Deal_ID", None), ("Lead_ID", "Lead_ID", None), ("Account ID", "Account_ID", None), ("Product ID", "Product_ID", None), ("Stage", "Deal_Stage", None),
+             ("Deal Amount", "Amount", "Deal_ID % 41 = 0"), ("Close Date", "Closing_Date", "Deal_ID % 43 = 0"), ("Forecast", "Forecast_Category", None), ("Margin", "Margin", None)]
+    leads = [("Lead Id", "Lead_ID", None), ("Company", "Company_Name", None), ("Lead Source", "Lead_Source", None), ("Line Of Work", "Line Of Work", None),
+             ("Estimated Value", "Estimated_Value", "Lead_ID % 7 = 0"), ("Lead Owner", "Sales_Rep", None), ("Region", "Region", None), ("Customer Segment", "Customer_Type", None)]
+    return " UNION ALL ".join(rows("Deals", "deals_export.csv", "deals", deals) + rows("Leads", "leads.csv", "leads", leads, ("Line Of Work",)))
+
+
+sql("load_report", _load_rows())
+sql("strict_deals", """
+SELECT CAST(Deal_ID AS VARCHAR) AS Deal_ID, CAST(Lead_ID AS VARCHAR) AS Lead_ID, 'Company, No. ' || CAST(Account_ID AS VARCHAR) AS Company_Name, Deal_Stage,
+       CAST(Amount AS DOUBLE) AS Amount, strftime(Closing_Date, '%Y-%m-%d') AS Closing_Date, Forecast_Category FROM deals""")
+sql("strict_leads", """
+SELECT CAST(Lead_ID AS VARCHAR) AS Lead_ID, Company_Name, Lead_Source, Industry, CAST(Estimated_Value AS DOUBLE) AS Estimated_Value,
+       CASE WHEN Sales_Rep IS NULL THEN 'New' ELSE 'Assigned' END AS Status,
+       strftime(DATE '2023-01-01' + CAST(Lead_ID % 365 AS INTEGER), '%Y-%m-%d') AS Created_Date, Sales_Rep FROM leads""")
 sql("normalize_labels", r"""
 SELECT Lead_ID,
        trim(regexp_replace(regexp_replace(lower(Industry), '[_\-]', ' ', 'g'), '\s+', ' ', 'g')) AS Industry_Label,

@@ -75,9 +75,43 @@ def q_module_diagnostics(spark, sf_dir):
     path = _export_raw(m.deals, DEALS_RAW_HEADERS, f"{base}/deals.csv")
     r = ingest.load_module_file(spark, path)
     d = ingest.module_diagnostics(r)
-    return d.select("Module", "File_Name", "Row_Count", F.size("Sample_Rows").alias("Sample_Count"),
-                    F.array_join("Normalized_Columns", ",").alias("Normalized_Columns"),
-                    F.array_join("Missing_Required", ",").alias("Missing_Required"))
+    held = d.select("Module", "File_Name", "Row_Count", F.size("Sample_Rows").alias("Sample_Count"),
+                    F.array_join("Normalized_Columns", ",").alias("Normalized_Columns"), F.array_join("Missing_Required", ",").alias("Missing_Required"), "Sample_Rows")
+    return held.select("*", F.posexplode_outer("Sample_Rows").alias("Sample_Position", "Sample_Row")).drop("Sample_Rows")
+
+
+@register("load_report")
+def q_load_report(spark, sf_dir):
+    """Resolved headers of two raw exports, with values that cannot be read; one header is in no alias table."""
+    m = Modules(spark, sf_dir)
+    base = ingest.shared_dir(spark, "report")
+    deals = m.deals.withColumns({"Amount": F.when(F.col("Deal_ID") % 41 == 0, "n/a").otherwise(F.col("Amount").cast("string")),
+                                 "Closing_Date": F.when(F.col("Deal_ID") % 43 == 0, "soon").otherwise(F.col("Closing_Date").cast("string"))})
+    leads = m.leads.withColumn("Estimated_Value", F.when(F.col("Lead_ID") % 7 == 0, "unknown").otherwise(F.col("Estimated_Value").cast("string")))
+    paths = [_export_raw(deals, DEALS_RAW_HEADERS, f"{base}/deals_export.csv"), _export_raw(leads, LEADS_RAW_HEADERS | {"Industry": "Line Of Work"}, f"{base}/leads.csv")]
+    return ingest.load_report([ingest.load_module_file(spark, p) for p in paths])
+
+
+@register("strict_deals")
+def q_strict_deals(spark, sf_dir):
+    """A1, A3, A4: a Deals file of the strict contract (all seven columns), read back with ANSI casts."""
+    d = Modules(spark, sf_dir).deals
+    file = d.select("Deal_ID", "Lead_ID", F.concat(F.lit("Company, No. "), F.col("Account_ID").cast("string")).alias("Company_Name"), "Deal_Stage", "Amount", "Closing_Date",
+                    "Forecast_Category")
+    path = ingest.export_csv(file, ingest.shared_dir(spark, "strict") + "/deals.csv")
+    out = ingest.clean_strict(ingest.read_csv_strings(spark, path), "deals", "deals.csv")
+    return out.withColumn("Closing_Date", F.date_format("Closing_Date", "yyyy-MM-dd"))
+
+
+@register("strict_leads")
+def q_strict_leads(spark, sf_dir):
+    """A1, A3, A4: a Leads file of the strict contract (all eight columns), read back with ANSI casts."""
+    lead = Modules(spark, sf_dir).leads
+    file = lead.select("Lead_ID", "Company_Name", "Lead_Source", "Industry", "Estimated_Value", F.when(F.col("Sales_Rep").isNull(), "New").otherwise("Assigned").alias("Status"),
+                       F.date_add(F.lit("2023-01-01").cast("date"), (F.col("Lead_ID") % 365).cast("int")).alias("Created_Date"), "Sales_Rep")
+    path = ingest.export_csv(file, ingest.shared_dir(spark, "strict") + "/leads.csv")
+    out = ingest.clean_strict(ingest.read_csv_strings(spark, path), "leads", "leads.csv")
+    return out.withColumn("Created_Date", F.date_format("Created_Date", "yyyy-MM-dd"))
 
 
 @register("table_signature")

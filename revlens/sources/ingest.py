@@ -80,14 +80,10 @@ def validate_columns(df: DataFrame, required, name: str) -> None:
 def clean_strict(df: DataFrame, kind: str, name: str = "file") -> DataFrame:
     """A4: strict contract for demo Leads / Deals files: required columns must
     exist; dates and amounts are cast with ANSI casts, so a bad value fails
-    the job (as the reference raises)."""
-    if kind == "leads":
-        validate_columns(df, REQUIRED_LEADS_COLUMNS, name)
-        return (df.withColumn("Created_Date", F.to_date("Created_Date"))
-                .withColumn("Estimated_Value", F.col("Estimated_Value").cast("double")))
-    validate_columns(df, REQUIRED_DEALS_COLUMNS, name)
-    return (df.withColumn("Closing_Date", F.to_date("Closing_Date"))
-            .withColumn("Amount", F.col("Amount").cast("double")))
+    any job over the frame, whatever it selects (as the reference raises)."""
+    required, date, number = (REQUIRED_LEADS_COLUMNS, "Created_Date", "Estimated_Value") if kind == "leads" else (REQUIRED_DEALS_COLUMNS, "Closing_Date", "Amount")
+    validate_columns(df, required, name)
+    return _all_read(df.withColumns({date: F.to_date(date), number: F.col(number).cast("double")}), [date, number])
 
 
 # ---------------------------------------------------------------- detection
@@ -144,6 +140,7 @@ class LoadResult:
     unknown_columns: list[str]
     missing_required: list[str]
     warnings: list[str] = field(default_factory=list)
+    mapped: DataFrame | None = None  # canonical headers, values as read
 
 
 def read_csv_strings(spark: SparkSession, path: str) -> DataFrame:
@@ -157,19 +154,22 @@ LEADS_SCHEMA = ("Lead_ID bigint, Company_Name string, Lead_Source string, Indust
                 "Estimated_Value decimal(18,2), Sales_Rep string, Region string, Customer_Type string")
 
 
+def _all_read(df: DataFrame, columns: list[str]) -> DataFrame:
+    """``df`` unchanged, by a filter that is true for every row but reads ``columns``: any job, a plain count too, parses them."""
+    return df.where(F.xxhash64(*[F.col(f"`{c}`") for c in columns]) >= F.lit(-(1 << 63))) if columns else df
+
+
 def scan_csv_strict(spark: SparkSession, path: str, schema: str, required, name: str) -> DataFrame:
     """A1/A3/A4: read a CSV with a header and an explicit schema (no inference
-    pass); a malformed value fails any job over the file (FAILFAST on every
-    column, read or not, since columns are not pruned before parsing); missing
-    required columns raise ``ValueError`` before any job."""
+    pass); a malformed value in any column of the schema fails any job over the
+    file, whatever it selects (FAILFAST, and all columns are read by a filter);
+    missing required columns raise ``ValueError`` before any job."""
     header = read_csv_strings(spark, path).columns
     missing = [c for c in required if c not in header]
     if missing:
         raise ValueError(f"{name} is missing required columns: {', '.join(missing)}")
     raw = spark.read.schema(schema).options(**CSV, multiLine=True, mode="FAILFAST", enforceSchema=False).csv(path)
-    required_present = [F.col(c) for c in required if c in raw.columns]
-    # true for every row, but it reads the required columns, so a plain count parses them too
-    return raw.where(F.xxhash64(*required_present) >= F.lit(-(1 << 63))) if required_present else raw
+    return _all_read(raw, raw.columns)
 
 
 def load_module_file(spark: SparkSession, path: str, file_name: str | None = None) -> LoadResult:
@@ -182,7 +182,7 @@ def load_module_file(spark: SparkSession, path: str, file_name: str | None = Non
     missing = sorted(set(MODULES[module].required) - set(frame.columns)) if module != "Unknown" else []
     warnings = [] if module != "Unknown" else [
         f"Could not confidently detect a supported CRM module for {file_name}."]
-    return LoadResult(module, frame, file_name, list(raw.columns), mapping, unknown, missing, warnings)
+    return LoadResult(module, frame, file_name, list(raw.columns), mapping, unknown, missing, warnings, mapped)
 
 
 def load_modules(spark: SparkSession, paths: list[str]) -> tuple[dict[str, DataFrame], dict[str, list[str]], list[str]]:
@@ -232,6 +232,28 @@ def module_diagnostics(r: LoadResult, sample_rows: int = 3) -> DataFrame:
     return out
 
 
+def load_report(results: list[LoadResult]) -> DataFrame:
+    """A row for every header of every loaded file: the canonical column that it was resolved to, whether the
+    alias table knows it, its values, and those that the lenient coercion could not read (``Rejected``).
+
+    One aggregate a file; a rejected value is null in the loaded module.
+    """
+    from functools import reduce
+    out = []
+    for r in results:
+        counts, rows = [], []
+        for i, (original, column) in enumerate(zip(r.original_columns, r.mapped.columns)):
+            given = F.trim(F.coalesce(F.col(f"`{column}`"), F.lit(""))) != ""
+            read = parse_number_lenient(column) if column in NUMERIC_COLUMNS else parse_date_lenient(column) if column in DATE_COLUMNS else F.col(f"`{column}`")
+            counts += [F.count_if(given).alias(f"n{i}"), F.count_if(given & read.isNull()).alias(f"bad{i}")]
+            rows.append(F.struct(F.lit(i + 1).alias("Position"), F.lit(original).alias("Original_Column"), F.lit(column).alias("Canonical_Column"),
+                                 F.lit(original != column).alias("Renamed"), F.lit(original not in r.unknown_columns).alias("Known"),
+                                 F.col(f"n{i}").alias("Filled"), F.col(f"bad{i}").alias("Rejected")))
+        one = r.mapped.agg(F.count(F.lit(1)).alias("n"), *counts)
+        out.append(one.select("n", F.explode(F.array(*rows)).alias("r")).select(F.lit(r.module).alias("Module"), F.lit(r.file_name).alias("File_Name"), "r.*", F.col("n").alias("Rows")))
+    return reduce(lambda a, b: a.unionByName(b), out)
+
+
 def module_validation(modules: dict[str, DataFrame]) -> DataFrame:
     """Validation warnings per module: empty, missing required columns,
     duplicate ids (a repeated null counts as a duplicate value)."""

@@ -20,13 +20,20 @@ def read_table(spark: SparkSession, base: str, name: str) -> DataFrame:
 
 
 class Catalog:
-    """Lazy access to the tables of one directory (``cat.orders`` etc.)."""
+    """Lazy access to the tables of one directory (``cat.orders`` etc.).
+
+    A table is listed once per ``Catalog`` object, so all uses in one query
+    read the same files; nothing outlives the object.
+    """
 
     def __init__(self, spark: SparkSession, base: str):
         self.spark = spark
         self.base = base
+        self._read: dict[str, DataFrame] = {}
 
     def __getattr__(self, name: str) -> DataFrame:
-        if name in TABLES:
-            return read_table(self.spark, self.base, name)
-        raise AttributeError(name)
+        if name not in TABLES:
+            raise AttributeError(name)
+        if name not in self._read:
+            self._read[name] = read_table(self.spark, self.base, name)
+        return self._read[name]
