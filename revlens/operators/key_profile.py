@@ -1,0 +1,109 @@
+"""One shared profile of module keys.
+
+``profile`` reads each module once: a GROUPING SETS aggregate gives a total row
+(row count and the filled count of each registered column) and, for the id and
+each join key, one row a key value with its number of rows. Keys of all
+modules are text rows ``(module, column, key, n)``, combined map-side, so a hot
+key is one row a task. The profile is written once, by part: ``keys`` and
+``totals``.
+
+From it follow, without another look at the modules:
+
+* ``filled`` - the totals as one row a module and column;
+* ``distinct_ids`` - distinct and repeated ids of each module;
+* ``coverage`` - the numbers of every join relationship: its left keys meet its
+  right keys by (relationship, key), each side one row a key.
+"""
+
+from __future__ import annotations
+
+from dataclasses import dataclass
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from revlens.sources import ingest
+from revlens.sources.registry import DATE_COLUMNS, MODULES, PREFERRED_RELATIONSHIPS
+
+
+@dataclass
+class Profile:
+    keys: DataFrame      # module, column, key, n
+    totals: DataFrame    # module, rows, filled map<string, bigint>
+    columns: dict[str, tuple[str, ...]]
+
+
+def relationships_of(columns: dict[str, tuple[str, ...]]) -> list[tuple[int, str, str, str]]:
+    """(number, left, right, key) of the preferred relationships that can be checked."""
+    return [(i, left, right, key) for i, (left, right, key) in enumerate(PREFERRED_RELATIONSHIPS)
+            if left in columns and right in columns and key in columns[left] and key in columns[right]]
+
+
+def profile(spark: SparkSession, modules: dict[str, DataFrame]) -> Profile:
+    """Keys and totals of the registered modules, each scanned and shuffled once."""
+    modules = {m: df for m, df in modules.items() if m in MODULES}
+    columns = {m: tuple(df.columns) for m, df in modules.items()}
+    keys_of: dict[str, list[str]] = {m: [MODULES[m].id_column] if MODULES[m].id_column in c else [] for m, c in columns.items()}
+    for _, left, right, key in relationships_of(columns):
+        for m in (left, right):
+            if key not in keys_of[m]:
+                keys_of[m].append(key)
+    parts = []
+    for m, df in modules.items():
+        d = MODULES[m]
+        told = [c for c in dict.fromkeys((*d.required, *d.optional, *DATE_COLUMNS)) if c in columns[m]]
+        # a key as text, under a name of its own: grouping must not blank the column that is counted
+        keyed = df.select(*[F.col(c).cast("string").alias(f"k{i}") for i, c in enumerate(keys_of[m])], *[F.col(f"`{c}`").isNotNull().alias(f"f{i}") for i, c in enumerate(told)])
+        names = [f"k{i}" for i in range(len(keys_of[m]))]
+        counts = [F.count(F.lit(1)).alias("n"), *[F.count_if(F.col(f"f{i}")).alias(f"c{i}") for i in range(len(told))]]
+        full = (1 << len(names)) - 1
+        if names:
+            grouped = keyed.groupingSets([[], *[[k] for k in names]], *names).agg(*counts, F.grouping_id().alias("gid"))
+            key = F.coalesce(*names)
+            column = F.lit(None).cast("string")
+            for i, c in enumerate(keys_of[m]):
+                column = F.when(F.col("gid") == full ^ (1 << (len(names) - 1 - i)), c).otherwise(column)
+        else:
+            grouped, key, column = keyed.agg(*counts).withColumn("gid", F.lit(full)), F.lit(None).cast("string"), F.lit(None).cast("string")
+        total = F.col("gid") == full
+        filled = F.map_from_arrays(F.array(*[F.lit(c) for c in told]), F.array(*[F.col(f"c{i}") for i in range(len(told))])) if told else F.create_map().cast("map<string,bigint>")
+        parts.append(grouped.select(F.lit(m).alias("module"), F.when(total, "totals").otherwise("keys").alias("part"), column.alias("column"), key.alias("key"), "n",
+                                    F.when(total, filled).alias("filled")))
+    if not parts:
+        empty = spark.createDataFrame([], "module string, column string, key string, n bigint, rows bigint, filled map<string,bigint>")
+        return Profile(empty.select("module", "column", "key", "n"), empty.select("module", "rows", "filled"), columns)
+    written = ingest.materialize(reduce(lambda a, b: a.unionByName(b), parts), ingest.shared_dir(spark, "profile"), ["part"])
+    names = spark.createDataFrame([(m,) for m in modules], "module string")  # a module without rows has no total row
+    totals = names.join(written.where(F.col("part") == "totals").select("module", F.col("n").alias("rows"), "filled"), "module", "left") \
+        .select("module", F.coalesce("rows", F.lit(0).cast("bigint")).alias("rows"), "filled")
+    return Profile(written.where(F.col("part") == "keys").select("module", "column", "key", "n"), totals, columns)
+
+
+def distinct_ids(p: Profile) -> DataFrame:
+    """(module, distinct_id, filled_id, null_ids) of the modules that have their id column."""
+    ids = F.lit(False)
+    for m, c in p.columns.items():
+        if MODULES[m].id_column in c:
+            ids = ids | ((F.col("module") == m) & (F.col("column") == MODULES[m].id_column))
+    known = F.col("key").isNotNull()
+    return p.keys.where(ids).groupBy("module").agg(F.count_if(known).alias("distinct_id"), F.coalesce(F.sum(F.when(known, F.col("n"))), F.lit(0)).alias("filled_id"),
+                                                   F.coalesce(F.sum(F.when(~known, F.col("n"))), F.lit(0)).alias("null_ids"))
+
+
+def coverage(p: Profile) -> DataFrame:
+    """C11 numbers by relationship ``i``: rows on each side, rows checked (non-null left keys), matched, and repeated lookup keys."""
+    checked = relationships_of(p.columns)
+    schema = "i int, left_rows bigint, right_rows bigint, rows_checked bigint, matched_rows bigint, lookup_has_duplicates boolean"
+    if not checked:
+        return p.keys.sparkSession.createDataFrame([], schema)
+    # a key row goes to every relationship that it takes part in, on either side
+    roles = F.array(*[F.when((F.col("module") == m) & (F.col("column") == key), F.struct(F.lit(i).alias("i"), F.lit(side).alias("side")))
+                      for i, left, right, key in checked for m, side in ((left, 0), (right, 1))])
+    rows = p.keys.withColumn("r", F.explode(F.array_compact(roles)))
+    left, known = F.col("r.side") == 0, F.col("key").isNotNull()
+    per_key = rows.groupBy(F.col("r.i").alias("i"), "key").agg(F.sum(F.when(left, F.col("n")).otherwise(0)).alias("l"), F.sum(F.when(~left, F.col("n")).otherwise(0)).alias("n"))
+    found = per_key.groupBy("i").agg(
+        F.sum("l").alias("left_rows"), F.sum("n").alias("right_rows"), F.sum(F.when(known, F.col("l")).otherwise(0)).alias("rows_checked"),
+        F.sum(F.when(known & (F.col("n") > 0), F.col("l")).otherwise(0)).alias("matched_rows"), F.max(known & (F.col("n") > 1)).alias("lookup_has_duplicates"))
+    return found
