@@ -34,12 +34,14 @@ from pyspark.sql import functions as F
 from revlens.llm import pieces as pc
 from revlens.llm.frames import resident, texts, tidy
 
-#: compatibility answers that a worker keeps, about 100 bytes each
-PAIRS = 150_000
+#: memory that a worker may take for encodings it has seen; it changes no result
+CACHE_BYTES = 256 << 20
+#: the same where other operators' workers share the executor, as in a pipeline
+SHARED_CACHE_BYTES = 64 << 20
 
 
 class Encoder:
-    def __init__(self, model: bytes):
+    def __init__(self, model: bytes, cache_bytes: int = CACHE_BYTES):
         import ahocorasick
         self.v = pc.vocabulary(model)
         self.automaton = ahocorasick.Automaton()
@@ -51,7 +53,8 @@ class Encoder:
         self.size = [len(p) for p in self.v.pieces]
         self.pairs: dict[int, bool] = {}
         self.shorter: dict[int, int] = {}
-        self.words = pc.Cache(self._pretoken)
+        self.words = pc.Cache(self._pretoken, cache_bytes // 160, cache_bytes)
+        self.most_pairs = cache_bytes // 256  # compatibility answers, about 100 bytes each
 
     def merge(self, text: str) -> list[int]:
         """The plain rule: join the neighbours whose piece scores best, leftmost first."""
@@ -110,7 +113,7 @@ class Encoder:
         return out
 
     def compatible(self, a: int, b: int) -> bool:
-        if len(self.pairs) >= PAIRS:  # bounded memory
+        if len(self.pairs) >= self.most_pairs:  # bounded memory
             self.pairs.clear()
         ok = self.pairs[a << 32 | b] = self.merge(self.v.pieces[a] + self.v.pieces[b]) == [a, b]
         return ok
@@ -187,8 +190,8 @@ class Encoder:
         return out[1:] if out[:1] == " " else out
 
 
-def encoder(model: bytes) -> Encoder:
-    return resident("bpe_exact", model, Encoder)
+def encoder(model: bytes, cache_bytes: int = CACHE_BYTES) -> Encoder:
+    return resident(f"bpe_exact {cache_bytes}", model, lambda data: Encoder(data, cache_bytes))
 
 
 def encode(docs: DataFrame, path: str) -> DataFrame:
@@ -249,7 +252,7 @@ def token_rows(docs: DataFrame, path: str) -> DataFrame:
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e = encoder(sent.value)  # one worker holds one encoder for both directions
+        e = encoder(sent.value, SHARED_CACHE_BYTES)  # one worker holds one encoder for both directions
         for batch in batches:
             coded = [np.frombuffer(e.encode(t or ""), dtype=np.int32) for t in batch.column("text").to_pylist()]
             digests = [hashlib.sha256(e.decode(ids.tolist()).encode("utf-8")).hexdigest() for ids in coded]
