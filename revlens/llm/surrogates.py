@@ -3,11 +3,16 @@
 Entities: e-mail addresses, IPv4 addresses, phone numbers, payment cards and
 long account numbers (13 to 19 digits), social security numbers, IBANs, and
 person names led by a title or a known given name. One regular expression cuts
-a text into entities and gaps.
+a text into entities and gaps. In a text with names, each other word that
+starts with a capital is looked up among the names of its own text, whatever
+its case: a bare ``Smith`` or ``SMITH'S`` beside ``Mr. John Smith`` is a
+further mention. A word that starts with a small letter is none.
 
 An entity's canonical form (lower-case address, bare digits, lower-case name)
 decides its surrogate, so mentions in other formats corefer. A surrogate is
-drawn from SHA-256 of key, kind, canonical form and attempt. It keeps kind and
+drawn from SHA-256 of key, kind, canonical form and attempt. The key is a
+parameter, or the setting ``KEY_SETTING``; where neither is given, the public
+``KEY`` serves, which hides nothing from who knows it. A surrogate keeps kind and
 format: letters stay letters of the same script and case, digits digits,
 punctuation, country codes, top-level domains, card networks and Luhn validity
 stay, IPv4 numbers stay valid, given names keep gender and script. All
@@ -34,6 +39,8 @@ from pyspark.sql import functions as F
 
 from revlens.llm.frames import small_batches, stored
 
+#: the session's setting that holds the secret key, and what stands in for it in tests
+KEY_SETTING = "spark.revlens.surrogates.key"
 KEY = "corpus-surrogates"
 #: the first attempt that lengthens e-mail addresses and numbers
 LONGER = 8
@@ -72,6 +79,12 @@ _NUMBERS = "(?=[0-9+(])(?:" + "|".join(f"(?:{PATTERNS[k]})" for k in ("ip", "ssn
 _IBANS = f"(?=[A-Z][A-Z][0-9])(?:{PATTERNS['iban']})"
 _NAMES = f"(?=[A-ZА-Я])(?:{PATTERNS['name']})"
 ANY = f"(?:{PATTERNS['email']})|{_IBANS}|{_NUMBERS}|{_NAMES}"
+# a capitalised word, joined ones whole (O'Brien), unless a name or an address starts inside it
+_BARE = (rf"(?<![\p{{L}}\p{{M}}\p{{N}}])\p{{Lu}}[\p{{L}}\p{{M}}]{{0,60}}(?:['’-](?!(?:{_TITLE}|{_KNOWN})(?![\p{{L}}\p{{M}}]))\p{{Lu}}[\p{{L}}\p{{M}}]{{0,60}}){{0,3}}"
+         r"(?![\p{L}\p{M}\p{N}])(?![\p{L}\p{M}\p{N}._%+-]{0,64}+@)")
+ANY_OR_BARE = f"{ANY}|{_BARE}"
+#: what may end a name without being part of it
+_TAIL = "(?:['’][sS]|['’-]+)$"
 DIGIT_KINDS = ("phone", "card", "ssn", "iban")
 
 
@@ -79,7 +92,8 @@ def kind_of(entity: Column) -> Column:
     out = F.when(entity.contains("@"), "email")
     for kind in ("iban", "ip", "ssn", "card"):
         out = out.when(entity.rlike(f"^(?:{PATTERNS[kind]})$"), kind)
-    return out.when(entity.rlike(r"^\p{L}"), "name").otherwise("phone")
+    letter_first = entity.rlike(r"^\p{L}")  # names have a space, after their title or given name
+    return out.when(letter_first & entity.contains(" "), "name").when(letter_first, "word").otherwise("phone")
 
 
 def script_of(text: Column) -> Column:
@@ -212,43 +226,65 @@ def name_parts(entity: Column) -> Column:
         F.when((i == 0) & titled, "title").when(i == F.size(words) - 1, "surname").otherwise("given").alias("role"), w.alias("token"), gender.alias("gender")))
 
 
+def name_canon(token: Column) -> Column:
+    return F.lower(F.regexp_replace(token, _TAIL, ""))
+
+
+def render_name(token: Column, surrogate: Column) -> Column:
+    """A drawn name in the case of a mention, with its ending (Smith's)."""
+    base = F.regexp_replace(token, _TAIL, "")
+    cased = F.when((F.char_length(base) > 1) & (F.upper(base) == base), F.upper(surrogate)).otherwise(F.initcap(surrogate))
+    return F.concat(cased, F.substr(token, F.char_length(base) + 1, F.char_length(token)))
+
+
 def mentions(found: DataFrame) -> DataFrame:
-    """(row, at, part, kind, canon, gender, entity) of every replaceable piece of ``found`` (row, entities)."""
+    """(row, at, part, kind, canon, gender, entity) of every piece of ``found`` (row, entities); titles and
+    words that are no name of their row keep their text."""
     one = found.select("row", F.posexplode("entities").alias("at", "entity")).withColumn("kind", kind_of(F.col("entity")))
-    plain = one.where("kind != 'name'").select("row", "at", F.lit(0).alias("part"), "kind", canonical(F.col("kind"), F.col("entity")).alias("canon"),
-                                               F.lit("").alias("gender"), "entity")
+    plain = one.where(~F.col("kind").isin("name", "word")).select(
+        "row", "at", F.lit(0).alias("part"), "kind", canonical(F.col("kind"), F.col("entity")).alias("canon"), F.lit("").alias("gender"), "entity")
     parts = one.where("kind = 'name'").select("row", "at", F.posexplode(name_parts(F.col("entity"))).alias("part", "p"))
     # a surname has one surrogate whoever bears it, apart from gendered Cyrillic forms
     gender = F.when(F.col("p.role") == "given", F.col("p.gender")).when(script_of(F.col("p.token")) == "cyrillic", F.col("p.gender")).otherwise("")
-    names = parts.select("row", "at", "part", F.col("p.role").alias("kind"), F.lower("p.token").alias("canon"), gender.alias("gender"), F.col("p.token").alias("entity"))
-    return plain.union(names)
+    names = parts.select("row", "at", "part", F.col("p.role").alias("kind"), name_canon(F.col("p.token")).alias("canon"), gender.alias("gender"), F.col("p.token").alias("entity"))
+    # a word that is both a given name and a surname of its text counts as the surname
+    told = names.where("kind != 'title'").groupBy("row", "canon").agg(F.max(F.struct("kind", "gender")).alias("name"))
+    words = one.where("kind = 'word'").select("row", "at", name_canon(F.col("entity")).alias("canon"), "entity").join(told, ["row", "canon"], "left")
+    bare = words.select("row", "at", F.lit(0).alias("part"), F.coalesce("name.kind", F.lit("word")).alias("kind"), "canon",
+                        F.coalesce("name.gender", F.lit("")).alias("gender"), "entity")
+    return plain.union(names).union(bare)
 
 
-def replace(docs: DataFrame, key: str = KEY, count: str | None = None) -> DataFrame:
-    """``docs`` with surrogates in ``text``; ``count`` names a column for the number of entities."""
+def replace(docs: DataFrame, key: str | None = None, count: str | None = None) -> DataFrame:
+    """``docs`` with surrogates in ``text``; ``count`` names a column for the number of entities, further mentions of names included."""
     small_batches(docs.sparkSession)
+    key = key or docs.sparkSession.conf.get(KEY_SETTING, KEY)
     names = docs.columns
     held = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), F.col("text").cast("string").alias("t"))
     t = F.col("t")
     some = t.isNotNull() & ((t.contains("@") & t.rlike(PATTERNS["email"])) | (t.rlike("[0-9]") & (t.rlike(_NUMBERS) | t.rlike(_IBANS))) | t.rlike(_NAMES))
     extra = [F.lit(0).cast("long").alias(count)] if count else []
     clean = held.where(~F.coalesce(some, F.lit(False))).select(*[F.col(f"_row.`{c}`").alias(c) for c in names], *extra)
-    found = stored(held.where(some).select("_row", F.regexp_extract_all("t", F.lit(ANY), F.lit(0)).alias("entities"), F.split("t", ANY, -1).alias("gaps"))
+    first = held.where(some).select("_row", "t", F.regexp_extract_all("t", F.lit(ANY), F.lit(0)).alias("first"))
+    named = first.withColumn("named", F.exists("first", lambda e: kind_of(e) == "name"))
+    found = stored(named.select("_row", F.when(F.col("named"), F.regexp_extract_all("t", F.lit(ANY_OR_BARE), F.lit(0))).otherwise(F.col("first")).alias("entities"),
+                                F.when(F.col("named"), F.split("t", ANY_OR_BARE, -1)).otherwise(F.split("t", ANY, -1)).alias("gaps"))
                    .withColumn("row", F.monotonically_increasing_id()))
     pieces = mentions(found)
-    surrogate = draw(pieces.where("kind != 'title'").select("kind", "canon", "gender").distinct(), key)
+    surrogate = draw(pieces.where("kind not in ('title', 'word')").select("kind", "canon", "gender").distinct(), key)
     new = pieces.join(surrogate, ["kind", "canon", "gender"], "left").select(
-        "row", "at", "part", F.coalesce(F.when(F.col("kind").isin("given", "surname"), F.initcap("surrogate")).otherwise(render(F.col("kind"), F.col("entity"), F.col("surrogate"))),
-                                        F.col("entity")).alias("new"))
-    joined = new.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("at", "part", "new"))).alias("news"))
+        "row", "at", "part", "kind", F.coalesce(F.when(F.col("kind").isin("given", "surname"), render_name(F.col("entity"), F.col("surrogate")))
+                                                .otherwise(render(F.col("kind"), F.col("entity"), F.col("surrogate"))), F.col("entity")).alias("new"))
+    joined = new.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("at", "part", "new"))).alias("news"),
+                                    F.count_if((F.col("part") == 0) & (F.col("kind") != "word")).alias("n"))
     whole = found.join(joined, "row")
     # pieces of one name are joined by spaces; then gap 0, entity 0, gap 1, ...
     before = lambda x: F.when(x["part"] > 0, " ").otherwise(F.element_at(F.col("gaps"), x["at"] + 1))
     text = F.concat(F.array_join(F.transform("news", lambda x: F.concat(before(x), x["new"])), ""), F.element_at("gaps", -1))
     cols = [(text if c == "text" else F.col(f"_row.`{c}`")).alias(c) for c in names]
-    return whole.select(*cols, *([F.size("entities").cast("long").alias(count)] if count else [])).union(clean)
+    return whole.select(*cols, *([F.col("n").alias(count)] if count else [])).union(clean)
 
 
-def report(docs: DataFrame, key: str = KEY) -> DataFrame:
+def report(docs: DataFrame, key: str | None = None) -> DataFrame:
     """Per document: doc_id, text with surrogates, n_entities."""
     return replace(docs.select("doc_id", "text"), key, "n_entities")
