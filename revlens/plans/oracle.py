@@ -1037,6 +1037,34 @@ def _signature_sql() -> str:
 
 sql("table_signature", _signature_sql())
 
+
+def _parts_sql(digits: int, rows: str) -> str:
+    columns = "Deal_ID Lead_ID Account_ID Product_ID Deal_Stage Amount Closing_Date Forecast_Category Margin".split()
+    row = " || chr(31) || ".join("COALESCE(" + (f"strftime({c}, '%Y-%m-%d')" if c == "Closing_Date" else f"CAST({c} AS VARCHAR)") + ", '\\N')" for c in columns)
+    return (f"SELECT COALESCE(substr(md5(CAST(Deal_ID AS VARCHAR)), 1, {digits}), '-') AS Part, COUNT(*) AS Rows, "
+            f"CAST(SUM(CAST(CAST('0x' || substr(md5({row}), 1, 15) AS BIGINT) AS DECIMAL(38,0))) AS VARCHAR) AS Signature FROM {rows} GROUP BY 1")
+
+
+sql("signature_parts", _parts_sql(2, "deals"))
+sql("changed_parts", """
+WITH d AS (SELECT substr(md5(CAST(Deal_ID AS VARCHAR)), 1, 3) AS Part, Deal_ID % 101 = 0 AS gone, Deal_ID % 97 = 0 AND Amount IS NOT NULL AS raised FROM deals)
+SELECT Part, COUNT(*) AS Old_Rows, COUNT(CASE WHEN NOT gone THEN 1 END) AS New_Rows FROM d GROUP BY Part HAVING bool_or(gone OR raised)""")
+
+
+def _detected_sql() -> str:
+    files = [("deals_export.csv", "Deals", "deals", "name", 36, 9, 9), ("Lead-Export.csv", "Leads", "leads", "name", 17, 8, 7),
+             ("file_2.csv", "Accounts", "accounts", "columns", 13, 4, 3), ("file_3.csv", "Products", "products", "columns", 12, 3, 3),
+             ("file_4.csv", "Vendors", "vendors", "columns", 12, 3, 3), ("file_5.csv", "Purchase Orders", "purchase_orders", "columns", 13, 4, 4),
+             ("file_6.csv", "Activities", "activities", "columns", 12, 4, 3)]
+    cut = "COUNT(CASE WHEN Lead_ID % 5 = 0 THEN 1 END)"
+    return "\nUNION ALL\n".join(
+        f"SELECT '{f}' AS File_Name, '{m}' AS Module, '{by}' AS Found_By, CAST({score} AS BIGINT) AS Column_Score, CAST({n} AS INTEGER) AS Header_Columns, "
+        f"CAST({known} AS BIGINT) AS Known_Columns, COUNT(*) + {cut if m == 'Leads' else '0'} AS Lines, {f'CAST(2 * {cut} AS BIGINT)' if m == 'Leads' else 'CAST(0 AS BIGINT)'} AS Open_Lines, "
+        f"{'FALSE' if m == 'Leads' else 'TRUE'} AS Splittable FROM {view}" for f, m, view, by, score, n, known in files)
+
+
+sql("detect_modules", _detected_sql())
+
 sql("corpus_upsert", """
 WITH old AS (SELECT vec_id AS id, embedding, CAST(NULL AS BIGINT) AS version, 0 AS newer FROM embeddings),
 upd AS (SELECT vec_id AS id, list_transform(embedding, lambda x: CAST(x * 2 AS FLOAT)) AS embedding,
@@ -1046,3 +1074,13 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY version IS NOT
            FROM (SELECT * FROM old UNION ALL SELECT * FROM upd))
 SELECT id, CAST(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))) AS DOUBLE) AS total, len(embedding) AS dimensions, version
 FROM ranked WHERE rk = 1""")
+
+sql("corpus_merge", """
+WITH old AS (SELECT vec_id AS id, embedding, CAST(NULL AS BIGINT) AS version, 0 AS newer FROM embeddings),
+upd AS (SELECT vec_id AS id, list_transform(embedding, lambda x: CAST(x * 2 AS FLOAT)) AS embedding,
+               CASE WHEN vec_id % 3 = 0 THEN NULL ELSE vec_id % 5 END AS version, 1 AS newer
+        FROM embeddings WHERE embedding IS NOT NULL AND vec_id % 100 = 0),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY version IS NOT NULL DESC, version DESC, newer DESC, embedding DESC) AS rk
+           FROM (SELECT * FROM old UNION ALL SELECT * FROM upd))
+SELECT id, CAST(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))) AS DOUBLE) AS total, len(embedding) AS dimensions, version
+FROM ranked WHERE rk = 1""")

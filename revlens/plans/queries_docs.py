@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from revlens.operators import documents, insights, joins, report, retrieval, vector_index
+from revlens.operators import buckets, documents, insights, joins, report, retrieval, vector_index
 from revlens.plans.registry import Modules, register
+from revlens.sources.ingest import shared_dir
 from revlens.sources.tables import Catalog
 
 
@@ -87,3 +88,17 @@ def q_corpus_upsert(spark, sf_dir):
     best = retrieval.corpus_upsert(old, new)
     return best.select("id", F.aggregate("embedding", F.lit(0.0).cast("double"), lambda a, x: a + x.cast("double")).alias("total"),
                        F.size("embedding").cast("bigint").alias("dimensions"), "version")
+
+
+@register("corpus_merge")
+def q_corpus_merge(spark, sf_dir):
+    """J6 on a stored corpus: each 100th vector arrives again, doubled, a third of these without a version; only the buckets of
+    their ids are written again."""
+    emb = Catalog(spark, sf_dir).embeddings
+    path = shared_dir(spark, "corpus")
+    buckets.create(emb.select(F.col("vec_id").alias("id"), "embedding", F.lit(None).cast("bigint").alias("version")), path)
+    buckets.upsert(emb.where(F.col("vec_id") % 100 == 0).select(
+        F.col("vec_id").alias("id"), F.transform("embedding", lambda x: (x * 2).cast("float")).alias("embedding"),
+        F.when(F.col("vec_id") % 3 != 0, F.col("vec_id") % 5).alias("version")), path)
+    return buckets.read(spark, path).select("id", F.aggregate("embedding", F.lit(0.0).cast("double"), lambda a, x: a + x.cast("double")).alias("total"),
+                                            F.size("embedding").cast("bigint").alias("dimensions"), "version")

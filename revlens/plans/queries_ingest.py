@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from revlens.functions.columns import norm_label
 from revlens.operators import aggregates as agg
-from revlens.sources import ingest
+from revlens.sources import catalog, ingest
 from revlens.plans.registry import Modules, register
 
 # Raw header names as a CRM export writes them (stand-in input).
@@ -119,6 +119,32 @@ def q_table_signature(spark, sf_dir):
     return ingest.table_signature(Modules(spark, sf_dir).all())
 
 
+@register("changed_parts")
+def q_changed_parts(spark, sf_dir):
+    """The parts of Deals that a later state changes: each 97th amount is raised, each 101st deal is gone."""
+    deals = Modules(spark, sf_dir).deals
+    later = deals.where(F.col("Deal_ID") % 101 != 0).withColumn("Amount", F.when(F.col("Deal_ID") % 97 == 0, F.col("Amount") + 1).otherwise(F.col("Amount")))
+    return ingest.changed_parts(ingest.signature_parts(deals, "Deal_ID", 3), ingest.signature_parts(later, "Deal_ID", 3))
+
+
+@register("signature_parts")
+def q_signature_parts(spark, sf_dir):
+    return ingest.signature_parts(Modules(spark, sf_dir).deals, "Deal_ID")
+
+
+@register("detect_modules")
+def q_detect_modules(spark, sf_dir):
+    """Exports of all modules found by one scan: two by their names, the others, in files without telling names, by
+    their headers; some lead sources hold a line break and a quote."""
+    m = Modules(spark, sf_dir)
+    base = ingest.shared_dir(spark, "catalog")
+    broken = F.when(F.col("Lead_ID") % 5 == 0, F.concat(F.lit('x "'), F.lit("\n"), F.col("Lead_ID").cast("string"))).otherwise(F.col("Lead_Source"))
+    paths = [_export_raw(m.deals, DEALS_RAW_HEADERS, f"{base}/deals_export.csv"),
+             _export_raw(m.leads.withColumn("Lead_Source", broken), LEADS_RAW_HEADERS, f"{base}/Lead-Export.csv")]
+    paths += [ingest.export_csv(df, f"{base}/file_{i}.csv") for i, (name, df) in enumerate(m.all().items()) if name not in ("Deals", "Leads")]
+    return catalog.detect_modules(catalog.file_catalog(spark, paths)).drop("File_Path")
+
+
 @register("normalize_labels")
 def q_normalize_labels(spark, sf_dir):
     leads = Modules(spark, sf_dir).leads

@@ -172,9 +172,9 @@ def scan_csv_strict(spark: SparkSession, path: str, schema: str, required, name:
     return _all_read(raw, raw.columns)
 
 
-def load_module_file(spark: SparkSession, path: str, file_name: str | None = None) -> LoadResult:
-    """A10 (one file): read -> canonicalise -> coerce -> detect -> validate."""
-    raw = read_csv_strings(spark, path)
+def load_module_file(spark: SparkSession, path: str, file_name: str | None = None, raw: DataFrame | None = None) -> LoadResult:
+    """A10 (one file): read -> canonicalise -> coerce -> detect -> validate; ``raw``: the file's reader, where it is open already."""
+    raw = read_csv_strings(spark, path) if raw is None else raw
     file_name = file_name or path.rstrip("/").split("/")[-1]
     mapped, mapping, unknown = canonicalize_headers(raw)
     frame = coerce_types(mapped)
@@ -189,8 +189,11 @@ def load_modules(spark: SparkSession, paths: list[str]) -> tuple[dict[str, DataF
     """A10: load many files and group the results by module. The last file of a
     module is used; earlier ones leave a warning, as do an unknown file,
     missing required columns, unmapped headers (all of them), an empty module
-    and repeated ids."""
-    results = [load_module_file(spark, p) for p in paths]
+    and repeated ids. One scan of all files finds the headers and the files
+    whose lines are records, which are split between tasks."""
+    from revlens.sources.catalog import open_splittable
+    opened = open_splittable(spark, paths)
+    results = [load_module_file(spark, p, raw=opened.get(p)) for p in paths]
     unknown = [r for r in results if r.module == "Unknown"]
     by_module: dict[str, list[LoadResult]] = {}
     for r in results:
@@ -323,23 +326,40 @@ def export_csv(df: DataFrame, path: str) -> str:
     return path
 
 
+def _row_hash(df: DataFrame):
+    text = F.concat_ws("\x1f", *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("\\N")) for c in df.columns])
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("decimal(38,0)")
+
+
+def _hash_sum(h):
+    return F.coalesce(F.sum(h), F.lit(0).cast("decimal(38,0)")).cast("string").alias("Signature")
+
+
 def table_signature(modules: dict[str, DataFrame]) -> DataFrame:
     """Per module: column list, row count and an order-free content hash,
     used to decide a refresh: the sum of the first 15 hex digits of the MD5 of
     each row's text (values by column, null as a backslash and N, joined by
     0x1F), as a decimal."""
     from functools import reduce
-    frames = []
-    for name, df in modules.items():
-        text = F.concat_ws("\x1f", *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("\\N")) for c in df.columns])
-        h = F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("decimal(38,0)")
-        frames.append(df.agg(F.count(F.lit(1)).alias("Rows"),
-                             F.coalesce(F.sum(h), F.lit(0).cast("decimal(38,0)")).cast("string").alias("Signature"))
-                      .select(F.lit(name).alias("Module"), F.lit(",".join(df.columns)).alias("Columns"),
-                              "Rows", "Signature"))
+    frames = [df.agg(F.count(F.lit(1)).alias("Rows"), _hash_sum(_row_hash(df)))
+              .select(F.lit(name).alias("Module"), F.lit(",".join(df.columns)).alias("Columns"), "Rows", "Signature") for name, df in modules.items()]
     return reduce(lambda a, b: a.unionByName(b), frames)
 
 
+def signature_parts(df: DataFrame, key: str, digits: int = 2) -> DataFrame:
+    """A19 by part: (Part, Rows, Signature), the parts being the first ``digits`` hex digits of the MD5 of the key's text
+    (a null key: its own part, ``-``). The signatures of all parts sum to that of ``table_signature``."""
+    part = F.coalesce(F.substring(F.md5(F.col(f"`{key}`").cast("string").cast("binary")), 1, digits), F.lit("-"))
+    return df.groupBy(part.alias("Part")).agg(F.count(F.lit(1)).alias("Rows"), _hash_sum(_row_hash(df)))
+
+
+def changed_parts(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Parts whose rows changed between two ``signature_parts``, those that came or went included: only they need a refresh."""
+    both = old.toDF("Part", "Old_Rows", "Old_Signature").join(new.toDF("Part", "New_Rows", "New_Signature"), "Part", "full")
+    same = F.col("Old_Rows").eqNullSafe(F.col("New_Rows")) & F.col("Old_Signature").eqNullSafe(F.col("New_Signature"))
+    return both.where(~same).select("Part", F.coalesce("Old_Rows", F.lit(0)).alias("Old_Rows"), F.coalesce("New_Rows", F.lit(0)).alias("New_Rows"))
+
+
 def to_money(df: DataFrame) -> DataFrame:
     """Cast coerced numeric canonical columns to exact money decimals."""
     return df.select(*[F.col(f"`{c}`").cast(MONEY).alias(c) if c in ("Amount", "Estimated_Value") else F.col(f"`{c}`")

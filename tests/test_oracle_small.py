@@ -19,7 +19,8 @@ from oracle_check import SPARK_TO_SQL, rows_of  # noqa: E402
 FAMILY = ["deals_by_stage", "sales_rep_performance", "lead_conversion", "forecast_quality", "monthly_trend",
           "metric_average_deal_size_by_customer_type", "share_by_region", "compound_account", "upcoming_closings",
           "module_health", "join_coverage", "auto_insights", "summary_documents", "vector_top_k",
-          "annotate_questions", "chart_specs", "ingest_region_pipeline", "answer_rows"]
+          "annotate_questions", "chart_specs", "ingest_region_pipeline", "answer_rows",
+          "detect_modules", "signature_parts", "changed_parts", "corpus_merge"]
 NAMES = sorted(E.oracle_sql()) if os.environ.get("REVLENS_FULL_ORACLE") == "1" else FAMILY
 
 
