@@ -35,11 +35,11 @@ def file_catalog(spark: SparkSession, paths: list[str]) -> DataFrame:
     path = F.when(folder != "", folder).otherwise(F.col("part"))
     files = parts.groupBy(path.alias("File_Path")).agg(
         F.min("header").alias("header"), (F.min("header") == F.max("header")).alias("same"), (F.sum("lines") - F.count(F.lit(1))).alias("Lines"), F.sum("open").alias("Open_Lines"))
-    fields = F.split(F.regexp_replace("header", "^﻿", ""), r',(?=(?:[^"]*"[^"]*")*[^"]*$)', -1)
+    fields = F.split(F.regexp_replace("header", "^\ufeff", ""), r',(?=(?:[^"]*"[^"]*")*[^"]*$)', -1)
     names = F.transform(fields, lambda c: F.replace(F.regexp_replace(c, '^"(.*)"$', "$1"), F.lit('""'), F.lit('"')))
     files = files.withColumn("Columns", names)
     distinct = F.size(F.array_distinct(F.transform("Columns", F.lower))) == F.size("Columns")
-    plain = (F.col("Open_Lines") == 0) & F.col("same") & distinct & F.forall("Columns", lambda c: F.trim(c) != "") & ~F.col("header").startswith("﻿")
+    plain = (F.col("Open_Lines") == 0) & F.col("same") & distinct & F.forall("Columns", lambda c: F.trim(c) != "") & ~F.col("header").startswith("\ufeff")
     return files.select("File_Path", F.substring_index("File_Path", "/", -1).alias("File_Name"), "Columns", "Lines", "Open_Lines", plain.alias("Splittable"))
 
 
